@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trafficlens.functions.binding import bind
 from trafficlens.functions.http import AUTH_PATHS
 
 # Well-known reflector ports.
@@ -144,32 +145,40 @@ def classify_subtype(family: Column, dst_port: Column, flags: Mapping[str, Colum
     src_port = F.lit(0).cast("bigint") if src_port is None else F.coalesce(src_port, F.lit(0).cast("bigint"))
     dst_port = F.coalesce(dst_port, F.lit(0).cast("bigint"))
     fragments = _zero() if fragments is None else fragments
-    tcp_sub = classify_tcp_subtype(flags)
-    reflector = _reflector(src_port, dst_port)
-    mixed = _reflector(src_port, dst_port, MIXED_AMPLIFICATION_PORTS)
     total = sum((flags[name] for name in _FLAGS[1:]), flags["syn"])
     syn_and_ack = (total > 0) & (flags["syn"] > 0.3 * total) & (flags["ack"] > 0.3 * total)
+    seen = F.struct(
+        F.coalesce(family, F.lit("")).alias("family"), classify_tcp_subtype(flags).alias("tcp"),
+        _reflector(src_port, dst_port).alias("reflector"),
+        _reflector(src_port, dst_port, MIXED_AMPLIFICATION_PORTS).alias("mixed"),
+        syn_and_ack.alias("syn_and_ack"), dst_port.alias("dst_port"), src_port.alias("src_port"),
+        avg_size.alias("size"), fragments.alias("fragments"))
+    return bind(seen, _subtype_of)
+
+
+def _subtype_of(seen: Column) -> Column:
+    family, tcp_sub, reflector, mixed = seen["family"], seen["tcp"], seen["reflector"], seen["mixed"]
+    dst_port, size = seen["dst_port"], seen["size"]
     udp = (
-        F.when(fragments > 30, "udp_fragment_flood")
-        .when((dst_port == 443) & (avg_size > 0) & (avg_size < 1300), "quic_flood")
+        F.when(seen["fragments"] > 30, "udp_fragment_flood")
+        .when((dst_port == 443) & (size > 0) & (size < 1300), "quic_flood")
         .when(reflector != "", reflector)
-        .when((avg_size > 0) & (avg_size < 100), "small_packet_flood")
-        .when(avg_size > 1200, "amplification_generic")
+        .when((size > 0) & (size < 100), "small_packet_flood")
+        .when(size > 1200, "amplification_generic")
         .otherwise("volumetric")
     )
     return (
-        F.when(family.isNull() | family.isin("", "unknown"),
-               F.when(tcp_sub != "", tcp_sub).otherwise(reflector))
+        F.when(family.isin("", "unknown"), F.when(tcp_sub != "", tcp_sub).otherwise(reflector))
         .when(family == "udp_flood", udp)
-        .when(family == "syn_flood", F.when(syn_and_ack, "syn_ack_flood").otherwise("syn_flood"))
+        .when(family == "syn_flood", F.when(seen["syn_and_ack"], "syn_ack_flood").otherwise("syn_flood"))
         .when(family == "tcp_flood", F.when(tcp_sub != "", tcp_sub).otherwise("tcp_generic"))
         .when(family == "multi_vector",
               F.concat(F.lit("multi_"), F.when(tcp_sub != "", tcp_sub).when(mixed != "", mixed)
                        .otherwise("mixed")))
         .when(family == "dns_flood",
-              F.when(((dst_port == 53) | (src_port == 53)) & (avg_size > 512), "dns_amplification")
+              F.when(((dst_port == 53) | (seen["src_port"] == 53)) & (size > 512), "dns_amplification")
               .otherwise("dns_query_flood"))
-        .when(family == "icmp_flood", F.when(avg_size > 1000, "ping_of_death").otherwise("ping_flood"))
+        .when(family == "icmp_flood", F.when(size > 1000, "ping_of_death").otherwise("ping_flood"))
         .when(family == "protocol_flood", F.when(tcp_sub != "", tcp_sub).otherwise("gre_flood"))
         .when(family == "fragment_flood", "ip_fragment_flood")
         .otherwise("")
@@ -181,21 +190,24 @@ def enrich_from_ioc(top_hit: Column, top_count: Column, family: Column, subtype:
     name = F.lower(F.trim(F.substring_index(top_hit, ":", 1)))
     hinted = F.when(top_hit.contains(":"),
                     F.trim(F.substring(top_hit, F.instr(top_hit, ":") + 1, F.length(top_hit)))).otherwise("")
-    mapped = F.lit(None).cast("string")
-    tool = F.lit(None).cast("string")
-    for word, named_subtype, named_tool in reversed(TOOL_WORDS):
-        mapped = F.when(name.contains(word), named_subtype).otherwise(mapped)
-        tool = F.when(name.contains(word), F.lit(named_tool)).otherwise(tool)
-    current = F.coalesce(subtype, F.lit(""))
-    hit = top_hit.isNotNull()
-    return F.struct(
-        F.when(hit & (hinted != "") & (hinted != "unknown") & family.isin("unknown", ""), hinted)
-        .otherwise(family).alias("family"),
-        F.when(hit & mapped.isNotNull() & current.isin(*VAGUE_SUBTYPES), mapped)
-        .otherwise(current).alias("subtype"),
-        F.when(hit, tool).alias("tool"),
-        F.when(hit, F.least(top_count, F.lit(30))).otherwise(0).cast("bigint").alias("boost"),
-    )
+    words = F.array(*[F.struct(F.lit(word).alias("word"), F.lit(sub).alias("subtype"),
+                               F.lit(tool).cast("string").alias("tool")) for word, sub, tool in TOOL_WORDS])
+    first_match = F.get(F.filter(words, lambda entry: name.contains(entry["word"])), F.lit(0))
+    seen = F.struct(top_hit.alias("hit"), hinted.alias("hinted"), first_match.alias("match"),
+                    F.coalesce(family, F.lit("")).alias("family"), F.coalesce(subtype, F.lit("")).alias("subtype"),
+                    top_count.cast("bigint").alias("count"))
+
+    def enriched(s: Column) -> Column:
+        hit = s["hit"].isNotNull()
+        return F.struct(
+            F.when(hit & ~s["hinted"].isin("", "unknown") & s["family"].isin("unknown", ""), s["hinted"])
+            .otherwise(s["family"]).alias("family"),
+            F.when(hit & s["match"].isNotNull() & s["subtype"].isin(*VAGUE_SUBTYPES), s["match"]["subtype"])
+            .otherwise(s["subtype"]).alias("subtype"),
+            F.when(hit, s["match"]["tool"]).alias("tool"),
+            F.when(hit, F.least(s["count"], F.lit(30).cast("bigint"))).otherwise(F.lit(0).cast("bigint")).alias("boost"))
+
+    return bind(seen, enriched)
 
 
 def is_botnet_name(hit: Column) -> Column:
@@ -208,25 +220,35 @@ def resolve_family_subtype(tcp: Column, udp: Column, icmp: Column, other: Column
                            top_hit: Column, top_hit_count: Column,
                            top_signature: Column, top_signature_count: Column) -> Column:
     """Final struct (family, subtype, tool, boost) of a closed incident."""
-    family = classify_attack(tcp, udp, icmp, syn_ratio(flags), dns_names >= 10, other, fragments)
-    subtype = classify_subtype(family, dst_port, flags, avg_size, src_port, fragments)
-    tcp_sub = classify_tcp_subtype(flags)
-    by_flags = family.isin("unknown", "tcp_flood") & (tcp > 40) & (tcp_sub != "")
-    subtype = F.when(by_flags, tcp_sub).otherwise(subtype)
-    family = F.when(by_flags & (family == "unknown"), "tcp_flood").otherwise(family)
-    enriched = enrich_from_ioc(top_hit, top_hit_count, family, subtype)
-    proven = F.lit(None).cast("string")
-    for name, named in SIGNATURE_SUBTYPES.items():
-        proven = F.when(top_signature == name, named).otherwise(proven)
-    sure = (F.coalesce(top_signature_count, F.lit(0)) >= SIGNATURE_MIN_PACKETS) & proven.isNotNull()
-    final_family = enriched["family"]
-    return F.struct(
-        F.when(sure & final_family.isin("udp_flood", "unknown", "multi_vector"), "udp_flood")
-        .otherwise(final_family).alias("family"),
-        F.when(sure, proven).otherwise(enriched["subtype"]).alias("subtype"),
-        enriched["tool"].alias("tool"),
-        enriched["boost"].alias("boost"),
-    )
+    first = classify_attack(tcp, udp, icmp, syn_ratio(flags), dns_names >= 10, other, fragments)
+
+    def by_evidence(family: Column) -> Column:
+        return F.struct(
+            family.alias("family"),
+            classify_subtype(family, dst_port, flags, avg_size, src_port, fragments).alias("subtype"),
+            classify_tcp_subtype(flags).alias("tcp"))
+
+    def by_flags(s: Column) -> Column:
+        applies = s["family"].isin("unknown", "tcp_flood") & (tcp > 40) & (s["tcp"] != "")
+        return F.struct(
+            F.when(applies, "tcp_flood").otherwise(s["family"]).alias("family"),
+            F.when(applies, s["tcp"]).otherwise(s["subtype"]).alias("subtype"))
+
+    def by_intelligence(s: Column) -> Column:
+        return enrich_from_ioc(top_hit, top_hit_count, s["family"], s["subtype"])
+
+    def by_signature(s: Column) -> Column:
+        proven = F.lit(None).cast("string")
+        for name, named in SIGNATURE_SUBTYPES.items():
+            proven = F.when(top_signature == name, named).otherwise(proven)
+        sure = (F.coalesce(top_signature_count, F.lit(0)) >= SIGNATURE_MIN_PACKETS) & proven.isNotNull()
+        return F.struct(
+            F.when(sure & s["family"].isin("udp_flood", "unknown", "multi_vector"), "udp_flood")
+            .otherwise(s["family"]).alias("family"),
+            F.when(sure, proven).otherwise(s["subtype"]).alias("subtype"),
+            s["tool"].alias("tool"), s["boost"].alias("boost"))
+
+    return bind(bind(bind(bind(first, by_evidence), by_flags), by_intelligence), by_signature)
 
 
 def classify_l7_subtype(total: Column, rps: Column, unique_ips: Column, error_rate: Column,

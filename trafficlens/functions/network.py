@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trafficlens.functions.binding import bind
+
 # IP protocol numbers and TCP flag bits.
 TCP, UDP, ICMP, ICMPV6, GRE = 6, 17, 1, 58, 47
 TCP_FLAGS = {"syn": 0x02, "ack": 0x10, "rst": 0x04, "fin": 0x01, "psh": 0x08, "urg": 0x20}
@@ -56,11 +58,6 @@ _TAIL_IPV4 = rf"^(.*:)({_OCTET}(?:\.{_OCTET}){{3}})$"
 _IPV6 = r"^[0-9A-Fa-f:]*$"
 
 
-def _bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, which keeps nested expressions small."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _ipv4_hex(address: Column) -> Column:
     octets = F.transform(F.split(address, r"\."), lambda part: F.lpad(F.hex(part.try_cast("bigint")), 2, "0"))
     return F.array_join(octets, "")
@@ -77,7 +74,7 @@ def _ipv6_groups(halves: Column) -> Column:
         fits = F.when(F.size(halves) == 2, gap >= 1).otherwise((F.size(halves) == 1) & (gap == 0))
         return F.when(fits, F.concat(sides["left"], filler, sides["right"]))
 
-    return _bind(F.struct(groups(F.get(halves, F.lit(0))).alias("left"),
+    return bind(F.struct(groups(F.get(halves, F.lit(0))).alias("left"),
                           groups(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("right")), fill)
 
 
@@ -93,7 +90,7 @@ def _ipv6_hex(address: Column) -> Column:
         padded = F.array_join(F.transform(parts, lambda part: F.lpad(part, 4, "0")), "")
         return F.when(F.forall(parts, lambda part: F.length(part).between(1, 4)), F.upper(padded))
 
-    return _bind(_bind(F.split(_bind(address, plain), "::", -1), _ipv6_groups), digits)
+    return bind(bind(F.split(bind(address, plain), "::", -1), _ipv6_groups), digits)
 
 
 def address_hex(address: Column) -> Column:

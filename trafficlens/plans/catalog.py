@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions import classify, network
 from trafficlens.functions import http as http_functions
-from trafficlens.operators import baseline, evidence, joins, l7, measures, service_ports, topk
+from trafficlens.operators import baseline, detect, evidence, joins, l7, measures, service_ports, topk
 from trafficlens.plans import flood
 from trafficlens.plans import workload as w
 from trafficlens.sources import access_log, tables
@@ -697,3 +697,47 @@ def ip_status(spark, sf_dir):
 @query
 def baseline_summary(spark, sf_dir):
     return flood.baseline_summary(_dst_baseline(spark, sf_dir), "dst_ip")
+
+
+# --- detectors -------------------------------------------------------------
+
+def _dst_events(spark, sf_dir):
+    per_dst = measures.dst_measures(w.flows(spark, sf_dir)).select("dst_ip", "tick", "pps", "bps")
+    last = w.flows(spark, sf_dir).agg(F.max("tick").alias("t")).select("t").scalar()
+    return detect.events_only(detect.detect_dst(per_dst, last))
+
+
+@query
+def detect_dst(spark, sf_dir):
+    return _dst_events(spark, sf_dir).withColumn("avg_pps", F.round("avg_pps", 6)).drop("snap_tick")
+
+
+@query
+def dst_incidents(spark, sf_dir):
+    return detect.incidents(_dst_events(spark, sf_dir)).drop("snap_tick")
+
+
+def _node_events(spark, sf_dir):
+    flows = w.flows(spark, sf_dir)
+    ratio = joins.blocklist_ratio(flows, ["node_id", "tick"], w.blocklist(spark, sf_dir)).select(
+        "node_id", "tick", "blocklist_ratio")
+    per_node = measures.node_measures(flows).select("node_id", "tick", "pps", "bps")
+    return detect.events_only(detect.detect_node(per_node.join(ratio, ["node_id", "tick"], "left")))
+
+
+@query
+def detect_node(spark, sf_dir):
+    return _node_events(spark, sf_dir).withColumn("avg_pps", F.round("avg_pps", 6)).drop("snap_tick")
+
+
+@query
+def detect_http(spark, sf_dir):
+    return detect.events_only(detect.detect_http(l7.l7_window_stats(w.http(spark, sf_dir))))
+
+
+@query
+def detect_nonservice(spark, sf_dir):
+    rates = baseline.sp_rates(_service_counters(spark, sf_dir))
+    per_node = measures.node_measures(w.flows(spark, sf_dir)).select("node_id", "tick", "pps", "bps")
+    limits = baseline.rolling_baseline(per_node, "node_id").select("node_id", "tick", "pps", "threshold")
+    return detect.detect_nonservice(rates.join(limits, ["node_id", "tick"]), limit=1000)

@@ -684,3 +684,134 @@ oracle("dst_report_totals", """SELECT tick, round(sum(pps), 1) AS total_pps, rou
   count(*) FILTER (hot) AS active_attacks FROM v_hot GROUP BY tick""", "v_hot")
 oracle("ip_status", """SELECT dst_ip, tick, CASE WHEN threshold > 0 AND pps > threshold * 0.7 THEN 'elevated' ELSE 'normal' END AS status
 FROM v_hot""", "v_hot")
+
+
+# --- detectors -------------------------------------------------------------
+
+# The detectors feed back into themselves, so these oracles walk the ticks with a
+# recursive CTE that carries the learned samples as lists.
+_P99 = "list_sort({v})[least(len({v}) * 99 // 100, len({v}) - 1) + 1]"
+_REFRESH = f"""SELECT * EXCLUDE (p99, avg_bps, thr, bthr, pend),
+  CASE WHEN due THEN {_P99.format(v='pl')} ELSE p99 END AS p99, CASE WHEN due THEN list_avg(bl) ELSE avg_bps END AS avg_bps,
+  CASE WHEN due THEN greatest(5000.0, 3 * CASE WHEN len(hl) >= 60 THEN greatest({_P99.format(v='hl')}, 0.5 * {_P99.format(v='pl')})
+    ELSE {_P99.format(v='pl')} END) ELSE thr END AS thr,
+  CASE WHEN due AND ready THEN greatest(3 * {_P99.format(v='bl')}, 50000000.0) ELSE bthr END AS bthr,
+  CASE WHEN due THEN 0 ELSE pend END AS pend"""
+
+
+def _learn(source: str, rule: str) -> str:
+    """Nested steps: append the sample where ``rule`` holds, refresh every tenth time, mark readiness."""
+    added = f"""SELECT * EXCLUDE (pl, bl, hl, pend, avg_pps), CASE WHEN learn THEN list_append(pl, pps)[-300:] ELSE pl END AS pl,
+    CASE WHEN learn THEN list_append(bl, bps)[-300:] ELSE bl END AS bl, CASE WHEN learn THEN list_append(hl, pps)[-360:] ELSE hl END AS hl,
+    CASE WHEN learn AND len(pl) >= 1 THEN pend + 1 ELSE pend END AS pend, avg_pps FROM (SELECT *, {rule} AS learn FROM ({source}))"""
+    due = f"SELECT * EXCLUDE (avg_pps), CASE WHEN learn AND len(pl) >= 2 THEN list_avg(pl) ELSE avg_pps END AS avg_pps, learn AND pend >= 10 AS due FROM ({added})"
+    fresh = f"{_REFRESH} FROM ({due})"
+    return f"SELECT * EXCLUDE (ready), ready OR len(pl) >= 300 AS ready FROM ({fresh})"
+
+
+_START = """[]::DOUBLE[] AS pl, []::DOUBLE[] AS bl, []::DOUBLE[] AS hl, 0 AS pend, 0.0::DOUBLE AS avg_pps, 0.0::DOUBLE AS avg_bps,
+  0.0::DOUBLE AS p99, 5000.0::DOUBLE AS thr, 0.0::DOUBLE AS bthr, false AS ready"""
+_KEEP = "pl, bl, hl, pend, avg_pps, avg_bps, p99, thr, bthr, ready"
+
+_DST_STEP = f"""SELECT dst_ip, tick, {_KEEP}, learned, confirm2 AS confirm, op2 AS op, started2 AS started, pk2 AS pk, bk2 AS bk,
+  below2 AS below, CASE WHEN ev IN ('open', 'update') THEN tick ELSE updated END AS updated, ev, pps, bps, fresh FROM (
+ SELECT *, CASE WHEN op AND below2 >= 10 THEN 'resolve' WHEN op AND present AND tick - updated >= 5 THEN 'update'
+   WHEN NOT op AND confirm1 >= 3 THEN 'open' END AS ev, op AND below2 < 10 OR NOT op AND confirm1 >= 3 AS op2,
+   CASE WHEN NOT op AND confirm1 >= 3 THEN 0 ELSE confirm1 END AS confirm2, CASE WHEN NOT op AND confirm1 >= 3 THEN tick ELSE started END AS started2,
+   CASE WHEN op THEN greatest(pk, pps) WHEN confirm1 >= 3 THEN pps ELSE pk END AS pk2,
+   CASE WHEN op THEN greatest(bk, bps) WHEN confirm1 >= 3 THEN bps ELSE bk END AS bk2 FROM (
+  SELECT *, CASE WHEN NOT op THEN 0 WHEN NOT present OR pps < CASE WHEN fresh THEN 10000.0 ELSE thr END THEN below + 1 ELSE 0 END AS below2,
+    CASE WHEN op OR NOT present THEN confirm WHEN NOT over THEN 0 WHEN ready OR pps >= 50000 THEN confirm + 1 ELSE confirm END AS confirm1 FROM (
+   SELECT *, CASE WHEN NOT ready THEN pps >= 10000 OR bps >= 500000000 ELSE pps > thr OR (avg_bps > 0 AND bps > avg_bps * 10) END AS over FROM (
+    SELECT * EXCLUDE (learned, fresh), CASE WHEN learn THEN tick ELSE learned END AS learned, fresh AND NOT learn AS fresh FROM (LEARNT)))))"""
+_DST_NEXT = """SELECT s.* EXCLUDE (tick, ev, pps, bps, pl, bl, hl, pend, avg_pps, avg_bps, p99, thr, bthr, ready, fresh), g.tick, g.present, g.pps, g.bps,
+  gone OR s.fresh AS fresh, CASE WHEN gone THEN [] ELSE s.pl END AS pl, CASE WHEN gone THEN [] ELSE s.bl END AS bl,
+  CASE WHEN gone THEN [] ELSE s.hl END AS hl, CASE WHEN gone THEN 0 ELSE s.pend END AS pend, CASE WHEN gone THEN 0.0 ELSE s.avg_pps END AS avg_pps,
+  CASE WHEN gone THEN 0.0 ELSE s.avg_bps END AS avg_bps, CASE WHEN gone THEN 0.0 ELSE s.p99 END AS p99,
+  CASE WHEN gone THEN 5000.0 ELSE s.thr END AS thr, CASE WHEN gone THEN 0.0 ELSE s.bthr END AS bthr, s.ready AND NOT gone AS ready
+FROM (SELECT w.*, coalesce(g0.tick - w.learned > 600 AND g0.present, false) AS gone FROM w JOIN grid g0 ON g0.dst_ip = w.dst_ip AND g0.tick = w.tick + 1) s
+JOIN grid g ON g.dst_ip = s.dst_ip AND g.tick = s.tick + 1"""
+_DST_WALK = f"""grid AS (SELECT d.dst_ip, t.tick, m.pps IS NOT NULL AS present, coalesce(m.pps, 0.0) AS pps, coalesce(m.bps, 0.0) AS bps
+  FROM (SELECT DISTINCT dst_ip FROM v_dst) d CROSS JOIN (SELECT unnest(range(0, (SELECT max(tick) + 1 FROM v_dst))) AS tick) t
+  LEFT JOIN v_dst m ON m.dst_ip = d.dst_ip AND m.tick = t.tick),
+w AS (SELECT dst_ip, -1::BIGINT AS tick, {_START}, NULL::BIGINT AS learned, 0 AS confirm, false AS op, NULL::BIGINT AS started, 0.0::DOUBLE AS pk,
+  0.0::DOUBLE AS bk, 0 AS below, 0::BIGINT AS updated, NULL::VARCHAR AS ev, 0.0::DOUBLE AS pps, 0.0::DOUBLE AS bps, true AS fresh
+  FROM (SELECT DISTINCT dst_ip FROM v_dst)
+  UNION ALL {_DST_STEP.replace('LEARNT', _learn(_DST_NEXT, 'present AND NOT op AND (fresh OR ready OR pps < 10000)'))})"""
+DST_EVENTS = """SELECT dst_ip AS key, ev AS event, tick, started AS started_tick, pps, bps, pk AS peak_pps, bk AS peak_bps,
+  CASE WHEN fresh THEN 0.0 ELSE thr END AS threshold, avg_pps FROM w WHERE ev IS NOT NULL"""
+oracle("detect_dst", f"SELECT * EXCLUDE (avg_pps), round(avg_pps, 6) AS avg_pps FROM ({DST_EVENTS})", "v_dst", recursive=True, extra=_DST_WALK)
+DST_INCIDENTS = """SELECT key || '@' || started_tick AS incident_id, key, started_tick, max(CASE WHEN event = 'resolve' THEN tick END) AS ended_tick,
+  max(CASE WHEN event = 'resolve' THEN tick END) - started_tick AS duration, max(peak_pps) AS peak_pps, max(peak_bps) AS peak_bps,
+  arg_max(threshold, tick) AS threshold, round(arg_min(avg_pps, tick), 1) AS baseline_pps, count(*) FILTER (event = 'update') AS updates
+FROM events0 GROUP BY key, started_tick"""
+oracle("dst_incidents", DST_INCIDENTS, "v_dst", recursive=True, extra=_DST_WALK + f", events0 AS ({DST_EVENTS})")
+
+_NODE_STEP = f"""SELECT node_id, rn, first, tick, {_KEEP}, above2 AS above, op2 AS op, started2 AS started, pk2 AS pk, bk2 AS bk, below2 AS below,
+  CASE WHEN ev IN ('open', 'update') THEN tick ELSE updated END AS updated, CASE WHEN ev = 'resolve' THEN tick ELSE last_end END AS last_end,
+  ev, pps, bps FROM (
+ SELECT *, CASE WHEN op AND below2 >= 10 THEN 'resolve' WHEN op AND tick - updated >= 5 THEN 'update' WHEN opens THEN 'open' END AS ev,
+   op AND below2 < 10 OR opens AS op2, CASE WHEN opens THEN tick ELSE started END AS started2, CASE WHEN opens THEN 0 ELSE above1 END AS above2,
+   CASE WHEN op THEN greatest(pk, pps) WHEN opens THEN pps ELSE pk END AS pk2, CASE WHEN op THEN greatest(bk, bps) WHEN opens THEN bps ELSE bk END AS bk2 FROM (
+  SELECT *, CASE WHEN NOT op THEN 0 WHEN pps < thr THEN below + 1 ELSE 0 END AS below2,
+    NOT op AND over2 AND (pps >= 50000 OR above1 >= 3) AS opens FROM (
+   SELECT *, CASE WHEN op THEN above WHEN over2 THEN above + 1 ELSE 0 END AS above1 FROM (
+    SELECT *, over AND (pps >= 50000 OR NOT ((NOT ready AND tick - first < 90) OR coalesce(tick - last_end < 60, false))) AS over2 FROM (
+     SELECT *, pps > thr * CASE WHEN ratio > 0.3 THEN 0.7 ELSE 1.0 END OR (bthr > 0 AND bps > bthr)
+       OR (NOT ready AND (pps >= 10000 OR bps > 1000000000)) AS over FROM (LEARNT))))))"""
+_NODE_NEXT = """SELECT w.* EXCLUDE (rn, tick, ev, pps, bps, first), n.rn, n.tick, n.pps, n.bps, n.ratio, coalesce(w.first, n.tick) AS first
+FROM w JOIN n ON n.node_id = w.node_id AND n.rn = w.rn + 1"""
+_NODE_WALK = f"""n AS (SELECT node_id, tick, cast(sum(packets) AS double) AS pps, cast(sum(octets) * 8 AS double) AS bps,
+  count(DISTINCT CASE WHEN src_ip IN (SELECT indicator FROM v_blocklist) THEN src_ip END) / count(DISTINCT src_ip) AS ratio,
+  row_number() OVER (PARTITION BY node_id ORDER BY tick) AS rn FROM v_flows GROUP BY node_id, tick),
+w AS (SELECT node_id, 0::BIGINT AS rn, NULL::BIGINT AS first, -1::BIGINT AS tick, {_START}, 0 AS above, false AS op, NULL::BIGINT AS started,
+  0.0::DOUBLE AS pk, 0.0::DOUBLE AS bk, 0 AS below, 0::BIGINT AS updated, NULL::BIGINT AS last_end, NULL::VARCHAR AS ev, 0.0::DOUBLE AS pps,
+  0.0::DOUBLE AS bps FROM (SELECT DISTINCT node_id FROM v_flows)
+  UNION ALL {_NODE_STEP.replace('LEARNT', _learn(_NODE_NEXT, 'NOT op AND above = 0 AND pps <= thr AND (ready OR pps < 10000)'))})"""
+oracle("detect_node", """SELECT node_id AS key, ev AS event, tick, started AS started_tick, pps, bps, pk AS peak_pps, bk AS peak_bps, thr AS threshold,
+  round(avg_pps, 6) AS avg_pps FROM w WHERE ev IS NOT NULL""", "v_flows", "v_blocklist", recursive=True, extra=_NODE_WALK)
+
+_HTTP_STEP = """SELECT site_id, rn, CASE WHEN ev = 'resolve' THEN greatest(rps, 1.0) ELSE base2 END AS base, CASE WHEN ev = 'resolve' THEN 1 ELSE n2 END AS n,
+  ev <> 'resolve' AND (op OR opens) AS op, CASE WHEN opens THEN tick ELSE started END AS started, peak2 AS peak, CASE WHEN opens THEN 0 ELSE calm2 END AS calm,
+  CASE WHEN ev <> '' THEN ev END AS ev, tick, rps, signals2 AS signals, base2 AS shown FROM (
+ SELECT *, CASE WHEN op AND calm2 >= 3 THEN 'resolve' WHEN op THEN 'update' WHEN opens THEN 'open' ELSE '' END AS ev, CASE WHEN opens THEN signals ELSE 0 END AS signals2,
+   CASE WHEN opens THEN rps ELSE peak1 END AS peak2 FROM (
+  SELECT *, CASE WHEN NOT op THEN 0 WHEN tick - started < 15 THEN calm WHEN total_requests < 10 OR rps < 50 OR (rps < peak1 * 0.1 AND error_rate < 30)
+     OR (base2 > 5 AND rps < base2 * 2 AND error_rate < 30) THEN calm + 1 ELSE 0 END AS calm2,
+    NOT op AND total_requests >= 15 AND signals >= 2 AND unique_ips >= 3 AS opens FROM (
+   SELECT *, CASE WHEN op AND total_requests >= 15 THEN greatest(peak, rps) ELSE peak END AS peak1,
+     CASE WHEN rps > lim THEN 2 ELSE 0 END + (top_ip_count > 20 AND top_ip_count / total_requests > 0.3)::INT
+     + (top_path_count > 30 AND top_path_count / total_requests > 0.6)::INT + (error_rate > 50 AND total_requests > 20)::INT
+     + (status_5xx > greatest(total_requests * 0.3, 15))::INT + (bot_request_pct > 70 AND total_requests > 30)::INT
+     + (threat_total > greatest(total_requests * 0.2, 10))::INT AS signals FROM (
+    SELECT *, CASE WHEN n2 < 10 THEN 500.0 WHEN n2 >= 30 THEN CASE WHEN base2 > 1 THEN base2 * 5 ELSE 100.0 END
+      WHEN base2 > 5 THEN greatest(base2 * 5, 150.0) ELSE 150.0 END AS lim FROM (
+     SELECT *, CASE WHEN clean THEN base * (1 - a) + a * rps ELSE base END AS base2, CASE WHEN clean THEN n + 1 ELSE n END AS n2 FROM (
+      SELECT w.site_id, r.rn, w.base, w.n, w.op, w.started, w.peak, w.calm, r.tick, r.rps, r.total_requests, r.unique_ips, r.error_rate, r.top_ip_count,
+        r.top_path_count, r.status_5xx, r.bot_request_pct, r.threat_total, CASE WHEN w.n < 300 THEN 1 / (w.n + 1) ELSE 0.01 END AS a,
+        NOT w.op AND r.total_requests >= 15 AND r.error_rate < 60 AND (w.n < 3 OR r.rps < w.base * 10) AS clean
+      FROM w JOIN r ON r.site_id = w.site_id AND r.rn = w.rn + 1))))))"""
+_HTTP_WALK = f"""r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY tick) AS rn FROM v_l7),
+w AS (SELECT site_id, 0::BIGINT AS rn, 0.0::DOUBLE AS base, 0 AS n, false AS op, NULL::BIGINT AS started, 0.0::DOUBLE AS peak, 0 AS calm, NULL::VARCHAR AS ev,
+  -1::BIGINT AS tick, 0.0::DOUBLE AS rps, 0 AS signals, 0.0::DOUBLE AS shown FROM (SELECT DISTINCT site_id FROM v_http) UNION ALL {_HTTP_STEP})"""
+oracle("detect_http", """SELECT site_id AS key, ev AS event, tick, started AS started_tick, rps, peak AS peak_rps, round(shown, 1) AS baseline_rps,
+  cast(signals AS bigint) AS signals FROM w WHERE ev IS NOT NULL""", "v_l7", recursive=True, extra=_HTTP_WALK)
+oracle("detect_nonservice", """SELECT node_id, min(tick) AS started_tick, arg_max(close_tick, tick) AS ended_tick,
+  cast(max(nsp) AS bigint) AS peak_non_service_pps, CASE WHEN arg_min(pps > threshold, tick) THEN 'both' ELSE 'non_service' END AS zone
+FROM (SELECT *, sum(CASE WHEN gap >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY tick) AS incident FROM (
+  SELECT *, rn - lag(rn) OVER (PARTITION BY node_id ORDER BY tick) - 1 AS gap FROM (
+    SELECT *, row_number() OVER k AS rn, lead(tick, 5) OVER k AS close_tick FROM rated JOIN r2 USING (node_id, tick)
+    WINDOW k AS (PARTITION BY node_id ORDER BY tick)) WHERE nsp > 1000)) GROUP BY node_id, incident""", "v_flows",
+       extra="""c AS (
+  SELECT node_id, tick, pps, sum(x) OVER (PARTITION BY node_id ORDER BY tick) AS ns, max(tick) OVER (PARTITION BY node_id, tick // 5) AS slot_end
+  FROM (SELECT node_id, tick, cast(sum(packets) AS double) AS pps, sum(CASE WHEN dst_port IN (80, 443) OR dst_port BETWEEN 8000 AND 8100
+    THEN 0 ELSE packets END) AS x FROM v_flows GROUP BY node_id, tick)),
+rated AS (SELECT node_id, tick, greatest(0, round((ns - lag(ns) OVER w) / (tick - lag(tick) OVER w))) AS nsp FROM c WHERE tick = slot_end
+  WINDOW w AS (PARTITION BY node_id ORDER BY tick) QUALIFY lag(ns) OVER w IS NOT NULL),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY tick) AS n, list(pps) OVER w AS pw, list(pps) OVER h AS hw FROM c
+  WINDOW w AS (PARTITION BY node_id ORDER BY tick ROWS 299 PRECEDING), h AS (PARTITION BY node_id ORDER BY tick ROWS 359 PRECEDING)),
+r1 AS (SELECT *, CASE WHEN n > 1 AND n % 10 = 1 THEN greatest(5000.0, 3 * CASE WHEN n >= 60 THEN greatest(
+  list_sort(hw)[least(len(hw) * 99 // 100, len(hw) - 1) + 1], 0.5 * list_sort(pw)[least(len(pw) * 99 // 100, len(pw) - 1) + 1])
+  ELSE list_sort(pw)[least(len(pw) * 99 // 100, len(pw) - 1) + 1] END) END AS fresh FROM r0),
+r2 AS (SELECT node_id, tick, pps, coalesce(last_value(fresh IGNORE NULLS) OVER (PARTITION BY node_id ORDER BY tick ROWS UNBOUNDED PRECEDING),
+  5000.0) AS threshold FROM r1)""")
