@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from trafficlens.functions import classify, network
 from trafficlens.functions import http as http_functions
 from trafficlens.operators import baseline, detect, evidence, joins, l7, measures, service_ports, topk
-from trafficlens.plans import flood
+from trafficlens.plans import encoded, flood
 from trafficlens.plans import workload as w
-from trafficlens.sources import access_log, tables
+from trafficlens.sources import access_log, datagrams, frames, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -741,3 +741,93 @@ def detect_nonservice(spark, sf_dir):
     per_node = measures.node_measures(w.flows(spark, sf_dir)).select("node_id", "tick", "pps", "bps")
     limits = baseline.rolling_baseline(per_node, "node_id").select("node_id", "tick", "pps", "threshold")
     return detect.detect_nonservice(rates.join(limits, ["node_id", "tick"]), limit=1000)
+
+
+# --- binary telemetry ------------------------------------------------------
+
+FLOW_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "packets", "octets", "tcp_flags", "sample_rate")
+
+
+@query
+def route_datagrams(spark, sf_dir):
+    routed = datagrams.route_datagrams(encoded.mixed_datagrams(spark, sf_dir))
+    return routed.groupBy("exporter_ip", "kind").agg(F.count(F.lit(1)).alias("datagrams"))
+
+
+@query
+def decode_netflow_v5(spark, sf_dir):
+    rows = datagrams.decode_netflow_v5(encoded.v5_datagrams(spark, sf_dir))
+    return rows.select("exporter_ip", "tick", *FLOW_FIELDS)
+
+
+@query
+def decode_sflow_v5(spark, sf_dir):
+    rows = datagrams.decode_sflow_v5(encoded.sflow_datagrams(spark, sf_dir))
+    return rows.select("exporter_ip", "tick", *FLOW_FIELDS)
+
+
+@query
+def extract_templates(spark, sf_dir):
+    sets = datagrams.template_sets(datagrams.route_datagrams(encoded.templated_datagrams(spark, sf_dir)))
+    fields = F.array_join(F.transform("fields", lambda f: F.concat_ws(":", f["id"], f["len"])), ",")
+    return datagrams.extract_templates(sets).select("exporter_ip", "domain", "template_id", "seq", "is_options",
+                                                    fields.alias("fields"))
+
+
+@query
+def decode_templated(spark, sf_dir):
+    sets = datagrams.template_sets(datagrams.route_datagrams(encoded.templated_datagrams(spark, sf_dir)))
+    rows = datagrams.decode_templated(sets, datagrams.extract_templates(sets))
+    return rows.select("exporter_ip", "tick", *FLOW_FIELDS)
+
+
+@query
+def extract_sampling(spark, sf_dir):
+    sets = datagrams.template_sets(datagrams.route_datagrams(encoded.templated_datagrams(spark, sf_dir)))
+    return datagrams.extract_sampling(sets, datagrams.extract_templates(sets)).select("exporter_ip", "tick", "seq", "rate")
+
+
+@query
+def apply_sampling(spark, sf_dir):
+    """Mixed datagrams of all formats, decoded and scaled."""
+    rows = datagrams.decode_datagrams(encoded.mixed_datagrams(spark, sf_dir))
+    return rows.groupBy("exporter_ip", "tick", "sample_rate").agg(
+        F.count(F.lit(1)).alias("flows"), F.sum("packets").alias("packets"), F.sum("octets").alias("octets"))
+
+
+@query
+def exporter_allowlist(spark, sf_dir):
+    kept = datagrams.exporter_allowlist(encoded.v5_datagrams(spark, sf_dir), ["198.51.100.1", "198.51.100.2"])
+    return datagrams.decode_netflow_v5(kept).groupBy("exporter_ip").agg(F.count(F.lit(1)).alias("flows"))
+
+
+@query
+def collector_quality(spark, sf_dir):
+    """Datagrams whose order number ends in 9 are cut to their first three bytes."""
+    cut = F.when(F.col("seq") % 10 == 9, F.expr("substring(payload, 1, 3)")).otherwise(F.col("payload"))
+    sent = encoded.v5_datagrams(spark, sf_dir).withColumn("payload", cut)
+    allowed = ["198.51.100.1", "198.51.100.2", "198.51.100.3"]
+    flows = datagrams.decode_netflow_v5(datagrams.exporter_allowlist(sent, allowed))
+    return datagrams.collector_quality(sent, flows, allowed, "192.0.2.3")
+
+
+@query
+def scan_pcap(spark, sf_dir):
+    found = frames.scan_pcap(encoded.capture_files(spark, sf_dir))
+    return found.groupBy("path", "link_type").agg(
+        F.count(F.lit(1)).alias("frames"), F.sum(F.length("frame")).alias("bytes"), F.max("ts_us").alias("last_us"))
+
+
+PACKET_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "pkt_len", "tcp_flags", "ttl", "is_fragment")
+
+
+@query
+def decode_frames(spark, sf_dir):
+    rows = frames.decode_frames(encoded.frames(spark, sf_dir))
+    return rows.select("flow_id", "flow_line", *PACKET_FIELDS)
+
+
+@query
+def gre_decap(spark, sf_dir):
+    rows = frames.decode_frames(encoded.frames(spark, sf_dir), gre_strip=True)
+    return rows.select("flow_id", "flow_line", *PACKET_FIELDS, "was_gre", "inner_dst_ip", "outer_len", "inner_len")

@@ -815,3 +815,56 @@ r1 AS (SELECT *, CASE WHEN n > 1 AND n % 10 = 1 THEN greatest(5000.0, 3 * CASE W
   ELSE list_sort(pw)[least(len(pw) * 99 // 100, len(pw) - 1) + 1] END) END AS fresh FROM r0),
 r2 AS (SELECT node_id, tick, pps, coalesce(last_value(fresh IGNORE NULLS) OVER (PARTITION BY node_id ORDER BY tick ROWS UNBOUNDED PRECEDING),
   5000.0) AS threshold FROM r1)""")
+
+
+# --- binary telemetry ------------------------------------------------------
+
+# Each datagram carries the flows of one order (flow_id) at one exporter.
+VIEWS["v_datagrams"] = (("v_flows",), """
+SELECT exporter_ip, tick, flow_id, tick * 1000000000 + flow_id AS seq, count(*) AS lines FROM v_flows GROUP BY exporter_ip, tick, flow_id""")
+_DECODED = "src_ip, dst_ip, src_port, dst_port, protocol"
+oracle("route_datagrams", """SELECT prefix || exporter_ip AS exporter_ip, CASE prefix WHEN 'v5-' THEN 'netflow_v5' WHEN 'sflow-' THEN 'sflow'
+  ELSE CASE WHEN right(exporter_ip, 1) IN ('0', '2') THEN 'netflow_v9' ELSE 'ipfix' END END AS kind, count(*) AS datagrams
+FROM v_datagrams, (SELECT unnest(['v5-', 'sflow-', 'templated-']) AS prefix) GROUP BY ALL""", "v_datagrams")
+oracle("decode_netflow_v5", f"""SELECT exporter_ip, tick, {_DECODED}, packets * rate AS packets, octets * rate AS octets, tcp_flags, rate AS sample_rate
+FROM (SELECT *, greatest(1, cast(right(exporter_ip, 1) AS bigint)) AS rate FROM v_flows)""", "v_flows")
+oracle("decode_sflow_v5", """SELECT exporter_ip, tick, src_ip, dst_ip, CASE WHEN protocol IN (6, 17) THEN src_port ELSE 0 END AS src_port,
+  CASE WHEN protocol IN (6, 17) THEN dst_port ELSE 0 END AS dst_port, protocol, packets, octets,
+  CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, packets AS sample_rate FROM v_flows""", "v_flows")
+oracle("extract_templates", """SELECT exporter_ip, 7::BIGINT AS domain, template_id::BIGINT AS template_id, seq, template_id = 300 AS is_options, CASE template_id
+  WHEN 256 THEN '7:2,4:1,6:1,11:2,8:4,12:4,2:4,1:4' WHEN 257 THEN '8:4,12:4,2:8,1:8,6:2,4:1,7:2,11:2'
+  ELSE CASE WHEN right(exporter_ip, 1) IN ('0', '2') THEN '1:4,34:4' ELSE '1:4,305:4' END END AS fields
+FROM v_datagrams JOIN (VALUES (256, 5), (257, 7), (300, 11)) t(template_id, every) ON flow_id % every = 0""", "v_datagrams")
+_KNOWN = """known AS (SELECT f.*, 1 AS one FROM (SELECT *, tick * 1000000000 + flow_id AS seq FROM v_flows) f JOIN (SELECT exporter_ip,
+  min(seq) FILTER (flow_id % 5 = 0) AS first_even, min(seq) FILTER (flow_id % 7 = 0) AS first_odd FROM v_datagrams GROUP BY exporter_ip) a
+  ON a.exporter_ip = f.exporter_ip AND f.seq >= CASE WHEN flow_line % 2 = 0 THEN first_even ELSE first_odd END)"""
+oracle("decode_templated", f"""SELECT exporter_ip, tick, {_DECODED}, packets, octets, tcp_flags, 1::BIGINT AS sample_rate FROM known""", "v_datagrams",
+       extra=_KNOWN)
+oracle("extract_sampling", "SELECT exporter_ip, tick, seq, flow_id % 3 + 1 AS rate FROM v_datagrams WHERE flow_id % 11 = 0", "v_datagrams")
+oracle("apply_sampling", """SELECT exporter_ip, tick, rate AS sample_rate, count(*) AS flows, cast(sum(packets * factor) AS bigint) AS packets,
+  cast(sum(octets * factor) AS bigint) AS octets FROM (
+ SELECT 'v5-' || exporter_ip AS exporter_ip, tick, greatest(1, cast(right(exporter_ip, 1) AS bigint)) AS rate, rate AS factor, packets, octets FROM v_flows
+ UNION ALL SELECT 'sflow-' || exporter_ip, tick, packets, 1, packets, octets FROM v_flows
+ UNION ALL SELECT 'templated-' || k.exporter_ip, k.tick, coalesce(r.rate, 1), coalesce(r.rate, 1), k.packets, k.octets
+   FROM known k ASOF LEFT JOIN (SELECT exporter_ip, seq, flow_id % 3 + 1 AS rate FROM v_datagrams WHERE flow_id % 11 = 0) r
+   ON k.exporter_ip = r.exporter_ip AND k.seq >= r.seq) GROUP BY ALL""", "v_datagrams", extra=_KNOWN)
+oracle("exporter_allowlist", """SELECT exporter_ip, count(*) AS flows FROM v_flows WHERE exporter_ip IN ('198.51.100.1', '198.51.100.2')
+GROUP BY exporter_ip""", "v_flows")
+oracle("collector_quality", """SELECT exporter_ip, received, CASE WHEN ok THEN 0 ELSE received END AS rejected, CASE WHEN ok THEN bad ELSE 0 END AS errors,
+  CASE WHEN ok THEN records ELSE 0 END AS records, CASE WHEN ok THEN filtered ELSE 0 END AS filtered
+FROM (SELECT exporter_ip, exporter_ip <> '198.51.100.0' AS ok, count(*) AS received, count(*) FILTER (flow_id % 10 = 9) AS bad FROM v_datagrams
+  GROUP BY exporter_ip) JOIN (SELECT exporter_ip, count(*) FILTER (flow_id % 10 <> 9) AS records,
+  count(*) FILTER (flow_id % 10 <> 9 AND dst_ip <> '192.0.2.3') AS filtered FROM v_flows GROUP BY exporter_ip) USING (exporter_ip)""", "v_datagrams")
+oracle("scan_pcap", """SELECT 'capture-' || (flow_id // 50) || '.pcap' AS path, 1::BIGINT AS link_type, count(*) AS frames,
+  cast(sum(34 + CASE flow_line % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 8 END + CASE protocol WHEN 6 THEN 20 WHEN 47 THEN
+    28 + CASE WHEN flow_id % 2 = 0 THEN 8 ELSE 4 END ELSE 8 END) AS bigint) AS bytes, max(tick * 1000000 + flow_line) AS last_us
+FROM v_packets GROUP BY ALL""", "v_packets")
+_PORT = "CASE WHEN protocol IN (6, 17) THEN {p} ELSE 0 END AS {p}"
+oracle("decode_frames", f"""SELECT flow_id, flow_line, src_ip, dst_ip, {_PORT.format(p='src_port')}, {_PORT.format(p='dst_port')}, protocol,
+  CASE WHEN protocol = 47 THEN outer_len ELSE pkt_len END AS pkt_len, CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, ttl, is_fragment
+FROM v_packets""", "v_packets")
+oracle("gre_decap", """SELECT flow_id, flow_line, src_ip, CASE WHEN was_gre THEN inner_dst_ip ELSE dst_ip END AS dst_ip,
+  CASE WHEN protocol IN (6, 17, 47) THEN src_port ELSE 0 END AS src_port, CASE WHEN protocol IN (6, 17, 47) THEN dst_port ELSE 0 END AS dst_port,
+  CASE WHEN was_gre THEN 17 ELSE protocol END AS protocol, pkt_len, CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, ttl,
+  is_fragment AND NOT was_gre AS is_fragment, was_gre, CASE WHEN was_gre THEN inner_dst_ip END AS inner_dst_ip,
+  CASE WHEN was_gre THEN outer_len ELSE pkt_len END AS outer_len, inner_len FROM v_packets""", "v_packets")
