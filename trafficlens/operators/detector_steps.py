@@ -192,6 +192,7 @@ class DstDetector:
         silent = upto - s["last"]
         if silent < needed:
             s["open"]["below"] += silent
+            s["last"] = upto
             return []
         end = Row(s["last"] + needed, 0.0, 0.0)
         return [_close(s, end, self.base, None)]

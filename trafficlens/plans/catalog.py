@@ -831,3 +831,46 @@ def decode_frames(spark, sf_dir):
 def gre_decap(spark, sf_dir):
     rows = frames.decode_frames(encoded.frames(spark, sf_dir), gre_strip=True)
     return rows.select("flow_id", "flow_line", *PACKET_FIELDS, "was_gre", "inner_dst_ip", "outer_len", "inner_len")
+
+
+# --- incidents and state ---------------------------------------------------
+
+def _report(spark, sf_dir) -> DataFrame:
+    flows = w.flows(spark, sf_dir)
+    found = flood.sustained_floods(flows, CUT).selectExpr(
+        "concat(dst_ip, '@', first_tick) AS incident_id", "dst_ip", "first_tick AS started_tick",
+        "last_tick AS ended_tick", "last_tick - first_tick AS duration", "peak_pps", "peak_bps", "threshold")
+    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark)).filter("ioc_hit IS NOT NULL").select("dst_ip", "ioc_hit")
+    signatures = evidence.payload_sig_counts(w.payloads(spark, sf_dir), ["dst_ip"])
+    per_dst = measures.dst_measures(flows).select("dst_ip", "tick", "pps")
+    curves = baseline.velocity_curve(per_dst, found, "dst_ip").drop("dst_ip")
+    return flood.incident_report(w.packets(spark, sf_dir), found, hits, signatures, curves, w.blocklist(spark, sf_dir))
+
+
+@query
+def incident_report(spark, sf_dir):
+    """Flat view of the full report; the lists are reduced to their lengths and heads."""
+    return _report(spark, sf_dir).select(
+        "incident_id", "duration", "peak_pps", "attack_family", "attack_subtype", "attack_tool", "confidence", "packets",
+        "tcp_pct", "udp_pct", "src_ip_count", "avg_pkt_length", "pkt_length_std", "spoofing_detected", "botnet_detected",
+        F.size("velocity_curve").cast("bigint").alias("curve_points"),
+        F.get("top_src_ips", F.lit(0))["src_ip"].alias("top_source"),
+        F.get("top_dst_ports", F.lit(0))["dst_port"].alias("top_port"))
+
+
+@query
+def write_incidents(spark, sf_dir):
+    """Current state of every incident from its event records."""
+    from trafficlens.sources.sinks import current_incidents
+
+    return current_incidents(_dst_events(spark, sf_dir)).select("key", "started_tick", "event", "tick", "peak_pps", "peak_bps")
+
+
+@query
+def baseline_snapshot(spark, sf_dir):
+    """Detection resumed at tick 450 from the saved state of the first half."""
+    per_dst = measures.dst_measures(w.flows(spark, sf_dir)).select("dst_ip", "tick", "pps", "bps")
+    saved = detect.restorable(detect.final_states(detect.detect_dst(per_dst.filter("tick < 450"))), F.lit(450))
+    last = w.flows(spark, sf_dir).agg(F.max("tick").alias("t")).select("t").scalar()
+    resumed = detect.detect_dst(per_dst.filter("tick >= 450"), last, saved=saved)
+    return detect.events_only(resumed).withColumn("avg_pps", F.round("avg_pps", 6)).drop("snap_tick")

@@ -89,3 +89,59 @@ def baseline_summary(baseline: DataFrame, key: str, k: int = 20) -> DataFrame:
     return (newest.filter("b.ready")
             .select(key, *[F.round(f"b.{name}", 1).alias(name) for name in ("threshold", "avg_pps", "p99_pps")])
             .orderBy(F.col("threshold").desc(), key).limit(k))
+
+
+def incident_report(packets: DataFrame, incidents: DataFrame, hits: DataFrame, signatures: DataFrame,
+                    curves: DataFrame, blocklist: DataFrame | None = None) -> DataFrame:
+    """Full record of every incident: evidence, final family, confidence and traffic curve.
+
+    ``incidents``: incident_id, dst_ip, started_tick, ended_tick, duration, peak_pps,
+    peak_bps, threshold. ``hits``: dst_ip, ioc_hit. ``signatures``: dst_ip, signature,
+    count. ``curves``: incident_id, velocity_curve. Evidence is the packets of the
+    attacked destination during the incident.
+    """
+    from trafficlens.functions.classify import resolve_family_subtype
+    from trafficlens.operators import evidence
+    from trafficlens.operators.topk import as_list, top_counts
+
+    key = ["incident_id"]
+    width = 60
+    spans = incidents.select("incident_id", "dst_ip", "started_tick", "ended_tick", F.explode(F.sequence(
+        F.floor(F.col("started_tick") / width), F.floor(F.col("ended_tick") / width))).alias("_slot"))
+    during = (packets.withColumn("_slot", F.floor(F.col("tick") / width)).join(spans, ["dst_ip", "_slot"])
+              .filter(F.col("tick").between(F.col("started_tick"), F.col("ended_tick"))).drop("_slot"))
+    sources = evidence.per_source(during, key)
+    ids = incidents.select("incident_id", "dst_ip")
+    ioc = evidence.ioc_hit_counts(hits, ["dst_ip"]).join(ids, "dst_ip").drop("dst_ip")
+    named = signatures.groupBy("dst_ip").agg(
+        F.min_by("signature", F.struct(-F.col("count"), F.col("signature"))).alias("top_signature"),
+        F.max("count").alias("top_signature_count")).join(ids, "dst_ip").drop("dst_ip")
+    dst_ports = top_counts(during.filter("dst_port <> 0"), key, "dst_port", 20)
+    src_ports = top_counts(during.filter("src_port <> 0"), key, "src_port", 20)
+    parts = [
+        evidence.protocol_breakdown(during, key).drop("packets"), evidence.packet_size_stats(during, key),
+        evidence.spoofing(during, key, sources), evidence.dns_stats(during, key), ioc, named,
+        evidence.botnet(sources, hits.join(ids, "dst_ip").select("incident_id", "ioc_hit"), key).drop("src_ip_count"),
+        as_list(dst_ports, key, ["dst_port", "count"], "top_dst_ports"),
+        as_list(evidence.top_sources(sources, key, blocklist), key, ["src_ip", "count", "confidence"], "top_src_ips"),
+        dst_ports.filter("rank = 1").select("incident_id", "dst_port"),
+        src_ports.filter("rank = 1").select("incident_id", "src_port"), curves]
+    joined = incidents
+    for part in parts:
+        joined = joined.join(part, "incident_id", "left")
+    joined = joined.withColumn("resolved", resolve_family_subtype(
+        F.col("tcp_pct"), F.col("udp_pct"), F.col("icmp_pct"), F.col("other_pct"), flag_columns(),
+        F.col("avg_pkt_length"), F.col("dst_port"), F.col("src_port"), F.col("fragment_pct"),
+        F.coalesce("dns_unique", F.lit(0)), F.col("top_hit"), F.col("top_hit_count"), F.col("top_signature"),
+        F.col("top_signature_count")))
+    confidence = evidence.incident_confidence(
+        F.col("duration"), F.col("peak_pps"), F.col("threshold"), F.col("src_ip_count"),
+        F.greatest("tcp_pct", "udp_pct", "icmp_pct"), F.col("avg_pkt_length"), F.col("pkt_length_std"),
+        F.col("resolved.boost"), F.col("spoofing_detected"), F.col("botnet_detected"))
+    return joined.select(
+        "incident_id", "dst_ip", "started_tick", "ended_tick", "duration", "peak_pps", "peak_bps", "threshold",
+        F.col("resolved.family").alias("attack_family"), F.col("resolved.subtype").alias("attack_subtype"),
+        F.col("resolved.tool").alias("attack_tool"), confidence.alias("confidence"), "packets", "tcp_pct", "udp_pct",
+        "icmp_pct", "other_pct", "fragment_pct", "src_ip_count", "src_entropy", "ttl_entropy", "avg_pkt_length",
+        "pkt_length_std", "spoofing_detected", "botnet_detected", "dns_unique", "distinct_hits", "top_src_ips",
+        "top_dst_ports", "velocity_curve")

@@ -868,3 +868,46 @@ oracle("gre_decap", """SELECT flow_id, flow_line, src_ip, CASE WHEN was_gre THEN
   CASE WHEN was_gre THEN 17 ELSE protocol END AS protocol, pkt_len, CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, ttl,
   is_fragment AND NOT was_gre AS is_fragment, was_gre, CASE WHEN was_gre THEN inner_dst_ip END AS inner_dst_ip,
   CASE WHEN was_gre THEN outer_len ELSE pkt_len END AS outer_len, inner_len FROM v_packets""", "v_packets")
+
+
+# --- incidents and state ---------------------------------------------------
+
+oracle("write_incidents", f"""SELECT key, started_tick, arg_max(event, (tick, event = 'resolve')) AS event, max(tick) AS tick, max(peak_pps) AS peak_pps,
+  max(peak_bps) AS peak_bps FROM ({DST_EVENTS}) GROUP BY key, started_tick""", "v_dst", recursive=True, extra=_DST_WALK)
+# Every destination has enough samples by tick 450, so resuming changes nothing after it.
+oracle("baseline_snapshot", f"SELECT * EXCLUDE (avg_pps), round(avg_pps, 6) AS avg_pps FROM ({DST_EVENTS}) WHERE tick >= 450", "v_dst",
+       recursive=True, extra=_DST_WALK)
+_REPORT_TOP = """(SELECT incident_id, arg_min({c}, (-n, {c})) AS {a} FROM (SELECT incident_id, {c}, count(*) AS n FROM during GROUP BY ALL)
+  GROUP BY incident_id)"""
+oracle("incident_report", f"""SELECT incident_id, duration, peak_pps, family AS attack_family, subtype AS attack_subtype, tool AS attack_tool,
+  cast(least(100, greatest(0, CASE WHEN duration < 10 THEN 15 WHEN duration < 30 THEN 25 WHEN duration < 120 THEN 35 ELSE 45 END
+    + least(25, floor(peak_pps / greatest(threshold, 1) * 5)) + CASE WHEN src_ip_count > 5000 THEN 10 WHEN src_ip_count > 1000 THEN 5 ELSE 0 END
+    + CASE WHEN greatest(tcp_pct, udp_pct, icmp_pct) > 80 THEN 10 ELSE 0 END + CASE WHEN avg_len > 0 AND std_len < 50 THEN 10 ELSE 0 END
+    + CASE WHEN duration > 300 THEN 10 WHEN duration > 60 THEN 5 ELSE 0 END + least(20, boost) + CASE WHEN spoofed THEN 10 ELSE 0 END
+    + CASE WHEN botnet THEN 10 ELSE 0 END)) AS bigint) AS confidence, packets, tcp_pct, udp_pct, src_ip_count, avg_len AS avg_pkt_length,
+  std_len AS pkt_length_std, spoofed AS spoofing_detected, botnet AS botnet_detected, curve_points, top_source, dst_port AS top_port
+FROM resolved""", "v_packets", "v_floods", "v_ioc_top", extra=f"""during AS (SELECT p.*, f.dst_ip || '@' || first_tick AS incident_id FROM v_packets p
+  JOIN v_floods f ON p.dst_ip = f.dst_ip AND p.tick BETWEEN first_tick AND last_tick),
+v_summary AS (SELECT *, {SYN_RATIO} AS sr, {FLAG_TOTAL}, coalesce(dns_unique, 0) >= 10 AS dns FROM (
+  SELECT f.dst_ip, f.dst_ip || '@' || first_tick AS incident_id, last_tick - first_tick AS duration, peak_pps, threshold FROM v_floods f)
+ JOIN (SELECT incident_id, count(*) AS packets, round(count(*) FILTER (protocol = 6) / count(*) * 100, 1) AS tcp_pct,
+   round(count(*) FILTER (protocol = 17) / count(*) * 100, 1) AS udp_pct, round(count(*) FILTER (protocol IN (1, 58)) / count(*) * 100, 1) AS icmp_pct,
+   round(count(*) FILTER (protocol NOT IN (1, 6, 17, 58)) / count(*) * 100, 1) AS other_pct,
+   round(count(*) FILTER (is_fragment) / count(*) * 100, 1) AS fragment_pct, count(DISTINCT dns_qname) AS dns_unique,
+   {', '.join(f"count(*) FILTER (protocol = 6 AND tcp_flags & {bit} > 0) AS {name}" for name, bit in (('syn', 2), ('ack', 16), ('rst', 4), ('fin', 1), ('psh', 8), ('urg', 32)))},
+   round(sum(pkt_len) / count(*), 1) AS avg_len, CASE WHEN count(*) < 2 THEN 999.0 ELSE round(stddev_pop(pkt_len), 1) END AS std_len
+   FROM during GROUP BY incident_id) USING (incident_id)
+ LEFT JOIN v_ioc_top USING (dst_ip)
+ LEFT JOIN (SELECT dst_ip, arg_min(signature, (-c, signature)) AS top_signature, max(c) AS top_signature_count FROM (SELECT dst_ip, signature,
+   count(*) AS c FROM (SELECT dst_ip, {SIGNATURE} AS signature FROM v_payloads) WHERE signature IS NOT NULL GROUP BY ALL) GROUP BY dst_ip) USING (dst_ip)
+ LEFT JOIN {_REPORT_TOP.format(c='dst_port', a='dst_port')} USING (incident_id) LEFT JOIN {_REPORT_TOP.format(c='src_port', a='src_port')} USING (incident_id)
+ LEFT JOIN {_REPORT_TOP.format(c='src_ip', a='top_source')} USING (incident_id)
+ LEFT JOIN (SELECT incident_id, n AS src_ip_count, n >= 500 AND ((te > 4.0 AND se > 8.0) OR (n > 5000 AND se > 10.0)) AS spoofed FROM
+   (SELECT incident_id, count(*) AS n, {ENTROPY} AS se FROM (SELECT incident_id, src_ip, count(*) AS c FROM during GROUP BY ALL) GROUP BY incident_id)
+   JOIN (SELECT incident_id, {ENTROPY} AS te FROM (SELECT incident_id, ttl, count(*) AS c FROM during GROUP BY ALL) GROUP BY incident_id)
+   USING (incident_id)) USING (incident_id)
+ LEFT JOIN (SELECT f.dst_ip || '@' || first_tick AS incident_id, count(DISTINCT (d.tick - first_tick) // 5) AS curve_points FROM v_floods f
+   JOIN v_dst d ON d.dst_ip = f.dst_ip AND d.tick BETWEEN first_tick AND last_tick GROUP BY 1) USING (incident_id)
+ LEFT JOIN (SELECT dst_ip, bool_or({' OR '.join(f"contains(lower(ioc_hit), '{word}')" for word in BOTNET_WORDS)}) AS botnet_named
+   FROM v_hits WHERE ioc_hit IS NOT NULL GROUP BY dst_ip) USING (dst_ip)),
+{RESOLVED.replace('resolved AS (SELECT *,', 'resolved AS (SELECT *, src_ip_count > 5000 OR coalesce(botnet_named, false) AS botnet,')}""")
