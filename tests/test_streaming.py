@@ -9,49 +9,68 @@ from trafficlens.streaming import measures as live_measures
 from trafficlens.streaming import templates as live_templates
 
 
-def _flow_files(spark, path, values):
-    """Two destinations in three files of consecutive ticks; the last rows only move the watermark."""
-    rows = [(t, f"d{k}", v) for k in (1, 2) for t, v in values if k == 1 or t % 3]
-    rows += [(5000, "end", 1)]
-    df = spark.createDataFrame(rows, "tick bigint, dst_ip string, packets bigint").select(
+def _flows(spark, values):
+    """Two destinations, one with gaps; the last row only moves the watermark."""
+    rows = [(t, f"d{k}", v) for k in (1, 2) for t, v in values if k == 1 or t % 3] + [(700, "end", 1)]
+    return spark.createDataFrame(rows, "tick bigint, dst_ip string, packets bigint").select(
         F.timestamp_seconds("tick").alias("ts"), "tick", F.lit("n").alias("node_id"), F.lit("e").alias("exporter_ip"),
         F.lit("1.1.1.1").alias("src_ip"), "dst_ip", F.lit(1).cast("bigint").alias("src_port"),
         F.lit(80).cast("bigint").alias("dst_port"), F.lit(6).cast("bigint").alias("protocol"), "packets",
         (F.col("packets") * 60).alias("octets"), F.lit(2).cast("bigint").alias("tcp_flags"),
         F.lit(1).cast("bigint").alias("sample_rate"))
-    cuts = [(0, 330), (330, 370), (370, 4000), (4000, 9000)]
-    for n, (low, high) in enumerate(cuts):
-        df.filter((F.col("tick") >= low) & (F.col("tick") < high)).coalesce(1).write.parquet(f"{path}/part{n}")
-    return df
 
 
-def _run(spark, stream, sink, tmp_path):
-    query = (stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
-             .foreachBatch(sinks.incident_sink(str(sink))).trigger(availableNow=True).start())
-    query.awaitTermination(300)
+def _finish(writer, path, name):
+    query = writer.option("checkpointLocation", f"{path}/cp-{name}").trigger(availableNow=True).start()
+    query.awaitTermination(200)
     assert query.exception() is None
 
 
 def test_stream_equals_batch(spark, tmp_path):
     values = [(t, 100) for t in range(320)] + [(t, 60000) for t in range(320, 350)] + [(t, 100) for t in range(350, 355)] \
         + [(t, 100) for t in range(420, 430)]
-    flows = _flow_files(spark, str(tmp_path / "in"), values)
-    stream = tables.read_flows(spark, str(tmp_path / "in/*"), streaming=True)
-    # One file per micro-batch, so state crosses batches.
-    stream = (spark.readStream.schema(schemas.FLOWS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")))
-    per_dst = live_measures.stream_measures(stream, ["dst_ip"])
-    _run(spark, live.stream_detect_dst(per_dst), tmp_path / "out", tmp_path)
-    got = spark.read.schema(schemas.DETECTION_EVENTS).parquet(str(tmp_path / "out/batch=*"))
-    batch = detect.events_only(detect.detect_dst(measures.dst_measures(flows), 5000))
+    flows = _flows(spark, values)
+    root = str(tmp_path)
+    for n, (low, high) in enumerate([(0, 330), (330, 600), (600, 900)]):
+        flows.filter((F.col("tick") >= low) & (F.col("tick") < high)).coalesce(1).write.parquet(f"{root}/in/part={n}")
+        live_flows = tables.read_flows(spark, f"{root}/in/part=*", streaming=True)
+        per_dst = live_measures.stream_measures(live_flows, ["dst_ip"])
+        _finish(per_dst.writeStream.outputMode("append").format("parquet").option("path", f"{root}/measures"), root, "m")
+        rows = spark.readStream.schema(per_dst.schema).parquet(f"{root}/measures")
+        events = live.stream_detect_dst(rows)
+        _finish(events.writeStream.outputMode("append").foreachBatch(sinks.incident_sink(f"{root}/out")), root, "d")
+    got = spark.read.schema(schemas.DETECTION_EVENTS).parquet(f"{root}/out/batch=*")
+    batch = detect.events_only(detect.detect_dst(measures.dst_measures(flows)))
     names = schemas.DETECTION_EVENTS.names
-    want = sorted(map(tuple, batch.filter("key <> 'end'").select(*names).collect()))
-    assert sorted(map(tuple, got.select(*names).collect())) == want
-    kinds = {row[1] for row in want}
-    assert kinds == {"open", "update", "resolve"}
+    want = sorted(map(repr, batch.filter("key <> 'end'").select(*names).collect()))
+    assert sorted(map(repr, got.select(*names).collect())) == want
+    assert {r.event for r in batch.collect()} == {"open", "update", "resolve"}
     state = sinks.current_incidents(got).collect()
     assert {(r.key, r.event) for r in state} == {("d1", "resolve"), ("d2", "resolve")}
 
 
+def test_live_web_windows_and_detector(spark, tmp_path):
+    rows = [(t, f"10.0.0.{i % 7}", "/login", 401) for t in range(60) for i in range(3 if t < 40 else 90)]
+    df = spark.createDataFrame(rows, "tick bigint, ip string, path string, status bigint").select(
+        F.timestamp_seconds("tick").alias("ts"), "tick", F.lit("s").alias("site_id"), "ip", F.lit("POST").alias("method"),
+        "path", "status", F.lit(1).cast("bigint").alias("size"), F.lit("curl/8").alias("ua"),
+        F.lit(None).cast("double").alias("resp_time_ms"), F.lit("1.1").alias("http_version"))
+    root = str(tmp_path)
+    df.coalesce(1).write.parquet(f"{root}/in")
+    stats = live_measures.stream_l7(tables.read_http_requests(spark, f"{root}/in", streaming=True))
+    _finish(stats.writeStream.outputMode("append").format("parquet").option("path", f"{root}/l7"), root, "l7")
+    rows = spark.readStream.schema(stats.schema).parquet(f"{root}/l7")
+    _finish(live.stream_detect_http(rows).writeStream.outputMode("append")
+            .foreachBatch(sinks.incident_sink(f"{root}/out")), root, "h")
+    from trafficlens.operators import l7
+
+    got = {r.tick: (r.total_requests, r.rps, r.unique_ips, r.top_path_count) for r in spark.read.parquet(f"{root}/l7").collect()}
+    want = {r.tick: (r.total_requests, r.rps, r.unique_ips, r.top_path_count) for r in l7.l7_window_stats(df).collect()}
+    assert got and all(want[t] == v for t, v in got.items())
+    events = spark.read.schema(schemas.HTTP_EVENTS).parquet(f"{root}/out/batch=*").collect()
+    assert [e.event for e in sorted(events, key=lambda e: e.tick)][:1] == ["open"]
+
+
 def test_stream_decoding_remembers_templates(spark, tmp_path):
     data, definition = (256, data_record()), (0, template(256, FIELDS))
     seen = []

@@ -1,7 +1,9 @@
 """Live detectors: the batch state machines kept as keyed streaming state.
 
-State is one JSON text per key. Event-time timeouts count down open incidents of
-silent destinations and drop idle keys.
+They read the per-second measures that another query writes, whole batches at a time
+(no file limit per trigger, or a batch may arrive in parts and its later parts count as
+late). State is one JSON text per key. Event-time timeouts count down open incidents
+of silent destinations and drop idle keys.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from trafficlens.operators.detector_steps import (HTTP_INPUTS, IDLE_SECONDS, Bas
                                                   HttpRules, NodeDetector, Row)
 
 _STATE = "json string"
+# The measures arrive in order, batch by batch.
+LATENESS = "2 seconds"
 
 
 def _rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -62,8 +66,8 @@ def _keep(state: GroupState, machine, silent: bool) -> None:
 
 def stream_detect_node(measures: DataFrame, rules: BaselineRules = BaselineRules(), key: str = "node_id",
                        **options) -> DataFrame:
-    """Events of every node from a stream of per-second measures with a watermark."""
-    rows = measures.select("window", F.col(key).alias("key"), "tick", "pps", "bps")
+    """Events of every node from a stream of per-second measures (ts, key, tick, pps, bps)."""
+    rows = measures.withWatermark("ts", LATENESS).select("ts", F.col(key).alias("key"), "tick", "pps", "bps")
     return _stateful(rows, lambda state: NodeDetector(state, rules, **options),
                      lambda machine, r: machine.step(Row(r.tick, r.pps, r.bps)), schemas.DETECTION_EVENTS, False)
 
@@ -71,13 +75,13 @@ def stream_detect_node(measures: DataFrame, rules: BaselineRules = BaselineRules
 def stream_detect_dst(measures: DataFrame, rules: BaselineRules = BaselineRules(), key: str = "dst_ip",
                       **options) -> DataFrame:
     """Events of every destination; silence counts an open incident down."""
-    rows = measures.select("window", F.col(key).alias("key"), "tick", "pps", "bps")
+    rows = measures.withWatermark("ts", LATENESS).select("ts", F.col(key).alias("key"), "tick", "pps", "bps")
     return _stateful(rows, lambda state: DstDetector(state, rules, **options),
                      lambda machine, r: machine.step(Row(r.tick, r.pps, r.bps)), schemas.DETECTION_EVENTS, True)
 
 
 def stream_detect_http(stats: DataFrame, rules: HttpRules = HttpRules(), key: str = "site_id") -> DataFrame:
-    rows = stats.select("window", F.col(key).alias("key"), "tick", *[F.col(n).cast("double") for n in HTTP_INPUTS])
+    rows = stats.withWatermark("ts", LATENESS).select("ts", F.col(key).alias("key"), "tick", *[F.col(n).cast("double") for n in HTTP_INPUTS])
 
     def feed(machine: HttpDetector, row) -> list[tuple]:
         return machine.step(row.tick, {name: getattr(row, name) for name in HTTP_INPUTS})

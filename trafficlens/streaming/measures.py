@@ -14,14 +14,15 @@ from trafficlens.operators.measures import additive_sums
 def stream_measures(flows: DataFrame, keys: Sequence[str], lateness: str = "10 seconds") -> DataFrame:
     """One-second measures per key, emitted once the watermark has passed the second.
 
-    Sources are counted with a sketch, so the state per key is of constant size.
+    Sources are counted with a sketch, so the state per key is of constant size. Write
+    the rows to a table; the live detectors read that table as a stream.
     """
     distinct = F.approx_count_distinct(F.when(F.col("src_ip") != "", F.col("src_ip")), 0.01)
     totals = (flows.withWatermark("ts", lateness).groupBy(F.window("ts", "1 second"), *keys)
               .agg(*additive_sums(flows), distinct.alias("src_ip_count")))
     known = F.col("tcp_packets") + F.col("udp_packets") + F.col("icmp_packets")
     return totals.select(
-        "window", *keys, F.unix_timestamp("window.start").alias("tick"), "packets", "octets", "flow_count",
+        F.col("window.start").alias("ts"), *keys, F.unix_timestamp("window.start").alias("tick"), "packets", "octets", "flow_count",
         *TCP_FLAGS, F.col("packets").cast("double").alias("pps"), (F.col("octets") * 8).cast("double").alias("bps"),
         *[percentage(F.col(f"{name}_packets"), known).alias(f"{name}_pct") for name in ("tcp", "udp", "icmp")],
         "src_ip_count")
@@ -51,6 +52,6 @@ def stream_l7(requests: DataFrame, lateness: str = "10 seconds") -> DataFrame:
     n = F.col("total_requests")
     elapsed = F.when(n > 1, F.greatest(F.lit(1), tick - F.unix_timestamp("oldest"))).otherwise(10)
     return stats.select(
-        "window", "site_id", tick.alias("tick"), n, F.round(n / elapsed, 1).alias("rps"), "unique_ips",
+        F.timestamp_seconds(tick).alias("ts"), "site_id", tick.alias("tick"), n, F.round(n / elapsed, 1).alias("rps"), "unique_ips",
         F.round(F.col("errors") / n * 100, 1).alias("error_rate"), "status_5xx",
         F.round(F.col("bots") / n * 100, 1).alias("bot_request_pct"), "threat_total", "top_ip_count", "top_path_count")
