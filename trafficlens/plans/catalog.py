@@ -274,8 +274,8 @@ def gre_overhead(spark, sf_dir):
     rates = measures.node_measures(w.flows(spark, sf_dir)).select(*keys, "bps")
     corrected = evidence.correct_for_gre(rates, overhead, keys)
     return corrected.join(overhead, keys).select(
-        *keys, "bps", *[F.round(name, 6).alias(name) for name in
-                        ("overhead_ratio", "gre_traffic_ratio", "corrected_bps")])
+        *keys, "bps", *[F.round(name, 6).alias(name) for name in ("overhead_ratio", "gre_traffic_ratio")],
+        F.round("corrected_bps", 3).alias("corrected_bps"))
 
 
 @query

@@ -299,7 +299,7 @@ FROM (SELECT node_id, inner_dst_ip AS inner_ip, count(*) AS packets, cast(sum(in
   row_number() OVER (PARTITION BY node_id ORDER BY count(*) DESC, inner_dst_ip) AS rank
   FROM v_packets WHERE was_gre GROUP BY node_id, inner_dst_ip) WHERE rank <= 50""", "v_packets")
 oracle("gre_overhead", """SELECT node_id, tick, bps, round(ratio, 6) AS overhead_ratio, round(gre, 6) AS gre_traffic_ratio,
-  round(bps * (1.0 - ratio), 6) AS corrected_bps FROM (SELECT node_id, tick,
+  round(bps * (1.0 - ratio), 3) AS corrected_bps FROM (SELECT node_id, tick,
   coalesce(24 * count(*) FILTER (was_gre) / sum(outer_len) FILTER (was_gre), 0.0) AS ratio,
   count(*) FILTER (was_gre) / count(*) AS gre FROM v_packets GROUP BY node_id, tick)
 JOIN (SELECT node_id, tick, cast(sum(octets) * 8 AS double) AS bps FROM v_flows GROUP BY node_id, tick) USING (node_id, tick)""",
