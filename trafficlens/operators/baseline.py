@@ -129,6 +129,28 @@ def calibrated_threshold(samples: DataFrame, key: str, cut: int, window: int = W
                           F.greatest(p99 * THRESHOLD_FACTOR, F.lit(MIN_THRESHOLD)).alias("threshold"))
 
 
+def with_calibrated_threshold(samples: DataFrame, key: str, cut: int, window: int = WINDOW) -> DataFrame:
+    """The rows with ``avg_pps``, ``p99_pps`` and ``threshold`` of ``calibrated_threshold`` beside them.
+
+    Window ranks over one partitioning by key replace the grouping and the join back,
+    so the samples are computed and shuffled once. Keys without rows before ``cut`` drop out.
+    """
+    early = F.col("tick") < cut
+    everything = Window.partitionBy(key)
+    aged = samples.withColumn("_age", F.row_number().over(
+        Window.partitionBy(key).orderBy(early.desc(), F.col("tick").desc())))
+    marked = aged.withColumn("_used", early & (F.col("_age") <= window))
+    ranked = marked.withColumn("_rank", F.row_number().over(
+        Window.partitionBy(key).orderBy(F.col("_used").desc(), "pps"))) \
+        .withColumn("_n", F.count(F.when(F.col("_used"), 1)).over(everything))
+    wanted = F.least(F.floor(F.col("_n") * 99 / 100), F.col("_n") - 1) + 1
+    p99 = F.max(F.when(F.col("_used") & (F.col("_rank") == wanted), F.col("pps"))).over(everything)
+    mean = F.avg(F.when(F.col("_used"), F.col("pps"))).over(everything)
+    return (ranked.withColumn("avg_pps", mean).withColumn("p99_pps", p99).filter(F.col("_n") > 0)
+            .withColumn("threshold", F.greatest(F.col("p99_pps") * THRESHOLD_FACTOR, F.lit(MIN_THRESHOLD)))
+            .drop("_age", "_used", "_rank", "_n"))
+
+
 def velocity(baseline: DataFrame, key: str) -> DataFrame:
     """Marks jumps: change above 5 means and level above 2 means, once ready."""
     previous = F.coalesce(F.lag("pps").over(Window.partitionBy(key).orderBy("tick")), F.lit(0.0))

@@ -15,6 +15,7 @@ from trafficlens.functions import http as http_functions
 from trafficlens.operators import baseline, detect, evidence, joins, l7, measures, service_ports, topk
 from trafficlens.plans import encoded, flood
 from trafficlens.plans import workload as w
+from trafficlens.session import materialize
 from trafficlens.sources import access_log, datagrams, frames, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -471,8 +472,8 @@ def velocity(spark, sf_dir):
 
 def _hot_rows(spark, sf_dir):
     per_dst = measures.dst_measures(w.flows(spark, sf_dir))
-    limits = baseline.calibrated_threshold(per_dst, "dst_ip", CUT)
-    return per_dst.join(limits, "dst_ip").withColumn("hot", F.col("pps") > F.col("threshold"))
+    judged = baseline.with_calibrated_threshold(per_dst, "dst_ip", CUT)
+    return judged.withColumn("hot", F.col("pps") > F.col("threshold"))
 
 
 @query
@@ -840,6 +841,7 @@ def _report(spark, sf_dir) -> DataFrame:
     found = flood.sustained_floods(flows, CUT).selectExpr(
         "concat(dst_ip, '@', first_tick) AS incident_id", "dst_ip", "first_tick AS started_tick",
         "last_tick AS ended_tick", "last_tick - first_tick AS duration", "peak_pps", "peak_bps", "threshold")
+    found = materialize(found, "incidents")
     hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark)).filter("ioc_hit IS NOT NULL").select("dst_ip", "ioc_hit")
     signatures = evidence.payload_sig_counts(w.payloads(spark, sf_dir), ["dst_ip"])
     per_dst = measures.dst_measures(flows).select("dst_ip", "tick", "pps")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.classify import classify_attack, ip_status, syn_ratio
 from trafficlens.functions.network import TCP_FLAGS
-from trafficlens.operators.baseline import calibrated_threshold, sustained
+from trafficlens.operators.baseline import runs_of, with_calibrated_threshold
 from trafficlens.operators.joins import label_join
 from trafficlens.operators.measures import dst_measures
 from trafficlens.operators.topk import topk_per_group
+from trafficlens.session import materialize
 
 
 def flag_columns() -> dict:
@@ -27,19 +28,18 @@ def measure_family(measures: DataFrame) -> DataFrame:
 def sustained_floods(flows: DataFrame, cut: int, confirm: int = 3, window: int = 300) -> DataFrame:
     """Destinations under a sustained flood after tick ``cut``, with family and peak.
 
-    One aggregation to (destination, second) feeds the threshold, the run test and
-    the family; everything later works on per-second rows.
+    The flows are read once. After the aggregation to (destination, second) there is
+    one more shuffle, by destination: threshold, runs and run totals all reuse it.
     """
-    measures = dst_measures(flows)
-    thresholds = calibrated_threshold(measures, "dst_ip", cut, window)
-    judged = (measures.filter(F.col("tick") >= cut).join(thresholds, "dst_ip")
-              .withColumn("hot", F.col("pps") > F.col("threshold")))
-    runs = sustained(judged, "dst_ip", "hot", confirm)
-    totals = ("packets", "octets", "tcp_packets", "udp_packets", "icmp_packets", "other_packets", *TCP_FLAGS)
-    span = (judged.join(runs, "dst_ip").filter(F.col("tick").between(F.col("first_tick"), F.col("last_tick")))
-            .groupBy("dst_ip", "first_tick", "last_tick", "length", "peak_pps", "threshold")
-            .agg(*[F.sum(name).alias(name) for name in totals],
-                 F.max("bps").alias("peak_bps"), F.max("src_ip_count").alias("peak_sources")))
+    judged = with_calibrated_threshold(dst_measures(flows), "dst_ip", cut, window)
+    judged = judged.filter(F.col("tick") >= cut).withColumn("hot", F.col("pps") > F.col("threshold"))
+    hot = runs_of(judged, "dst_ip", "hot").filter("hot")
+    totals = ("tcp_packets", "udp_packets", "icmp_packets", *TCP_FLAGS)
+    span = hot.groupBy("dst_ip", "_run").agg(
+        F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"), F.count(F.lit(1)).alias("length"),
+        F.max("pps").alias("peak_pps"), F.max("bps").alias("peak_bps"), F.max("src_ip_count").alias("peak_sources"),
+        F.max("threshold").alias("threshold"), *[F.sum(name).alias(name) for name in totals])
+    span = span.filter(F.col("length") >= confirm)
     known = F.col("tcp_packets") + F.col("udp_packets") + F.col("icmp_packets")
     shares = {name: F.when(known > 0, F.round(F.col(f"{name}_packets") / known * 100, 1)).otherwise(0.0)
               for name in ("tcp", "udp", "icmp")}
@@ -110,6 +110,10 @@ def incident_report(packets: DataFrame, incidents: DataFrame, hits: DataFrame, s
         F.floor(F.col("started_tick") / width), F.floor(F.col("ended_tick") / width))).alias("_slot"))
     during = (packets.withColumn("_slot", F.floor(F.col("tick") / width)).join(spans, ["dst_ip", "_slot"])
               .filter(F.col("tick").between(F.col("started_tick"), F.col("ended_tick"))).drop("_slot"))
+    # Eight groupings read these packets; the packet table itself is then read only once.
+    during = materialize(during.select(
+        "incident_id", "src_ip", "src_port", "dst_port", "protocol", "pkt_len", "tcp_flags", "ttl", "is_fragment",
+        "dns_qname"), "incident-packets")
     sources = evidence.per_source(during, key)
     ids = incidents.select("incident_id", "dst_ip")
     ioc = evidence.ioc_hit_counts(hits, ["dst_ip"]).join(ids, "dst_ip").drop("dst_ip")
