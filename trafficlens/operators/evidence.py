@@ -15,6 +15,7 @@ from trafficlens.functions.classify import is_botnet_name
 from trafficlens.functions.network import (LARGEST_BUCKET, SIZE_BUCKETS, TCP, TCP_FLAGS, has_flag, percentage,
                                            proto_class, size_bucket)
 from trafficlens.operators.topk import top_counts, topk_per_group
+from trafficlens.session import scalar
 
 # First payload bytes of reflected responses; the first match counts.
 PAYLOAD_SIGNATURES = (
@@ -162,8 +163,10 @@ def payload_sig_counts(payloads: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def source_confidence(sources: DataFrame, keys: Sequence[str], blocklist: DataFrame | None = None) -> DataFrame:
     """0-100 score per source: how likely it takes part in the attack."""
-    totals = sources.groupBy(*keys).agg(F.sum("count").alias("total"))
-    scored = sources.join(totals, list(keys)) if keys else sources.crossJoin(totals)
+    if keys:
+        scored = sources.join(sources.groupBy(*keys).agg(F.sum("count").alias("total")), list(keys))
+    else:
+        scored = sources.withColumn("total", scalar(sources, F.sum("count")))
     c = F.col("count")
     share = c / F.greatest(F.col("total"), F.lit(1))
     protocols = sum(((F.col(name) > 0).cast("int") for name in ("udp", "icmp")), (F.col("tcp") > 0).cast("int"))
