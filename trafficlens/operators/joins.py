@@ -45,8 +45,7 @@ def cidr_join(df: DataFrame, ip: str, networks: DataFrame, how: str = "inner") -
     if how in ("left_semi", "left_anti"):
         hits = matched.select(F.col("_ip").alias(ip)).distinct()
         return df.join(hits, ip, how)
-    extra = [name for name in networks.columns]
-    hits = matched.select(F.col("_ip").alias(ip), *[F.col(name) for name in extra])
+    hits = matched.select(F.col("_ip").alias(ip), *networks.columns)
     return df.join(hits, ip, how)
 
 

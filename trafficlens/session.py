@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "trafficlens", master: str | None = None,
@@ -62,10 +61,3 @@ def scalar(df: DataFrame, expr: Column) -> Column:
     """One aggregate value of ``df`` as a scalar subquery column."""
     return df.agg(expr.alias("value")).select("value").scalar()
 
-
-def as_long(column: Column) -> Column:
-    return column.cast("bigint")
-
-
-def coalesce_zero(column: Column) -> Column:
-    return F.coalesce(column, F.lit(0).cast("bigint"))
