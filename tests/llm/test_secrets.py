@@ -1,0 +1,52 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from trafficlens.llm import secrets
+
+#: The contract's own forms, word for word, with its conditions.
+PLAIN = [("assign", re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
+         ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
+
+
+def brute(text):
+    spans = [(kind, m.start(), m.end()) for kind, p, ok in PLAIN for m in p.finditer(text) if ok(m)]
+    return sorted(spans, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def test_base_spans(spark, docs_of):
+    draw = random.Random(4)
+    bits = ["password", "PassWd", "secret=", "api_key: '", "APIKEY", " = ", "AKIA", "ABCDEFGH12345678", "deadbeef01234567", "é", "\n", '"', "toKen:", "x", "ſecret=abcdefgh", "0" * 30]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 12))) for _ in range(300)] + [None, "", "a" * 50_000]
+    for row in secrets.secret_spans(docs_of(texts)).collect():
+        spans = brute(texts[row.doc_id] or "")
+        kinds = Counter(s[0] for s in spans)
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert (row.n_assign, row.n_access, row.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) - {""} <= set(row.spans.split(","))
+    assert secrets.secret_spans(docs_of([])).count() == 0
+
+
+def test_windows_have_the_entropy_of_their_counts():
+    draw = random.Random(5)
+    for _ in range(100):
+        text = "".join(draw.choice("abcdefghij0123456789XYZ"[: draw.randint(3, 23)]) for _ in range(draw.randint(0, 60)))
+        high = [False] * len(text)
+        for k in range(len(text) - secrets.WINDOW + 1):
+            window = Counter(text[k:k + secrets.WINDOW])
+            entropy = -sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in window.values())
+            if entropy >= 3.2 - 1e-9:
+                high[k:k + secrets.WINDOW] = [True] * secrets.WINDOW
+        spans = secrets.high_windows(text, 3.2)
+        assert [any(a <= k < b for a, b in spans) for k in range(len(text))] == high
+
+
+def test_entropy_and_allow_list():
+    allowed = [re.compile(p) for p in secrets.ALLOWED]
+    assert secrets.entropy_spans("key Zx81kQp0Lm29Rt7YvB3n end", allowed) == [("entropy_base64", 4, 28 - 4)]
+    assert secrets.entropy_spans("0F3A9C71B2E84D5609AF go", allowed)[0][0] == "entropy_hex"
+    for text in ("123e4567-e89b-42d3-a456-426614174000", "abcdefghijklmnopqrstuvwxyz0123456789", "path/of/some/long/words/2024", "thninthonereationtherethe", "=" * 40):
+        assert secrets.entropy_spans(text, allowed) == []

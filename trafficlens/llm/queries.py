@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import bpe, packing
+from trafficlens.llm import bpe, chat, langid, packing, secrets
 from trafficlens.llm.common import read
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,9 +22,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(read(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.with_probe(read(spark, sf_dir, "conversations"))))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_chat_format": op5_chat_format,
+    "op7_secrets": op7_secrets,
+    "op9_language": op9_language,
 }
 
 ORACLES: dict[str, str] = {}
