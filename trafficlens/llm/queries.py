@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficlens.llm import bpe, chat, langid, packing, secrets
+from trafficlens.llm import bpe, chat, langid, packing, pii, quality, secrets
 from trafficlens.llm.common import read
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,10 +26,18 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.with_probe(read(spark, sf_dir, "conversations"))))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.sanitised(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(read(spark, sf_dir, "documents"))
 
@@ -38,8 +46,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,
+    "op8_pii": op8_pii,
     "op9_language": op9_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality": quality.ORACLE}
