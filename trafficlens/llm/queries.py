@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trafficlens.llm import bpe, chat, langid, packing, pii, quality, secrets
+from trafficlens.llm import ann, bpe, chat, langid, packing, pii, quality, secrets
 from trafficlens.llm.common import read
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +43,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(read(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLES: dict[str, str] = {"op6_quality": quality.ORACLE}
