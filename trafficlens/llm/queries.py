@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import ann, bpe, chat, langid, packing, pii, quality, secrets
+from trafficlens.llm import ann, bpe, chat, langid, minhash, packing, pii, quality, secrets
 from trafficlens.llm.common import read
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2, threshold=0.8)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(read(spark, sf_dir, "documents"), PACK_TOKENIZER)
 
@@ -48,6 +52,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
