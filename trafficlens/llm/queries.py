@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import ann, bpe, chat, langid, minhash, packing, pii, quality, secrets
+from trafficlens.llm import ann, bpe, chat, langid, minhash, packing, pii, quality, secrets, suffix
 from trafficlens.llm.common import read
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def substring_digest(docs: DataFrame) -> DataFrame:
+    return suffix.without_repeats(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(read(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2, threshold=0.8)
 
@@ -52,6 +60,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_byte_bpe": op4_byte_bpe,
