@@ -124,11 +124,12 @@ def train(labelled: DataFrame) -> Model:
     return Model(languages, counts, documents)
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text, and any other columns, which stay) with lang_pred and score."""
+def predicted(docs: DataFrame, model: Model, added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (text and any other columns, which stay) with the language and its score in the columns ``added``, which are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "lang_pred", "score"]
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    docs = docs.drop(*added)
+    names = [*docs.columns, *added]
+    schema = docs.select("*", F.lit("").alias(added[0]), F.lit(0.0).alias(added[1])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):

@@ -313,9 +313,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return resolved.where(F.col("kind") == REPEAT).select("doc", "first", "last").union(found.select("doc", "first", "last"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that are left of each text.
 
+    With ``as_text``, ``kept`` is a string, from which characters that lost some of their bytes are missing.
     A null text is empty. Earlier is a smaller doc_id, then a smaller start; null doc_ids come last. Rows that
     repeat a doc_id have to repeat its text, too; they are one document and give repeated rows. Other columns
     stay (``kept`` and the three counts are replaced). No rows give no rows.
@@ -324,7 +325,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     joined = own.withColumn("_doc", _doc_key(F.col("doc_id"))).join(runs.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
     none = F.lit(None).cast("long")
-    schema = joined.drop("_runs").withColumns({"n_bytes": none, "n_removed": none, "n_spans": none, "kept": F.lit(None).cast("binary")}).schema
+    schema = joined.drop("_runs").withColumns({"n_bytes": none, "n_removed": none, "n_spans": none, "kept": F.lit(None).cast("string" if as_text else "binary")}).schema
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +333,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             at = part.schema.get_field_index("_runs")
             rows = [_cut(text.encode(), wanted, length) for text, wanted in zip(texts, part.column(at).to_pylist())]
             plain = [c for k, c in enumerate(part.columns) if k != at]
-            kinds = [pa.int64()] * 3 + [pa.binary()]
+            if as_text:
+                rows = [(*row[:3], row[3].decode(errors="ignore")) for row in rows]
+            kinds = [pa.int64()] * 3 + [pa.string() if as_text else pa.binary()]
             yield pa.RecordBatch.from_arrays([*plain, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
 
     return joined.mapInArrow(run, schema)
