@@ -28,9 +28,10 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.QUERIES) == set(entry.ORACLES)
 
 
 def test_entry(spark):
     rows = {(r.dst_ip, r.family) for r in entry.entry(spark).collect()}
     assert ("192.0.2.3", "syn_flood") in rows and ("192.0.2.7", "udp_flood") in rows
+    assert "192.0.2.200" in {ip for ip, _ in rows}  # without any traffic before the flood

@@ -15,6 +15,9 @@ WINDOW = 300
 HOUR_WINDOW = 360
 HOUR_MIN_SAMPLES = 60
 MIN_THRESHOLD = 5000.0
+# Rates from which a key without a baseline counts as flooded.
+UNSEEN_PPS = 10_000.0
+UNSEEN_BPS = 500_000_000.0
 THRESHOLD_FACTOR = 3.0
 BPS_FACTOR = 3.0
 MIN_BPS_THRESHOLD = 50_000_000.0
@@ -133,7 +136,8 @@ def with_calibrated_threshold(samples: DataFrame, key: str, cut: int, window: in
     """The rows with ``avg_pps``, ``p99_pps`` and ``threshold`` of ``calibrated_threshold`` beside them.
 
     Window ranks over one partitioning by key replace the grouping and the join back,
-    so the samples are computed and shuffled once. Keys without rows before ``cut`` drop out.
+    so the samples are computed and shuffled once. Keys without rows before ``cut`` have
+    no average and no percentile; their threshold is UNSEEN_PPS.
     """
     early = F.col("tick") < cut
     everything = Window.partitionBy(key)
@@ -146,11 +150,17 @@ def with_calibrated_threshold(samples: DataFrame, key: str, cut: int, window: in
     wanted = F.least(F.floor(F.col("_n") * 99 / 100), F.col("_n") - 1) + 1
     p99 = F.max(F.when(F.col("_used") & (F.col("_rank") == wanted), F.col("pps"))).over(everything)
     mean = F.avg(F.when(F.col("_used"), F.col("pps"))).over(everything)
-    return (ranked.withColumn("avg_pps", mean).withColumn("p99_pps", p99).filter(F.col("_n") > 0)
-            .withColumn("threshold", F.greatest(F.col("p99_pps") * THRESHOLD_FACTOR, F.lit(MIN_THRESHOLD)))
+    learned = F.greatest(F.col("p99_pps") * THRESHOLD_FACTOR, F.lit(MIN_THRESHOLD))
+    return (ranked.withColumn("avg_pps", mean).withColumn("p99_pps", p99)
+            .withColumn("threshold", F.when(F.col("_n") > 0, learned).otherwise(UNSEEN_PPS))
             .drop("_age", "_used", "_rank", "_n"))
 
 
+def exceeds(threshold: Column, pps: Column, bps: Column, learned: Column) -> Column:
+    """Whether a rate is above its threshold; a key that has not ``learned`` one is judged by fixed rates."""
+    return F.when(learned, pps > threshold).otherwise((pps >= UNSEEN_PPS) | (bps >= UNSEEN_BPS))
+
+
 def velocity(baseline: DataFrame, key: str) -> DataFrame:
     """Marks jumps: change above 5 means and level above 2 means, once ready."""
     previous = F.coalesce(F.lag("pps").over(Window.partitionBy(key).orderBy("tick")), F.lit(0.0))

@@ -105,7 +105,9 @@ def packet_size_stats(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
     n = F.count("pkt_len")
     # Integer moments keep the result independent of the order of partial sums.
     total, squares = F.sum("pkt_len"), F.sum(F.col("pkt_len") * F.col("pkt_len"))
-    variance = (squares * n - total * total).cast("double") / (n * n)
+    # The products of a flood's sums outgrow 64 bits.
+    wide, mass, many = (x.cast("decimal(38,0)") for x in (squares, total, n.cast("decimal(19,0)")))
+    variance = (wide * many - mass * mass).cast("double") / (many * many).cast("double")
     return packets.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("packets"),
         F.coalesce(F.round(total / n, 1), F.lit(0.0)).alias("avg_pkt_length"),
@@ -185,7 +187,7 @@ def source_confidence(sources: DataFrame, keys: Sequence[str], blocklist: DataFr
         .withColumn("pct", F.round(share * 100, 2))
     if blocklist is None:
         return scored.withColumn("threat_intel", F.lit(False))
-    listed = blocklist.select(F.col("indicator").alias("src_ip"), F.lit(True).alias("threat_intel"))
+    listed = blocklist.select(F.col("indicator").alias("src_ip"), F.lit(True).alias("threat_intel")).distinct()
     scored = scored.join(listed, "src_ip", "left").withColumn(
         "threat_intel", F.coalesce("threat_intel", F.lit(False)))
     return scored.withColumn("confidence", F.when(
@@ -217,7 +219,7 @@ def per_vm_breakdown(packets: DataFrame, keys: Sequence[str], labels: DataFrame
         "src_ip_count", (F.col("rank") == 1).alias("is_top_attacked"))
     if labels is None:
         return result.withColumn("label", F.lit(""))
-    named = labels.select(F.col("ip").alias("inner_ip"), "label")
+    named = labels.groupBy(F.col("ip").alias("inner_ip")).agg(F.min("label").alias("label"))
     return result.join(named, "inner_ip", "left").withColumn("label", F.coalesce("label", F.lit("")))
 
 

@@ -30,9 +30,9 @@ def cidr_join(df: DataFrame, ip: str, networks: DataFrame, how: str = "inner") -
     The range test is an equality join on (prefix length, prefix): an address is
     expanded to one row per prefix length that occurs in ``networks`` (at most 161
     in all), after reducing to distinct addresses. ``inner`` adds the network's
-    columns once per matching network; ``left_semi`` / ``left_anti`` filter.
+    columns once per matching network, however often it is listed; ``left_semi`` / ``left_anti`` filter.
     """
-    keyed = networks.withColumn("_hex", address_hex(F.col("network")))
+    keyed = networks.distinct().withColumn("_hex", address_hex(F.col("network")))
     keyed = keyed.withColumn("_key", prefix_key(F.col("_hex"), F.col("prefix_len"))) \
         .withColumn("_len", F.col("prefix_len").cast("bigint")).drop("_hex")
     lengths = scalar(networks, F.collect_set(F.col("prefix_len").cast("bigint")))
@@ -78,7 +78,8 @@ def blocklist_ratio(sources: DataFrame, keys: Sequence[str], blocklist: DataFram
 
 
 def label_join(df: DataFrame, labels: DataFrame, ip: str) -> DataFrame:
-    named = labels.select(F.col("ip").alias(ip), "label")
+    """Adds the label of an address, the first in order where it has several."""
+    named = labels.groupBy(F.col("ip").alias(ip)).agg(F.min("label").alias("label"))
     return df.join(named, ip, "left").withColumn("label", F.coalesce("label", F.lit("")))
 
 

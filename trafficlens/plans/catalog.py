@@ -473,7 +473,8 @@ def velocity(spark, sf_dir):
 def _hot_rows(spark, sf_dir):
     per_dst = measures.dst_measures(w.flows(spark, sf_dir))
     judged = baseline.with_calibrated_threshold(per_dst, "dst_ip", CUT)
-    return judged.withColumn("hot", F.col("pps") > F.col("threshold"))
+    return judged.withColumn("hot", baseline.exceeds(
+        F.col("threshold"), F.col("pps"), F.col("bps"), F.col("p99_pps").isNotNull()))
 
 
 @query

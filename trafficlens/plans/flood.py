@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.classify import classify_attack, ip_status, syn_ratio
 from trafficlens.functions.network import TCP_FLAGS
-from trafficlens.operators.baseline import runs_of, with_calibrated_threshold
+from trafficlens.operators.baseline import exceeds, runs_of, with_calibrated_threshold
 from trafficlens.operators.joins import label_join
 from trafficlens.operators.measures import dst_measures
 from trafficlens.operators.topk import topk_per_group
@@ -28,11 +28,13 @@ def measure_family(measures: DataFrame) -> DataFrame:
 def sustained_floods(flows: DataFrame, cut: int, confirm: int = 3, window: int = 300) -> DataFrame:
     """Destinations under a sustained flood after tick ``cut``, with family and peak.
 
+    A destination that was not seen before ``cut`` is judged by the fixed rates of ``exceeds``.
     The flows are read once. After the aggregation to (destination, second) there is
     one more shuffle, by destination: threshold, runs and run totals all reuse it.
     """
     judged = with_calibrated_threshold(dst_measures(flows), "dst_ip", cut, window)
-    judged = judged.filter(F.col("tick") >= cut).withColumn("hot", F.col("pps") > F.col("threshold"))
+    hot_now = exceeds(F.col("threshold"), F.col("pps"), F.col("bps"), F.col("p99_pps").isNotNull())
+    judged = judged.filter(F.col("tick") >= cut).withColumn("hot", hot_now)
     hot = runs_of(judged, "dst_ip", "hot").filter("hot")
     totals = ("tcp_packets", "udp_packets", "icmp_packets", *TCP_FLAGS)
     span = hot.groupBy("dst_ip", "_run").agg(

@@ -12,19 +12,20 @@ ORACLES: dict[str, str] = {}
 
 SYN = "l_suppkey % 20 = 3 AND l_orderkey % 900 BETWEEN 600 AND 679"
 NTP = "l_suppkey % 20 = 7 AND l_orderkey % 900 BETWEEN 720 AND 779"
+NEW = "l_suppkey % 20 = 11 AND l_orderkey % 900 BETWEEN 620 AND 699"
 
 # name -> (views it needs, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_flows": ((), f"""
 SELECT l_orderkey % 900 AS tick, 'node' || (l_suppkey % 4) AS node_id, '198.51.100.' || (l_suppkey % 4) AS exporter_ip,
   '10.' || (l_suppkey % 4) || '.' || cast(floor(l_partkey / 250) AS bigint) || '.' || (l_partkey % 250) AS src_ip,
-  '192.0.2.' || (l_suppkey % 20) AS dst_ip,
+  CASE WHEN {NEW} THEN '192.0.2.200' ELSE '192.0.2.' || (l_suppkey % 20) END AS dst_ip,
   cast(CASE WHEN {NTP} THEN 123 ELSE 1024 + l_partkey % 5000 END AS bigint) AS src_port,
   cast(CASE l_suppkey % 6 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 53 WHEN 3 THEN 22 WHEN 4 THEN 3389 ELSE 8080 END AS bigint) AS dst_port,
   cast(CASE WHEN {SYN} THEN 6 WHEN {NTP} THEN 17 WHEN l_linenumber <= 3 THEN 6 WHEN l_linenumber <= 5 THEN 17
     WHEN l_linenumber = 6 THEN 1 ELSE 47 END AS bigint) AS protocol,
-  cast(l_quantity AS bigint) * (CASE WHEN {SYN} THEN 1000 WHEN {NTP} THEN 1000 ELSE 1 END) AS packets,
-  cast(l_quantity AS bigint) * (CASE WHEN {SYN} THEN 1000 * 60 WHEN {NTP} THEN 1000 * 468 ELSE 60 + l_partkey % 1440 END) AS octets,
+  cast(l_quantity AS bigint) * (CASE WHEN {SYN} THEN 1000 WHEN {NTP} THEN 1000 WHEN {NEW} THEN 1000 ELSE 1 END) AS packets,
+  cast(l_quantity AS bigint) * (CASE WHEN {SYN} THEN 1000 * 60 WHEN {NTP} THEN 1000 * 468 WHEN {NEW} THEN 1000 * 90 ELSE 60 + l_partkey % 1440 END) AS octets,
   cast(CASE WHEN {SYN} THEN 2 WHEN l_linenumber > 3 THEN 0 WHEN l_returnflag = 'A' THEN 2
     WHEN l_returnflag = 'N' THEN 16 ELSE 24 END AS bigint) AS tcp_flags,
   cast(32 + l_partkey % 96 AS bigint) AS ttl, (l_orderkey + l_partkey) % 40 = 0 AS is_fragment,
@@ -430,7 +431,9 @@ SELECT dst_ip, list_avg(v) AS avg_pps, list_sort(v)[least(len(v) * 99 // 100, le
 FROM (SELECT dst_ip, list(pps) AS v FROM (SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY tick DESC) AS age
   FROM v_dst WHERE tick < 600) WHERE age <= 300 GROUP BY dst_ip)""")
 VIEWS["v_hot"] = (("v_dst_pct", "v_calibrated"), """
-SELECT d.*, c.avg_pps, c.threshold, d.pps > c.threshold AS hot FROM v_dst_pct d JOIN v_calibrated c USING (dst_ip)""")
+SELECT d.*, c.avg_pps, coalesce(c.threshold, 10000.0) AS threshold,
+  CASE WHEN c.threshold IS NULL THEN d.pps >= 10000 OR d.bps >= 500000000 ELSE d.pps > c.threshold END AS hot
+FROM v_dst_pct d LEFT JOIN v_calibrated c USING (dst_ip)""")
 VIEWS["v_runs"] = (("v_hot",), """
 SELECT *, row_number() OVER (PARTITION BY dst_ip ORDER BY tick) - row_number() OVER (PARTITION BY dst_ip, hot ORDER BY tick) AS island
 FROM v_hot""")

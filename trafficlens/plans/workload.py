@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SYN_FLOOD = "l_suppkey % 20 = 3 AND l_orderkey % 900 BETWEEN 600 AND 679"
 NTP_FLOOD = "l_suppkey % 20 = 7 AND l_orderkey % 900 BETWEEN 720 AND 779"
+# A flood on a destination without earlier traffic.
+NEW_FLOOD = "l_suppkey % 20 = 11 AND l_orderkey % 900 BETWEEN 620 AND 699"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +26,16 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('node', l_suppkey % 4) AS node_id",
         "concat('198.51.100.', l_suppkey % 4) AS exporter_ip",
         "concat('10.', l_suppkey % 4, '.', l_partkey div 250, '.', l_partkey % 250) AS src_ip",
-        "concat('192.0.2.', l_suppkey % 20) AS dst_ip",
+        f"CASE WHEN {NEW_FLOOD} THEN '192.0.2.200' ELSE concat('192.0.2.', l_suppkey % 20) END AS dst_ip",
         f"CAST(CASE WHEN {NTP_FLOOD} THEN 123 ELSE 1024 + l_partkey % 5000 END AS bigint) AS src_port",
         "CAST(CASE l_suppkey % 6 WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 53 WHEN 3 THEN 22"
         " WHEN 4 THEN 3389 ELSE 8080 END AS bigint) AS dst_port",
         f"CAST(CASE WHEN {SYN_FLOOD} THEN 6 WHEN {NTP_FLOOD} THEN 17 WHEN l_linenumber <= 3 THEN 6"
         " WHEN l_linenumber <= 5 THEN 17 WHEN l_linenumber = 6 THEN 1 ELSE 47 END AS bigint) AS protocol",
-        f"CAST(l_quantity AS bigint) * (CASE WHEN {SYN_FLOOD} OR {NTP_FLOOD} THEN 1000 ELSE 1 END) AS packets",
+        f"CAST(l_quantity AS bigint) * (CASE WHEN {SYN_FLOOD} OR {NTP_FLOOD} OR {NEW_FLOOD} THEN 1000"
+        " ELSE 1 END) AS packets",
         f"CAST(l_quantity AS bigint) * (CASE WHEN {SYN_FLOOD} THEN 1000 * 60 WHEN {NTP_FLOOD} THEN 1000 * 468"
+        f" WHEN {NEW_FLOOD} THEN 1000 * 90"
         " ELSE 60 + l_partkey % 1440 END) AS octets",
         f"CAST(CASE WHEN {SYN_FLOOD} THEN 2 WHEN l_linenumber > 3 THEN 0 WHEN l_returnflag = 'A' THEN 2"
         " WHEN l_returnflag = 'N' THEN 16 ELSE 24 END AS bigint) AS tcp_flags",

@@ -34,10 +34,12 @@ def build_session(app: str = "trafficlens", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a fresh folder only where none is set."""
+    """The shared folder named by the cluster; a fresh folder only where none is set and all tasks share this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     fresh = tempfile.mkdtemp(prefix="trafficlens-")
     spark.conf.set("spark.checkpoint.dir", fresh)
     return fresh
