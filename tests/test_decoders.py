@@ -133,9 +133,25 @@ def test_ipfix_vendor_fields_and_oversized_templates(spark):
     payloads = [ipfix((2, vendor)), ipfix((256, b"\xff" * 4 + ip4("3.3.3.3") + struct.pack("!Q", 77)))]
     rows = d.decode_datagrams(frame_of(spark, payloads)).collect()
     assert [(r.src_ip, r.dst_ip, r.packets) for r in rows] == [("3.3.3.3", "", 77)]
-    big = v9((0, struct.pack("!HH", 256, 200) + b"\0" * 800))
-    sets = d.template_sets(d.route_datagrams(frame_of(spark, [big, v9((0, b"\1\0")), b"\0\x09", v9() + b"\0\0\0\1"])))
-    assert d.extract_templates(sets).count() == 0
+    cut = d.template_sets(d.route_datagrams(frame_of(spark, [v9((0, b"\1\0")), b"\0\x09", v9() + b"\0\0\0\1"])))
+    assert d.extract_templates(cut).count() == 0
+
+
+def test_nothing_is_capped(spark):
+    wide = tuple((1000, 1) for _ in range(192)) + FIELDS
+    record = b"\7" * 192 + data_record()
+    definition = (0, template(256, wide) + template(257, FIELDS))
+    assert decoded(spark, [v9(definition, (256, record), (257, data_record(3)))]) == [(0, 10, 5000, 1), (0, 3, 5000, 1)]
+    many = v9((0, template(256, FIELDS)), *[(256, data_record(k + 1)) for k in range(150)])
+    assert [r[1] for r in sorted(decoded(spark, [many]))] == list(range(1, 151))
+    rows = d.decode_netflow_v5(frame_of(spark, [v5([REC] * 100)]))
+    assert [r.record_no for r in rows.orderBy("record_no").collect()] == list(range(100))
+    four = ether(ipv4("1.1.1.1", "2.2.2.2", 6, tcp(1, 80, 2)))
+    rows = d.decode_sflow_v5(frame_of(spark, [sflow([sample(four, k + 1, 64) for k in range(300)])]))
+    assert [r.packets for r in rows.orderBy("record_no").collect()] == list(range(1, 301))
+    largest = struct.pack("!HH", 256, 2) + struct.pack("!HHHH", 8, 4, 2, 8)
+    rows = d.decode_datagrams(frame_of(spark, [ipfix((2, largest)), ipfix((256, ip4("3.3.3.3") + b"\xff" * 8))])).collect()
+    assert [r.packets for r in rows] == [2**63 - 1]
 
 
 def packets(spark, raw, **options):
@@ -155,6 +171,16 @@ def test_frames(spark):
         (4, "fe80::2", 6, 443, 2, False, 68), (8, "2.2.2.2", 6, 0, 0, False, 24)]
 
 
+def test_deep_headers(spark):
+    hop = bytes([0, 0]) + b"\0" * 6
+    deep = ipv6("::1", "fe80::2", 0, hop * 14 + bytes([6, 0]) + b"\0" * 6 + tcp(1, 443, 2))
+    layers = ipv4("10.0.0.1", "10.0.0.2", 17, udp(1, 2))
+    for _ in range(6):
+        layers = ipv4("1.1.1.1", "2.2.2.2", 47, struct.pack("!HH", 0, 0x0800) + layers)
+    got = packets(spark, [ether(ipv4("1.1.1.1", "2.2.2.2", 6, tcp(5, 80, 2)), tags=(0x8100,) * 5), ether(deep, 0x86DD), ether(layers)], gre_strip=True)
+    assert [(r.dst_ip, r.dst_port) for r in got] == [("2.2.2.2", 80), ("fe80::2", 443), ("10.0.0.2", 2)]
+
+
 def test_gre_layers(spark):
     inner = ipv4("10.0.0.1", "10.0.0.2", 17, udp(1, 2))
     once = ipv4("1.1.1.1", "2.2.2.2", 47, struct.pack("!HHI", 0x2000, 0x0800, 7) + inner)
@@ -182,8 +208,12 @@ def test_pcap_both_byte_orders(spark, tmp_path):
         head = struct.pack(order + "IHHIIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
         record = struct.pack(order + "IIII", 3, 4, len(frame), len(frame)) + frame
         (tmp_path / f"{name}.pcap").write_bytes(head + record * 2 + record[:-5])
+    fine = struct.pack("<IHHIIII", 0xA1B23C4D, 2, 4, 0, 0, 65535, 1) + struct.pack("<IIII", 3, 4000, len(frame), len(frame)) + frame
+    (tmp_path / "nano.pcap").write_bytes(fine)
     (tmp_path / "bad.pcap").write_bytes(b"nothing to see here, move on please")
     rows = fr.read_pcap(spark, str(tmp_path))
     assert [(r.frame_no, r.ts_us, bytes(r.frame)) for r in rows.orderBy("path", "frame_no").collect()] == [
-        (0, 3000004, frame), (1, 3000004, frame)] * 2
-    assert fr.decode_frames(rows).filter(F.col("tcp_flags") == 2).count() == 4
+        (0, 3000004, frame), (1, 3000004, frame)] * 2 + [(0, 3000004, frame)]
+    assert fr.decode_frames(rows).filter(F.col("tcp_flags") == 2).count() == 5
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert [r.path.endswith("bad.pcap") for r in fr.unreadable_captures(files).collect()] == [True]

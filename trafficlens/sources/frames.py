@@ -5,34 +5,34 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trafficlens import schemas
-from trafficlens.functions.binding import bind, staged
-from trafficlens.functions.bytes import ip4, ip6, piece, u8, u16
-from trafficlens.functions.network import GRE, TCP, UDP
-from trafficlens.functions.network import is_fragment as fragment_bits
+from trafficlens.functions.network import UDP
+from trafficlens.sources.wire import Cells, batches_of, dns_name, ip_header, link_header, transport, transport_start, tunnelled
 
-# Link types, ether types and IPv6 extension headers.
+# Link types.
 ETHERNET, LINUX_COOKED = 1, 113
-ETHER_IPV4, ETHER_IPV6 = 0x0800, 0x86DD
-VLAN_TAGS = (0x8100, 0x88A8)
-EXTENSION_HEADERS = (0, 43, 44, 60)
-MAX_TAGS, MAX_GRE, MAX_EXTENSIONS = 3, 3, 10
+# First bytes of a capture file, byte order, and nanoseconds of its second time field.
+MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1)}
 
 _PCAP_HEADER, _RECORD_HEADER = 24, 16
 _BATCH = 4096
 
 
 def _frames_of(path: str, content: bytes) -> Iterator[tuple]:
-    """Frames of one capture file, either byte order; a cut-off last record is left out."""
+    """Frames of one capture file, either byte order, micro- or nanoseconds; a cut-off last record is left out."""
     if len(content) < _PCAP_HEADER:
         return
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">"}.get(content[:4])
-    if order is None:
+    if content[:4] not in MAGIC:
         return
+    order, nanoseconds = MAGIC[content[:4]]
     link_type = struct.unpack_from(order + "I", content, 20)[0]
     record = struct.Struct(order + "IIII")
     position, number = _PCAP_HEADER, 0
@@ -41,7 +41,7 @@ def _frames_of(path: str, content: bytes) -> Iterator[tuple]:
         position += _RECORD_HEADER
         if position + kept > len(content):
             return
-        yield path, number, seconds * 1_000_000 + micros, link_type, original, content[position:position + kept]
+        yield path, number, seconds * 1_000_000 + micros * nanoseconds // 1000, link_type, original, content[position:position + kept]
         position, number = position + kept, number + 1
 
 
@@ -66,6 +66,12 @@ def scan_pcap(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_scan, schemas.FRAMES)
 
 
+def unreadable_captures(files: DataFrame) -> DataFrame:
+    """Paths of the files, given as path and content, that are no capture in a known form."""
+    known = [F.lit(bytearray(magic)) for magic in MAGIC]
+    return files.filter(F.length("content").isNull() | (F.length("content") < _PCAP_HEADER) | ~F.substring("content", 1, 4).isin(*known)).select("path")
+
+
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path)
     return scan_pcap(files)
@@ -73,118 +79,51 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
 
 # --- headers ---------------------------------------------------------------
 
-def _ip_header(frame: Column, at: Column, ether_type: Column) -> Column:
-    """Struct of the IP header at ``at``; null if it is not a complete one."""
-    size = F.length(frame)
-    first = u8(frame, at)
-    header = (first.bitwiseAND(F.lit(15)) * 4)
-    v4 = F.struct(
-        F.lit(False).alias("v6"), u8(frame, at + 9).alias("protocol"), u16(frame, at + 2).alias("pkt_len"),
-        fragment_bits(u16(frame, at + 6)).alias("is_fragment"), u8(frame, at + 8).alias("ttl"),
-        ip4(frame, at + 12).alias("src_ip"), ip4(frame, at + 16).alias("dst_ip"), (at + header).alias("next"))
-    v6 = F.struct(
-        F.lit(True).alias("v6"), u8(frame, at + 6).alias("protocol"), (u16(frame, at + 4) + 40).alias("pkt_len"),
-        F.lit(False).alias("is_fragment"), u8(frame, at + 7).alias("ttl"),
-        ip6(frame, at + 8).alias("src_ip"), ip6(frame, at + 24).alias("dst_ip"), (at + 40).alias("next"))
-    whole4 = ((at + 20 <= size) & (F.shiftright(first, 4) == 4) & (header >= 20) & (at + header <= size))
-    whole6 = (at + 40 <= size) & (F.shiftright(first, 4) == 6)
-    return F.when((ether_type == ETHER_IPV4) & whole4, v4).when((ether_type == ETHER_IPV6) & whole6, v6)
-
-
-def _tunnel(frame: Column, ip: Column) -> Column:
-    """Struct (at, ether_type) of the packet inside a GRE header; null if there is none."""
-    at = ip["next"]
-
-    def inner(head: Column) -> Column:
-        flags = head["flags"]
-        length = F.lit(4)
-        for bit in (0x8000, 0x2000, 0x1000):
-            length = length + F.when(flags.bitwiseAND(F.lit(bit)) != 0, 4).otherwise(0)
-        start = at + length
-        carries_ip = head["kind"].isin(ETHER_IPV4, ETHER_IPV6) & (start < F.length(frame))
-        return F.when(carries_ip, F.struct(start.cast("bigint").alias("at"), head["kind"].alias("ether_type")))
-
-    head = F.struct(u16(frame, at).alias("flags"), u16(frame, at + 2).alias("kind"))
-    return F.when((ip["protocol"] == GRE) & (at + 4 <= F.length(frame)), bind(head, inner))
-
-
-def _transport_start(frame: Column, ip: Column) -> Column:
-    """Struct (protocol, at) behind the IPv6 extension headers."""
-    plain = F.struct(ip["protocol"].alias("protocol"), ip["next"].cast("bigint").alias("at"))
-
-    def skip(acc: Column, _: Column) -> Column:
-        more = acc["protocol"].isin(*EXTENSION_HEADERS) & (acc["at"] + 2 <= F.length(frame))
-        moved = F.struct(u8(frame, acc["at"]).alias("protocol"),
-                         (acc["at"] + (u8(frame, acc["at"] + 1) + 1) * 8).alias("at"))
-        return F.when(more, moved).otherwise(acc)
-
-    skipped = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSIONS)), plain, skip)
-    return F.when(ip["v6"] & ip["protocol"].isin(*EXTENSION_HEADERS), skipped).otherwise(plain)
-
-
-def transport(frame: Column, protocol: Column, at: Column) -> Column:
-    """Struct of ports, flags and the payload position for TCP and UDP."""
-    size = F.length(frame)
-    tcp = (protocol == TCP) & (at + 14 <= size)
-    ports = tcp | ((protocol == UDP) & (at + 4 <= size))
-    zero = F.lit(0).cast("bigint")
-    data_at = F.when(tcp, at + F.shiftright(u8(frame, at + 12), 4) * 4).when(protocol == UDP, at + 8)
-    return F.struct(
-        F.when(ports, u16(frame, at)).otherwise(zero).alias("src_port"),
-        F.when(ports, u16(frame, at + 2)).otherwise(zero).alias("dst_port"),
-        F.when(tcp, u8(frame, at + 13)).otherwise(zero).alias("tcp_flags"), data_at.alias("data_at"))
-
-
-def dns_name(message: Column) -> Column:
-    """Query name of a DNS request, with the final dot; null for answers and other data."""
-    def labels(acc: Column, _: Column) -> Column:
-        length = u8(message, acc["at"])
-        more = length.between(1, 63) & (acc["at"] + 1 + length <= F.length(message))
-        text = F.concat(acc["name"], F.decode(piece(message, acc["at"] + 1, length), "ISO-8859-1"), F.lit("."))
-        return F.when(more, F.struct((acc["at"] + 1 + length).alias("at"), text.alias("name"))).otherwise(acc)
-
-    start = F.struct(F.lit(12).cast("bigint").alias("at"), F.lit("").alias("name"))
-    request = (F.length(message) >= 13) & (u8(message, 2) < 128) & (u16(message, 4) >= 1)
-    name = F.aggregate(F.sequence(F.lit(1), F.lit(127)), start, labels)["name"]
-    return F.when(request, F.when(name == "", ".").otherwise(name))
+PACKET_COLUMNS = ("src_ip string, dst_ip string, src_port bigint, dst_port bigint, protocol bigint, pkt_len bigint, tcp_flags bigint, "
+                  "ttl bigint, is_fragment boolean, payload binary, dns_qname string, was_gre boolean, inner_dst_ip string, outer_len bigint, inner_len bigint")
+
+
+def _packets(batch: pa.RecordBatch, gre_strip: bool) -> tuple[np.ndarray, dict]:
+    names = batch.schema.names
+    cooked = batch.column(names.index("link_type")).to_numpy(zero_copy_only=False) == LINUX_COOKED
+    frame = Cells.of(batch.column(names.index("frame")))
+    kind, at = link_header(frame, cooked)
+    ip = ip_header(frame, at, kind)
+    outer, layers = ip["pkt_len"], np.zeros(len(frame), np.int64)
+    while gre_strip:
+        inside, start, kind = tunnelled(frame, ip)
+        if not inside.any():
+            break
+        inner = ip_header(frame, start, kind)
+        ip = {name: np.where(inside, inner[name], value) for name, value in ip.items()}
+        layers += inside
+    rows = np.flatnonzero(ip["whole"])
+    ip, frame, outer, layers = {name: value[rows] for name, value in ip.items()}, frame.rows(rows), outer[rows], layers[rows]
+    protocol, at = transport_start(frame, ip)
+    l4 = transport(frame, protocol, at)
+    data = frame.part(l4["data_at"], frame.size - l4["data_at"])
+    there = (l4["data_at"] >= 0) & (data.size > 0)
+    payload = np.full(len(rows), None, object)
+    payload[there] = np.array([*data.rows(there).pieces(), None], object)[:-1]
+    dns = (protocol == UDP) & ((l4["dst_port"] == 53) | (l4["src_port"] == 53))
+    dst_ip = np.array([*frame.addresses(ip["dst_at"], ip["v6"]), None], object)[:-1]
+    columns = {name: l4[name] for name in ("src_port", "dst_port", "tcp_flags")} | {name: ip[name] for name in ("pkt_len", "ttl", "is_fragment")}
+    return rows, columns | {
+        "src_ip": frame.addresses(ip["src_at"], ip["v6"]), "dst_ip": dst_ip, "protocol": protocol, "payload": payload,
+        "dns_qname": [dns_name(p) if d and p is not None else None for d, p in zip(dns.tolist(), payload)], "was_gre": layers > 0,
+        "inner_dst_ip": np.where(layers > 0, dst_ip, None), "outer_len": outer, "inner_len": ip["pkt_len"]}
 
 
 def decode_frames(frames: DataFrame, gre_strip: bool = False) -> DataFrame:
     """Packet rows from captured frames; frames that carry no IP drop out.
 
-    Each header is one step of expressions on the frame, so the whole chain stays in the JVM.
-    With ``gre_strip`` up to three tunnel layers are removed and the innermost packet
-    is reported; the outer length and destination of a tunnelled packet are kept.
+    VLAN tags, IPv6 extension headers and, with ``gre_strip``, tunnel layers are followed to the
+    end; the innermost packet is reported. The outer length and destination of a tunnelled packet are kept.
     """
-    frame = F.col("frame")
-    size = F.length(frame)
+    size = F.length("frame")
     cooked = F.col("link_type") == LINUX_COOKED
     rows = frames.filter(F.col("link_type").isin(ETHERNET, LINUX_COOKED) & (size >= F.when(cooked, 16).otherwise(14)))
-    rows = staged(rows, _type=F.when(cooked, u16(frame, 14)).otherwise(u16(frame, 12)),
-                  _at=F.when(cooked, 16).otherwise(14).cast("bigint"))
-    for _ in range(MAX_TAGS):
-        # A cut-off tag leaves no type, and the frame drops out below.
-        tagged = F.col("_type").isin(*VLAN_TAGS) & ~cooked
-        rows = staged(rows, _type=F.when(tagged, F.when(F.col("_at") + 4 <= size, u16(frame, F.col("_at") + 2)))
-                      .otherwise(F.col("_type")), _at=F.col("_at") + F.when(tagged, 4).otherwise(0))
-    rows = staged(rows, _ip=_ip_header(frame, F.col("_at"), F.col("_type")))
-    rows = staged(rows, _outer=F.col("_ip.pkt_len"), _layers=F.lit(0))
-    if gre_strip:
-        for _ in range(MAX_GRE):
-            rows = staged(rows, _in=_tunnel(frame, F.col("_ip")))
-            rows = staged(rows, _ip=F.when(F.col("_in").isNull(), F.col("_ip")).otherwise(
-                              _ip_header(frame, F.col("_in.at"), F.col("_in.ether_type"))),
-                          _layers=F.col("_layers") + F.when(F.col("_in").isNull(), 0).otherwise(1))
-    rows = staged(rows.filter(F.col("_ip").isNotNull()), _next=_transport_start(frame, F.col("_ip")))
-    rows = staged(rows, _l4=transport(frame, F.col("_next.protocol"), F.col("_next.at")))
-    payload = F.when(F.col("_l4.data_at") < size, piece(frame, F.col("_l4.data_at"), size))
-    rows = staged(rows, payload=payload)
-    is_dns = (F.col("_next.protocol") == UDP) & ((F.col("_l4.dst_port") == 53) | (F.col("_l4.src_port") == 53))
-    was_gre = F.col("_layers") > 0
     others = [name for name in frames.columns if name not in ("frame", "link_type", "orig_len")]
-    return rows.select(
-        *others, "_ip.src_ip", "_ip.dst_ip", "_l4.src_port", "_l4.dst_port", F.col("_next.protocol").alias("protocol"),
-        "_ip.pkt_len", "_l4.tcp_flags", "_ip.ttl", "_ip.is_fragment", "payload",
-        F.when(is_dns, dns_name(F.col("payload"))).alias("dns_qname"), was_gre.alias("was_gre"),
-        F.when(was_gre, F.col("_ip.dst_ip")).alias("inner_dst_ip"),
-        F.col("_outer").alias("outer_len"), F.col("_ip.pkt_len").alias("inner_len"))
+    schema = T.StructType([*frames.select(*others).schema.fields, *T.StructType.fromDDL(PACKET_COLUMNS).fields])
+    run = batches_of(lambda batch: _packets(batch, gre_strip), others, to_arrow_schema(schema))
+    return rows.select(*others, "link_type", "frame").mapInArrow(run, schema)
