@@ -7,10 +7,11 @@ coordinates that its id selects, down to ``DEPTH``. Nodes of one document end. I
 documents are compared by their signatures. ``trees`` repeats that independently, so that a pair at the
 threshold is missed with a chance below ``1 - recall``.
 
-Comparing yields candidates in two rounds. The first takes a spanning forest of the most similar
-pairs of each node: a link for each document, not each pair. What the full sets confirm is joined to
-components. The second round takes the pairs that are similar enough and not yet in one component. So copies
-of one text by the thousands need a link each. Nodes that are large at the last depth are compared in blocks: in the first
+Comparing takes two rounds. The first takes a spanning forest of the most similar pairs of each
+node as candidates: one for each document, not each pair. What the full sets confirm is joined to
+components. The second round takes the documents that may be linked with one of another component, and
+compares the full sets of those in a node at once; again it puts out one link for each document. So
+copies of one text by the thousands need a link each. Nodes that are large at the last depth are compared in blocks: in the first
 round each block with the node's first documents, in the second the documents outside the node's commonest
 component with all blocks.
 """
@@ -39,6 +40,8 @@ RECALL = 0.999_99
 SLACK = 4.0
 #: Documents that all blocks of a large node are compared with in the first round.
 PIVOTS = 16
+#: Shingles that are counted at once when full sets of a node are compared.
+COLUMNS = 2048
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _BYTE = splitmix(_LOWER + np.uint64(1 << 32))
@@ -164,33 +167,36 @@ def _forest(ids: np.ndarray, sizes: np.ndarray, sig: np.ndarray, labels: np.ndar
     return out
 
 
-def _between(ids: np.ndarray, sizes: np.ndarray, sig: np.ndarray, labels: np.ndarray, left: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """All pairs that may be links and are not in one component; ``left`` marks the documents of which a pair needs one."""
+def _suspects(ids: np.ndarray, sizes: np.ndarray, sig: np.ndarray, labels: np.ndarray, left: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The documents that may be linked with one of another component; of such a pair, ``left`` marks one at least."""
     if (labels == labels[0]).all():
         return []
-    least, out = _least_estimate(threshold), []
+    least, found = _least_estimate(threshold), np.zeros(len(ids), bool)
     for k in np.flatnonzero(left).tolist():
-        found = (_similar(sig, sizes, k, threshold) >= least) & (labels != labels[k])
-        found[: k + 1] &= ~left[: k + 1]  # a pair of two such documents once
-        out += [(ids[k], ids[x]) for x in np.flatnonzero(found).tolist()]
-    return out
+        near = (_similar(sig, sizes, k, threshold) >= least) & (labels != labels[k])
+        if near.any():
+            found |= near
+            found[k] = True
+    return [(ids[k], ids[k]) for k in np.flatnonzero(found).tolist()]
 
 
 def _compared(nodes: DataFrame, keys: list[str], way: Callable, threshold: float) -> DataFrame:
-    """Candidate pairs (a < b) of the documents with the same keys, of which a task holds one node at a time."""
+    """What ``way`` finds among the documents with the same keys: the keys and pairs (a <= b). A task holds one node at a time."""
     names = [*keys, "rep", "n_shingles", "sig", "label", "left"]
+    schema = ", ".join([*(f"{k} long" for k in keys), "a long", "b long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        def pairs(rows: list[tuple]) -> list[tuple]:
             ids, sizes, sig, labels, left = zip(*(r[len(keys):] for r in rows))
             found = way(np.array(ids), np.array(sizes), np.frombuffer(b"".join(sig), np.uint8).reshape(len(ids), -1), np.array(labels), np.array(left), threshold)
-            return [(min(x), max(x)) for x in found if x[0] != x[1]]
+            return [(*rows[0][: len(keys)], min(x), max(x)) for x in found]
 
-        def batch_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def batch_of(found: set[tuple]) -> pa.RecordBatch:
+            columns = zip(*found) if found else [[]] * (len(keys) + 2)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*keys, "a", "b"])
 
         node: list[tuple] = []
-        out: set[tuple[int, int]] = set()
+        out: set[tuple] = set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if node and node[-1][: len(keys)] != row[: len(keys)]:
@@ -206,12 +212,12 @@ def _compared(nodes: DataFrame, keys: list[str], way: Callable, threshold: float
         yield batch_of(out)
 
     rows = nodes.select(*names).repartition(*keys).sortWithinPartitions(*keys, "rep")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, schema)
 
 
 def _first_round(small: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
     plain = lambda df: df.withColumn("label", F.col("rep")).withColumn("left", F.lit(True))
-    out = _compared(plain(small), ["node"], _forest, threshold)
+    out = _compared(plain(small), ["node"], _forest, threshold).select("a", "b")
     blocks = large.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("least"))
     blocked = large.join(blocks, "node").withColumn("blocks", F.ceil(F.col("size") / (NODE - PIVOTS)))
     own = blocked.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -220,13 +226,18 @@ def _first_round(small: DataFrame, large: DataFrame, threshold: float) -> DataFr
     first = large.select("node", "rep").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("node", "rep")
     everywhere = blocked.join(first, ["node", "rep"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     both = own.unionByName(everywhere).dropDuplicates(["node", "block", "rep"])
-    return out.union(_compared(plain(both), ["node", "block"], _forest, threshold)).distinct()
+    return out.union(_compared(plain(both), ["node", "block"], _forest, threshold).select("a", "b")).where("a <> b").distinct()
 
 
 def _second_round(small: DataFrame, large: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Candidates of different components. In a small node, documents without any candidate in the first round have none in the second."""
+    """node, r, g and rep of the documents that may be linked with one of another component.
+
+    In a small node, documents without any candidate in the first round have none in the second.
+    """
     own = labels.select(F.col("v").alias("rep"), F.col("component").alias("label"))
-    out = _compared(small.join(own, "rep").withColumn("left", F.lit(True)), ["node"], _between, threshold)
+    none = F.lit(0).cast("long")
+    keys = ["node", "r", "g"]
+    out = _compared(small.join(own, "rep").withColumns({"left": F.lit(True), "r": none, "g": none}), keys, _suspects, threshold)
     known = large.join(own, "rep")
     sizes = known.groupBy("node", "label").agg(F.count("*").alias("n"))
     common = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("size"), F.max("n").alias("most"))
@@ -237,7 +248,56 @@ def _second_round(small: DataFrame, large: DataFrame, labels: DataFrame, thresho
     asked = sized.where("left").withColumn("r", F.pmod(F.xxhash64("rep"), F.col("others"))).withColumn("g", every("blocks"))
     there = sized.withColumn("g", block).withColumn("r", every("others")).withColumn("left", F.lit(False))
     both = asked.unionByName(there)
-    return out.union(_compared(both, ["node", "r", "g"], _between, threshold)).distinct()
+    return out.union(_compared(both, keys, _suspects, threshold)).select(*keys, F.col("a").alias("rep")).distinct()
+
+
+def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each set, the first of those that are reachable from it over links. Sizes of intersections are products of a 0-1 matrix."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, number = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = number[column] > 1
+    row, column = row[shared], (np.cumsum(number > 1) - 1)[column[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        ones = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        ones[row[a:b], column[a:b] - at] = 1
+        both += ones @ ones.T
+    link = 100 * both >= round(100 * threshold) * (sizes[:, None] + sizes - both)
+    np.fill_diagonal(link, True)
+    first = np.arange(len(sets))
+    while True:
+        least = np.where(link, first, len(sets)).min(axis=1)
+        least = least[least]
+        if (least == first).all():
+            return first
+        first = least
+
+
+def _linked_in_nodes(suspects: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that are in one component by the full sets of a node's suspects: one for each of them at most."""
+    keys = ["node", "r", "g"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            first = linked([np.frombuffer(r[4], np.uint64) for r in rows], threshold).tolist() if len(rows) > 1 else []
+            found = [(rows[x][3], rows[k][3]) for k, x in enumerate(first) if x != k]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        node: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if node and node[-1][:3] != row[:3]:
+                    yield batch_of(node)
+                    node = []
+                node.append(row)
+        yield batch_of(node)
+
+    rows = suspects.join(sets, "rep").select(*keys, "rep", "shingles").repartition(*keys).sortWithinPartitions(*keys, "rep")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -291,7 +351,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     links = checkpointed(_confirmed(first, shingled, threshold))
     own = active.select(F.col("rep").alias("a"), F.col("rep").alias("b"))  # so that each has a label
     labels = components(links.union(own))
-    more = checkpointed(_confirmed(_second_round(small, large, labels, threshold), shingled, threshold))
+    more = checkpointed(_linked_in_nodes(_second_round(small, large, labels, threshold), shingled, threshold))
     if not more.isEmpty():
         labels = components(links.union(more).union(own))
     of_class = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("c"))
