@@ -50,20 +50,22 @@ def check(frame, texts, length=100):
 
 def test_suffix_arrays():
     draw = random.Random(1)
-    for trial in range(80):
+    for trial in range(150):
         texts = [[draw.randint(1, draw.choice([1, 2, 4, 20])) for _ in range(draw.randint(0, 50))] * draw.choice([1, 3]) + [0] for _ in range(draw.randint(1, 6))]
+        texts.sort(key=len, reverse=True)
         sizes = np.array([len(t) for t in texts])
-        matrix = np.zeros((sizes.max(), len(texts)), np.int32)
-        for k, text in enumerate(texts):
-            matrix[: len(text), k] = text
-        arrays = suffix_arrays(matrix, sizes, 21)
-        prefixes = common_prefixes(matrix, arrays, 10)
-        for k, text in enumerate(texts):
+        flat = np.array([x for t in texts for x in t])
+        arrays = suffix_arrays(flat, sizes, 21)
+        prefixes = common_prefixes(flat.astype(np.uint8), arrays, sizes, 10)
+        base = 0
+        for text in texts:
             order = sorted(range(len(text)), key=lambda i: text[i:])
-            assert arrays[: len(text), k].tolist() == order and (arrays[len(text):, k] == -1).all()
+            assert (arrays[base:base + len(text)] - base).tolist() == order
+            assert prefixes[base + order[0]] == 0
             for a, b in zip(order, order[1:]):
                 same = next((j for j in range(10) if max(a, b) + j >= len(text) or text[a + j] != text[b + j]), 10)
-                assert prefixes[b, k] == same or max(a, b) + prefixes[b, k] >= len(text)
+                assert prefixes[base + b] == same or max(a, b) + prefixes[base + b] >= len(text)
+            base += len(text)
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -1,7 +1,6 @@
 """Suffix arrays by induced sorting, of many texts in step.
 
-The texts of a batch are columns of one matrix and each step of the classical algorithm is done for
-all of them at once: suffixes are classified, leftmost smaller (LMS) suffixes are dropped into their
+Each step of the classical algorithm is done for all texts of a batch at once: suffixes are classified, leftmost smaller (LMS) suffixes are dropped into their
 buckets and induce the order of the LMS substrings, these are named, the texts of names are sorted
 recursively where names repeat, and the sorted LMS suffixes induce the order of all others in
 two linear scans.
@@ -13,135 +12,134 @@ import numpy as np
 
 
 def suffix_arrays(text: np.ndarray, sizes: np.ndarray, symbols: int) -> np.ndarray:
-    """Suffix arrays of the columns of ``text`` (positions x texts) of the given sizes; -1 beyond a text's size.
+    """Suffix arrays of texts that stand one after another in ``text``, largest first, each array in the place of its text.
 
-    Symbols are below ``symbols``; each text ends with 0, which stands nowhere else in it.
+    Symbols are below ``symbols``; each text ends with 0, which stands nowhere else in it. Texts that have
+    ended drop out of the steps, so a batch takes as many steps as its largest text is long.
     """
-    n, width = text.shape
-    column = np.arange(width)
-    smaller = np.zeros((n, width), bool)  # S-type
-    last = np.zeros((n, width), bool)
-    last[sizes - 1, column] = True
-    smaller[n - 1] = True
-    for i in range(n - 2, -1, -1):
-        smaller[i] = (text[i] < text[i + 1]) | ((text[i] == text[i + 1]) & smaller[i + 1]) | last[i]
-    inside = np.arange(n)[:, None] < sizes
-    lms = np.zeros((n, width), bool)
-    lms[1:] = smaller[1:] & ~smaller[:-1] & inside[1:]
-    lms |= last
-    flat, small = text.ravel(), smaller.ravel()
-    counts = np.bincount((column * symbols + text)[inside], minlength=width * symbols).reshape(width, symbols)
-    ends = np.cumsum(counts, axis=1)
-    starts, ends = (ends - counts).ravel(), ends.ravel()
+    width, total = len(sizes), len(text)
+    base = np.cumsum(sizes) - sizes
+    owner_of = np.repeat(np.arange(width), sizes)
+    # texts that reach to each step, and buckets of each text
+    reaching = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), side="right")
+    row = np.arange(width) * symbols
+    # S-type: smaller than the next suffix; of equal neighbours, what the run's end is
+    last = base + sizes - 1
+    differs = np.ones(total, bool)
+    differs[:-1] = text[:-1] != text[1:]
+    differs[last] = True
+    end_of_run = np.minimum.accumulate(np.where(differs, np.arange(total), total)[::-1])[::-1]
+    following = np.append(text, 0)[end_of_run + 1]
+    small = text < following
+    small[last] = True
+    lms = np.zeros(total, bool)
+    lms[1:] = small[1:] & ~small[:-1]
+    lms[base] = False
+    lms[last] = True
+    key = row[owner_of] + text
+    counts = np.bincount(key, minlength=width * symbols)
+    ends = np.cumsum(counts.reshape(width, symbols), axis=1).ravel() + np.repeat(base, symbols)
+    starts = ends - counts
 
-    def induced(owner: np.ndarray, position: np.ndarray) -> np.ndarray:
-        """The suffix arrays induced by LMS suffixes, which are given in order within each text."""
-        array = np.full(n * width, -1, np.int32)
-        bucket = owner * symbols + text[position, owner]
+    def induced(at: np.ndarray) -> np.ndarray:
+        """The suffix arrays induced by the LMS suffixes at the given places of ``text``, which are in order within each text."""
+        array = np.full(total, -1, np.int64)  # places in text; -1 is empty
+        bucket = key[at]
         order = np.argsort(bucket, kind="stable")
-        sorted_bucket = bucket[order]
-        first = np.flatnonzero(np.append(True, sorted_bucket[1:] != sorted_bucket[:-1])) if len(order) else np.zeros(0, np.int64)
-        number = np.diff(np.append(first, len(order)))
-        rank = np.arange(len(order)) - np.repeat(first, number)
-        array[(ends[sorted_bucket] - np.repeat(number, number) + rank) * width + owner[order]] = position[order]
+        ordered = bucket[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        number = np.repeat(np.diff(np.append(first, len(order))), np.diff(np.append(first, len(order))))
+        array[ends[ordered] - number + np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))] = at[order]
+        # what stands before each place, if it is of the type that the scan induces
+        before = np.arange(-1, total - 1)
+        large_before, small_before = np.append(~small[:-1], False), np.append(small[:-1], False)
+        large_before, small_before = np.roll(large_before, 1), np.roll(small_before, 1)
+        large_before[base] = small_before[base] = False
+        large = np.append(np.where(large_before, before, -1), -1)  # an empty entry reads the -1 at the end
+        smaller = np.append(np.where(small_before, before, -1), -1)
         head = starts.copy()
-        for i in range(n):
-            before = array[i * width : (i + 1) * width] - 1
-            at = before * width + column
-            on = np.flatnonzero((before >= 0) & ~small[at])
-            if len(on):
-                at, c = at[on], on * symbols
-                c += flat[at]
+        for i in range(len(reaching)):
+            place = large[array[base[: reaching[i]] + i]]
+            place = place[place >= 0]
+            if len(place):
+                c = key[place]
                 slot = head[c]
                 head[c] = slot + 1
-                array[slot * width + on] = before[on]
+                array[slot] = place
         tail = ends - 1
-        for i in range(n - 1, -1, -1):
-            before = array[i * width : (i + 1) * width] - 1
-            at = before * width + column
-            on = np.flatnonzero((before >= 0) & small[at])
-            if len(on):
-                at, c = at[on], on * symbols
-                c += flat[at]
+        for i in range(len(reaching) - 1, -1, -1):
+            place = smaller[array[base[: reaching[i]] + i]]
+            place = place[place >= 0]
+            if len(place):
+                c = key[place]
                 slot = tail[c]
                 tail[c] = slot - 1
-                array[slot * width + on] = before[on]
-        return array.reshape(n, width)
+                array[slot] = place
+        return array
 
-    position, owner = (x.ravel() for x in np.nonzero(lms))
-    by_text = np.lexsort((position, owner))
-    position, owner = position[by_text], owner[by_text]
-    rough = induced(owner, position)
-    # LMS suffixes in the order of their substrings
-    entries = rough.T
-    sorted_owner, place = np.nonzero((entries >= 0) & lms[np.maximum(entries, 0), column[:, None]])
-    sorted_position = entries[sorted_owner, place]
-    # an LMS substring reaches to the next LMS position
-    reach = np.zeros((n, width), np.int32)
-    same = owner[1:] == owner[:-1]
-    reach[position[:-1][same], owner[:-1][same]] = np.diff(position)[same]
-    length = reach[sorted_position, sorted_owner]
-    fresh = np.ones(len(sorted_owner), bool)
-    pairs = np.flatnonzero((sorted_owner[1:] == sorted_owner[:-1]) & (length[1:] == length[:-1]) & (length[1:] > 0))
-    a, b, o = sorted_position[pairs], sorted_position[pairs + 1], sorted_owner[pairs]
-    left, offset = length[pairs + 1], 0
+    at = np.flatnonzero(lms)
+    rough = induced(at)
+    ordered = rough[lms[rough]]  # LMS suffixes in the order of their substrings
+    owner = owner_of[ordered]
+    # an LMS substring reaches to the next LMS place
+    reach = np.zeros(total, np.int64)
+    same = owner_of[at[1:]] == owner_of[at[:-1]]
+    reach[at[:-1][same]] = np.diff(at)[same]
+    length = reach[ordered]
+    fresh = np.ones(len(ordered), bool)
+    pairs = np.flatnonzero((owner[1:] == owner[:-1]) & (length[1:] == length[:-1]) & (length[1:] > 0))
+    a, b, left, offset = ordered[pairs], ordered[pairs + 1], length[pairs + 1], 0
     while len(pairs):
-        equal = text[a + offset, o] == text[b + offset, o]
-        pairs, a, b, o, left = pairs[equal], a[equal], b[equal], o[equal], left[equal]
+        equal = text[a + offset] == text[b + offset]
+        pairs, a, b, left = pairs[equal], a[equal], b[equal], left[equal]
         done = left == offset
         fresh[pairs[done] + 1] = False
-        pairs, a, b, o, left = pairs[~done], a[~done], b[~done], o[~done], left[~done]
+        pairs, a, b, left = pairs[~done], a[~done], b[~done], left[~done]
         offset += 1
-    total = np.cumsum(fresh)
-    number = np.bincount(owner, minlength=width)  # LMS suffixes of each text
-    first = np.append(0, np.cumsum(number))[:-1]
-    name = total - total[np.minimum(first, len(total) - 1)][sorted_owner]
-    names = np.zeros((n, width), np.int32)
-    names[sorted_position, sorted_owner] = name
-    rank = np.arange(len(owner)) - first[owner]
+    number = np.bincount(owner_of[at], minlength=width)  # LMS suffixes of each text
+    first = np.cumsum(number) - number
+    name = np.cumsum(fresh)
+    name = name - name[first][owner]
+    names = np.zeros(total, np.int64)
+    names[ordered] = name
     distinct = np.zeros(width, np.int64)
-    np.maximum.at(distinct, sorted_owner, name + 1)
+    np.maximum.at(distinct, owner, name + 1)
     repeated = np.flatnonzero(distinct < number)
     if len(repeated):
-        reduced = np.zeros((int(number[repeated].max()), width), np.int32)
-        some = distinct[owner] < number[owner]
-        reduced[rank[some], owner[some]] = names[position[some], owner[some]]
-        inner = suffix_arrays(np.ascontiguousarray(reduced[:, repeated]), number[repeated], int(distinct[repeated].max()))
-        which = np.nonzero(inner.T >= 0)
-        chosen = repeated[which[0]]
-        ordered = position[first[chosen] + inner.T[which]]
-        at = np.flatnonzero(distinct[sorted_owner] < number[sorted_owner])
-        sorted_position = sorted_position.copy()
-        sorted_position[at] = ordered
-    return induced(sorted_owner, sorted_position)
+        repeated = repeated[np.argsort(-number[repeated], kind="stable")]
+        chosen = np.repeat(first[repeated], number[repeated]) + _counting(number[repeated])
+        inner = suffix_arrays(names[at[chosen]], number[repeated], int(distinct[repeated].max()))
+        ordered = ordered.copy()
+        ordered[chosen] = at[chosen[inner]]
+    return induced(ordered)
 
 
-def common_prefixes(text: np.ndarray, arrays: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes: for each position, what its suffix shares with the one before it in its suffix array, ``most`` at most.
+def _counting(numbers: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the numbers."""
+    return np.arange(numbers.sum()) - np.repeat(np.cumsum(numbers) - numbers, numbers)
 
-    Symbols are bytes (0-255). They are compared eight at a time.
+
+def common_prefixes(text: np.ndarray, arrays: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """Permuted common prefixes: for each place, what its suffix shares with the one before it in its suffix array, ``most`` at most.
+
+    Symbols are bytes, compared eight at a time. What lies behind a text's end counts like its own; a suffix that is first has 0.
     """
-    n, width = text.shape
-    plain = np.zeros((width, n + most + 8), np.uint64)
-    plain[:, :n] = text.T
-    words = plain.copy()  # the eight symbols from each position on, the first in the low byte
-    for k in range(1, 8):
-        words[:, :-k] |= plain[:, k:] << np.uint64(8 * k)
-    stride, flat = words.shape[1], words.ravel()
-    shared = np.zeros((width, n), np.int32)
-    entries = arrays.T
-    owner, place = np.nonzero(entries[:, 1:] >= 0)
-    b = entries[owner, place + 1]
-    left, right = owner * stride + entries[owner, place], owner * stride + b
-    todo = np.arange(len(owner))
-    out = np.zeros(len(owner), np.int32)
+    words = np.concatenate([text, np.zeros(most + 8, np.uint8)]).astype(np.uint64)
+    for k in range(1, 8):  # the eight symbols from each place on, the first in the low byte
+        words[:-k] |= (words[k:] & np.uint64(0xFF)) << np.uint64(8 * k)
+    follows = np.ones(len(arrays), bool)
+    follows[np.cumsum(sizes) - sizes] = False
+    right = np.flatnonzero(follows)
+    left, right = arrays[right - 1], arrays[right]
+    todo, out = np.arange(len(right)), np.zeros(len(right), np.int32)
     for offset in range(0, most, 8):
-        differ = flat[left[todo] + offset] ^ flat[right[todo] + offset]
+        differ = words[left[todo] + offset] ^ words[right[todo] + offset]
         ended = differ != 0
         last, differ = todo[ended], differ[ended]
         for k in range(1, 8):
             out[last] += (differ & np.uint64((1 << 8 * k) - 1)) == 0
         todo = todo[~ended]
         out[todo] += 8
-    shared[owner, b] = np.minimum(out, most)
-    return shared.T
+    shared = np.zeros(len(arrays), np.int32)
+    shared[right] = np.minimum(out, most)
+    return shared

@@ -36,19 +36,40 @@ GRAM = 20
 RUN = 1024
 #: Different segments of a group that are sorted together at most.
 GROUP = 128
-#: Symbols of the texts that are sorted in step, and rows that wait for that.
-CELLS = 2_000_000
+#: Symbols of the texts that are sorted in step, and rows that are read for that.
+CELLS = 4_000_000
+SORTED_ROWS = 40_000
 _BYTE = splitmix(np.arange(256, dtype=np.uint64) + np.uint64(99))
 #: What a row is: starts that repeat; a segment or window by its hash; one whose bytes are asked for; a segment that may repeat itself.
 REPEAT, EQUAL, SORT, WIDE, LOOP = range(5)
-ROW = "kind int, group long, content long, doc long, first long, last long"
+#: ``place`` holds the first start, the number of starts after it, and what the row is.
+ROW = "group long, content long, doc long, place long"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
 _LAST_DOC = 2**63 - 1
 
 
-def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-    kinds = [pa.int32()] + [pa.int64()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_NAMES)
+def _batch(kind: np.ndarray, group: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    place = (first << 24) | ((last - first) << 4) | kind
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (group, content, doc, place)], names=_NAMES)
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """kind, group, content, doc, first and last of rows."""
+    group, content, doc, place = (table.column(k).to_numpy() for k in _NAMES)
+    first = place >> 24
+    return place & 15, group, content, doc, first, first + ((place >> 4) & 0xFFFFF)
+
+
+def _kind() -> Column:
+    return F.col("place").bitwiseAND(F.lit(15))
+
+
+def _first() -> Column:
+    return F.shiftright("place", 24)
+
+
+def _last() -> Column:
+    return _first() + F.shiftright("place", 4).bitwiseAND(F.lit(0xFFFFF))
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -111,7 +132,7 @@ def _first_of_equal(group: np.ndarray, content: np.ndarray, doc: np.ndarray, fir
 def _once(kind: np.ndarray, group: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
     """Rows of the earliest of equal segments, and of the starts that repeat, among the rows given."""
     order, repeats = _first_of_equal(group, content, doc, first)
-    return _batch(np.where(repeats, REPEAT, kind[order]).astype(np.int32), group[order].view(np.int64), content[order].view(np.int64), doc[order], first[order], last[order])
+    return _batch(np.where(repeats, REPEAT, kind[order]), group[order].view(np.int64), content[order].view(np.int64), doc[order], first[order], last[order])
 
 
 def _doc_key(doc_id: Column) -> Column:
@@ -152,7 +173,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 200_000):
-            kind, group, content, doc, first, last = (table.column(k).to_numpy() for k in _NAMES)
+            kind, group, content, doc, first, last = _columns(table)
             done = kind == REPEAT
             yield _batch(*(x[done] for x in (kind, group, content, doc, first, last)))
             kind, group, content, doc, first, last = (x[~done] for x in (kind, group, content, doc, first, last))
@@ -163,7 +184,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
             different = np.bincount(index, weights=fresh).astype(np.int64)[index]
             loops = np.bincount(index, weights=fresh & (kind == LOOP))[index] > 0
             ask = fresh & ((different > 1) | loops)
-            kind = np.where(repeats, REPEAT, np.where(different > GROUP, WIDE, SORT)).astype(np.int32)
+            kind = np.where(repeats, REPEAT, np.where(different > GROUP, WIDE, SORT))
             keep = repeats | ask
             yield _batch(*(x[keep] for x in (kind, group, content, doc, first, last)))
 
@@ -177,121 +198,102 @@ def repeats_of(group: np.ndarray, doc: np.ndarray, first: np.ndarray, data: list
     Rows are ordered by group, doc, first, so earlier windows stand earlier in a group's text. In it, segments end with a mark.
     """
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    sizes = np.array([len(d) + 1 for d in data], np.int64)
-    text_sizes = np.add.reduceat(sizes, bounds[:-1]) + 1
-    found: list[tuple[np.ndarray, ...]] = []
-    by_size = np.argsort(text_sizes, kind="stable")
-    at = 0
-    while at < len(by_size):
-        # texts of much the same size, as many as fit
-        stop = at + 1
-        while stop < len(by_size) and text_sizes[by_size[stop]] <= 1.25 * text_sizes[by_size[at]] + 16 and (stop - at) * text_sizes[by_size[stop]] <= CELLS:
-            stop += 1
-        chosen = by_size[at:stop]
-        found.append(_sorted_texts([np.arange(bounds[k], bounds[k + 1]) for k in chosen], doc, first, data, length))
-        at = stop
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-
-
-def _sorted_texts(rows: list[np.ndarray], doc: np.ndarray, first: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """:func:`repeats_of` for the groups of the given rows, sorted in step."""
-    raw = [b"".join([data[k] + b"\0" for k in own]) for own in rows]
-    sizes = np.array([len(r) + 1 for r in raw])
-    n, width = int(sizes.max()), len(rows)
-    plain = np.frombuffer(b"".join([r.ljust(n, b"\0") for r in raw]), np.uint8).reshape(width, n).T
-    inside = np.arange(n)[:, None] < sizes - 1
-    # places of the segments' ends, as a byte of the data may be 0 too
-    owner = np.concatenate([np.full(len(own), k) for k, own in enumerate(rows)])
-    own = np.concatenate(rows)
-    lengths = np.array([len(data[k]) for k in own])
-    ends = np.concatenate([np.cumsum(lengths[owner == k] + 1) for k in range(width)]) if width < 64 else _running(lengths + 1, owner)
-    starts = ends - lengths - 1
-    symbols = np.where(inside, plain.astype(np.int32) + 2, 0)
-    symbols[ends - 1, owner] = 1
+    sizes = np.add.reduceat(np.array([len(d) + 1 for d in data], np.int64), bounds[:-1]) + 1
+    largest_first = np.argsort(-sizes, kind="stable")
+    batch = np.cumsum(sizes[largest_first]) // CELLS
+    found = []
+    for chosen in np.split(largest_first, np.flatnonzero(np.diff(batch)) + 1):
+        rows = np.concatenate([np.arange(bounds[k], bounds[k + 1]) for k in chosen])
+        found.append(_sorted_texts(rows, sizes[chosen], np.diff(bounds)[chosen], doc, first, data, length))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _sorted_texts(rows: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, doc: np.ndarray, first: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """:func:`repeats_of` for texts of the given sizes, of so many of the ``rows`` each, sorted in step."""
+    lengths = np.array([len(data[k]) for k in rows.tolist()])
+    # a mark of one symbol behind each segment, one more behind each text
+    closing = np.zeros(len(rows), np.int64)
+    closing[np.cumsum(numbers) - 1] = 1
+    ends = np.cumsum(lengths + 1 + closing) - 1 - closing
+    starts = ends - lengths
+    plain = np.zeros(int(sizes.sum()), np.uint8)
+    inside = np.ones(len(plain), bool)
+    inside[ends] = False
+    inside[np.cumsum(sizes) - 1] = False
+    plain[inside] = np.frombuffer(b"".join([data[k] for k in rows.tolist()]), np.uint8)
+    symbols = np.where(inside, plain.astype(np.int64) + 2, 0)
+    symbols[ends] = 1
     arrays = suffix_arrays(symbols, sizes, 258)
-    prefixes = common_prefixes(np.ascontiguousarray(plain), arrays, length)
+    prefixes = common_prefixes(plain, arrays, sizes, length)
     # windows that lie in one segment
-    valid = np.zeros((n + 1, width), np.int32)
-    np.add.at(valid, (starts, owner), 1)
-    np.add.at(valid, (starts + lengths - length + 1, owner), -1)
-    valid = np.cumsum(valid, axis=0)[:n] > 0
-    entries = arrays.T
-    column, place = np.nonzero((entries >= 0) & valid[np.maximum(entries, 0), np.arange(width)[:, None]])
-    position = entries[column, place]
-    fresh = prefixes[position, column] < length
-    # the first entry of a text begins a class, whatever stands before it
-    fresh |= np.append(True, column[1:] != column[:-1]) if len(column) else fresh
-    heads = np.flatnonzero(fresh)
-    if not len(heads):
-        return (np.zeros(0, np.int64),) * 3
-    least = np.repeat(np.minimum.reduceat(position, heads), np.diff(np.append(heads, len(position))))
-    repeated = np.zeros((n, width), bool)
-    repeated[position[position != least], column[position != least]] = True
-    # runs of repeated starts in a segment
-    column, position = np.nonzero(repeated.T)
-    if not len(column):
-        return (np.zeros(0, np.int64),) * 3
-    key = column.astype(np.int64) * (n + 1)
-    segment = np.searchsorted(owner * (n + 1) + starts, key + position, side="right") - 1
-    begin = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (position[1:] != position[:-1] + 1)]))
-    stop = np.append(begin[1:], len(position)) - 1
-    row = own[segment[begin]]
+    valid = np.zeros(len(plain) + 1, np.int64)
+    np.add.at(valid, starts, 1)
+    np.add.at(valid, starts + lengths - length + 1, -1)
+    place = np.flatnonzero(np.cumsum(valid)[arrays] > 0)
+    entries = arrays[place]
+    none = np.zeros(0, np.int64)
+    if not len(entries):
+        return none, none, none
+    # equal windows are neighbours in the suffix array, with nothing between them
+    heads = np.flatnonzero(np.append(True, (prefixes[entries[1:]] < length) | (np.diff(place) > 1)))
+    least = np.repeat(np.minimum.reduceat(entries, heads), np.diff(np.append(heads, len(entries))))
+    at = np.sort(entries[entries != least])
+    if not len(at):
+        return none, none, none
+    segment = np.searchsorted(starts, at, side="right") - 1
+    begin = np.flatnonzero(np.concatenate([[True], (segment[1:] != segment[:-1]) | (at[1:] != at[:-1] + 1)]))
+    stop = np.append(begin[1:], len(at)) - 1
+    row = rows[segment[begin]]
     shift = first[row] - starts[segment[begin]]
-    return doc[row], position[begin] + shift, position[stop] + shift
+    return doc[row], at[begin] + shift, at[stop] + shift
 
 
-def _running(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Running sums that begin anew with each owner (ascending)."""
-    total = np.cumsum(values)
-    head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    before = np.append(0, total)[head]
-    return total - before[np.cumsum(np.append(True, owner[1:] != owner[:-1])) - 1]
+def _with_bytes(keyed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """Segments with their bytes, and the windows of wide groups by their hashes.
 
-
-def _with_bytes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """Segments with their bytes, and the windows of wide groups by their hashes."""
-    schema = f"{ROW}, data binary"
-    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("kind", "group", "first", "last")).alias("asked"))
-    texts = docs.select(_doc_key(F.col("doc_id")).alias("doc"), "text").join(by_doc, "doc")
+    ``keyed`` comes whole, so that its shuffle by document is the one that :func:`without_repeats` uses again.
+    """
+    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct(_kind().alias("kind"), "group", _first().alias("first"), _last().alias("last"))).alias("_asked"))
+    texts = keyed.join(by_doc, F.col("_doc") == F.col("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, slice_texts in text_slices(batches):
+            docs, lists = (part.column(part.schema.get_field_index(k)) for k in ("_doc", "_asked"))
             narrow: list[tuple] = []
             wide: list[tuple[np.ndarray, ...]] = []
-            for doc, text, wanted in zip(part.column(0).to_pylist(), slice_texts, part.column(2).to_pylist()):
+            for doc, text, wanted in zip(docs.to_pylist(), slice_texts, lists.to_pylist()):
                 raw = text.encode()
-                for x in wanted:
-                    if x["kind"] == SORT:
-                        narrow.append((SORT, x["group"], 0, doc, x["first"], x["last"], raw[x["first"] : x["last"] + length]))
                 far = [x for x in wanted if x["kind"] == WIDE]
+                narrow += [(x["group"], doc, x["first"], x["last"], raw[x["first"] : x["last"] + length]) for x in wanted if x["kind"] == SORT]
                 if far:
                     prefix = prefix_hashes(_BYTE[np.frombuffer(raw, np.uint8)])
                     starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in far])
                     hashes = span_hashes(prefix, starts, starts + length)
                     wide.append((splitmix(hashes ^ np.uint64(5)), hashes, np.full(len(starts), doc, np.int64), starts))
-            kinds = [pa.int32()] + [pa.int64()] * 5 + [pa.binary()]
             if narrow:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*narrow), kinds)], names=[*_NAMES, "data"])
+                group, doc, first, last = (np.array(x, np.int64) for x in list(zip(*narrow))[:4])
+                rows = _batch(np.full(len(group), SORT), group, np.zeros(len(group), np.int64), doc, first, last)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x[4] for x in narrow], pa.binary())], names=[*_NAMES, "data"])
             if wide:
                 columns = [np.concatenate(x) for x in zip(*wide)]
                 once = _once(np.full(len(columns[0]), EQUAL), *columns, columns[3])
                 yield pa.RecordBatch.from_arrays([*once.columns, pa.nulls(once.num_rows, pa.binary())], names=[*_NAMES, "data"])
 
-    return texts.select("doc", "text", "asked").mapInArrow(run, schema)
+    return texts.mapInArrow(run, f"{ROW}, data binary")
 
 
 def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
     """Repeated runs of segments with bytes by suffix arrays, and of windows by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 20_000):
-            kind, group, content, doc, first, last = (table.column(k).to_numpy() for k in _NAMES)
+        for table in _whole_groups(batches, SORTED_ROWS):
+            kind, group, content, doc, first, last = _columns(table)
             done, window, sort = kind == REPEAT, kind == EQUAL, kind == SORT
             yield _batch(*(x[done] for x in (kind, group, content, doc, first, last)))
             if window.any():
                 order, repeats = _first_of_equal(group[window], content[window], doc[window], first[window])
                 at = np.flatnonzero(window)[order[repeats]]
-                yield _batch(np.full(len(at), REPEAT, np.int32), group[at], content[at], doc[at], first[at], last[at])
+                yield _batch(np.full(len(at), REPEAT), group[at], content[at], doc[at], first[at], last[at])
             if sort.any():
                 at = np.flatnonzero(sort)
                 at = at[np.lexsort((first[at], doc[at], group[at]))]
@@ -300,17 +302,18 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
                 data = table.column("data").take(pa.array(at)).to_pylist()
                 found = repeats_of(group[at], doc[at], first[at], data, length)
                 none = np.zeros(len(found[0]), np.int64)
-                yield _batch(np.full(len(none), REPEAT, np.int32), none, none, *found)
+                yield _batch(np.full(len(none), REPEAT), none, none, *found)
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, ROW)
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _repeated_runs(docs: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
     """doc (the doc_id, null as the largest number), first and last of the runs of starts of repeated strings."""
     resolved = checkpointed(_resolved(_segment_rows(docs, length)))
-    asked = resolved.where(F.col("kind") != REPEAT)
-    found = _sorted_groups(_with_bytes(docs, asked, length), length)
-    return resolved.where(F.col("kind") == REPEAT).select("doc", "first", "last").union(found.select("doc", "first", "last"))
+    asked = resolved.where(_kind() != REPEAT)
+    found = _sorted_groups(_with_bytes(keyed, asked, length), length)
+    runs = resolved.where(_kind() == REPEAT).select("doc", "place").union(found.select("doc", "place"))
+    return runs.select("doc", _first().alias("first"), _last().alias("last"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
@@ -321,18 +324,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False
     repeat a doc_id have to repeat its text, too; they are one document and give repeated rows. Other columns
     stay (``kept`` and the three counts are replaced). No rows give no rows.
     """
-    runs = repeated_runs(docs, length).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
     own = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    joined = own.withColumn("_doc", _doc_key(F.col("doc_id"))).join(runs.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    keyed = own.withColumn("_doc", _doc_key(F.col("doc_id")))
+    runs = _repeated_runs(docs, keyed, length).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    joined = keyed.join(runs, F.col("_doc") == F.col("doc"), "left")
     none = F.lit(None).cast("long")
-    schema = joined.drop("_runs").withColumns({"n_bytes": none, "n_removed": none, "n_spans": none, "kept": F.lit(None).cast("string" if as_text else "binary")}).schema
+    schema = own.withColumns({"n_bytes": none, "n_removed": none, "n_spans": none, "kept": F.lit(None).cast("string" if as_text else "binary")}).schema
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            at = part.schema.get_field_index("_runs")
-            rows = [_cut(text.encode(), wanted, length) for text, wanted in zip(texts, part.column(at).to_pylist())]
-            plain = [c for k, c in enumerate(part.columns) if k != at]
+            wanted = part.column(part.schema.get_field_index("_runs")).to_pylist()
+            rows = [_cut(text.encode(), runs, length) for text, runs in zip(texts, wanted)]
+            plain = part.columns[: len(names) - 4]
             if as_text:
                 rows = [(*row[:3], row[3].decode(errors="ignore")) for row in rows]
             kinds = [pa.int64()] * 3 + [pa.string() if as_text else pa.binary()]
