@@ -37,7 +37,7 @@ RUN = 1024
 #: Different segments of a group that are sorted together at most.
 GROUP = 128
 #: Symbols of the texts that are sorted in step, and rows that are read for that.
-CELLS = 4_000_000
+CELLS = 1_000_000
 SORTED_ROWS = 40_000
 _BYTE = splitmix(np.arange(256, dtype=np.uint64) + np.uint64(99))
 #: What a row is: starts that repeat; a segment or window by its hash; one whose bytes are asked for; a segment that may repeat itself.
