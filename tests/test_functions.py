@@ -91,6 +91,6 @@ def test_pattern_order_and_long_list(spark):
                                       (4, "a", "A", "h")], "ord bigint, pattern string, attack_name string, attack_family string")
     payloads = spark.createDataFrame([(1, "xx long pattern here"), (2, "zz"), (3, "qqq"), (4, ""), (5, "bazz"), (6, "zz")],
                                      "id bigint, payload string")
-    inline = {r.id: r.ioc_hit for r in joins.ioc_join(payloads, patterns).collect()}
-    joined = {r.id: r.ioc_hit for r in joins.ioc_join(payloads, patterns, inline_limit=0).collect()}
+    inline = {r.id: r.ioc_hit for r in joins.ioc_join(payloads, patterns, inline=True).collect()}
+    joined = {r.id: r.ioc_hit for r in joins.ioc_join(payloads, patterns).collect()}
     assert inline == joined == {1: "Short:f", 2: "Z:g", 3: None, 4: None, 5: "Z:g", 6: "Z:g"}

@@ -210,24 +210,25 @@ def classification_lock(updates: DataFrame, key: str, votes: int = 3) -> DataFra
 
 
 def velocity_points(rows: DataFrame, incidents: DataFrame, key: str, every: int = 5,
-                    keep: int = 2000) -> DataFrame:
+                    keep: int | None = None) -> DataFrame:
     """Samples of the traffic curve of each incident, at least ``every`` seconds apart.
 
     ``incidents``: key, incident_id, started_tick, ended_tick. A sample is the first
-    row in its interval counted from the start; the last ``keep`` samples stay.
+    row in its interval counted from the start; all stay, or the last ``keep``.
     """
     joined = rows.join(incidents, key).filter(F.col("tick").between(F.col("started_tick"), F.col("ended_tick")))
     t = (F.col("tick") - F.col("started_tick")).alias("t")
     points = joined.select("incident_id", key, t, "pps").withColumn("slot", F.floor(F.col("t") / every))
     firsts = points.groupBy("incident_id", key, "slot").agg(
         F.min("t").alias("t"), F.min_by("pps", "t").alias("pps"))
-    newest = Window.partitionBy("incident_id", key).orderBy(F.col("slot").desc())
-    return (firsts.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= keep)
-            .select("incident_id", key, F.col("t").cast("double").alias("t"), F.round("pps", 1).alias("pps")))
+    if keep is not None:
+        newest = Window.partitionBy("incident_id", key).orderBy(F.col("slot").desc())
+        firsts = firsts.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= keep)
+    return (firsts.select("incident_id", key, F.col("t").cast("double").alias("t"), F.round("pps", 1).alias("pps")))
 
 
 def velocity_curve(rows: DataFrame, incidents: DataFrame, key: str, every: int = 5) -> DataFrame:
-    """One ordered array of (t, pps) per incident, at most 2,000 entries."""
+    """One ordered array of (t, pps) per incident."""
     return (velocity_points(rows, incidents, key, every).groupBy("incident_id", key)
             .agg(F.array_sort(F.collect_list(F.struct("t", "pps"))).alias("velocity_curve")))
 

@@ -85,25 +85,23 @@ def label_join(df: DataFrame, labels: DataFrame, ip: str) -> DataFrame:
 
 # --- payload patterns ------------------------------------------------------
 
-# Patterns up to this many are tested in place as one array value.
-INLINE_PATTERNS = 256
 GRAM = 8
 FILTER_WORDS = 65_536
 
 
 def ioc_join(payloads: DataFrame, patterns: DataFrame, payload: str = "payload",
-             inline_limit: int = INLINE_PATTERNS) -> DataFrame:
-    """Adds ``ioc_hit`` = ``name:family`` of the first pattern (by ``ord``) the payload contains.
+             inline: bool = False) -> DataFrame:
+    """Adds ``ioc_hit`` = ``name:family`` of the first pattern (by ``ord``, then name) the payload contains.
 
-    A short pattern list travels as one array value and is tested where the payload
-    is, without a join. A longer one is an equality join on the leading bytes of
-    each pattern, verified afterwards; only payload bytes that start a pattern meet.
+    An equality join on the leading bytes of each pattern, verified afterwards; only payload bytes
+    that start a pattern meet. A list that the caller knows to be short can be ``inline``: it
+    travels as one array value and is tested where the payload is, with the same result.
     """
     clean = patterns.filter(F.col("pattern").isNotNull() & (F.col("pattern") != ""))
-    if clean.limit(inline_limit + 1).count() <= inline_limit:
+    if inline:
         listed = scalar(clean, F.array_sort(F.collect_list(
-            F.struct("ord", F.encode("pattern", "UTF-8").alias("bytes"),
-                     F.concat_ws(":", "attack_name", "attack_family").alias("hit")))))
+            F.struct("ord", F.concat_ws(":", "attack_name", "attack_family").alias("hit"),
+                     F.encode("pattern", "UTF-8").alias("bytes")))))
         data = F.col(payload).cast("binary")
         found = F.filter("_listed", lambda p: F.contains(data, p["bytes"]))
         return (payloads.withColumn("_listed", listed)
@@ -144,7 +142,7 @@ def _ioc_join_by_prefix(payloads: DataFrame, patterns: DataFrame, payload: str)
     candidates = (ready.select("_id", F.explode(grams).alias("gram")).join(keyed, "gram")
                   .select("_id", "ord", "bytes", "hit").distinct())
     met = (candidates.join(distinct, "_id").filter(F.contains("_data", "bytes"))
-           .groupBy("_id").agg(F.min_by("hit", "ord").alias("ioc_hit")))
+           .groupBy("_id").agg(F.min_by("hit", F.struct("ord", "hit")).alias("ioc_hit")))
     return tagged.join(met, "_id", "left").drop("_id")
 
 
@@ -236,8 +234,8 @@ def merge_node_sources(counter_rows: DataFrame, flow_rows: DataFrame) -> DataFra
 # --- intervals -------------------------------------------------------------
 
 def incident_evidence(packets: DataFrame, incidents: DataFrame, order: Sequence[str],
-                      during: int = 10_000, before: int = 1_000, look_back: int = 60) -> DataFrame:
-    """First packets of every incident and the last ones before it.
+                      during: int | None = None, before: int | None = None, look_back: int = 60) -> DataFrame:
+    """Packets of every incident and those before it: all, or the first ``during`` and the last ``before`` ones.
 
     ``incidents``: dst_ip, incident_id, started_tick, ended_tick. The time test rides
     on an equality join on (destination, minute); only packets up to ``look_back``

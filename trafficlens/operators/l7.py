@@ -12,7 +12,6 @@ from trafficlens.functions.http import THREAT_PATTERNS, is_bot_agent, status_gro
 from trafficlens.operators.topk import topk_per_group
 
 WINDOW = 10
-AGENT_CHARS = 120
 TOP_IPS, TOP_PATHS, TOP_AGENTS = 50, 20, 20
 
 
@@ -108,8 +107,7 @@ def with_subtype(stats: DataFrame) -> DataFrame:
 def l7_top_items(requests: DataFrame, item: str, k: int, window: int = WINDOW) -> DataFrame:
     """The k most frequent values of ``item`` per (site, window)."""
     if item == "ua":
-        requests = requests.filter(F.coalesce("ua", F.lit("")) != "") \
-            .withColumn("ua", F.substring("ua", 1, AGENT_CHARS))
+        requests = requests.filter(F.coalesce("ua", F.lit("")) != "")
     counted = window_items(requests, item, window)
     return topk_per_group(counted, ["site_id", "tick"], [F.col("count").desc(), F.col(item).asc()], k)
 

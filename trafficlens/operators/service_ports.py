@@ -17,17 +17,20 @@ MIN_COOLDOWN = 60
 
 
 def nonservice_sources(connections: DataFrame, ports: DataFrame, safelist: DataFrame | None = None,
-                       keys: tuple[str, ...] = (), k: int = 50, max_ports: int = 20) -> DataFrame:
-    """Busiest sources of non-service connections with their lowest ports.
+                       keys: tuple[str, ...] = (), k: int | None = None, max_ports: int | None = None) -> DataFrame:
+    """Sources of non-service connections with their ports: all, or the ``k`` busiest with the ``max_ports`` lowest.
 
     Connections are counted per (source, port) first: at most 65,536 rows per source.
     """
     per_port = nonservice_connections(connections, ports).groupBy(*keys, "src_ip", "dport").agg(
         F.count(F.lit(1)).alias("n"))
+    ports = F.array_sort(F.collect_set("dport"))
     per_source = per_port.groupBy(*keys, "src_ip").agg(
-        F.sum("n").alias("connections"), F.slice(F.array_sort(F.collect_set("dport")), 1, max_ports).alias("ports"))
+        F.sum("n").alias("connections"), (ports if max_ports is None else F.slice(ports, 1, max_ports)).alias("ports"))
     if safelist is not None:
         per_source = safelist_anti(per_source, "src_ip", safelist)
+    if k is None:
+        return per_source
     order = [F.col("connections").desc(), F.col("src_ip").asc()]
     if keys:
         return topk_per_group(per_source, list(keys), order, k)

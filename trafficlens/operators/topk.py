@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 PRUNED_BY_SPARK = 1000
 
 
-def topk_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+def topk_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None,
                    rank: str = "rank", spread: Sequence[str] = (), salts: int = 64) -> DataFrame:
-    """The first ``k`` rows of every group; ``order`` must be total.
+    """The first ``k`` rows of every group, or all of them ranked; ``order`` must be total.
 
     For small ``k`` the window limit is pushed below the shuffle, so a hot group
     sends at most ``k`` rows per map task. Above Spark's own bound the same is done
     here: rows are ranked inside ``salts`` slices of the group first (sliced by a
     hash of the ``spread`` columns), and only the survivors are ranked per group.
     """
+    if k is None:
+        return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     if k > PRUNED_BY_SPARK and spread:
         slice_of = F.pmod(F.xxhash64(*spread), F.lit(salts))
         df = df.withColumn("_slice", slice_of)

@@ -221,7 +221,7 @@ def spoofing_detected(spark, sf_dir):
 @query
 def botnet_detected(spark, sf_dir):
     sources = evidence.per_source(w.packets(spark, sf_dir), ["dst_ip"])
-    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark)).filter("ioc_hit IS NOT NULL")
+    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark), inline=True).filter("ioc_hit IS NOT NULL")
     return evidence.botnet(sources, hits.select("dst_ip", "ioc_hit"), ["dst_ip"])
 
 
@@ -281,7 +281,7 @@ def gre_overhead(spark, sf_dir):
 
 @query
 def ioc_hit_counts(spark, sf_dir):
-    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark))
+    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark), inline=True)
     return evidence.ioc_hit_counts(hits, ["dst_ip"]).withColumn(
         "distinct_hits", F.array_join("distinct_hits", ",")).select(
         "dst_ip", "hits", "top_hit", "top_hit_count", "distinct_hits")
@@ -289,7 +289,7 @@ def ioc_hit_counts(spark, sf_dir):
 
 @query
 def distinct_ioc(spark, sf_dir):
-    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark))
+    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark), inline=True)
     return hits.filter("ioc_hit IS NOT NULL").select("dst_ip", "ioc_hit").distinct()
 
 
@@ -297,7 +297,7 @@ def distinct_ioc(spark, sf_dir):
 def nonservice_sources(spark, sf_dir):
     parsed = tables.parse_connections(w.connection_lines(spark, sf_dir))
     ports = tables.expand_ports(w.service_ports(spark))
-    found = service_ports.nonservice_sources(parsed, ports, w.safelist(spark), keys=("node_id",))
+    found = service_ports.nonservice_sources(parsed, ports, w.safelist(spark), ("node_id",), k=50, max_ports=20)
     return found.withColumn("ports", _text("ports"))
 
 
@@ -347,7 +347,7 @@ def label_join(spark, sf_dir):
 
 @query
 def ioc_join(spark, sf_dir):
-    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark))
+    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark), inline=True)
     return hits.filter("ioc_hit IS NOT NULL").select("doc_id", "dst_ip", "ioc_hit")
 
 
@@ -358,7 +358,7 @@ def ioc_join_long_list(spark, sf_dir):
         "100 + item_id AS ord", "text AS pattern", "concat('passage', item_id) AS attack_name",
         "'unknown' AS attack_family")
     patterns = w.iocs(spark).unionByName(benchmark)
-    hits = joins.ioc_join(w.payloads(spark, sf_dir), patterns, inline_limit=0)
+    hits = joins.ioc_join(w.payloads(spark, sf_dir), patterns)
     return hits.filter("ioc_hit IS NOT NULL").select("doc_id", "ioc_hit")
 
 
@@ -561,7 +561,7 @@ def classify_tcp_subtype(spark, sf_dir):
 
 
 def _ioc_tops(spark, sf_dir):
-    return evidence.ioc_hit_counts(joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark)), ["dst_ip"])
+    return evidence.ioc_hit_counts(joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark), inline=True), ["dst_ip"])
 
 
 @query
@@ -843,7 +843,7 @@ def _report(spark, sf_dir) -> DataFrame:
         "concat(dst_ip, '@', first_tick) AS incident_id", "dst_ip", "first_tick AS started_tick",
         "last_tick AS ended_tick", "last_tick - first_tick AS duration", "peak_pps", "peak_bps", "threshold")
     found = materialize(found, "incidents")
-    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark)).filter("ioc_hit IS NOT NULL").select("dst_ip", "ioc_hit")
+    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark), inline=True).filter("ioc_hit IS NOT NULL").select("dst_ip", "ioc_hit")
     signatures = evidence.payload_sig_counts(w.payloads(spark, sf_dir), ["dst_ip"])
     per_dst = measures.dst_measures(flows).select("dst_ip", "tick", "pps")
     curves = baseline.velocity_curve(per_dst, found, "dst_ip").drop("dst_ip")

@@ -321,8 +321,13 @@ def _sources(keys: str) -> str:
 
 oracle("nonservice_sources", _sources("node_id"), "v_flows", "v_ports")
 oracle("block_plan", """SELECT src_ip AS source_ip, 'non_service' AS block_scope, connections AS src_pps, ports AS dst_ports,
-  cast(60 AS bigint) AS cooldown, cast(960 AS bigint) AS expires_tick FROM found WHERE connections >= 10
-  AND NOT (connections % 4 = 0 AND 800 + connections * 5 > 900)""", "v_flows", "v_ports", extra=f"found AS ({_sources('')})")
+  cast(60 AS bigint) AS cooldown, cast(960 AS bigint) AS expires_tick
+FROM (SELECT *, row_number() OVER (ORDER BY connections DESC, src_ip) AS position FROM found
+  WHERE connections >= 10 AND src_ip NOT IN (SELECT src_ip FROM active))
+WHERE position <= (SELECT least(50, greatest(200 - count(*), 0)) FROM active)""", "v_flows", "v_ports", extra=f"""found AS (
+  SELECT src_ip, count(*) AS connections, array_to_string(list_sort(list(DISTINCT dst_port)), ',') AS ports FROM v_flows
+  WHERE dst_port NOT IN (SELECT port FROM v_ports) AND NOT {SAFE} GROUP BY src_ip),
+active AS (SELECT src_ip FROM found WHERE connections % 4 = 0 AND 800 + connections * 5 > 900)""")
 
 # --- joins -----------------------------------------------------------------
 
@@ -633,7 +638,7 @@ _L7_COLUMNS = ", ".join(
        "top_path_count"])
 oracle("l7_window_stats", f"SELECT {_L7_COLUMNS} FROM v_l7", "v_l7")
 for _name, _item, _k in (("l7_top_ips", "ip", 50), ("l7_top_paths", "path", 20), ("l7_top_agents", "ua", 20)):
-    oracle(_name, _topk(f"(SELECT site_id, upto AS tick, substr({_item}, 1, 120) AS {_item} FROM v_w)", "site_id, tick", _item, "count(*)", _k),
+    oracle(_name, _topk(f"(SELECT site_id, upto AS tick, {_item} FROM v_w)", "site_id, tick", _item, "count(*)", _k),
            "v_w")
 _AUTH = " OR ".join(f"contains(lower(top_path), '{p}')" for p in (
     "/login", "/signin", "/auth", "/oauth", "/api/login", "/wp-login.php", "/admin/login", "/user/login"))
@@ -794,7 +799,7 @@ _HTTP_STEP = """SELECT site_id, rn, CASE WHEN ev = 'resolve' THEN greatest(rps,
         r.top_path_count, r.status_5xx, r.bot_request_pct, r.threat_total, CASE WHEN w.n < 300 THEN 1 / (w.n + 1) ELSE 0.01 END AS a,
         NOT w.op AND r.total_requests >= 15 AND r.error_rate < 60 AND (w.n < 3 OR r.rps < w.base * 10) AS clean
       FROM w JOIN r ON r.site_id = w.site_id AND r.rn = w.rn + 1))))))"""
-_HTTP_WALK = f"""r AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY tick) AS rn FROM v_l7),
+_HTTP_WALK = f"""r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY tick) AS rn FROM v_l7),
 w AS (SELECT site_id, 0::BIGINT AS rn, 0.0::DOUBLE AS base, 0 AS n, false AS op, NULL::BIGINT AS started, 0.0::DOUBLE AS peak, 0 AS calm, NULL::VARCHAR AS ev,
   -1::BIGINT AS tick, 0.0::DOUBLE AS rps, 0 AS signals, 0.0::DOUBLE AS shown FROM (SELECT DISTINCT site_id FROM v_http) UNION ALL {_HTTP_STEP})"""
 oracle("detect_http", """SELECT site_id AS key, ev AS event, tick, started AS started_tick, rps, peak AS peak_rps, round(shown, 1) AS baseline_rps,
