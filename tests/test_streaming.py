@@ -84,6 +84,17 @@ def test_stream_decoding_remembers_templates(spark, tmp_path):
     assert seen == [[], [], [(2, 10)], [(3, 10)], []]
 
 
+def test_templates_in_use_do_not_expire(spark, tmp_path):
+    data, definition = (256, data_record()), (0, template(256, FIELDS))
+    seen = []
+    process = live_templates.decode_batches(str(tmp_path / "state"), lambda df, n: seen.append([(r.seq, r.tick) for r in df.collect()]))
+    rows = frame_of(spark, [v9(definition), v9(data), v9(data), v9(data)], [0, 3000, 6000, 9700])
+    for batch_id in range(4):
+        process(rows.filter(F.col("seq") == batch_id), batch_id)
+    assert seen == [[], [(1, 3000)], [(2, 6000)], []]
+    assert len(list((tmp_path / "state" / "templates").iterdir())) == 2
+
+
 def test_saved_baselines_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("d", t, 5.0, 5.0) for t in range(60)], "dst_ip string, tick bigint, pps double, bps double")
     sinks.save_baselines(detect.final_states(detect.detect_dst(rows)), str(tmp_path / "b"))

@@ -29,7 +29,8 @@ def additive_sums(flows: DataFrame) -> list[Column]:
     return sums
 
 
-def _rates(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+def rates(totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rates and shares of the sums per second."""
     known = F.col("tcp_packets") + F.col("udp_packets") + F.col("icmp_packets")
     columns = [*keys, "packets", "octets", "flow_count", "tcp_packets", "udp_packets", "icmp_packets",
                "other_packets", *TCP_FLAGS,
@@ -63,7 +64,7 @@ def measures(flows: DataFrame, keys: Sequence[str], exact_sources: bool = True)
     else:
         distinct = F.approx_count_distinct(F.when(F.col("src_ip") != "", F.col("src_ip")), 0.01)
         totals = flows.groupBy(*keys).agg(*additive_sums(flows), distinct.alias("src_ip_count"))
-    return _rates(totals, keys)
+    return rates(totals, keys)
 
 
 def node_ip_filter(flows: DataFrame, node_ip: str | None) -> DataFrame:

@@ -5,6 +5,7 @@ Names follow the operator inventory. Every query runs over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from trafficlens.functions import http as http_functions
 from trafficlens.operators import baseline, detect, evidence, joins, l7, measures, service_ports, topk
 from trafficlens.plans import encoded, flood
 from trafficlens.plans import workload as w
-from trafficlens.session import materialize
+from trafficlens.session import checkpoint_dir, materialize
 from trafficlens.sources import access_log, datagrams, frames, tables
+from trafficlens.streaming import measures as live_measures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -877,3 +879,18 @@ def baseline_snapshot(spark, sf_dir):
     last = w.flows(spark, sf_dir).agg(F.max("tick").alias("t")).select("t").scalar()
     resumed = detect.detect_dst(per_dst.filter("tick >= 450"), last, saved=saved)
     return detect.events_only(resumed).withColumn("avg_pps", F.round("avg_pps", 6)).drop("snap_tick")
+
+
+# --- live ------------------------------------------------------------------
+
+@query
+def stream_measures(spark, sf_dir):
+    """The destination measures as a stream over the flows: all seconds that the watermark has passed."""
+    rows = live_measures.stream_measures(w.live_flows(spark, sf_dir), ["dst_ip"])
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    running = (rows.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows")
+               .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+    running.awaitTermination()
+    found = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    return found.select("dst_ip", "tick", "packets", "octets", "flow_count", "tcp_packets", "udp_packets", "icmp_packets", "other_packets",
+                        "syn", "ack", "rst", "fin", "psh", "urg", "pps", "bps", "tcp_pct", "udp_pct", "icmp_pct", "fragment_pct", "avg_pkt_size")

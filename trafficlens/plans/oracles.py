@@ -919,3 +919,7 @@ v_summary AS (SELECT *, {SYN_RATIO} AS sr, {FLAG_TOTAL}, coalesce(dns_unique, 0)
  LEFT JOIN (SELECT dst_ip, bool_or({' OR '.join(f"contains(lower(ioc_hit), '{word}')" for word in BOTNET_WORDS)}) AS botnet_named
    FROM v_hits WHERE ioc_hit IS NOT NULL GROUP BY dst_ip) USING (dst_ip)),
 {RESOLVED.replace('resolved AS (SELECT *,', 'resolved AS (SELECT *, src_ip_count > 5000 OR coalesce(botnet_named, false) AS botnet,')}""")
+
+oracle("stream_measures", """SELECT dst_ip, tick, packets, octets, flow_count, tcp_packets, udp_packets, icmp_packets, other_packets,
+  syn, ack, rst, fin, psh, urg, pps, bps, tcp_pct, udp_pct, icmp_pct, fragment_pct, avg_pkt_size
+FROM v_dst_pct WHERE tick < (SELECT max(tick) - 10 FROM v_flows)""", "v_flows", "v_dst_pct")

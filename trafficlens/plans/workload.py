@@ -21,7 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return flows_of(table(spark, sf_dir, "lineitem"))
+
+
+def live_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flows as a stream, with their event time."""
+    path = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+    # a stream reads a folder or a pattern, and this one names the file
+    lines = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    return flows_of(lines).withColumn("ts", F.timestamp_seconds("tick"))
+
+
+def flows_of(lines: DataFrame) -> DataFrame:
+    return lines.selectExpr(
         "l_orderkey % 900 AS tick",
         "concat('node', l_suppkey % 4) AS node_id",
         "concat('198.51.100.', l_suppkey % 4) AS exporter_ip",

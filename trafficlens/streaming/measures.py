@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.functions.network import TCP_FLAGS, percentage
-from trafficlens.operators.measures import additive_sums
+from trafficlens.operators.measures import additive_sums, rates
 
 
 def stream_measures(flows: DataFrame, keys: Sequence[str], lateness: str = "10 seconds") -> DataFrame:
-    """One-second measures per key, emitted once the watermark has passed the second.
+    """One-second measures per key, with the columns of the batch measures, emitted once the watermark has passed the second.
 
     Sources are counted with a sketch, so the state per key is of constant size. Write
     the rows to a table; the live detectors read that table as a stream.
@@ -20,12 +19,8 @@ def stream_measures(flows: DataFrame, keys: Sequence[str], lateness: str = "10 s
     distinct = F.approx_count_distinct(F.when(F.col("src_ip") != "", F.col("src_ip")), 0.01)
     totals = (flows.withWatermark("ts", lateness).groupBy(F.window("ts", "1 second"), *keys)
               .agg(*additive_sums(flows), distinct.alias("src_ip_count")))
-    known = F.col("tcp_packets") + F.col("udp_packets") + F.col("icmp_packets")
-    return totals.select(
-        F.col("window.start").alias("ts"), *keys, F.unix_timestamp("window.start").alias("tick"), "packets", "octets", "flow_count",
-        *TCP_FLAGS, F.col("packets").cast("double").alias("pps"), (F.col("octets") * 8).cast("double").alias("bps"),
-        *[percentage(F.col(f"{name}_packets"), known).alias(f"{name}_pct") for name in ("tcp", "udp", "icmp")],
-        "src_ip_count")
+    timed = totals.withColumns({"ts": F.col("window.start"), "tick": F.unix_timestamp("window.start")})
+    return rates(timed, ["ts", *keys, "tick"])
 
 
 def stream_l7(requests: DataFrame, lateness: str = "10 seconds") -> DataFrame:
