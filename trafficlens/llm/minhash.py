@@ -119,10 +119,10 @@ def _sets(docs: DataFrame, words: int, trees: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, roots array<long>")
 
 
-def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node, rep, n and sig of the documents in nodes of two or more: small nodes, and those that stay large."""
+def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Node and rep of the documents in nodes of two or more: small nodes, and those that stay large, if any do."""
     level = reps.select(F.explode("roots").alias("node"), "rep")
-    small, large = None, None
+    small, large = None, level
     for depth in range(DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
         # a key of its own for the join, so that large nodes can be split
@@ -131,13 +131,13 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         part = sized.where(F.col("size") <= NODE).select("node", "rep")
         small = part if small is None else small.union(part)
         large = sized.where(F.col("size") > NODE).select("node", "rep")
-        if depth == DEPTH or large.isEmpty():
-            break
-        coordinates = F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(BRANCHES)))
-        branched = large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", F.explode(coordinates).alias("c"))
-        level = branched.select(F.xxhash64("node", "c", F.substring("sig", F.col("c") + 1, F.lit(1))).alias("node"), "rep")
-    wide = reps.select("rep", "n_shingles", "sig")
-    return checkpointed(small.join(wide, "rep")), checkpointed(large.join(wide, "rep"))
+        if large.isEmpty():
+            return small, None
+        if depth < DEPTH:
+            coordinates = F.array(*(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int") for k in range(BRANCHES)))
+            branched = large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig", F.explode(coordinates).alias("c"))
+            level = branched.select(F.xxhash64("node", "c", F.substring("sig", F.col("c") + 1, F.lit(1))).alias("node"), "rep")
+    return small, large
 
 
 def _similar(sig: np.ndarray, sizes: np.ndarray, k: int, threshold: float) -> np.ndarray:
@@ -215,9 +215,13 @@ def _compared(nodes: DataFrame, keys: list[str], way: Callable, threshold: float
     return rows.mapInArrow(run, schema)
 
 
-def _first_round(small: DataFrame, large: DataFrame, threshold: float) -> DataFrame:
+def _first_round(small: DataFrame, large: DataFrame | None, reps: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs: the spanning forests of all nodes."""
+    wide = reps.select("rep", "n_shingles", "sig")
     plain = lambda df: df.withColumn("label", F.col("rep")).withColumn("left", F.lit(True))
-    out = _compared(plain(small), ["node"], _forest, threshold).select("a", "b")
+    out = _compared(plain(small.join(wide, "rep")), ["node"], _forest, threshold).select("a", "b").where("a <> b")
+    if large is None:
+        return out.distinct()
     blocks = large.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("least"))
     blocked = large.join(blocks, "node").withColumn("blocks", F.ceil(F.col("size") / (NODE - PIVOTS)))
     own = blocked.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -225,19 +229,26 @@ def _first_round(small: DataFrame, large: DataFrame, threshold: float) -> DataFr
     order = Window.partitionBy("node").orderBy(F.xxhash64("rep"), "rep")
     first = large.select("node", "rep").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS).select("node", "rep")
     everywhere = blocked.join(first, ["node", "rep"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    both = own.unionByName(everywhere).dropDuplicates(["node", "block", "rep"])
-    return out.union(_compared(plain(both), ["node", "block"], _forest, threshold).select("a", "b")).where("a <> b").distinct()
+    both = own.unionByName(everywhere).dropDuplicates(["node", "block", "rep"]).join(wide, "rep")
+    return out.union(_compared(plain(both), ["node", "block"], _forest, threshold).select("a", "b").where("a <> b")).distinct()
 
 
-def _second_round(small: DataFrame, large: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def _second_round(small: DataFrame, large: DataFrame | None, reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """node, r, g and rep of the documents that may be linked with one of another component.
 
-    In a small node, documents without any candidate in the first round have none in the second.
+    In a small node, documents without any candidate in the first round have none in the second; nodes
+    of one component are left out before their signatures are fetched.
     """
     own = labels.select(F.col("v").alias("rep"), F.col("component").alias("label"))
+    wide = reps.select("rep", "n_shingles", "sig")
     none = F.lit(0).cast("long")
     keys = ["node", "r", "g"]
-    out = _compared(small.join(own, "rep").withColumns({"left": F.lit(True), "r": none, "g": none}), keys, _suspects, threshold)
+    labelled = small.join(own, "rep")
+    mixed = labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node")
+    asked = labelled.join(mixed, "node").join(wide, "rep").withColumns({"left": F.lit(True), "r": none, "g": none})
+    out = _compared(asked, keys, _suspects, threshold).select(*keys, F.col("a").alias("rep"))
+    if large is None:
+        return out
     known = large.join(own, "rep")
     sizes = known.groupBy("node", "label").agg(F.count("*").alias("n"))
     common = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("size"), F.max("n").alias("most"))
@@ -247,8 +258,8 @@ def _second_round(small: DataFrame, large: DataFrame, labels: DataFrame, thresho
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = sized.where("left").withColumn("r", F.pmod(F.xxhash64("rep"), F.col("others"))).withColumn("g", every("blocks"))
     there = sized.withColumn("g", block).withColumn("r", every("others")).withColumn("left", F.lit(False))
-    both = asked.unionByName(there)
-    return out.union(_compared(both, keys, _suspects, threshold)).select(*keys, F.col("a").alias("rep")).distinct()
+    both = asked.unionByName(there).join(wide, "rep")
+    return out.union(_compared(both, keys, _suspects, threshold).select(*keys, F.col("a").alias("rep"))).distinct()
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -343,15 +354,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     sets = checkpointed(_sets(docs, words, trees_for(threshold, recall)))
     full = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = checkpointed(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = checkpointed(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "roots"))
     small, large = _nodes(reps)
-    first = checkpointed(_first_round(small, large, threshold))
-    active = first.select(F.col("a").alias("rep")).union(first.select(F.col("b").alias("rep"))).union(large.select("rep")).distinct()
+    first = checkpointed(_first_round(small, large, reps, threshold))
+    active = first.select(F.col("a").alias("rep")).union(first.select(F.col("b").alias("rep")))
+    active = (active if large is None else active.union(large.select("rep"))).distinct()
     shingled = checkpointed(_full_sets(docs, active, words))
     links = checkpointed(_confirmed(first, shingled, threshold))
     own = active.select(F.col("rep").alias("a"), F.col("rep").alias("b"))  # so that each has a label
     labels = components(links.union(own))
-    more = checkpointed(_linked_in_nodes(_second_round(small, large, labels, threshold), shingled, threshold))
+    more = checkpointed(_linked_in_nodes(_second_round(small, large, reps, labels, threshold), shingled, threshold))
     if not more.isEmpty():
         labels = components(links.union(more).union(own))
     of_class = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("c"))
