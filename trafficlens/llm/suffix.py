@@ -10,8 +10,8 @@
    sorting and the permuted common prefixes tell which windows are equal; all but the earliest repeat.
    Groups of one size are sorted in step.
 4. Groups of more than ``GROUP`` different segments, as at the edges of a passage that very many
-   documents share, are not put into one task: their windows are hashed one by one and dealt out
-   by hash as in step 2.
+   documents share, are not put into one task: their windows are hashed one by one, and dealt out by
+   the least gram of another order and, the larger the group, by more of the hash, and compared as in step 2.
 
 The runs of repeated starts of a document then give its removed bytes.
 """
@@ -36,6 +36,8 @@ GRAM = 20
 RUN = 1024
 #: Different segments of a group that are sorted together at most.
 GROUP = 128
+#: Of a wide group, the windows of so many segments and one second-least gram are compared in one place.
+DEALT = 4096
 #: Symbols of the texts that are sorted in step, and rows that are read for that.
 CELLS = 1_000_000
 SORTED_ROWS = 40_000
@@ -81,6 +83,11 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def _grams(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all grams of the bytes with these prefix hashes."""
+    return splitmix((prefix[gram:] - prefix[:-gram]) * POWERS.grown(len(prefix)).down[: len(prefix) - gram])
+
+
 def segments(raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """Group, content hash, text number, first and last window start (in the text) of all segments, and whether the least gram stands in it twice."""
     limits = np.append(0, np.cumsum([len(r) for r in raw]))
@@ -90,7 +97,7 @@ def segments(raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool)
     gram = min(GRAM, length)
     prefix = prefix_hashes(_BYTE[data])
-    grams = splitmix((prefix[gram:] - prefix[:-gram]) * POWERS.down[: n - gram + 1])
+    grams = _grams(prefix, gram)
     least = _sliding_least(grams, length - gram + 1)
     text = np.repeat(np.arange(len(raw)), np.diff(limits))
     starts = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1 : len(least)] != text[: len(least) - 1])]))
@@ -129,10 +136,24 @@ def _first_of_equal(group: np.ndarray, content: np.ndarray, doc: np.ndarray, fir
     return order, ~fresh & ((d != d[head]) | (f != f[head]))
 
 
-def _once(kind: np.ndarray, group: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+def _joined(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """Rows of the starts that repeat; runs that touch are one row, up to half a million starts."""
+    order = np.lexsort((first, doc))
+    doc, first, last = doc[order], first[order], last[order]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(len(doc), 1), bool), (doc[1:] != doc[:-1]) | (first[1:] > last[:-1] + 1) | (first[1:] >> 19 != first[:-1] >> 19)]))
+    end = np.append(begin[1:], len(doc))[: len(begin)] - 1
+    none = np.zeros(len(begin), np.int64)
+    # any group will do; neighbours in a document need not meet
+    return _batch(np.full(len(begin), REPEAT), splitmix((doc[begin] ^ (first[begin] << 20)).view(np.uint64)).view(np.int64), none, doc[begin], first[begin], last[end])
+
+
+def _once(kind: np.ndarray, group: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of the earliest of equal segments, and of the starts that repeat, among the rows given."""
     order, repeats = _first_of_equal(group, content, doc, first)
-    return _batch(np.where(repeats, REPEAT, kind[order]), group[order].view(np.int64), content[order].view(np.int64), doc[order], first[order], last[order])
+    at = order[repeats]
+    yield _joined(doc[at], first[at], last[at])
+    at = order[~repeats]
+    yield _batch(kind[at], group[at].view(np.int64), content[at].view(np.int64), doc[at], first[at], last[at])
 
 
 def _doc_key(doc_id: Column) -> Column:
@@ -143,7 +164,7 @@ def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
             group, content, owner, first, last, loops = segments([t.encode() for t in texts], length)
-            yield _once(np.where(loops, LOOP, EQUAL), group, content, part.column(0).to_numpy()[owner], first, last)
+            yield from _once(np.where(loops, LOOP, EQUAL), group, content, part.column(0).to_numpy()[owner], first, last)
 
     return docs.select(_doc_key(F.col("doc_id")).alias("doc"), "text").mapInArrow(run, ROW)
 
@@ -184,9 +205,10 @@ def _resolved(rows: DataFrame) -> DataFrame:
             different = np.bincount(index, weights=fresh).astype(np.int64)[index]
             loops = np.bincount(index, weights=fresh & (kind == LOOP))[index] > 0
             ask = fresh & ((different > 1) | loops)
-            kind = np.where(repeats, REPEAT, np.where(different > GROUP, WIDE, SORT))
-            keep = repeats | ask
-            yield _batch(*(x[keep] for x in (kind, group, content, doc, first, last)))
+            yield _joined(doc[repeats], first[repeats], last[repeats])
+            # of a wide group's request, the content tells over how many groups its windows are to be dealt
+            kind, content = np.where(different > GROUP, WIDE, SORT), -(-different // DEALT)
+            yield _batch(*(x[ask] for x in (kind, group, content, doc, first, last)))
 
     dealt = rows.repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(run, ROW)
@@ -253,7 +275,7 @@ def _with_bytes(keyed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
     ``keyed`` comes whole, so that its shuffle by document is the one that :func:`without_repeats` uses again.
     """
-    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct(_kind().alias("kind"), "group", _first().alias("first"), _last().alias("last"))).alias("_asked"))
+    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct(_kind().alias("kind"), "group", "content", _first().alias("first"), _last().alias("last"))).alias("_asked"))
     texts = keyed.join(by_doc, F.col("_doc") == F.col("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,15 +291,18 @@ def _with_bytes(keyed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                     prefix = prefix_hashes(_BYTE[np.frombuffer(raw, np.uint8)])
                     starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in far])
                     hashes = span_hashes(prefix, starts, starts + length)
-                    wide.append((splitmix(hashes ^ np.uint64(5)), hashes, np.full(len(starts), doc, np.int64), starts))
+                    # neighbours mostly share the least gram of another order too, and so meet again
+                    near = _sliding_least(splitmix(_grams(prefix, min(GRAM, length)) ^ np.uint64(7)), length - min(GRAM, length) + 1)[starts]
+                    group, dealt = (np.repeat(np.array([x[k] for x in far]), [x["last"] - x["first"] + 1 for x in far]).astype(np.int64).view(np.uint64) for k in ("group", "content"))
+                    wide.append((splitmix(near + splitmix(group + splitmix(hashes) % dealt)), hashes, np.full(len(starts), doc, np.int64), starts))
             if narrow:
                 group, doc, first, last = (np.array(x, np.int64) for x in list(zip(*narrow))[:4])
                 rows = _batch(np.full(len(group), SORT), group, np.zeros(len(group), np.int64), doc, first, last)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x[4] for x in narrow], pa.binary())], names=[*_NAMES, "data"])
             if wide:
                 columns = [np.concatenate(x) for x in zip(*wide)]
-                once = _once(np.full(len(columns[0]), EQUAL), *columns, columns[3])
-                yield pa.RecordBatch.from_arrays([*once.columns, pa.nulls(once.num_rows, pa.binary())], names=[*_NAMES, "data"])
+                for once in _once(np.full(len(columns[0]), EQUAL), *columns, columns[3]):
+                    yield pa.RecordBatch.from_arrays([*once.columns, pa.nulls(once.num_rows, pa.binary())], names=[*_NAMES, "data"])
 
     return texts.mapInArrow(run, f"{ROW}, data binary")
 
@@ -293,7 +318,7 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
             if window.any():
                 order, repeats = _first_of_equal(group[window], content[window], doc[window], first[window])
                 at = np.flatnonzero(window)[order[repeats]]
-                yield _batch(np.full(len(at), REPEAT), group[at], content[at], doc[at], first[at], last[at])
+                yield _joined(doc[at], first[at], last[at])
             if sort.any():
                 at = np.flatnonzero(sort)
                 at = at[np.lexsort((first[at], doc[at], group[at]))]
@@ -301,8 +326,7 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
                 at = at[np.append(True, (np.diff(group[at]) != 0) | (np.diff(doc[at]) != 0) | (np.diff(first[at]) != 0))]
                 data = table.column("data").take(pa.array(at)).to_pylist()
                 found = repeats_of(group[at], doc[at], first[at], data, length)
-                none = np.zeros(len(found[0]), np.int64)
-                yield _batch(np.full(len(none), REPEAT), none, none, *found)
+                yield _joined(*found)
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, ROW)
 
