@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import checkpointed, prefix_hashes, span_hashes, splitmix, text_slices
+from trafficlens.llm.common import checkpointed, compacted, prefix_hashes, span_hashes, splitmix, text_slices
 from trafficlens.llm.components import components
 
 #: Coordinates of a signature, a byte each.
@@ -127,7 +127,7 @@ def _nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
         # a key of its own for the join, so that large nodes can be split
         sizes = sizes.select(F.concat(F.lit("n"), F.col("node").cast("string")).alias("key"), "size")
-        sized = checkpointed(level.withColumn("key", F.concat(F.lit("n"), F.col("node").cast("string"))).join(sizes, "key").select("node", "rep", "size"))
+        sized = compacted(level.withColumn("key", F.concat(F.lit("n"), F.col("node").cast("string"))).join(sizes, "key").select("node", "rep", "size"))
         part = sized.where(F.col("size") <= NODE).select("node", "rep")
         small = part if small is None else small.union(part)
         large = sized.where(F.col("size") > NODE).select("node", "rep")
@@ -353,20 +353,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     """
     sets = checkpointed(_sets(docs, words, trees_for(threshold, recall)))
     full = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = checkpointed(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    classes = compacted(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = checkpointed(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "roots"))
     small, large = _nodes(reps)
-    first = checkpointed(_first_round(small, large, reps, threshold))
+    first = compacted(_first_round(small, large, reps, threshold))
     active = first.select(F.col("a").alias("rep")).union(first.select(F.col("b").alias("rep")))
     active = (active if large is None else active.union(large.select("rep"))).distinct()
     shingled = checkpointed(_full_sets(docs, active, words))
-    links = checkpointed(_confirmed(first, shingled, threshold))
+    links = compacted(_confirmed(first, shingled, threshold))
     own = active.select(F.col("rep").alias("a"), F.col("rep").alias("b"))  # so that each has a label
     labels = components(links.union(own))
-    more = checkpointed(_linked_in_nodes(_second_round(small, large, reps, labels, threshold), shingled, threshold))
+    more = _linked_in_nodes(_second_round(small, large, reps, labels, threshold), shingled, threshold)
+    # what is new joins whole components
+    to = lambda v: labels.select(F.col("v").alias(v), F.col("component").alias(f"c{v}"))
+    more = compacted(more.join(to("a"), "a").join(to("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct())
     if not more.isEmpty():
-        labels = components(links.union(more).union(own))
+        higher = components(more).select(F.col("v").alias("component"), F.col("component").alias("top"))
+        labels = labels.join(higher, "component", "left").select("v", F.coalesce("top", "component").alias("component"))
     of_class = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("c"))
     out = sets.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("c", "doc_id"))
