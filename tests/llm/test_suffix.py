@@ -74,6 +74,20 @@ def test_by_brute_force(spark, docs_of, seed):
     check(suffix.without_repeats(docs_of(texts).repartition(3)), texts)
 
 
+@pytest.mark.parametrize("period", [79, 80, 81, 82, 83])
+def test_periods_about_the_grams_of_a_window(spark, docs_of, period):
+    draw = random.Random(period)
+    # one lone document for each size: its alphabet is its own, so that no group has a second content
+    texts = []
+    for k, size in enumerate((250, 405, 900)):
+        unit = "".join(draw.choices([chr(0x100 + 40 * k + j) for j in range(40)], k=period // 2)) + "x" * (period % 2)
+        raw = unit.encode() * (size // period + 1)
+        texts.append(raw[: size - size % period].decode())
+    expected = brute(texts, 100)
+    assert all(e[1] > 0 for e in expected[1:])
+    check(suffix.without_repeats(docs_of(texts)), texts)
+
+
 def test_wide_groups_and_long_runs(spark, docs_of, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP", 3)
     monkeypatch.setattr(suffix, "RUN", 64)

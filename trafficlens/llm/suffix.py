@@ -111,11 +111,11 @@ def segments(raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         starts = np.repeat(starts, parts) + number * RUN
         ends = np.minimum(starts + RUN, whole_ends)
     owner = text[starts]
-    # places of grams that are the least of some window; of those next to each other, the equal ones
+    # places of grams that are the least of some window; of those next to each other, the equal ones that no window start parts
     span = length - gram + 1
     most = ~_sliding_least(np.concatenate([np.full(span - 1, ~np.uint64(0)), ~least, np.full(span - 1, ~np.uint64(0))]), span)
     chosen = np.flatnonzero(most == grams)
-    twice = np.flatnonzero((grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) < span))
+    twice = np.flatnonzero((grams[chosen[1:]] == grams[chosen[:-1]]) & (np.diff(chosen) <= span))
     value = grams[chosen[twice]]
     low = np.searchsorted(starts, chosen[twice + 1] - span + 1, side="right") - 1
     high = np.searchsorted(starts, chosen[twice], side="right") - 1
