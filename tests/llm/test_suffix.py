@@ -104,6 +104,15 @@ def test_other_columns_nulls_and_repeated_rows(spark, docs_of):
     assert suffix.without_repeats(docs_of([])).count() == 0
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark, docs_of):
+    draw = random.Random(6)
+    passage, other, more = ("".join(draw.choices("abcdefgh", k=k)) for k in (300, 250, 500))
+    docs = docs_of(["start " + passage])
+    unnamed = docs_of([other + passage, more + other[:50], other + passage]).withColumn("doc_id", suffix.F.lit(None).cast("long"))
+    rows = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in suffix.without_repeats(docs.union(unnamed)).collect()]
+    assert sorted(rows, key=str) == sorted([(0, 306, 0, "start " + passage), (None, 550, 300, other), (None, 550, 300, other), (None, 550, 0, more + other[:50])], key=str)
+
+
 def test_digest(spark, docs_of):
     from trafficlens.llm import queries
 

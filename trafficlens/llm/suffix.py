@@ -47,7 +47,8 @@ REPEAT, EQUAL, SORT, WIDE, LOOP = range(5)
 #: ``place`` holds the first start, the number of starts after it, and what the row is.
 ROW = "group long, content long, doc long, place long"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
-_LAST_DOC = 2**63 - 1
+#: Added to the starts of a document without an id; its ``doc`` is a hash of its text, and may be another one's id.
+UNNAMED = 1 << 38
 
 
 def _batch(kind: np.ndarray, group: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
@@ -128,7 +129,7 @@ def segments(raw: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 def _first_of_equal(group: np.ndarray, content: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the rows by content and place, and for each place in it whether the row repeats an earlier one."""
-    order = np.lexsort((first, doc, content, group))
+    order = np.lexsort((first, doc, first >= UNNAMED, content, group))
     g, c, d, f = group[order], content[order], doc[order], first[order]
     fresh = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])) if len(g) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(fresh, np.arange(len(g)), 0))
@@ -156,17 +157,23 @@ def _once(kind: np.ndarray, group: np.ndarray, content: np.ndarray, doc: np.ndar
     yield _batch(kind[at], group[at].view(np.int64), content[at].view(np.int64), doc[at], first[at], last[at])
 
 
-def _doc_key(doc_id: Column) -> Column:
-    return F.coalesce(doc_id, F.lit(_LAST_DOC))
+def _doc_key() -> Column:
+    """The doc_id; without one, a hash of the text, so that only equal texts are one document."""
+    return F.coalesce(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _shift() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.lit(UNNAMED)).otherwise(F.lit(0)).cast("long")
 
 
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
             group, content, owner, first, last, loops = segments([t.encode() for t in texts], length)
-            yield from _once(np.where(loops, LOOP, EQUAL), group, content, part.column(0).to_numpy()[owner], first, last)
+            doc, shift = part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner]
+            yield from _once(np.where(loops, LOOP, EQUAL), group, content, doc, first + shift, last + shift)
 
-    return docs.select(_doc_key(F.col("doc_id")).alias("doc"), "text").mapInArrow(run, ROW)
+    return docs.select(_doc_key().alias("doc"), _shift().alias("shift"), "text").mapInArrow(run, ROW)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -217,7 +224,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
 def repeats_of(group: np.ndarray, doc: np.ndarray, first: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """doc, first and last of the runs of window starts that repeat an earlier window of their group.
 
-    Rows are ordered by group, doc, first, so earlier windows stand earlier in a group's text. In it, segments end with a mark.
+    Rows are ordered by group, doc (those without an id last), first, so earlier windows stand earlier in a group's text. In it, segments end with a mark.
     """
     bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     sizes = np.add.reduceat(np.array([len(d) + 1 for d in data], np.int64), bounds[:-1]) + 1
@@ -270,23 +277,28 @@ def _sorted_texts(rows: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, doc:
     return doc[row], at[begin] + shift, at[stop] + shift
 
 
+def _shift_of(first: Column) -> Column:
+    return F.when(first >= UNNAMED, F.lit(UNNAMED)).otherwise(F.lit(0)).cast("long")
+
+
 def _with_bytes(keyed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """Segments with their bytes, and the windows of wide groups by their hashes.
 
     ``keyed`` comes whole, so that its shuffle by document is the one that :func:`without_repeats` uses again.
     """
-    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct(_kind().alias("kind"), "group", "content", _first().alias("first"), _last().alias("last"))).alias("_asked"))
-    texts = keyed.join(by_doc, F.col("_doc") == F.col("doc"))
+    by_doc = asked.withColumn("shift", _shift_of(_first())).groupBy("doc", "shift").agg(F.collect_list(F.struct(
+        _kind().alias("kind"), "group", "content", (_first() - F.col("shift")).alias("first"), (_last() - F.col("shift")).alias("last"))).alias("_asked"))
+    texts = keyed.join(by_doc, (F.col("_doc") == F.col("doc")) & (F.col("_shift") == F.col("shift")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, slice_texts in text_slices(batches):
-            docs, lists = (part.column(part.schema.get_field_index(k)) for k in ("_doc", "_asked"))
+            docs, shifts, lists = (part.column(part.schema.get_field_index(k)).to_pylist() for k in ("_doc", "_shift", "_asked"))
             narrow: list[tuple] = []
             wide: list[tuple[np.ndarray, ...]] = []
-            for doc, text, wanted in zip(docs.to_pylist(), slice_texts, lists.to_pylist()):
+            for doc, shift, text, wanted in zip(docs, shifts, slice_texts, lists):
                 raw = text.encode()
                 far = [x for x in wanted if x["kind"] == WIDE]
-                narrow += [(x["group"], doc, x["first"], x["last"], raw[x["first"] : x["last"] + length]) for x in wanted if x["kind"] == SORT]
+                narrow += [(x["group"], doc, x["first"] + shift, x["last"] + shift, raw[x["first"] : x["last"] + length]) for x in wanted if x["kind"] == SORT]
                 if far:
                     prefix = prefix_hashes(_BYTE[np.frombuffer(raw, np.uint8)])
                     starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in far])
@@ -294,7 +306,7 @@ def _with_bytes(keyed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                     # neighbours mostly share the least gram of another order too, and so meet again
                     near = _sliding_least(splitmix(_grams(prefix, min(GRAM, length)) ^ np.uint64(7)), length - min(GRAM, length) + 1)[starts]
                     group, dealt = (np.repeat(np.array([x[k] for x in far]), [x["last"] - x["first"] + 1 for x in far]).astype(np.int64).view(np.uint64) for k in ("group", "content"))
-                    wide.append((splitmix(near + splitmix(group + splitmix(hashes) % dealt)), hashes, np.full(len(starts), doc, np.int64), starts))
+                    wide.append((splitmix(near + splitmix(group + splitmix(hashes) % dealt)), hashes, np.full(len(starts), doc, np.int64), starts + shift))
             if narrow:
                 group, doc, first, last = (np.array(x, np.int64) for x in list(zip(*narrow))[:4])
                 rows = _batch(np.full(len(group), SORT), group, np.zeros(len(group), np.int64), doc, first, last)
@@ -321,7 +333,7 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
                 yield _joined(doc[at], first[at], last[at])
             if sort.any():
                 at = np.flatnonzero(sort)
-                at = at[np.lexsort((first[at], doc[at], group[at]))]
+                at = at[np.lexsort((first[at], doc[at], first[at] >= UNNAMED, group[at]))]
                 # rows of a document that stands in the table twice come twice
                 at = at[np.append(True, (np.diff(group[at]) != 0) | (np.diff(doc[at]) != 0) | (np.diff(first[at]) != 0))]
                 data = table.column("data").take(pa.array(at)).to_pylist()
@@ -332,26 +344,28 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated_runs(docs: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
-    """doc (the doc_id, null as the largest number), first and last of the runs of starts of repeated strings."""
+    """doc, shift (``UNNAMED`` where the doc_id is null), first and last of the runs of starts of repeated strings."""
     resolved = checkpointed(_resolved(_segment_rows(docs, length)))
     asked = resolved.where(_kind() != REPEAT)
     found = _sorted_groups(_with_bytes(keyed, asked, length), length)
     runs = resolved.where(_kind() == REPEAT).select("doc", "place").union(found.select("doc", "place"))
-    return runs.select("doc", _first().alias("first"), _last().alias("last"))
+    runs = runs.withColumn("shift", _shift_of(_first()))
+    return runs.select("doc", "shift", (_first() - F.col("shift")).alias("first"), (_last() - F.col("shift")).alias("last"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that are left of each text.
 
     With ``as_text``, ``kept`` is a string, from which characters that lost some of their bytes are missing.
-    A null text is empty. Earlier is a smaller doc_id, then a smaller start; null doc_ids come last. Rows that
-    repeat a doc_id have to repeat its text, too; they are one document and give repeated rows. Other columns
+    A null text is empty. Earlier is a smaller doc_id, then a smaller start; null doc_ids come last,
+    in the order of a hash of the text. Rows that repeat a doc_id have to repeat its text, too; they are one document
+    and give repeated rows. Rows without a doc_id are one document where their texts are equal. Other columns
     stay (``kept`` and the three counts are replaced). No rows give no rows.
     """
     own = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    keyed = own.withColumn("_doc", _doc_key(F.col("doc_id")))
-    runs = _repeated_runs(docs, keyed, length).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    joined = keyed.join(runs, F.col("_doc") == F.col("doc"), "left")
+    keyed = own.withColumns({"_doc": _doc_key(), "_shift": _shift()})
+    runs = _repeated_runs(docs, keyed, length).groupBy("doc", "shift").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    joined = keyed.join(runs, (F.col("_doc") == F.col("doc")) & (F.col("_shift") == F.col("shift")), "left")
     none = F.lit(None).cast("long")
     schema = own.withColumns({"n_bytes": none, "n_removed": none, "n_spans": none, "kept": F.lit(None).cast("string" if as_text else "binary")}).schema
     names = schema.fieldNames()
