@@ -2,9 +2,9 @@ r"""Secret scans: fixed forms, and windows of high Shannon entropy.
 
 A candidate string is a long run of characters that keys are made of. A window slides over it;
 the counts of its characters, and so its entropy, are updated by the one character that leaves and the one
-that enters. Thresholds depend on the character class, hexadecimal or base 64. Windows
-above it are joined to spans; candidates that an allow-list names, and classes that
-prose has too (letters of one case only), are suppressed.
+that enters. Thresholds depend on the character class: hexadecimal, base 64, or letters of both cases. Windows
+above it are joined to spans. What an allow-list names is suppressed: a whole candidate, or a part between
+its separators, the rest of it being scanned. So are classes that prose has too (letters of one case only, digits only).
 """
 
 from __future__ import annotations
@@ -24,18 +24,22 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_letters")
 MIN_VALUE, MIN_ACCESS = 6, 20
 
 #: Width of the window, and bits of entropy by class that a window of a secret has at least.
 WINDOW = 20
-BITS = {"entropy_hex": 3.0, "entropy_base64": 3.85}
+BITS = {"entropy_hex": 3.0, "entropy_base64": 3.85, "entropy_letters": 3.85}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-#: Fixed forms of strings that look random and are not secret: identifiers, alphabets, placeholders, paths of words, ruled lines.
+#: An identifier, which has separators inside, and a part between separators.
+IDENTIFIER = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+PART = re.compile(rf"(?<![A-Za-z0-9+]){IDENTIFIER}(?![A-Za-z0-9+])|[A-Za-z0-9+]+")
+#: Fixed forms of strings that look random and are not secret: identifiers, alphabets and placeholders in a part, paths of words
+#: (of one case, or capitalised), ruled lines.
 ALLOWED = (
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?i:.*(abcdefghijkl|0123456789|qwertyuiop|example|placeholder|lorem).*)",
-    r"[/_-]*[A-Za-z]+(?:[/_-]+[A-Za-z]+)*[/_-]*[0-9]{0,4}",
+    IDENTIFIER,
+    r"(?i:[A-Z0-9+]*(abcdefghijkl|0123456789|qwertyuiop|example|placeholder|lorem)[A-Z0-9+]*)",
+    r"[/_-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[/_-]+(?:[A-Z]?[a-z]+|[A-Z]+))*[/_-]*[0-9]{0,4}",
     r"[=+/_-]+",
 )
 _HEX_BYTES = bytes(ord("h") if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -82,20 +86,36 @@ def high_windows(text: str, bits: float, width: int = WINDOW) -> list[tuple[int,
     return spans
 
 
+def _kind_of(run: str) -> str | None:
+    """The character class of a candidate, or none if prose has it too."""
+    lower, upper, digit = (re.search(c, run) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+    if digit and (lower or upper):
+        return "entropy_hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) else "entropy_base64"
+    return "entropy_letters" if lower and upper else None
+
+
+def _left(run: str, allowed: list[re.Pattern]) -> Iterator[tuple[int, str]]:
+    """Place and characters of what the allow-list leaves of a candidate. Parts shorter than a window can't hide one."""
+    at = 0
+    for part in PART.finditer(run):
+        if len(part[0]) >= WINDOW and any(p.fullmatch(part[0]) for p in allowed):
+            yield at, run[at : part.start()]
+            at = part.end()
+    yield at, run[at:]
+
+
 def entropy_spans(text: str, allowed: list[re.Pattern]) -> list[Span]:
     """Spans of high entropy inside candidate strings that are not allowed."""
     found: list[Span] = []
     if b"k" * WINDOW not in text.encode().translate(_KEY_BYTES):
         return found
     for candidate in CANDIDATE.finditer(text):
-        run = candidate[0]
-        if any(p.fullmatch(run) for p in allowed):
-            continue
-        if not (re.search(r"[0-9]", run) and re.search(r"[A-Za-z]", run)):
-            continue
-        kind = "entropy_hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) else "entropy_base64"
-        at = candidate.start()
-        found += [(kind, at + a, at + b) for a, b in high_windows(run, BITS[kind])]
+        for at, run in _left(candidate[0], allowed):
+            kind = _kind_of(run) if len(run) >= WINDOW else None
+            if kind is None or any(p.fullmatch(run) for p in allowed):
+                continue
+            at += candidate.start()
+            found += [(kind, at + a, at + b) for a, b in high_windows(run, BITS[kind])]
     return found
 
 
