@@ -166,10 +166,8 @@ def incidents(events: DataFrame) -> DataFrame:
 
 
 def event_curve(events: DataFrame) -> DataFrame:
-    """The (t, pps) points recorded at the opening and at each update, newest 2,000."""
-    newest = Window.partitionBy("key", "started_tick").orderBy(F.col("tick").desc())
-    points = (events.filter(F.col("event").isin("open", "update"))
-              .withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= 2000))
+    """All (t, pps) points recorded at the opening and at each update."""
+    points = events.filter(F.col("event").isin("open", "update"))
     point = F.struct((F.col("tick") - F.col("started_tick")).cast("double").alias("t"), F.round("pps", 1).alias("pps"))
     return points.groupBy("key", "started_tick").agg(F.array_sort(F.collect_list(point)).alias("velocity_curve"))
 

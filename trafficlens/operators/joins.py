@@ -234,24 +234,26 @@ def merge_node_sources(counter_rows: DataFrame, flow_rows: DataFrame) -> DataFra
 # --- intervals -------------------------------------------------------------
 
 def incident_evidence(packets: DataFrame, incidents: DataFrame, order: Sequence[str],
-                      during: int | None = None, before: int | None = None, look_back: int = 60) -> DataFrame:
+                      during: int | None = None, before: int | None = None, look_back: int | None = None) -> DataFrame:
     """Packets of every incident and those before it: all, or the first ``during`` and the last ``before`` ones.
 
     ``incidents``: dst_ip, incident_id, started_tick, ended_tick. The time test rides
-    on an equality join on (destination, minute); only packets up to ``look_back``
-    ticks before the start can match. Ranking is sliced, see ``topk_per_group``.
+    on an equality join on (destination, minute). Earlier packets are joined on the
+    destination alone, whatever their age, or on minutes too where ``look_back`` limits
+    them to so many ticks before the start. Ranking is sliced, see ``topk_per_group``.
     """
     width = 60
-    first = F.floor((F.col("started_tick") - look_back) / width)
-    spans = incidents.select("dst_ip", "incident_id", "started_tick", "ended_tick",
-                             F.explode(F.sequence(first, F.floor(F.col("ended_tick") / width))).alias("_slot"))
+    first = F.floor((F.col("started_tick") - (look_back or 0)) / width)
+    incidents = incidents.select("dst_ip", "incident_id", "started_tick", "ended_tick")
+    spans = incidents.withColumn("_slot", F.explode(F.sequence(first, F.floor(F.col("ended_tick") / width))))
     near = (packets.withColumn("_slot", F.floor(F.col("tick") / width)).join(spans, ["dst_ip", "_slot"])
-            .filter(F.col("tick").between(F.col("started_tick") - look_back, F.col("ended_tick"))).drop("_slot"))
+            .filter(F.col("tick").between(F.col("started_tick") - (look_back or 0), F.col("ended_tick"))).drop("_slot"))
+    earlier = packets.join(incidents, "dst_ip") if look_back is None else near
     ascending = [F.col(name).asc() for name in order]
     descending = [F.col(name).desc() for name in order]
     inside = topk_per_group(near.filter(F.col("tick") >= F.col("started_tick")), ["incident_id"],
                             ascending, during, "position", spread=list(order))
-    prior = topk_per_group(near.filter(F.col("tick") < F.col("started_tick")), ["incident_id"],
+    prior = topk_per_group(earlier.filter(F.col("tick") < F.col("started_tick")), ["incident_id"],
                            descending, before, "position", spread=list(order))
     return inside.withColumn("phase", F.lit("during")).unionByName(prior.withColumn("phase", F.lit("before")))
 

@@ -398,12 +398,22 @@ def merge_node_sources(spark, sf_dir):
 
 @query
 def incident_evidence(spark, sf_dir):
-    """Evidence packets of the sustained floods; limits low enough to be reached here."""
+    """Evidence packets of the sustained floods; limits low enough to be reached here, as its SQL has them."""
+    return _evidence(spark, sf_dir, 1500, 40, 60)
+
+
+@query
+def incident_evidence_any_age(spark, sf_dir):
+    """Evidence packets of the sustained floods: the first 10,000, and the last 1,000 before the start, whatever their age."""
+    return _evidence(spark, sf_dir, 10_000, 1_000, None)
+
+
+def _evidence(spark, sf_dir, during, before, look_back):
     floods = flood.sustained_floods(w.flows(spark, sf_dir), CUT)
     incidents = floods.selectExpr("dst_ip", "concat(dst_ip, '@', first_tick) AS incident_id",
                                   "first_tick AS started_tick", "last_tick AS ended_tick")
     packets = w.packets(spark, sf_dir).select("dst_ip", "tick", "flow_id", "flow_line", "src_ip", "pkt_len")
-    found = joins.incident_evidence(packets, incidents, ["tick", "flow_id", "flow_line", "src_ip"], 1500, 40)
+    found = joins.incident_evidence(packets, incidents, ["tick", "flow_id", "flow_line", "src_ip"], during, before, look_back)
     return found.select("incident_id", "phase", "position", "tick", "flow_id", "flow_line", "src_ip", "pkt_len")
 
 

@@ -503,6 +503,14 @@ oracle("incident_evidence", """SELECT incident_id, phase, position, tick, flow_i
   FROM near WHERE tick < first_tick QUALIFY position <= 40)""", "v_packets", "v_floods", extra="""near AS (
   SELECT p.*, f.dst_ip || '@' || first_tick AS incident_id, first_tick FROM v_packets p JOIN v_floods f ON p.dst_ip = f.dst_ip
   AND p.tick BETWEEN first_tick - 60 AND last_tick)""")
+oracle("incident_evidence_any_age", """SELECT incident_id, phase, position, tick, flow_id, flow_line, src_ip, pkt_len FROM (
+  SELECT *, 'during' AS phase, row_number() OVER (PARTITION BY incident_id ORDER BY tick, flow_id, flow_line, src_ip) AS position
+  FROM upto WHERE tick >= first_tick QUALIFY position <= 10000
+  UNION ALL
+  SELECT *, 'before' AS phase, row_number() OVER (PARTITION BY incident_id ORDER BY tick DESC, flow_id DESC, flow_line DESC, src_ip DESC) AS position
+  FROM upto WHERE tick < first_tick QUALIFY position <= 1000)""", "v_packets", "v_floods", extra="""upto AS (
+  SELECT p.*, f.dst_ip || '@' || first_tick AS incident_id, first_tick FROM v_packets p JOIN v_floods f ON p.dst_ip = f.dst_ip
+  AND p.tick <= last_tick)""")
 oracle("correlate_l3_l7", """SELECT node_id, node_id || '@' || tick AS incident_id, tick AS started_tick,
   EXISTS (SELECT 1 FROM v_flows f WHERE f.node_id = h.node_id AND f.tick = h.tick GROUP BY f.tick HAVING sum(packets) > 5000)
   OR EXISTS (SELECT 1 FROM gaps g WHERE g.node_id = h.node_id AND h.tick BETWEEN g.a AND g.b) AS correlated_l3l4
