@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracles import compare, connect
-from trafficlens.operators import detect, joins
+from trafficlens.operators import detect, joins, l7
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,8 +30,23 @@ def test_curve_has_all_points(spark):
     assert len(detect.event_curve(events).collect()[0].velocity_curve) == 2500
 
 
+def test_a_path_below_the_top_of_every_window_counts(spark):
+    # 25 paths of two requests at each tick of their own, and one of a single request at every tick
+    rows = [("s", 20 * k, f"/p{k:02}") for k in range(25) for _ in range(2)] + [("s", t, "/steady") for t in range(500)] + [("s", 95, "/z"), ("s", 205, "/z")]
+    rows += [("s", t, f"/w{t}-{j}") for t in range(0, 500, 5) for j in range(30) for _ in range(20)]
+    requests = spark.createDataFrame(rows, "site_id string, tick long, path string")
+    incidents = spark.createDataFrame([("s", "i", 100, 200)], "site_id string, incident_id string, started_tick long, ended_tick long")
+    found = l7.l7_attack_items(requests, incidents, "path", 1).collect()
+    expected = sum(1 for t in range(500) for w in range(t, t + 10) if 100 <= w <= 200)
+    assert [(r.path, r.window_summed, r.exact_count, r["rank"]) for r in found] == [("/steady", expected, 101, 1)]
+    whole = {r.path: (r.window_summed, r.exact_count) for r in l7.l7_attack_items(requests, incidents, "path", None).collect()}
+    assert whole["/z"] == (5, 0)
+    listed = l7.l7_attack_listed_items(l7.l7_top_items(requests, "path", 20), incidents, "path", 20)
+    assert "/steady" not in {r.path for r in listed.collect()}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["incident_evidence", "incident_evidence_any_age"])
+@pytest.mark.parametrize("name", ["incident_evidence", "incident_evidence_any_age", "l7_attack_top_paths", "l7_attack_whole_paths"])
 def test_query(spark, name):
     outcome = compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert outcome.startswith("ok"), outcome

@@ -118,8 +118,26 @@ def incident_windows(stats: DataFrame, incidents: DataFrame) -> DataFrame:
     return stats.join(spans, "site_id").filter(F.col("tick").between(F.col("started_tick"), F.col("ended_tick")))
 
 
-def l7_attack_items(ranked: DataFrame, incidents: DataFrame, item: str, k: int) -> DataFrame:
-    """Top items of a whole attack as the sum of its windows' top lists."""
+def l7_attack_items(requests: DataFrame, incidents: DataFrame, item: str, k: int | None, window: int = WINDOW) -> DataFrame:
+    """Top items of a whole attack, from all its requests: summed over overlapping windows, and exact.
+
+    ``window_summed`` counts a request once for each window of the incident that it falls into,
+    ``exact_count`` counts it once if it came during the incident. Cut to ``k`` once per incident.
+    """
+    if item == "ua":
+        requests = requests.filter(F.coalesce("ua", F.lit("")) != "")
+    per_tick = requests.groupBy("site_id", item, "tick").agg(F.count(F.lit(1)).alias("count"))
+    spans = incidents.select("site_id", "incident_id", "started_tick", "ended_tick")
+    first, last = F.greatest("tick", "started_tick"), F.least(F.col("tick") + window - 1, F.col("ended_tick"))
+    inside = per_tick.join(spans, "site_id").filter(first <= last)
+    summed = inside.groupBy("incident_id", item).agg(
+        F.sum(F.col("count") * (last - first + 1)).alias("window_summed"),
+        F.sum(F.when(F.col("tick") >= F.col("started_tick"), F.col("count")).otherwise(0)).alias("exact_count"))
+    return topk_per_group(summed, ["incident_id"], [F.col("window_summed").desc(), F.col(item).asc()], k)
+
+
+def l7_attack_listed_items(ranked: DataFrame, incidents: DataFrame, item: str, k: int) -> DataFrame:
+    """Top items of a whole attack as the sum of its windows' top lists; see :func:`l7_attack_items` for whole counts."""
     inside = incident_windows(ranked.drop("rank"), incidents)
     summed = inside.groupBy("incident_id", item).agg(F.sum("count").alias("window_summed"))
     return topk_per_group(summed, ["incident_id"], [F.col("window_summed").desc(), F.col(item).asc()], k)

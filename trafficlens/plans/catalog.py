@@ -670,7 +670,13 @@ def l7_attack_summary(spark, sf_dir):
 @query
 def l7_attack_top_paths(spark, sf_dir):
     ranked = l7.l7_top_items(w.http(spark, sf_dir), "path", l7.TOP_PATHS)
-    return l7.l7_attack_items(ranked, _http_spans(spark, sf_dir), "path", l7.TOP_PATHS)
+    return l7.l7_attack_listed_items(ranked, _http_spans(spark, sf_dir), "path", l7.TOP_PATHS)
+
+
+@query
+def l7_attack_whole_paths(spark, sf_dir):
+    """Top paths of whole attacks from all requests; ``l7_attack_top_paths`` sums its windows' top lists, as its SQL does."""
+    return l7.l7_attack_items(w.http(spark, sf_dir), _http_spans(spark, sf_dir), "path", l7.TOP_PATHS)
 
 
 # --- reports ---------------------------------------------------------------

@@ -682,6 +682,9 @@ oracle("l7_attack_top_paths", """SELECT incident_id, path, window_summed, rank F
   FROM (SELECT *, row_number() OVER (PARTITION BY site_id, tick ORDER BY c DESC, path) AS r FROM (SELECT site_id, upto AS tick, path, count(*) AS c
     FROM v_w GROUP BY ALL)) t JOIN v_spans p ON t.site_id = p.site_id AND t.tick BETWEEN a AND b WHERE r <= 20
   GROUP BY incident_id, path)) WHERE rank <= 20""", "v_w", "v_spans")
+oracle("l7_attack_whole_paths", """SELECT incident_id, path, window_summed, exact_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY incident_id
+  ORDER BY window_summed DESC, path) AS rank FROM (SELECT incident_id, path, count(*) AS window_summed, count(*) FILTER (upto = born) AS exact_count
+  FROM v_w t JOIN v_spans p ON t.site_id = p.site_id AND t.upto BETWEEN a AND b GROUP BY incident_id, path)) WHERE rank <= 20""", "v_w", "v_spans")
 
 # --- reports ---------------------------------------------------------------
 
