@@ -699,7 +699,7 @@ def dst_report(spark, sf_dir):
     hot = _hot_rows(spark, sf_dir)
     per_dst = measures.dst_measures(w.flows(spark, sf_dir))
     limits = baseline.calibrated_threshold(per_dst, "dst_ip", CUT).select("dst_ip", "avg_pps", "threshold")
-    return flood.dst_report(per_dst, limits, hot.filter("hot").select("dst_ip", "tick"), w.labels(spark), others=5)
+    return flood.dst_report(per_dst, limits, hot.filter("hot").select("dst_ip", "tick"), w.labels(spark))
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.classify import classify_attack, ip_status, syn_ratio
 from trafficlens.functions.network import TCP_FLAGS
-from trafficlens.operators.baseline import exceeds, runs_of, with_calibrated_threshold
+from trafficlens.operators.baseline import UNSEEN_PPS, exceeds, runs_of, with_calibrated_threshold
 from trafficlens.operators.joins import label_join
 from trafficlens.operators.measures import dst_measures
 from trafficlens.operators.topk import topk_per_group
@@ -56,7 +56,7 @@ def dst_report(measures: DataFrame, baselines: DataFrame, attacking: DataFrame,
     """One tick of a segment: every attacked destination and the busiest others.
 
     ``measures``: rows of one tick per report key; ``baselines``: dst_ip, avg_pps,
-    threshold; ``attacking``: dst_ip, tick.
+    threshold; ``attacking``: dst_ip, tick. Destinations without a baseline are judged by UNSEEN_PPS.
     """
     marked = measures.join(attacking.select("dst_ip", "tick", F.lit(True).alias("attacked")).distinct(),
                            ["dst_ip", "tick"], "left")
@@ -66,7 +66,7 @@ def dst_report(measures: DataFrame, baselines: DataFrame, attacking: DataFrame,
                           [F.col("pps").desc(), F.col("dst_ip").asc()], others).drop("rank")
     listed = hot.unionByName(rest).join(baselines, "dst_ip", "left")
     listed = label_join(listed, labels, "dst_ip")
-    threshold = F.coalesce("threshold", F.lit(0.0))
+    threshold = F.coalesce("threshold", F.lit(UNSEEN_PPS))
     return listed.select(
         "tick", F.col("dst_ip").alias("ip"), "label", F.round("pps", 1).alias("pps"), F.round("bps", 1).alias("bps"),
         "tcp_pct", "udp_pct", "icmp_pct", F.round(F.coalesce("avg_pps", F.lit(0.0)), 1).alias("baseline_pps"),

@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 
 SYN = "l_suppkey % 20 = 3 AND l_orderkey % 900 BETWEEN 600 AND 679"
 NTP = "l_suppkey % 20 = 7 AND l_orderkey % 900 BETWEEN 720 AND 779"
-NEW = "l_suppkey % 20 = 11 AND l_orderkey % 900 BETWEEN 620 AND 699"
+NEW = "l_suppkey % 20 = 9 AND l_orderkey % 900 BETWEEN 620 AND 699"
 
 # name -> (views it needs, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -583,7 +583,8 @@ HINT = "trim(substr(top_hit, strpos(top_hit, ':') + 1))"
 NEW_FAMILY = f"CASE WHEN top_hit IS NOT NULL AND {HINT} NOT IN ('', 'unknown') AND family IN ('unknown', '') THEN {HINT} ELSE family END"
 NEW_SUBTYPE = f"""CASE WHEN {TOOL_SUBTYPE} IS NOT NULL AND subtype IN ('', 'volumetric', 'syn_flood', 'ping_flood', 'tcp_generic')
   THEN {TOOL_SUBTYPE} ELSE subtype END"""
-BOOST = "cast(coalesce(least(top_hit_count, 30), 0) AS bigint)"
+# least() skips nulls here
+BOOST = "cast(CASE WHEN top_hit_count IS NULL THEN 0 ELSE least(top_hit_count, 30) END AS bigint)"
 BREAKDOWN_FAMILY = family_sql(syn="sr", other="other_pct", frag="fragment_pct", dns="dns")
 VIEWS["v_summary"] = (("v_breakdown", "v_ioc_top"), f"""
 SELECT b.*, {SYN_RATIO} AS sr, {FLAG_TOTAL}, top_hit, top_hit_count, s.avg_len, s.std_len, n.dns_unique, coalesce(n.dns_unique, 0) >= 10 AS dns,
@@ -695,10 +696,10 @@ oracle("sustained_floods", f"""SELECT dst_ip, first_tick, last_tick, length, pea
 FROM (SELECT *, round(t / (t + u + i) * 100, 1) AS tcp_pct, round(u / (t + u + i) * 100, 1) AS udp_pct, round(i / (t + u + i) * 100, 1) AS icmp_pct
   FROM v_floods)""", "v_floods")
 oracle("dst_report", """SELECT tick, dst_ip AS ip, coalesce(label, '') AS label, round(pps, 1) AS pps, round(bps, 1) AS bps, tcp_pct, udp_pct,
-  icmp_pct, round(avg_pps, 1) AS baseline_pps, round(threshold, 1) AS threshold_pps,
+  icmp_pct, round(coalesce(avg_pps, 0), 1) AS baseline_pps, round(threshold, 1) AS threshold_pps,
   CASE WHEN hot THEN 'attack' WHEN threshold > 0 AND pps > threshold * 0.7 THEN 'elevated' ELSE 'normal' END AS status, src_ip_count
 FROM (SELECT *, row_number() OVER (PARTITION BY tick, hot ORDER BY pps DESC, dst_ip) AS r FROM v_hot) LEFT JOIN v_labels ON ip = dst_ip
-WHERE hot OR r <= 5""", "v_hot", "v_labels")
+WHERE hot OR r <= 100""", "v_hot", "v_labels")
 oracle("dst_report_totals", """SELECT tick, round(sum(pps), 1) AS total_pps, round(sum(bps), 1) AS total_bps, count(*) AS tracked_ip_count,
   count(*) FILTER (hot) AS active_attacks FROM v_hot GROUP BY tick""", "v_hot")
 oracle("ip_status", """SELECT dst_ip, tick, CASE WHEN threshold > 0 AND pps > threshold * 0.7 THEN 'elevated' ELSE 'normal' END AS status

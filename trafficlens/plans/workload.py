@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SYN_FLOOD = "l_suppkey % 20 = 3 AND l_orderkey % 900 BETWEEN 600 AND 679"
 NTP_FLOOD = "l_suppkey % 20 = 7 AND l_orderkey % 900 BETWEEN 720 AND 779"
 # A flood on a destination without earlier traffic.
-NEW_FLOOD = "l_suppkey % 20 = 11 AND l_orderkey % 900 BETWEEN 620 AND 699"
+NEW_FLOOD = "l_suppkey % 20 = 9 AND l_orderkey % 900 BETWEEN 620 AND 699"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
