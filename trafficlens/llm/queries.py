@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import ann, bpe, chat, langid, minhash, packing, pii, quality, secrets, suffix
+from trafficlens.llm import ann, bpe, chat, langid, minhash, mixing, packing, pii, quality, resample, secrets, suffix, vantage
 from trafficlens.llm.common import read
 
 PACK_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.digest(*vantage.clustered(read(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_near_duplicates": op2_near_duplicates,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_neighbours": op10_neighbours,
+    "op11_mixing": op11_mixing,
+    "op12_resampling": op12_resampling,
+    "op13_clustering": op13_clustering,
 }
 
-ORACLES: dict[str, str] = {"op6_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op6_quality": quality.ORACLE, "op11_mixing": mixing.ORACLE, "op12_resampling": resample.ORACLE}
