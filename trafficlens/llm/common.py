@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that Python handles at a time; longer single texts come alone.
 SLICE_CHARS = 1_000_000
@@ -35,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a lookup table that every executor may hold.
+LOOKUP_ROWS = 100_000
+
+
+def looked_up(table: DataFrame) -> DataFrame:
+    """A stored table of a few narrow columns as the side of a join: sent to every task if its rows are counted and few, shuffled else."""
+    return F.broadcast(table) if table.count() <= LOOKUP_ROWS else table
+
+
 #: Rows of a few numbers that a partition is worth.
 NARROW_ROWS = 100_000
 

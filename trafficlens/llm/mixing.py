@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import checkpointed
+from trafficlens.llm.common import checkpointed, looked_up
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in their order, over and over.
@@ -103,7 +103,7 @@ def mix(docs: DataFrame, merit: Column | None = None, weights: tuple[float, ...]
     rows = checkpointed(sized(docs, merit, seed))
     plan = checkpointed(_allotted(rows, weights, share, most))
     joined = rows.withColumnsRenamed({"source": "_source", "merit": "_merit"}).join(
-        plan, F.col("_source").eqNullSafe(F.col("source")) & F.col("_merit").eqNullSafe(F.col("merit")))
+        looked_up(plan), F.col("_source").eqNullSafe(F.col("source")) & F.col("_merit").eqNullSafe(F.col("merit")))
     odds = F.try_divide(F.col("draw") / (1 - F.col("draw")), F.col("p") / (1 - F.col("p")))
     bins = F.ceil(F.col("documents") / BIN)
     # odds over odds, put between 0 and 1; the mark is about 1/2, where no bin holds more than its share
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, merit: Column | None = None, weights: tuple[float, ...]
     upto = F.sum("words").over(Window.partitionBy("place").orderBy("bin"))
     mark = words.withColumn("upto", upto).where((F.col("upto") - F.col("words") < F.col("sampled")) & (F.col("sampled") <= F.col("upto")))
     mark = mark.select("place", F.col("bin").alias("mark"), (F.col("sampled") - F.col("upto") + F.col("words")).alias("rest"))
-    marked = ranked.join(mark, "place", "left")
+    marked = ranked.join(looked_up(checkpointed(mark)), "place", "left")  # no document is shuffled for its source
     on_mark = F.coalesce(F.col("bin") == F.col("mark"), F.lit(False))
     clear = marked.where(~on_mark).withColumn("extra", F.when(F.col("bin") < F.col("mark"), F.col("size")).otherwise(0))
     within = Window.partitionBy("place").orderBy("order", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
