@@ -95,6 +95,50 @@ def test_wide_groups_and_long_runs(spark, docs_of, monkeypatch):
     check(suffix.without_repeats(docs_of(texts).repartition(3)), texts)
 
 
+def test_wide_groups_in_small_pieces(spark, docs_of, monkeypatch):
+    """Groups that go on over many pieces of a stream, at every depth of dealing."""
+    monkeypatch.setattr(suffix, "GROUP", 2)
+    monkeypatch.setattr(suffix, "HASHED_ROWS", 7)
+    monkeypatch.setattr(suffix, "SORTED_ROWS", 5)
+    texts = corpus(7, 40)
+    check(suffix.without_repeats(docs_of(texts).repartition(2)), texts)
+
+
+def test_a_passage_of_very_many_documents(spark, docs_of):
+    """2,000 documents share a passage with ever different surroundings; some share more than it, and one text holds it twice."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefgh", k=draw.randint(1, 8)))
+    passage = " ".join(word() for _ in range(50))
+    texts = []
+    for k in range(2000):
+        before, after = (" ".join(word() for _ in range(draw.randint(0, 25))) for _ in range(2))
+        if k % 7 == 0 and texts:
+            before = texts[draw.randrange(len(texts))].split(passage)[0][-draw.randint(1, 90):]
+        if k % 11 == 0 and texts:
+            after = texts[draw.randrange(len(texts))].split(passage)[-1][: draw.randint(1, 90)]
+        texts.append(before + passage + after)
+    texts[1500] = passage + "x" + passage
+    check(suffix.without_repeats(docs_of(texts).repartition(4)), texts)
+
+
+@pytest.mark.parametrize("length", [1, 2, 20, 25, 47])
+def test_other_lengths(spark, docs_of, monkeypatch, length):
+    monkeypatch.setattr(suffix, "GROUP", 3)
+    texts = [t for t in corpus(9, 25) if len(t or "") < 600]
+    check(suffix.without_repeats(docs_of(texts), length=length), texts, length)
+
+
+def test_extra_columns_with_the_names_inside(spark, docs_of):
+    names = ["doc", "_doc", "shift", "_shift", "runs", "asked", "row", "group", "content", "place", "first", "last", "data", "anchor", "kept", "n_bytes", "a.b"]
+    long = "".join(random.Random(5).choices("abcdefgh", k=300))
+    docs = docs_of([long, "y" + long])
+    for name in names:
+        docs = docs.withColumn(name, suffix.F.lit(f"own {name}"))
+    rows = suffix.cut_rows(docs).collect()
+    assert sorted((r.row.doc_id, r.n_removed) for r in rows) == [(0, 0), (1, 300)]
+    assert all(r.row[name] == f"own {name}" for r in rows for name in names)
+
+
 def test_other_columns_nulls_and_repeated_rows(spark, docs_of):
     long = "".join(random.Random(5).choices("abcdefgh", k=300))
     docs = docs_of([long, long + "x"])

@@ -5,13 +5,17 @@
    least hash is a segment; segments of one hash form a group, and only windows of one group can be
    equal.
 2. Equal segments. Groups are dealt out by hash. Of equal segments all but the earliest repeat as a
-   whole. Equal segments of one slice of documents meet before they are shuffled.
+   whole. Equal segments of a task's documents meet before they are shuffled.
 3. Suffix arrays. Different segments of a group, and those that may repeat themselves, are one text. Its suffix array is made by induced
    sorting and the permuted common prefixes tell which windows are equal; all but the earliest repeat.
    Groups of one size are sorted in step.
-4. Groups of more than ``GROUP`` different segments, as at the edges of a passage that very many
-   documents share, are not put into one task: their windows are hashed one by one, and dealt out by
-   the least gram of another order and, the larger the group, by more of the hash, and compared as in step 2.
+4. Wide groups. Beyond ``GROUP`` different segments, as at the edges of a passage that very many documents share, a
+   group is dealt out again by longer anchors until its parts are narrow: windows are told apart by how far the least gram stands from
+   their start, in ranges of a third of the places each time, and all windows of a range hold the same bytes about the gram, which are
+   the anchor of the part. Steps 2 and 3 then work on the parts. A segment stays one row for each range; only the range in which the passage ends
+   needs the next, finer one.
+
+Rows are read in order of group and content, so a task holds a bounded number of them, however wide a group is.
 
 The runs of repeated starts of a document then give its removed bytes.
 """
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,15 +39,18 @@ LENGTH = 100
 GRAM = 20
 #: Window starts of a segment at most.
 RUN = 1024
-#: Different segments of a group that are sorted together at most.
+#: Different segments of a group that are sorted together at most; wider groups are dealt by longer anchors first.
 GROUP = 128
-#: Of a wide group, the windows of so many segments and one second-least gram are compared in one place.
-DEALT = 4096
 #: Symbols of the texts that are sorted in step, and rows that are read for that.
 CELLS = 1_000_000
 SORTED_ROWS = 40_000
+#: Rows of hashes that are looked at together, and that meet in a task before they are shuffled.
+HASHED_ROWS = 200_000
+MET_ROWS = 400_000
 _BYTE = splitmix(np.arange(256, dtype=np.uint64) + np.uint64(99))
-#: What a row is: starts that repeat; a segment or window by its hash; one whose bytes are asked for; a segment that may repeat itself.
+#: Parts that the places of a gram are split into when a group is dealt by longer anchors.
+PARTS = 3
+#: What a row is: starts that repeat; a segment by its hash; one whose bytes are asked for, in a narrow or a wide group; a segment that may repeat itself.
 REPEAT, EQUAL, SORT, WIDE, LOOP = range(5)
 #: ``place`` holds the first start, the number of starts after it, and what the row is.
 ROW = "group long, content long, doc long, place long"
@@ -167,58 +175,97 @@ def _shift() -> Column:
 
 
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
+    """Rows of all segments; of equal ones among some hundred thousand of a task, only the earliest is shuffled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for part, texts in text_slices(batches):
             group, content, owner, first, last, loops = segments([t.encode() for t in texts], length)
             doc, shift = part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner]
-            yield from _once(np.where(loops, LOOP, EQUAL), group, content, doc, first + shift, last + shift)
+            held.append((np.where(loops, LOOP, EQUAL), group, content, doc, first + shift, last + shift))
+            size += len(group)
+            if size >= MET_ROWS:
+                yield from _once(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if held:
+            yield from _once(*(np.concatenate(x) for x in zip(*held)))
 
     return docs.select(_doc_key().alias("doc"), _shift().alias("shift"), "text").mapInArrow(run, ROW)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows of a sorted stream that hold the rows of a group together."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        held.append(batch), (size := size + batch.num_rows)
-        if size < rows:
-            continue
-        table = pa.Table.from_batches(held)
-        group = table.column("group").to_numpy()
-        cut = int(np.searchsorted(group, group[-1]))
-        if cut:
-            yield table.slice(0, cut)
-        held = table.slice(cut).to_batches()
-        size = table.num_rows - cut
-        rows = max(rows, 2 * size)  # a long group is not looked through again at each batch
-    if size:
-        yield pa.Table.from_batches(held)
+class _Groups:
+    """Walks a stream of rows in order of group and content, in pieces of bounded size.
+
+    Each step gives the rows that need no look, those that repeat an earlier one of equal content, and the earliest ones of each content:
+    of groups of at most ``most`` contents, whole, and of wider ones, as they come.
+    """
+
+    def __init__(self, rows: int, most: int) -> None:
+        self.rows, self.most = rows, most
+        self.wide: int | None = None  # the group that the last piece ended in, once it is known to be wide
+
+    def steps(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table, pa.Table, pa.Table]]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= self.rows:
+                *found, rest = self._step(pa.Table.from_batches(held), False)
+                yield tuple(found)
+                held, size = rest.to_batches(), 0
+        if held:
+            yield tuple(self._step(pa.Table.from_batches(held), True)[:4])
+
+    def _step(self, table: pa.Table, at_end: bool) -> tuple[pa.Table, ...]:
+        kind, group, content, doc, first, _ = _columns(table)
+        done = kind == REPEAT
+        look = np.flatnonzero(~done)
+        order, repeats = _first_of_equal(group[look], content[look], doc[look], first[look])
+        order = look[order]
+        g, c = group[order], content[order]
+        fresh = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])) if len(g) else np.zeros(0, bool)
+        earliest, g = order[fresh], g[fresh]
+        index = np.cumsum(np.append(True, g[1:] != g[:-1])) - 1 if len(g) else np.zeros(0, np.int64)
+        wide = (np.bincount(index)[index] > self.most) | (g == self.wide if self.wide is not None else False) if len(g) else np.zeros(0, bool)
+        later = np.zeros(len(g), bool)
+        self.wide = None
+        if not at_end and len(g):
+            # the last group may go on: a wide one waits with its last content only, another one as a whole
+            if wide[-1]:
+                later[-1], self.wide = True, int(g[-1])
+            else:
+                later = g == g[-1]
+        return (table.filter(pa.array(done)), *(table.take(pa.array(x)) for x in (order[repeats], earliest[~wide & ~later], earliest[wide & ~later], earliest[later])))
+
+
+def _rows(table: pa.Table, kind: int) -> pa.RecordBatch:
+    """The rows' hashes and places, as rows of another kind."""
+    _, *columns = _columns(table)
+    return _batch(np.full(table.num_rows, kind), *columns)
+
+
+def _by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("group").sortWithinPartitions("group", "content")
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
     """Repeats among rows of equal content, and requests for the bytes of what else is in their groups."""
+    most = GROUP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, 200_000):
-            kind, group, content, doc, first, last = _columns(table)
-            done = kind == REPEAT
-            yield _batch(*(x[done] for x in (kind, group, content, doc, first, last)))
-            kind, group, content, doc, first, last = (x[~done] for x in (kind, group, content, doc, first, last))
-            order, repeats = _first_of_equal(group, content, doc, first)
-            kind, group, content, doc, first, last = (x[order] for x in (kind, group, content, doc, first, last))
-            fresh = np.append(True, (group[1:] != group[:-1]) | (content[1:] != content[:-1])) if len(group) else np.zeros(0, bool)
+        for done, repeats, narrow, wide in _Groups(HASHED_ROWS, most).steps(batches):
+            yield _rows(done, REPEAT)
+            _, _, _, doc, first, last = _columns(repeats)
+            yield _joined(doc, first, last)
+            group, looping = narrow.column("group").to_numpy(), _columns(narrow)[0] == LOOP
             index = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1 if len(group) else np.zeros(0, np.int64)
-            different = np.bincount(index, weights=fresh).astype(np.int64)[index]
-            loops = np.bincount(index, weights=fresh & (kind == LOOP))[index] > 0
-            ask = fresh & ((different > 1) | loops)
-            yield _joined(doc[repeats], first[repeats], last[repeats])
-            # of a wide group's request, the content tells over how many groups its windows are to be dealt
-            kind, content = np.where(different > GROUP, WIDE, SORT), -(-different // DEALT)
-            yield _batch(*(x[ask] for x in (kind, group, content, doc, first, last)))
+            ask = (np.bincount(index)[index] > 1) | (np.bincount(index, weights=looping)[index] > 0) if len(group) else np.zeros(0, bool)
+            yield _rows(narrow.filter(pa.array(ask)), SORT)
+            yield _rows(wide, WIDE)
 
-    dealt = rows.repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(run, ROW)
+    return _by_group(rows).mapInArrow(run, ROW)
 
 
 def repeats_of(group: np.ndarray, doc: np.ndarray, first: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -281,108 +328,177 @@ def _shift_of(first: Column) -> Column:
     return F.when(first >= UNNAMED, F.lit(UNNAMED)).otherwise(F.lit(0)).cast("long")
 
 
+def widths(length: int) -> list[int]:
+    """Sizes of the ranges of places of the least gram in a window, from a part of all to one."""
+    width = length - min(GRAM, length) + 1
+    out = []
+    while width > 1 or not out:
+        width = -(-width // PARTS)
+        out.append(width)
+    return out
+
+
+def parts_of(group: int, raw: bytes, grams: np.ndarray, first: int, last: int, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """First start, offset of the anchor from it, and bytes of the runs of a segment's windows with the same leftmost least gram."""
+    span = length - min(GRAM, length) + 1
+    begin = first
+    for place in (np.flatnonzero(grams[first : last + span] == np.int64(group).view(np.uint64)) + first).tolist():
+        end = min(last, place)
+        if end >= begin:
+            yield begin, place - begin, raw[begin : end + length]
+            begin = end + 1
+
+
+def dealt(first: int, offset: int, data: bytes, width: int, length: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """Group, content, first start, last start, anchor offset and bytes of a run's windows, by the range that their anchor offset is in.
+
+    All windows of a range have the same bytes about the gram: their hash is the group. ``data`` holds windows whose anchor stands ``offset``, ``offset`` - 1, ... behind their start.
+    """
+    gram = min(GRAM, length)
+    span = length - gram + 1
+    least = offset - (len(data) - length)
+    for low in range(least // width * width, offset + 1, width):
+        high = min(low + width, span) - 1
+        a, b = offset - min(high, offset), offset - max(low, least)
+        part = data[a : b + length]
+        anchor = data[offset - low : offset + gram + span - 1 - high]
+        yield (_signed(xxhash.xxh64_intdigest(anchor, low * 1024 + width)), _signed(xxhash.xxh64_intdigest(part)), first + a, first + b, offset - a, part)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+#: ``anchor`` is the offset of a part's anchor, or less than 0 for a whole segment.
+LONG_ROW = f"{ROW}, anchor int, data binary"
+
+
+def _long_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of group, content, doc, first, last, anchor and bytes."""
+    columns = list(zip(*rows)) or [[]] * 7
+    group, content, doc, first, last = (np.array(x, np.int64) for x in columns[:5])
+    short = _batch(np.full(len(rows), SORT), group, content, doc, first, last)
+    return pa.RecordBatch.from_arrays([*short.columns, pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.binary())], names=[*_NAMES, "anchor", "data"])
+
+
+def _lengthened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names=[*_NAMES, "anchor", "data"])
+
+
 def _with_bytes(keyed: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """Segments with their bytes, and the windows of wide groups by their hashes.
+    """Segments of narrow groups with their bytes, those of wide groups dealt by their first, shortest anchors.
 
-    ``keyed`` comes whole, so that its shuffle by document is the one that :func:`without_repeats` uses again.
+    ``keyed`` comes whole, so that its shuffle by document is the one that :func:`cut_rows` uses again.
     """
     by_doc = asked.withColumn("shift", _shift_of(_first())).groupBy("doc", "shift").agg(F.collect_list(F.struct(
-        _kind().alias("kind"), "group", "content", (_first() - F.col("shift")).alias("first"), (_last() - F.col("shift")).alias("last"))).alias("_asked"))
+        _kind().alias("kind"), "group", "content", (_first() - F.col("shift")).alias("first"), (_last() - F.col("shift")).alias("last"))).alias("asked"))
     texts = keyed.join(by_doc, (F.col("_doc") == F.col("doc")) & (F.col("_shift") == F.col("shift")))
+    width = widths(length)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, slice_texts in text_slices(batches):
-            docs, shifts, lists = (part.column(part.schema.get_field_index(k)).to_pylist() for k in ("_doc", "_shift", "_asked"))
-            narrow: list[tuple] = []
-            wide: list[tuple[np.ndarray, ...]] = []
+        for part, slice_texts in _row_texts(batches):
+            docs, shifts, lists = (part.column(part.schema.get_field_index(k)).to_pylist() for k in ("_doc", "_shift", "asked"))
+            out: list[tuple] = []
             for doc, shift, text, wanted in zip(docs, shifts, slice_texts, lists):
                 raw = text.encode()
-                far = [x for x in wanted if x["kind"] == WIDE]
-                narrow += [(x["group"], doc, x["first"] + shift, x["last"] + shift, raw[x["first"] : x["last"] + length]) for x in wanted if x["kind"] == SORT]
-                if far:
-                    prefix = prefix_hashes(_BYTE[np.frombuffer(raw, np.uint8)])
-                    starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in far])
-                    hashes = span_hashes(prefix, starts, starts + length)
-                    # neighbours mostly share the least gram of another order too, and so meet again
-                    near = _sliding_least(splitmix(_grams(prefix, min(GRAM, length)) ^ np.uint64(7)), length - min(GRAM, length) + 1)[starts]
-                    group, dealt = (np.repeat(np.array([x[k] for x in far]), [x["last"] - x["first"] + 1 for x in far]).astype(np.int64).view(np.uint64) for k in ("group", "content"))
-                    wide.append((splitmix(near + splitmix(group + splitmix(hashes) % dealt)), hashes, np.full(len(starts), doc, np.int64), starts + shift))
-            if narrow:
-                group, doc, first, last = (np.array(x, np.int64) for x in list(zip(*narrow))[:4])
-                rows = _batch(np.full(len(group), SORT), group, np.zeros(len(group), np.int64), doc, first, last)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([x[4] for x in narrow], pa.binary())], names=[*_NAMES, "data"])
-            if wide:
-                columns = [np.concatenate(x) for x in zip(*wide)]
-                for once in _once(np.full(len(columns[0]), EQUAL), *columns, columns[3]):
-                    yield pa.RecordBatch.from_arrays([*once.columns, pa.nulls(once.num_rows, pa.binary())], names=[*_NAMES, "data"])
-
-    return texts.mapInArrow(run, f"{ROW}, data binary")
-
-
-def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated runs of segments with bytes by suffix arrays, and of windows by their hashes."""
+                grams = None
+                for x in wanted:
+                    group, first, last = x["group"], x["first"], x["last"]
+                    if x["kind"] == SORT:
+                        out.append((group, x["content"], doc, first + shift, last + shift, -1, raw[first : last + length]))
+                        continue
+                    if grams is None:
+                        grams = _grams(prefix_hashes(_BYTE[np.frombuffer(raw, np.uint8)]), min(GRAM, length))
+                    for begin, offset, data in parts_of(group, raw, grams, first, last, length):
+                        out += [(key, content, doc, a + shift, b + shift, anchor, own) for key, content, a, b, anchor, own in dealt(begin, offset, data, width, length)]
+            yield _long_batch(out)
+
+    return texts.mapInArrow(run, LONG_ROW)
+
+
+def _sorted_groups(rows: DataFrame, length: int, width: int | None) -> DataFrame:
+    """Repeated runs of the segments of narrow groups by suffix arrays; wide groups are dealt by anchors for ranges of ``width`` places."""
+    most = GROUP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, SORTED_ROWS):
-            kind, group, content, doc, first, last = _columns(table)
-            done, window, sort = kind == REPEAT, kind == EQUAL, kind == SORT
-            yield _batch(*(x[done] for x in (kind, group, content, doc, first, last)))
-            if window.any():
-                order, repeats = _first_of_equal(group[window], content[window], doc[window], first[window])
-                at = np.flatnonzero(window)[order[repeats]]
-                yield _joined(doc[at], first[at], last[at])
-            if sort.any():
-                at = np.flatnonzero(sort)
-                at = at[np.lexsort((first[at], doc[at], first[at] >= UNNAMED, group[at]))]
-                # rows of a document that stands in the table twice come twice
-                at = at[np.append(True, (np.diff(group[at]) != 0) | (np.diff(doc[at]) != 0) | (np.diff(first[at]) != 0))]
-                data = table.column("data").take(pa.array(at)).to_pylist()
-                found = repeats_of(group[at], doc[at], first[at], data, length)
-                yield _joined(*found)
-
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, ROW)
+        for done, repeats, narrow, wide in _Groups(SORTED_ROWS, most).steps(batches):
+            yield _lengthened(_rows(done, REPEAT))
+            _, _, _, doc, first, last = _columns(repeats)
+            yield _lengthened(_joined(doc, first, last))
+            group = narrow.column("group").to_numpy()
+            if len(group):
+                index = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
+                # a part alone has no two windows with the same anchor offset
+                narrow = narrow.filter(pa.array((np.bincount(index)[index] > 1) | (narrow.column("anchor").to_numpy() < 0)))
+            if narrow.num_rows:
+                _, group, _, doc, first, _ = _columns(narrow)
+                at = np.lexsort((first, doc, first >= UNNAMED, group))
+                data = narrow.column("data").take(pa.array(at)).to_pylist()
+                yield _lengthened(_joined(*repeats_of(group[at], doc[at], first[at], data, length)))
+            if wide.num_rows:
+                _, _, _, doc, first, _ = _columns(wide)
+                found: list[tuple] = []
+                for d, begin, offset, data in zip(doc.tolist(), first.tolist(), wide.column("anchor").to_pylist(), wide.column("data").to_pylist()):
+                    found += [(key, content, d, a, b, anchor, own) for key, content, a, b, anchor, own in dealt(begin, offset, data, width, length)]
+                yield _long_batch(found)
+
+    return _by_group(rows).mapInArrow(run, LONG_ROW)
 
 
 def _repeated_runs(docs: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
     """doc, shift (``UNNAMED`` where the doc_id is null), first and last of the runs of starts of repeated strings."""
     resolved = checkpointed(_resolved(_segment_rows(docs, length)))
-    asked = resolved.where(_kind() != REPEAT)
-    found = _sorted_groups(_with_bytes(keyed, asked, length), length)
-    runs = resolved.where(_kind() == REPEAT).select("doc", "place").union(found.select("doc", "place"))
+    rows = _with_bytes(keyed, resolved.where(_kind() != REPEAT), length)
+    # the last range is one place: its parts are windows, and equal ones are of one content
+    for width in [*widths(length)[1:], None]:
+        rows = _sorted_groups(rows, length, width)
+    runs = resolved.where(_kind() == REPEAT).select("doc", "place").union(rows.where(_kind() == REPEAT).select("doc", "place"))
     runs = runs.withColumn("shift", _shift_of(_first()))
     return runs.select("doc", "shift", (_first() - F.col("shift")).alias("first"), (_last() - F.col("shift")).alias("last"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that are left of each text.
+def _row_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches whose first column is the row of a document, with the documents' texts."""
+    for batch in batches:
+        own = batch.column(0)
+        yield from text_slices(iter([pa.RecordBatch.from_arrays([*batch.columns, own.field("text")], names=[*batch.schema.names, "text"])]))
 
-    With ``as_text``, ``kept`` is a string, from which characters that lost some of their bytes are missing.
-    A null text is empty. Earlier is a smaller doc_id, then a smaller start; null doc_ids come last,
-    in the order of a hash of the text. Rows that repeat a doc_id have to repeat its text, too; they are one document
-    and give repeated rows. Rows without a doc_id are one document where their texts are equal. Other columns
-    stay (``kept`` and the three counts are replaced). No rows give no rows.
-    """
-    own = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    keyed = own.withColumns({"_doc": _doc_key(), "_shift": _shift()})
-    runs = _repeated_runs(docs, keyed, length).groupBy("doc", "shift").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+
+def cut_rows(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """``row`` (the whole row of ``docs``), n_bytes, n_removed, n_spans and ``kept`` of :func:`without_repeats`."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(whole, _doc_key().alias("_doc"), _shift().alias("_shift"))
+    runs = _repeated_runs(docs.select("doc_id", "text"), keyed, length).groupBy("doc", "shift").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = keyed.join(runs, (F.col("_doc") == F.col("doc")) & (F.col("_shift") == F.col("shift")), "left")
     none = F.lit(None).cast("long")
-    schema = own.withColumns({"n_bytes": none, "n_removed": none, "n_spans": none, "kept": F.lit(None).cast("string" if as_text else "binary")}).schema
+    schema = docs.select(whole, none.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.lit(None).cast("string" if as_text else "binary").alias("kept")).schema
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
-            wanted = part.column(part.schema.get_field_index("_runs")).to_pylist()
+        for part, texts in _row_texts(batches):
+            wanted = part.column(part.schema.get_field_index("runs")).to_pylist()
             rows = [_cut(text.encode(), runs, length) for text, runs in zip(texts, wanted)]
-            plain = part.columns[: len(names) - 4]
             if as_text:
                 rows = [(*row[:3], row[3].decode(errors="ignore")) for row in rows]
             kinds = [pa.int64()] * 3 + [pa.string() if as_text else pa.binary()]
-            yield pa.RecordBatch.from_arrays([*plain, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
 
     return joined.mapInArrow(run, schema)
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and ``kept``, the bytes that are left of each text.
+
+    With ``as_text``, ``kept`` is a string, from which characters that lost some of their bytes are missing.
+    A null text is empty. Earlier is a smaller doc_id, then a smaller start; null doc_ids come last,
+    in the order of a hash of the text. Rows that repeat a doc_id have to repeat its text, too; they are one document
+    and give repeated rows. Rows without a doc_id are one document where their texts are equal. Other columns
+    stay, whatever their names, but for those of the four new ones; :func:`cut_rows` keeps these too. No rows give no rows.
+    """
+    new = ("n_bytes", "n_removed", "n_spans", "kept")
+    return cut_rows(docs, length, as_text).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in new), *new)
+
+
 def _cut(raw: bytes, runs: list[dict] | None, length: int) -> tuple[int, int, int, bytes]:
     """Bytes, removed bytes, maximal removed runs and what is left of a text."""
     if not runs:
