@@ -40,11 +40,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what is repeated from earlier ones; documents of which nothing is left go."""
-    found = suffix.without_repeats(docs, as_text=True)
+    found = suffix.cut_rows(docs, as_text=True)
     left = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col("n_removed") > 0
-    return left.withColumns({"text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
-                             "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    text = {"text": F.when(changed, F.col("kept")).otherwise(F.col("row.text")),
+            "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return left.select(*(text.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
