@@ -100,3 +100,40 @@ def test_saved_baselines_round_trip(spark, tmp_path):
     sinks.save_baselines(detect.final_states(detect.detect_dst(rows)), str(tmp_path / "b"))
     assert sinks.load_baselines(spark, str(tmp_path / "b"), F.lit(100)).count() == 1
     assert sinks.load_baselines(spark, str(tmp_path / "b"), F.lit(100_000)).count() == 0
+
+
+def test_versions_switch_when_they_are_whole(spark, tmp_path):
+    from trafficlens.sources.versioned import KEPT, VersionedTable
+
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    assert table.read() is None
+    for n in range(6):
+        rows = spark.range(n + 1) if n == 0 else table.read().union(spark.range(1))
+        assert table.write(rows) == n  # reads one version and writes the next
+    assert table.versions() == [6 - KEPT, 4, 5] and table.read().count() == 6
+    (tmp_path / "t" / "version=5" / "_SUCCESS").unlink()  # a writer that died
+    assert table.read().count() == 5 and table.write(table.read()) == 5
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    from trafficlens.sources.versioned import VersionedTable
+
+    def records(*rows):
+        return spark.createDataFrame(rows, "key string, started_tick bigint, event string, tick bigint, peak_pps double")
+
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    first, second = records(("a", 1, "open", 1, 5.0), ("b", 2, "open", 2, 6.0)), records(("a", 1, "update", 6, 7.0), ("a", 1, "resolve", 6, 8.0))
+    for batch_id, rows in ((0, first), (1, second), (1, second), (0, first)):
+        sinks.upsert_incidents(table, rows, batch_id)
+    assert sorted(map(tuple, table.read().collect())) == [("a", 1, "resolve", 6, 8.0), ("b", 2, "open", 2, 6.0)]
+
+
+def test_baselines_saved_from_those_loaded(spark, tmp_path):
+    rows = spark.createDataFrame([("d", t, 5.0, 5.0) for t in range(120)], "dst_ip string, tick bigint, pps double, bps double")
+    path = str(tmp_path / "b")
+    for low in (0, 60):
+        saved = sinks.load_baselines(spark, path, F.lit(low))
+        part = rows.filter((F.col("tick") >= low) & (F.col("tick") < low + 60))
+        sinks.save_baselines(detect.final_states(detect.detect_dst(part, saved=saved)), path)
+    whole = detect.final_states(detect.detect_dst(rows)).collect()
+    assert sinks.load_baselines(spark, path, F.lit(120)).collect() == whole

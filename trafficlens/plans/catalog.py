@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trafficlens import schemas
 from trafficlens.functions import classify, network
 from trafficlens.functions import http as http_functions
 from trafficlens.operators import baseline, detect, evidence, joins, l7, measures, service_ports, topk
 from trafficlens.plans import encoded, flood
 from trafficlens.plans import workload as w
 from trafficlens.session import checkpoint_dir, materialize
-from trafficlens.sources import access_log, datagrams, frames, tables
+from trafficlens.sources import access_log, datagrams, frames, sinks, tables
+from trafficlens.sources.versioned import VersionedTable
+from trafficlens.streaming import detect as live_detect
 from trafficlens.streaming import measures as live_measures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -737,12 +740,16 @@ def dst_incidents(spark, sf_dir):
     return detect.incidents(_dst_events(spark, sf_dir)).drop("snap_tick")
 
 
-def _node_events(spark, sf_dir):
+def _node_rows(spark, sf_dir):
     flows = w.flows(spark, sf_dir)
     ratio = joins.blocklist_ratio(flows, ["node_id", "tick"], w.blocklist(spark, sf_dir)).select(
         "node_id", "tick", "blocklist_ratio")
     per_node = measures.node_measures(flows).select("node_id", "tick", "pps", "bps")
-    return detect.events_only(detect.detect_node(per_node.join(ratio, ["node_id", "tick"], "left")))
+    return per_node.join(ratio, ["node_id", "tick"], "left")
+
+
+def _node_events(spark, sf_dir):
+    return detect.events_only(detect.detect_node(_node_rows(spark, sf_dir)))
 
 
 @query
@@ -879,19 +886,28 @@ def incident_report(spark, sf_dir):
         F.get("top_dst_ports", F.lit(0))["dst_port"].alias("top_port"))
 
 
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def write_incidents(spark, sf_dir):
-    """Current state of every incident from its event records."""
-    from trafficlens.sources.sinks import current_incidents
-
-    return current_incidents(_dst_events(spark, sf_dir)).select("key", "started_tick", "event", "tick", "peak_pps", "peak_bps")
+    """Current state of every incident, read back from a table that batches of event records were merged into, one of them twice."""
+    events = materialize(_dst_events(spark, sf_dir), "events")
+    table = VersionedTable(spark, _folder(spark, "incidents"))
+    for batch_id, upto in ((0, 630), (1, 660), (1, 660), (2, 100_000)):
+        low = {0: -1, 1: 630, 2: 660}[batch_id]
+        sinks.upsert_incidents(table, events.filter((F.col("tick") > low) & (F.col("tick") <= upto)), batch_id)
+    return table.read().select("key", "started_tick", "event", "tick", "peak_pps", "peak_bps")
 
 
 @query
 def baseline_snapshot(spark, sf_dir):
-    """Detection resumed at tick 450 from the saved state of the first half."""
+    """Detection resumed at tick 450 from the state of the first half, saved and loaded again."""
     per_dst = measures.dst_measures(w.flows(spark, sf_dir)).select("dst_ip", "tick", "pps", "bps")
-    saved = detect.restorable(detect.final_states(detect.detect_dst(per_dst.filter("tick < 450"))), F.lit(450))
+    path = _folder(spark, "baselines")
+    sinks.save_baselines(detect.final_states(detect.detect_dst(per_dst.filter("tick < 450"))), path)
+    saved = sinks.load_baselines(spark, path, F.lit(450))
     last = w.flows(spark, sf_dir).agg(F.max("tick").alias("t")).select("t").scalar()
     resumed = detect.detect_dst(per_dst.filter("tick >= 450"), last, saved=saved)
     return detect.events_only(resumed).withColumn("avg_pps", F.round("avg_pps", 6)).drop("snap_tick")
@@ -910,3 +926,83 @@ def stream_measures(spark, sf_dir):
     found = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     return found.select("dst_ip", "tick", "packets", "octets", "flow_count", "tcp_packets", "udp_packets", "icmp_packets", "other_packets",
                         "syn", "ack", "rst", "fin", "psh", "urg", "pps", "bps", "tcp_pct", "udp_pct", "icmp_pct", "fragment_pct", "avg_pkt_size")
+
+
+# Seconds in which a live run reads its input, stops and goes on from its checkpoint.
+LIVE_PARTS = (0, 610, 640)
+
+
+def _live(spark, rows, key, detector, sink):
+    """Runs a live detector over per-second rows that arrive in parts; each part is one run that resumes the last one's state.
+
+    A last row of a key of its own moves the watermark past the last second, as a clock does where some destination always sends.
+    """
+    folder = _folder(spark, "live")
+    rows = materialize(rows.withColumn("ts", F.timestamp_seconds("tick")), "live-rows")
+    last = rows.agg(F.max("tick").alias("t")).select("t").scalar()
+    given = {key: F.lit(""), "ts": F.timestamp_seconds(last + 3.5), "tick": last + 3}
+    clock = spark.range(1).select(*[given.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, live_detect.STATE_STORE[provider])
+    try:
+        for k, low in enumerate(LIVE_PARTS):
+            part = rows.filter(F.col("tick") >= low)
+            part = part.filter(F.col("tick") < LIVE_PARTS[k + 1]) if k + 1 < len(LIVE_PARTS) else part.unionByName(clock)
+            part.write.parquet(f"{folder}/in/part={k}")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part=*")
+            running = (detector(stream).filter(F.col("key") != "").writeStream.outputMode("append").foreachBatch(sink(folder))
+                       .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+            running.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+    return folder
+
+
+def _live_events(spark, rows, key, detector, schema):
+    folder = _live(spark, rows, key, detector, lambda folder: sinks.incident_sink(f"{folder}/out"))
+    return spark.read.schema(schema).parquet(f"{folder}/out/batch=*")
+
+
+def _live_dst_rows(spark, sf_dir):
+    return measures.dst_measures(w.flows(spark, sf_dir)).select("dst_ip", "tick", "pps", "bps")
+
+
+@query
+def stream_detect_dst(spark, sf_dir):
+    events = _live_events(spark, _live_dst_rows(spark, sf_dir), "dst_ip", live_detect.stream_detect_dst, schemas.DETECTION_EVENTS)
+    return events.withColumn("avg_pps", F.round("avg_pps", 6)).drop("snap_tick")
+
+
+@query
+def stream_detect_node(spark, sf_dir):
+    events = _live_events(spark, _node_rows(spark, sf_dir), "node_id", live_detect.stream_detect_node, schemas.DETECTION_EVENTS)
+    return events.withColumn("avg_pps", F.round("avg_pps", 6)).drop("snap_tick")
+
+
+@query
+def stream_detect_http(spark, sf_dir):
+    stats = l7.l7_window_stats(w.http(spark, sf_dir)).select("site_id", "tick", *live_detect.HTTP_INPUTS)
+    return _live_events(spark, stats, "site_id", live_detect.stream_detect_http, schemas.HTTP_EVENTS)
+
+
+@query
+def absent_ticks(spark, sf_dir):
+    """Incidents that end live because their destination falls silent: every second without traffic counts down.
+
+    Export is lost for two of the attacked destinations in the middle of their floods.
+    """
+    rows = _live_dst_rows(spark, sf_dir).filter("NOT (tick BETWEEN 630 AND 655 AND dst_ip IN ('192.0.2.3', '192.0.2.200'))")
+    events = _live_events(spark, rows, "dst_ip", live_detect.stream_detect_dst, schemas.DETECTION_EVENTS)
+    return events.filter("event = 'resolve' AND snap_tick IS NULL").select("key", "started_tick", "tick", "peak_pps", "peak_bps")
+
+
+@query
+def stream_incidents(spark, sf_dir):
+    """Current state of every incident, read back from the table that the live detector's batches are merged into."""
+    folder = _live(spark, _live_dst_rows(spark, sf_dir), "dst_ip", live_detect.stream_detect_dst,
+                   lambda folder: sinks.incident_table_sink(f"{folder}/incidents"))
+    return VersionedTable(spark, f"{folder}/incidents").read().select("key", "started_tick", "event", "tick", "peak_pps", "peak_bps")

@@ -935,3 +935,13 @@ v_summary AS (SELECT *, {SYN_RATIO} AS sr, {FLAG_TOTAL}, coalesce(dns_unique, 0)
 oracle("stream_measures", """SELECT dst_ip, tick, packets, octets, flow_count, tcp_packets, udp_packets, icmp_packets, other_packets,
   syn, ack, rst, fin, psh, urg, pps, bps, tcp_pct, udp_pct, icmp_pct, fragment_pct, avg_pkt_size
 FROM v_dst_pct WHERE tick < (SELECT max(tick) - 10 FROM v_flows)""", "v_flows", "v_dst_pct")
+
+ORACLES["stream_detect_dst"] = ORACLES["detect_dst"]
+ORACLES["stream_detect_node"] = ORACLES["detect_node"]
+ORACLES["stream_detect_http"] = ORACLES["detect_http"]
+ORACLES["stream_incidents"] = ORACLES["write_incidents"]
+# a resolve without a row of that destination and second is one that silence made
+_HEARD = "heard AS (SELECT * FROM v_dst WHERE NOT (tick BETWEEN 630 AND 655 AND dst_ip IN ('192.0.2.3', '192.0.2.200')))"
+oracle("absent_ticks", f"""SELECT key, started_tick, tick, peak_pps, peak_bps FROM ({DST_EVENTS}) e
+WHERE event = 'resolve' AND NOT EXISTS (SELECT 1 FROM heard h WHERE h.dst_ip = e.key AND h.tick = e.tick)""", "v_dst", recursive=True,
+       extra=f"{_HEARD}, {_DST_WALK.replace('v_dst', 'heard')}")
