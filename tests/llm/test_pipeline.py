@@ -60,8 +60,8 @@ def test_stages_by_brute_force(spark, docs_of):
     expected = {k: t for k, t in zip(ids, left) if t.strip()}
     assert got["substring_dedup"] == expected
     ids = sorted(expected)
-    terms = test_pii.brute_terms([expected[k] for k in ids])
-    assert any(terms.values())
+    terms = test_pii.brute_terms([(k, expected[k]) for k in ids])
+    assert any(terms)
     for n, k in enumerate(ids):
         spans = [(start, kind, end) for start, kind, end in test_pii.brute(expected[k])]
         spans += [(int(s.split(":")[1]), 4, int(s.split(":")[2])) for s in terms[n]]
@@ -91,6 +91,24 @@ def test_empty_table(spark, docs_of):
     assert docs.count() == 0
 
 
+NAMES = ("lang_pred", "_lang_pred", "score", "kept_id", "kept", "component_id", "n_shingles", "row", "doc", "_doc", "_shift", "shift", "runs", "asked", "n_removed",
+         "n_bytes", "forms", "terms", "whole", "_whole", "words", "entities", "entity", "term", "text_", "a.b", "key", "value")
+
+
+def test_extra_columns_with_names_of_the_stages(spark, docs_of):
+    docs = docs_of(["the house mail a@b.co and the other thing " * 9, "the other house " * 40, None, ""], lang=dict.fromkeys(range(4), "en"))
+    for name in NAMES:
+        docs = docs.withColumn(name, langid.F.lit(f"own {name}"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        if name != "packing":
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            assert docs.columns == columns and docs.count() == 2
+            assert all(r[c] == f"own {c}" for r in docs.collect() for c in NAMES)
+    assert {r.doc_id for r in docs.collect()} == {0, 1}
+
+
 def test_held_out_rows_are_kept_too(spark, docs_of):
     docs = docs_of(["the house and the other thing"] * 20, lang={k: "en" for k in range(20)})
     assert corpus_pipeline.language(spark, docs, "").count() == 20 and docs.where(langid.held_out(docs.doc_id)).count() > 0
