@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet and read again as the next one's docs. All but the last return the columns of
 ``documents``. Null, empty and very long texts, ties, repeated rows and empty tables are
-treated as the operators' docstrings say; a document without a letter goes in the first stage.
+treated as the operators' docstrings say; a document without a letter goes in the first stage. Other columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm import langid, minhash, packing, pii, suffix
-from trafficlens.llm.common import read
+from trafficlens.llm.common import free_names, read
 from trafficlens.session import materialize
 
 #: Posterior probability that a document's language needs.
@@ -28,14 +29,16 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter or with an unsure language go."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predicted(docs, model, ("_lang", "_score"))
-    return found.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    found = langid.predicted(rows, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates (five words, similarity 0.8); rows that repeat it stay as they are."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    (own,) = free_names(docs, "kept_id")
+    kept = minhash.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +54,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data and disclosing terms masked; all documents stay."""
     found = pii.masked(pii.sanitised(docs))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
