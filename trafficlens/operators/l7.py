@@ -31,23 +31,27 @@ def _spread(df: DataFrame, window: int) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda i: F.col("_at") + i)))
 
 
-def window_totals(requests: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Additive statistics of the window (tick - window, tick] for every site.
-
-    Requests are folded to one row per (site, tick) before they are repeated for
-    the windows they fall into, so the repetition touches ticks and not requests.
-    """
-    flagged = request_flags(requests)
+def additive_counts() -> list[Column]:
+    """Statistics of flagged requests that add up over ticks, addresses and paths."""
     versions = [_count_if(F.col("http_version") == v).alias(f"v_{name}") for v, name in
                 (("1.0", "1_0"), ("1.1", "1_1"), ("2", "2"), ("3", "3"))]
-    per_tick = flagged.groupBy("site_id", "tick").agg(
+    return [
         F.count(F.lit(1)).alias("n"),
         *[_count_if(F.col("status_group") == g).alias(f"status_{g}") for g in ("1xx", "2xx", "3xx", "4xx", "5xx")],
         _count_if(F.col("status") == 499).alias("status_499"),
         _count_if(F.col("is_bot")).alias("bots"),
         _count_if(F.coalesce("http_version", F.lit("")) != "").alias("versioned"), *versions,
         *[_count_if(F.array_contains("threats", name)).alias(f"threat_{name}") for name in THREAT_PATTERNS],
-        F.sum("resp_time_ms").alias("resp_sum"), F.count("resp_time_ms").alias("resp_n"))
+        F.sum("resp_time_ms").alias("resp_sum"), F.count("resp_time_ms").alias("resp_n")]
+
+
+def window_totals(requests: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Additive statistics of the window (tick - window, tick] for every site.
+
+    Requests are folded to one row per (site, tick) before they are repeated for
+    the windows they fall into, so the repetition touches ticks and not requests.
+    """
+    per_tick = request_flags(requests).groupBy("site_id", "tick").agg(*additive_counts())
     sums = [name for name in per_tick.columns if name not in ("site_id", "tick")]
     return _spread(per_tick, window).groupBy("site_id", "tick").agg(
         *[F.sum(name).alias(name) for name in sums], F.min("_at").alias("oldest"))
@@ -78,7 +82,11 @@ def l7_window_stats(requests: DataFrame, window: int = WINDOW) -> DataFrame:
     paths = window_items(requests, "path", window).groupBy(*keys).agg(
         F.max("count").alias("top_path_count"),
         F.min_by("path", F.struct(-F.col("count"), F.col("path"))).alias("top_path"))
-    joined = totals.join(ips, keys).join(paths, keys)
+    return stat_columns(totals.join(ips, keys).join(paths, keys), keys, window)
+
+
+def stat_columns(joined: DataFrame, keys: Sequence[str], window: int = WINDOW) -> DataFrame:
+    """The statistics of a window from its sums, its oldest tick and its top items."""
     n = F.col("n")
     elapsed = F.when(n > 1, F.greatest(F.lit(1.0), (F.col("tick") - F.col("oldest")).cast("double"))) \
         .otherwise(float(window))

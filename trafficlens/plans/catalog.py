@@ -915,15 +915,25 @@ def baseline_snapshot(spark, sf_dir):
 
 # --- live ------------------------------------------------------------------
 
-@query
-def stream_measures(spark, sf_dir):
-    """The destination measures as a stream over the flows: all seconds that the watermark has passed."""
-    rows = live_measures.stream_measures(w.live_flows(spark, sf_dir), ["dst_ip"])
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _to_table(spark, rows):
+    """What a stream appends until its input ends."""
+    folder = _folder(spark, "stream")
     running = (rows.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows")
                .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
     running.awaitTermination()
-    found = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+@query
+def stream_l7(spark, sf_dir):
+    """The trailing request statistics as a stream over the requests: all windows that the watermark has passed."""
+    return _to_table(spark, live_measures.stream_l7(w.live_http(spark, sf_dir))).drop("ts")
+
+
+@query
+def stream_measures(spark, sf_dir):
+    """The destination measures as a stream over the flows: all seconds that the watermark has passed."""
+    found = _to_table(spark, live_measures.stream_measures(w.live_flows(spark, sf_dir), ["dst_ip"]))
     return found.select("dst_ip", "tick", "packets", "octets", "flow_count", "tcp_packets", "udp_packets", "icmp_packets", "other_packets",
                         "syn", "ack", "rst", "fin", "psh", "urg", "pps", "bps", "tcp_pct", "udp_pct", "icmp_pct", "fragment_pct", "avg_pkt_size")
 

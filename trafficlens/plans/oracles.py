@@ -945,3 +945,4 @@ _HEARD = "heard AS (SELECT * FROM v_dst WHERE NOT (tick BETWEEN 630 AND 655 AND
 oracle("absent_ticks", f"""SELECT key, started_tick, tick, peak_pps, peak_bps FROM ({DST_EVENTS}) e
 WHERE event = 'resolve' AND NOT EXISTS (SELECT 1 FROM heard h WHERE h.dst_ip = e.key AND h.tick = e.tick)""", "v_dst", recursive=True,
        extra=f"{_HEARD}, {_DST_WALK.replace('v_dst', 'heard')}")
+oracle("stream_l7", f"SELECT {_L7_COLUMNS} FROM v_l7 WHERE tick < (SELECT max(tick) - 10 FROM v_http)", "v_l7", "v_http")

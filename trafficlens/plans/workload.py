@@ -86,7 +86,18 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return http_of(table(spark, sf_dir, "events"))
+
+
+def live_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests as a stream, with their event time."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    return http_of(events).withColumn("ts", F.timestamp_seconds("tick"))
+
+
+def http_of(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id",
         "concat('site', user_id % 2) AS site_id",
         "CAST(CASE WHEN event_id % 10 < 5 THEN 400 + (event_id div 10) % 60"

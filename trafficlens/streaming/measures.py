@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.operators.l7 import additive_counts, request_flags, stat_columns
 from trafficlens.operators.measures import additive_sums, rates
 
 
@@ -24,29 +25,25 @@ def stream_measures(flows: DataFrame, keys: Sequence[str], lateness: str = "10 s
 
 
 def stream_l7(requests: DataFrame, lateness: str = "10 seconds") -> DataFrame:
-    """Request statistics of the trailing ten seconds, every second and site.
+    """Request statistics of the trailing ten seconds, every second and site, with the columns of the batch statistics.
 
-    The window that ends at second t + 1 is the trailing window of tick t.
+    Two aggregations, one behind the other: sums of every address and path of a window, then the sums, numbers and
+    top ones of the window. A hot site's state so is spread over its addresses and paths. The window that ends at
+    second t + 1 is the trailing window of tick t.
     """
-    from trafficlens.operators.l7 import request_flags
-
-    flagged = request_flags(requests)
-
-    def count(condition) -> object:
-        return F.count(F.when(condition, 1))
-
-    stats = (flagged.withWatermark("ts", lateness)
-             .groupBy(F.window("ts", "10 seconds", "1 second"), "site_id").agg(
-        F.count(F.lit(1)).alias("total_requests"), F.min("ts").alias("oldest"),
-        F.approx_count_distinct("ip", 0.01).alias("unique_ips"),
-        count(F.col("status") >= 400).alias("errors"), count(F.col("status_group") == "5xx").alias("status_5xx"),
-        count(F.col("is_bot")).alias("bots"), F.sum(F.size("threats")).alias("threat_total"),
-        F.expr("element_at(approx_top_k(ip, 1), 1).count").alias("top_ip_count"),
-        F.expr("element_at(approx_top_k(path, 1), 1).count").alias("top_path_count")))
+    items = F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).alias("item")) for name in ("ip", "path")]))
+    flagged = request_flags(requests).withWatermark("ts", lateness).withColumn("of", items)
+    counts = flagged.groupBy(F.window("ts", "10 seconds", "1 second"), "site_id", "of.kind", "of.item").agg(
+        *additive_counts(), F.min(F.unix_timestamp("ts")).alias("oldest"))
+    sums = [name for name in counts.columns if name not in ("window", "site_id", "kind", "item", "oldest")]
+    # every request stands under its address and under its path
+    by_ip, by_path = F.col("kind") == "ip", F.col("kind") == "path"
+    totals = counts.groupBy("window", "site_id").agg(
+        *[F.sum(F.when(by_ip, F.col(name))).alias(name) for name in sums], F.min("oldest").alias("oldest"),
+        F.count(F.when(by_ip, 1)).alias("unique_ips"), F.max(F.when(by_ip, F.col("n"))).alias("top_ip_count"),
+        F.max_by("item", F.when(by_ip, F.struct("n", "item"))).alias("top_ip"),
+        F.max(F.when(by_path, F.col("n"))).alias("top_path_count"),
+        F.min_by("item", F.when(by_path, F.struct(-F.col("n"), F.col("item")))).alias("top_path"))
     tick = F.unix_timestamp("window.end") - 1
-    n = F.col("total_requests")
-    elapsed = F.when(n > 1, F.greatest(F.lit(1), tick - F.unix_timestamp("oldest"))).otherwise(10)
-    return stats.select(
-        F.timestamp_seconds(tick).alias("ts"), "site_id", tick.alias("tick"), n, F.round(n / elapsed, 1).alias("rps"), "unique_ips",
-        F.round(F.col("errors") / n * 100, 1).alias("error_rate"), "status_5xx",
-        F.round(F.col("bots") / n * 100, 1).alias("bot_request_pct"), "threat_total", "top_ip_count", "top_path_count")
+    timed = totals.withColumns({"tick": tick, "ts": F.timestamp_seconds(tick)})
+    return stat_columns(timed, ["ts", "site_id", "tick"])
