@@ -71,28 +71,34 @@ def test_live_web_windows_and_detector(spark, tmp_path):
     assert [e.event for e in sorted(events, key=lambda e: e.tick)][:1] == ["open"]
 
 
+def _decoded_live(spark, root, payloads, ticks=None):
+    """Flows of datagrams that arrive one by one, each in a run of its own."""
+    rows = frame_of(spark, payloads, ticks)
+    for n in range(len(payloads)):
+        rows.filter(F.col("seq") == n).coalesce(1).write.parquet(f"{root}/in/part={n}")
+    resolved = live_templates.stream_resolved(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*"))
+    _finish(resolved.writeStream.outputMode("append").format("parquet").option("path", f"{root}/resolved"), root, "r")
+    return live_templates.decode_resolved(spark.read.schema(live_templates.RESOLVED).parquet(f"{root}/resolved"))
+
+
 def test_stream_decoding_remembers_templates(spark, tmp_path):
     data, definition = (256, data_record()), (0, template(256, FIELDS))
-    seen = []
-    process = live_templates.decode_batches(str(tmp_path / "state"), lambda df, n: seen.append(
-        [(r.seq, r.packets) for r in df.collect()]))
-    payloads = [v9(data), v9(definition), v9(data), v9(data)]
-    rows = frame_of(spark, payloads)
-    for batch_id in range(4):
-        process(rows.filter(F.col("seq") == batch_id), batch_id)
-    process(rows.filter(F.col("seq") == 0), 0)
-    assert seen == [[], [], [(2, 10)], [(3, 10)], []]
+    found = _decoded_live(spark, str(tmp_path), [v9(data), v9(definition), v9(data), v9(data, definition), v9(definition, data)])
+    assert sorted((r.seq, r.packets) for r in found.collect()) == [(2, 10), (3, 10), (4, 10)]
 
 
 def test_templates_in_use_do_not_expire(spark, tmp_path):
     data, definition = (256, data_record()), (0, template(256, FIELDS))
-    seen = []
-    process = live_templates.decode_batches(str(tmp_path / "state"), lambda df, n: seen.append([(r.seq, r.tick) for r in df.collect()]))
-    rows = frame_of(spark, [v9(definition), v9(data), v9(data), v9(data)], [0, 3000, 6000, 9700])
-    for batch_id in range(4):
-        process(rows.filter(F.col("seq") == batch_id), batch_id)
-    assert seen == [[], [(1, 3000)], [(2, 6000)], []]
-    assert len(list((tmp_path / "state" / "templates").iterdir())) == 2
+    found = _decoded_live(spark, str(tmp_path), [v9(definition), v9(data), v9(data), v9(data)], [0, 3000, 6000, 9700])
+    assert sorted((r.seq, r.tick) for r in found.collect()) == [(1, 3000), (2, 6000)]
+
+
+def test_announced_rates():
+    places = [8, 1] + [-1, 0] * len(live_templates._NAMES)
+    places[live_templates._RATE_AT:live_templates._RATE_AT + 2] = [4, 4]
+    body = b"".join(bytes(4) + n.to_bytes(4, "big") for n in (5, 7, 0))
+    assert live_templates._announced(body + b"\x00" * 7, places) == 7  # the last above zero, whole records only
+    assert live_templates._announced(body, [8, 1] + [-1, 0] * len(live_templates._NAMES)) == 0
 
 
 def test_saved_baselines_round_trip(spark, tmp_path):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from trafficlens.sources import access_log, datagrams, frames, sinks, tables
 from trafficlens.sources.versioned import VersionedTable
 from trafficlens.streaming import detect as live_detect
 from trafficlens.streaming import measures as live_measures
+from trafficlens.streaming import templates as live_templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -942,6 +944,21 @@ def stream_measures(spark, sf_dir):
 LIVE_PARTS = (0, 610, 640)
 
 
+@contextmanager
+def _keyed_state(spark):
+    """The state store that typed keyed state needs, while a live query runs."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, live_detect.STATE_STORE[provider])
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+
+
 def _live(spark, rows, key, detector, sink):
     """Runs a live detector over per-second rows that arrive in parts; each part is one run that resumes the last one's state.
 
@@ -952,10 +969,7 @@ def _live(spark, rows, key, detector, sink):
     last = rows.agg(F.max("tick").alias("t")).select("t").scalar()
     given = {key: F.lit(""), "ts": F.timestamp_seconds(last + 3.5), "tick": last + 3}
     clock = spark.range(1).select(*[given.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name) for f in rows.schema])
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, live_detect.STATE_STORE[provider])
-    try:
+    with _keyed_state(spark):
         for k, low in enumerate(LIVE_PARTS):
             part = rows.filter(F.col("tick") >= low)
             part = part.filter(F.col("tick") < LIVE_PARTS[k + 1]) if k + 1 < len(LIVE_PARTS) else part.unionByName(clock)
@@ -964,11 +978,6 @@ def _live(spark, rows, key, detector, sink):
             running = (detector(stream).filter(F.col("key") != "").writeStream.outputMode("append").foreachBatch(sink(folder))
                        .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
             running.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
     return folder
 
 
@@ -1016,3 +1025,21 @@ def stream_incidents(spark, sf_dir):
     folder = _live(spark, _live_dst_rows(spark, sf_dir), "dst_ip", live_detect.stream_detect_dst,
                    lambda folder: sinks.incident_table_sink(f"{folder}/incidents"))
     return VersionedTable(spark, f"{folder}/incidents").read().select("key", "started_tick", "event", "tick", "peak_pps", "peak_bps")
+
+
+@query
+def stream_asof_templates(spark, sf_dir):
+    """Flows of mixed datagrams that arrive in parts, decoded by the templates and scaled by the rates of earlier ones and their own."""
+    folder = _folder(spark, "templates")
+    sent = materialize(encoded.mixed_datagrams(spark, sf_dir), "datagrams")
+    with _keyed_state(spark):
+        for k, low in enumerate(LIVE_PARTS):
+            upto = LIVE_PARTS[k + 1] if k + 1 < len(LIVE_PARTS) else None
+            part = sent.filter((F.col("tick") >= low) & (F.col("tick") < upto if upto else F.lit(True)))
+            part.write.parquet(f"{folder}/in/part={k}")
+            stream = spark.readStream.schema(sent.schema).parquet(f"{folder}/in/part=*")
+            running = (live_templates.stream_resolved(stream).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/resolved")
+                       .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+            running.awaitTermination()
+    flows = live_templates.decode_resolved(spark.read.schema(live_templates.RESOLVED).parquet(f"{folder}/resolved"))
+    return flows.select("exporter_ip", "tick", *FLOW_FIELDS)

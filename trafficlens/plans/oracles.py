@@ -946,3 +946,11 @@ oracle("absent_ticks", f"""SELECT key, started_tick, tick, peak_pps, peak_bps FR
 WHERE event = 'resolve' AND NOT EXISTS (SELECT 1 FROM heard h WHERE h.dst_ip = e.key AND h.tick = e.tick)""", "v_dst", recursive=True,
        extra=f"{_HEARD}, {_DST_WALK.replace('v_dst', 'heard')}")
 oracle("stream_l7", f"SELECT {_L7_COLUMNS} FROM v_l7 WHERE tick < (SELECT max(tick) - 10 FROM v_http)", "v_l7", "v_http")
+
+oracle("stream_asof_templates", f"""SELECT 'v5-' || exporter_ip AS exporter_ip, tick, {_DECODED}, packets * rate AS packets, octets * rate AS octets, tcp_flags,
+  rate AS sample_rate FROM (SELECT *, greatest(1, cast(right(exporter_ip, 1) AS bigint)) AS rate FROM v_flows)
+UNION ALL SELECT 'sflow-' || exporter_ip, tick, src_ip, dst_ip, CASE WHEN protocol IN (6, 17) THEN src_port ELSE 0 END,
+  CASE WHEN protocol IN (6, 17) THEN dst_port ELSE 0 END, protocol, packets, octets, CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END, packets FROM v_flows
+UNION ALL SELECT 'templated-' || exporter_ip, tick, {_DECODED}, packets * factor, octets * factor, tcp_flags, factor FROM (
+  SELECT k.*, coalesce(r.rate, 1) AS factor FROM known k ASOF LEFT JOIN (SELECT exporter_ip, seq, flow_id % 3 + 1 AS rate FROM v_datagrams
+  WHERE flow_id % 11 = 0) r ON k.exporter_ip = r.exporter_ip AND k.seq >= r.seq)""", "v_datagrams", extra=_KNOWN)
