@@ -58,3 +58,29 @@ def test_recall(spark):
         found.setdefault(r.query_id, set()).add(r.vec_id)
     hits = sum(len(found[q] & {x for x, _ in best}) for q, best in truth.items())
     assert hits >= 0.9 * sum(map(len, truth.values()))
+
+
+def test_walks_go_on_until_answers_are_whole(spark, monkeypatch):
+    """Big clusters that few visits suffice for, beside far ones of fewer vectors than an answer: with the least visits all answers are whole."""
+    monkeypatch.setattr(ann, "calibrated_visits", lambda *_: 1)
+    draw = np.random.default_rng(3)
+    rows = [(k, (draw.normal(size=6) * 0.01 + np.eye(6)[k % 2] * 5).tolist(), 0, "") for k in range(600)]
+    rows += [(600 + k, (draw.normal(size=6) * 0.01 - np.eye(6)[2 + k // 4] * 9).tolist(), 0, "") for k in range(16)]
+    found = {}
+    for r in ann.nearest(table(spark, rows), F.col("vec_id") % 4 == 0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(found) == 154
+    for q, best in found.items():
+        assert [n for n, _ in sorted(best)] == list(range(1, 21)) and q not in {x for _, x in best} and len({x for _, x in best}) == 20
+
+
+def test_small_tables_with_production_target(spark):
+    rows = [(k, [1.0, float(k)], 0, "") for k in range(21)]
+    assert ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0).count() == 40
+    assert ann.nearest(table(spark, rows[:6]), F.col("vec_id") % 20 == 0).count() == 5
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(k, [1.0, float(k)], 0, "") for k in range(6)] + [(20, [1.0] * 3, 0, ""), (21, [1.0] * 3, 0, ""), (40, [5.0], 0, "")]
+    found = ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0).collect()
+    assert sorted(r.vec_id for r in found) == [1, 2, 3, 4, 5] and {r.query_id for r in found} == {0}

@@ -3,8 +3,8 @@
 The tree is fitted on a bounded sample of the vectors and holds nothing but centres. Every
 vector is put into the leaf that it reaches by the nearest centre at each level. A query walks the
 tree best bin first: a priority queue holds the branches seen so far, the most promising one is opened
-next, until as many leaves are visited as calibration asks for. Calibration widens the number of visited
-leaves until queries of the sample find ``TARGET`` of their true neighbours.
+next, until as many leaves are visited as calibration asks for and those hold enough vectors for a whole answer.
+Calibration widens the number of visited leaves until queries of the sample find ``TARGET`` of their true neighbours.
 
 Vectors of a leaf and queries that visit it meet in blocks of bounded size, so no leaf, however
 popular, is a task of its own. A block keeps the best few of each query, and so does the final ranking.
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trafficlens.session import materialize
+
 #: Vectors that the tree is fitted on at most, and those of them that calibrate it.
 SAMPLE = 20_000
 CALIBRATION_QUERIES = 400
@@ -81,15 +83,22 @@ class Tree:
                     todo.append((child, own))
         return out
 
-    def visit(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves of the walk, best bin first: the bin with the largest possible inner product."""
+    def visit(self, query: np.ndarray, leaves: int, members: np.ndarray | None = None, wanted: int = 0) -> list[int]:
+        """The first ``leaves`` leaves of the walk, best bin first: the bin with the largest possible inner product.
+
+        With ``members``, the vectors in each leaf, empty leaves are passed by, and the walk goes on until it met ``wanted`` of them.
+        """
         norm = float(np.sqrt(query @ query))
         queue: list[tuple[float, int]] = [(0.0, 0)]
         visited: list[int] = []
-        while queue and len(visited) < leaves:
+        steps = met = 0
+        while queue and (steps < leaves or met < wanted):
             _, node = heapq.heappop(queue)
             if node < 0:
-                visited.append(-1 - node)
+                steps += 1
+                if members is None or members[-1 - node]:
+                    visited.append(-1 - node)
+                    met += 0 if members is None else int(members[-1 - node])
                 continue
             promise = self.centres[node] @ query + 0.5 * norm * self.reach[node]
             for value, child in zip(promise.tolist(), self.children[node]):
@@ -167,12 +176,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
 
     ``vectors`` has vec_id and embedding, all of one length; other columns are not read. Rows whose
     vector is not usable, or whose vec_id is null, take no part. Repeated rows of an id count once (the
-    first in vector order). Ties go to the smaller vec_id. With k candidates or fewer, all visited ones
-    are returned; up to ``sample`` rows every leaf is visited if that is what calibration asks for.
+    first in vector order). Vectors of another length than the most common one (the longest of these) take no part.
+    Ties go to the smaller vec_id. Every query finds k candidates, or all if there are fewer.
     """
     spark = vectors.sparkSession
-    clean = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    clean = clean.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    clean = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    lengths = clean.groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n"))
+    common = lengths.agg(F.max_by("length", F.struct("n", "length")).alias("length")).select("length").scalar()
+    # read again for the sample, the leaves and the walks
+    clean = materialize(clean.where(F.size("embedding") == common).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    clean = clean.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     schema = "query_id long, rank int, vec_id long, score double"
     # the rows that come first in hash order: a bounded sample that does not depend on partitions
     first = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
@@ -180,33 +193,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
         return spark.createDataFrame([], schema)
     fitted_on = _matrix(first)
     tree = Tree(fitted_on)
-    shared = spark.sparkContext.broadcast((tree, calibrated_visits(tree, fitted_on, k, target)))
+    shared = spark.sparkContext.broadcast(tree)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = shared.value[0].assign(_matrix(batch.column(1)))
+                own = shared.value.assign(_matrix(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=["vec_id", "embedding", "leaf"])
 
+    # at the most one number for each leaf of the tree
+    def sizes(rows: DataFrame) -> np.ndarray:
+        out = np.zeros(tree.leaves, np.int64)
+        for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+            out[r.leaf] = r["n"]
+        return out
+
+    members = clean.mapInArrow(leaves, "vec_id long, embedding array<double>, leaf long")
+    in_leaf = sizes(members)
+    walk = spark.sparkContext.broadcast((in_leaf, calibrated_visits(tree, fitted_on, k, target)))
+
     def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, visits = shared.value
+        in_leaf, visits = walk.value
         for batch in batches:
-            if batch.num_rows:
-                visited = [tree.visit(q, visits) for q in _matrix(batch.column(1))]
+            if batch.num_rows:  # k others, and the query itself
+                visited = [shared.value.visit(q, visits, in_leaf, k + 1) for q in _matrix(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(visited, pa.list_(pa.int64()))], names=["query_id", "embedding", "leaves"])
 
-    members = clean.mapInArrow(leaves, "vec_id long, embedding array<double>, leaf long")
     queries = clean.where(is_query).withColumnRenamed("vec_id", "query_id").mapInArrow(walks, "query_id long, embedding array<double>, leaves array<long>")
-    queries = queries.select("query_id", "embedding", F.explode("leaves").alias("leaf"))
-    # blocks of a leaf: as many as its rows need, at the most one number for each leaf of the tree
-    def blocks(rows: DataFrame) -> dict[int, int]:
-        return {r.leaf: -(-r["n"] // BLOCK) for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    queries = materialize(queries, "walks").select("query_id", "embedding", F.explode("leaves").alias("leaf"))
 
-    def width(counts: dict[int, int]) -> Column:
-        table = F.array(*(F.lit(counts.get(k, 1)) for k in range(tree.leaves)))
+    # blocks of a leaf: as many as its rows need
+    def width(rows: np.ndarray) -> Column:
+        table = F.array(*(F.lit(n) for n in np.maximum(-(-rows // BLOCK), 1).tolist()))
         return F.element_at(table, F.col("leaf").cast("int") + 1)
 
-    member_blocks, query_blocks = width(blocks(members)), width(blocks(queries))
+    member_blocks, query_blocks = width(in_leaf), width(sizes(queries))
     members = members.select("leaf", F.pmod(F.xxhash64("vec_id"), member_blocks).cast("long").alias("mb"), F.explode(F.sequence(F.lit(0), query_blocks - 1)).alias("qb"), "vec_id", "embedding")
     queries = queries.select("leaf", F.explode(F.sequence(F.lit(0), member_blocks - 1).cast("array<long>")).alias("mb"), F.pmod(F.xxhash64("query_id"), query_blocks).cast("int").alias("qb"), "query_id", "embedding")
 
