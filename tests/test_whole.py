@@ -3,10 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check_oracles import compare, connect
-from trafficlens.operators import detect, joins, l7
+from trafficlens.operators import detect, evidence, joins, l7
+from trafficlens.plans import flood
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +52,39 @@ def test_a_path_below_the_top_of_every_window_counts(spark):
 def test_query(spark, name):
     outcome = compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert outcome.startswith("ok"), outcome
+
+
+def test_deep_sample_spreads_one_second_of_a_node(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 50 = 0 THEN 'b' END AS other", "CASE WHEN id % 50 = 0 THEN 'b' ELSE 'a' END AS node_id",
+                                          "CAST(3 AS bigint) AS tick", "(id * 7919) % 20000 AS ord", "id AS n")
+    advisory = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "false")  # several ranges for one second
+    try:
+        kept = evidence.deep_sample(rows, order=("ord",))
+        assert kept.columns == rows.columns
+        got = sorted(map(tuple, kept.select("node_id", "ord").collect()))
+    finally:
+        spark.conf.set(advisory, before)
+    want = []
+    for node in "ab":
+        orders = sorted(r.ord for r in rows.filter(F.col("node_id") == node).select("ord").collect())
+        want += [(node, o) for o in orders[9::10]]
+    assert got == sorted(want)
+    assert evidence.deep_sample(rows.limit(0), order=("ord",)).count() == 0
+
+
+def test_report_takes_hits_and_signatures_of_the_incident_alone(spark):
+    packets = spark.createDataFrame([("d", t, f"10.0.0.{k}", 1000 + k, 80, 6, 60, 2, 64, False, None) for t in (*range(10, 20), *range(110, 120)) for k in range(3)],
+                                    "dst_ip string, tick bigint, src_ip string, src_port bigint, dst_port bigint, protocol bigint, pkt_len bigint, "
+                                    "tcp_flags bigint, ttl bigint, is_fragment boolean, dns_qname string")
+    incidents = spark.createDataFrame([(f"d@{s}", "d", s, s + 9, 9, 3.0, 3.0, 1.0) for s in (10, 110, 210)],
+                                      "incident_id string, dst_ip string, started_tick bigint, ended_tick bigint, duration bigint, peak_pps double, peak_bps double, threshold double")
+    hits = spark.createDataFrame([("d", 12, "Mirai:botnet"), ("d", 19, "Mirai:botnet"), ("d", 20, "Gafgyt:botnet"), ("d", 115, "Scanner:unknown"),
+                                  ("e", 12, "Gafgyt:botnet")], "dst_ip string, tick bigint, ioc_hit string")
+    signatures = spark.createDataFrame([("d", t, "memcached", 3) for t in (110, 111, 300)], "dst_ip string, tick bigint, signature string, count bigint")
+    curves = spark.createDataFrame([], "incident_id string, velocity_curve array<double>")
+    found = {r.incident_id: r for r in flood.incident_report(packets, incidents, hits, signatures, curves).collect()}
+    assert [found[f"d@{s}"].distinct_hits for s in (10, 110, 210)] == [["Mirai:botnet"], ["Scanner:unknown"], None]
+    assert [found[f"d@{s}"].botnet_detected for s in (10, 110)] == [True, False]
+    assert found["d@10"].attack_tool != found["d@110"].attack_tool

@@ -870,8 +870,8 @@ def _report(spark, sf_dir) -> DataFrame:
         "concat(dst_ip, '@', first_tick) AS incident_id", "dst_ip", "first_tick AS started_tick",
         "last_tick AS ended_tick", "last_tick - first_tick AS duration", "peak_pps", "peak_bps", "threshold")
     found = materialize(found, "incidents")
-    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark), inline=True).filter("ioc_hit IS NOT NULL").select("dst_ip", "ioc_hit")
-    signatures = evidence.payload_sig_counts(w.payloads(spark, sf_dir), ["dst_ip"])
+    hits = joins.ioc_join(w.payloads(spark, sf_dir), w.iocs(spark), inline=True).filter("ioc_hit IS NOT NULL").select("dst_ip", "tick", "ioc_hit")
+    signatures = evidence.payload_sig_counts(w.payloads(spark, sf_dir), ["dst_ip", "tick"])
     per_dst = measures.dst_measures(flows).select("dst_ip", "tick", "pps")
     curves = baseline.velocity_curve(per_dst, found, "dst_ip").drop("dst_ip")
     return flood.incident_report(w.packets(spark, sf_dir), found, hits, signatures, curves, w.blocklist(spark, sf_dir))

@@ -98,9 +98,9 @@ def incident_report(packets: DataFrame, incidents: DataFrame, hits: DataFrame, s
     """Full record of every incident: evidence, final family, confidence and traffic curve.
 
     ``incidents``: incident_id, dst_ip, started_tick, ended_tick, duration, peak_pps,
-    peak_bps, threshold. ``hits``: dst_ip, ioc_hit. ``signatures``: dst_ip, signature,
-    count. ``curves``: incident_id, velocity_curve. Evidence is the packets of the
-    attacked destination during the incident.
+    peak_bps, threshold. ``hits``: dst_ip, tick, ioc_hit. ``signatures``: dst_ip, tick, signature,
+    count. ``curves``: incident_id, velocity_curve. Evidence is the packets, pattern hits and
+    signatures of the attacked destination from the first to the last second of the incident.
     """
     from trafficlens.functions.classify import resolve_family_subtype
     from trafficlens.operators import evidence
@@ -110,24 +110,26 @@ def incident_report(packets: DataFrame, incidents: DataFrame, hits: DataFrame, s
     width = 60
     spans = incidents.select("incident_id", "dst_ip", "started_tick", "ended_tick", F.explode(F.sequence(
         F.floor(F.col("started_tick") / width), F.floor(F.col("ended_tick") / width))).alias("_slot"))
-    during = (packets.withColumn("_slot", F.floor(F.col("tick") / width)).join(spans, ["dst_ip", "_slot"])
-              .filter(F.col("tick").between(F.col("started_tick"), F.col("ended_tick"))).drop("_slot"))
+
+    def within(rows: DataFrame) -> DataFrame:
+        met = rows.withColumn("_slot", F.floor(F.col("tick") / width)).join(spans, ["dst_ip", "_slot"])
+        return met.filter(F.col("tick").between(F.col("started_tick"), F.col("ended_tick"))).drop("_slot")
+
     # Eight groupings read these packets; the packet table itself is then read only once.
-    during = materialize(during.select(
+    during = materialize(within(packets).select(
         "incident_id", "src_ip", "src_port", "dst_port", "protocol", "pkt_len", "tcp_flags", "ttl", "is_fragment",
         "dns_qname"), "incident-packets")
     sources = evidence.per_source(during, key)
-    ids = incidents.select("incident_id", "dst_ip")
-    ioc = evidence.ioc_hit_counts(hits, ["dst_ip"]).join(ids, "dst_ip").drop("dst_ip")
-    named = signatures.groupBy("dst_ip").agg(
+    met = within(hits).select("incident_id", "ioc_hit")
+    named = within(signatures).groupBy("incident_id", "signature").agg(F.sum("count").alias("count")).groupBy("incident_id").agg(
         F.min_by("signature", F.struct(-F.col("count"), F.col("signature"))).alias("top_signature"),
-        F.max("count").alias("top_signature_count")).join(ids, "dst_ip").drop("dst_ip")
+        F.max("count").alias("top_signature_count"))
     dst_ports = top_counts(during.filter("dst_port <> 0"), key, "dst_port", 20)
     src_ports = top_counts(during.filter("src_port <> 0"), key, "src_port", 20)
     parts = [
         evidence.protocol_breakdown(during, key).drop("packets"), evidence.packet_size_stats(during, key),
-        evidence.spoofing(during, key, sources), evidence.dns_stats(during, key), ioc, named,
-        evidence.botnet(sources, hits.join(ids, "dst_ip").select("incident_id", "ioc_hit"), key).drop("src_ip_count"),
+        evidence.spoofing(during, key, sources), evidence.dns_stats(during, key), evidence.ioc_hit_counts(met, key), named,
+        evidence.botnet(sources, met, key).drop("src_ip_count"),
         as_list(dst_ports, key, ["dst_port", "count"], "top_dst_ports"),
         as_list(evidence.top_sources(sources, key, blocklist), key, ["src_ip", "count", "confidence"], "top_src_ips"),
         dst_ports.filter("rank = 1").select("incident_id", "dst_port"),

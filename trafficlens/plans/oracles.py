@@ -63,7 +63,7 @@ SELECT event_id, 'site' || (user_id % 2) AS site_id,
   CASE WHEN event_id % 3 = 0 THEN cast(event_id % 700 AS double) END AS resp_time_ms
 FROM events"""),
     "v_payloads": ((), """
-SELECT doc_id, '192.0.2.' || (doc_id % 20) AS dst_ip,
+SELECT doc_id, '192.0.2.' || (doc_id % 20) AS dst_ip, 500 + (doc_id // 20) * 7 % 200 AS tick,
   CASE WHEN doc_id % 7 = 0 THEN 'GET mirai scan ' WHEN doc_id % 7 = 1 THEN 'gafgyt mirai '
     WHEN doc_id % 7 = 2 THEN 'VALUE k 0 ' ELSE '' END || text AS payload
 FROM documents"""),
@@ -73,7 +73,7 @@ SELECT DISTINCT src_ip AS indicator FROM v_flows WHERE src_ip LIKE '10.1.%' AND
 SELECT * FROM (VALUES (1, 'mirai', 'Mirai', 'botnet'), (2, 'gafgyt', 'Gafgyt', 'botnet'), (3, 'scan', 'Scanner', 'unknown'))
   AS t(ord, pattern, attack_name, attack_family)"""),
     "v_hits": (("v_payloads", "v_iocs"), """
-SELECT p.doc_id, p.dst_ip, (SELECT arg_min(attack_name || ':' || attack_family, ord) FROM v_iocs
+SELECT p.doc_id, p.dst_ip, p.tick, (SELECT arg_min(attack_name || ':' || attack_family, ord) FROM v_iocs
   WHERE contains(p.payload, pattern)) AS ioc_hit FROM v_payloads p"""),
     "v_labels": ((), "SELECT * FROM (VALUES ('192.0.2.3', 'Web Server'), ('192.0.2.7', 'DB Server')) AS t(ip, label)"),
     # 2^n addresses per network, counted from the dotted form.
@@ -906,7 +906,9 @@ oracle("incident_report", f"""SELECT incident_id, duration, peak_pps, family AS
     + CASE WHEN duration > 300 THEN 10 WHEN duration > 60 THEN 5 ELSE 0 END + least(20, boost) + CASE WHEN spoofed THEN 10 ELSE 0 END
     + CASE WHEN botnet THEN 10 ELSE 0 END)) AS bigint) AS confidence, packets, tcp_pct, udp_pct, src_ip_count, avg_len AS avg_pkt_length,
   std_len AS pkt_length_std, spoofed AS spoofing_detected, botnet AS botnet_detected, curve_points, top_source, dst_port AS top_port
-FROM resolved""", "v_packets", "v_floods", "v_ioc_top", extra=f"""during AS (SELECT p.*, f.dst_ip || '@' || first_tick AS incident_id FROM v_packets p
+FROM resolved""", "v_packets", "v_floods", "v_hits", extra=f"""met AS (SELECT f.dst_ip || '@' || first_tick AS incident_id, ioc_hit FROM v_hits h
+  JOIN v_floods f ON h.dst_ip = f.dst_ip AND h.tick BETWEEN first_tick AND last_tick WHERE ioc_hit IS NOT NULL),
+during AS (SELECT p.*, f.dst_ip || '@' || first_tick AS incident_id FROM v_packets p
   JOIN v_floods f ON p.dst_ip = f.dst_ip AND p.tick BETWEEN first_tick AND last_tick),
 v_summary AS (SELECT *, {SYN_RATIO} AS sr, {FLAG_TOTAL}, coalesce(dns_unique, 0) >= 10 AS dns FROM (
   SELECT f.dst_ip, f.dst_ip || '@' || first_tick AS incident_id, last_tick - first_tick AS duration, peak_pps, threshold FROM v_floods f)
@@ -917,9 +919,12 @@ v_summary AS (SELECT *, {SYN_RATIO} AS sr, {FLAG_TOTAL}, coalesce(dns_unique, 0)
    {', '.join(f"count(*) FILTER (protocol = 6 AND tcp_flags & {bit} > 0) AS {name}" for name, bit in (('syn', 2), ('ack', 16), ('rst', 4), ('fin', 1), ('psh', 8), ('urg', 32)))},
    round(sum(pkt_len) / count(*), 1) AS avg_len, CASE WHEN count(*) < 2 THEN 999.0 ELSE round(stddev_pop(pkt_len), 1) END AS std_len
    FROM during GROUP BY incident_id) USING (incident_id)
- LEFT JOIN v_ioc_top USING (dst_ip)
- LEFT JOIN (SELECT dst_ip, arg_min(signature, (-c, signature)) AS top_signature, max(c) AS top_signature_count FROM (SELECT dst_ip, signature,
-   count(*) AS c FROM (SELECT dst_ip, {SIGNATURE} AS signature FROM v_payloads) WHERE signature IS NOT NULL GROUP BY ALL) GROUP BY dst_ip) USING (dst_ip)
+ LEFT JOIN (SELECT incident_id, arg_min(ioc_hit, (-c, ioc_hit)) AS top_hit, max(c) AS top_hit_count FROM (SELECT incident_id, ioc_hit,
+   count(*) AS c FROM met GROUP BY ALL) GROUP BY incident_id) USING (incident_id)
+ LEFT JOIN (SELECT incident_id, arg_min(signature, (-c, signature)) AS top_signature, max(c) AS top_signature_count FROM (SELECT incident_id, signature,
+   count(*) AS c FROM (SELECT f.dst_ip || '@' || first_tick AS incident_id, {SIGNATURE} AS signature FROM v_payloads p
+   JOIN v_floods f ON p.dst_ip = f.dst_ip AND p.tick BETWEEN first_tick AND last_tick) WHERE signature IS NOT NULL GROUP BY ALL)
+   GROUP BY incident_id) USING (incident_id)
  LEFT JOIN {_REPORT_TOP.format(c='dst_port', a='dst_port')} USING (incident_id) LEFT JOIN {_REPORT_TOP.format(c='src_port', a='src_port')} USING (incident_id)
  LEFT JOIN {_REPORT_TOP.format(c='src_ip', a='top_source')} USING (incident_id)
  LEFT JOIN (SELECT incident_id, n AS src_ip_count, n >= 500 AND ((te > 4.0 AND se > 8.0) OR (n > 5000 AND se > 10.0)) AS spoofed FROM
@@ -928,8 +933,8 @@ v_summary AS (SELECT *, {SYN_RATIO} AS sr, {FLAG_TOTAL}, coalesce(dns_unique, 0)
    USING (incident_id)) USING (incident_id)
  LEFT JOIN (SELECT f.dst_ip || '@' || first_tick AS incident_id, count(DISTINCT (d.tick - first_tick) // 5) AS curve_points FROM v_floods f
    JOIN v_dst d ON d.dst_ip = f.dst_ip AND d.tick BETWEEN first_tick AND last_tick GROUP BY 1) USING (incident_id)
- LEFT JOIN (SELECT dst_ip, bool_or({' OR '.join(f"contains(lower(ioc_hit), '{word}')" for word in BOTNET_WORDS)}) AS botnet_named
-   FROM v_hits WHERE ioc_hit IS NOT NULL GROUP BY dst_ip) USING (dst_ip)),
+ LEFT JOIN (SELECT incident_id, bool_or({' OR '.join(f"contains(lower(ioc_hit), '{word}')" for word in BOTNET_WORDS)}) AS botnet_named
+   FROM met GROUP BY incident_id) USING (incident_id)),
 {RESOLVED.replace('resolved AS (SELECT *,', 'resolved AS (SELECT *, src_ip_count > 5000 OR coalesce(botnet_named, false) AS botnet,')}""")
 
 oracle("stream_measures", """SELECT dst_ip, tick, packets, octets, flow_count, tcp_packets, udp_packets, icmp_packets, other_packets,

@@ -144,9 +144,9 @@ def connection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packet payloads: every document, whole, behind a marker for some of them."""
+    """Packet payloads: every document, whole, behind a marker for some of them, at 200 seconds around the floods."""
     return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "concat('192.0.2.', doc_id % 20) AS dst_ip",
+        "doc_id", "concat('192.0.2.', doc_id % 20) AS dst_ip", "500 + (doc_id div 20) * 7 % 200 AS tick",
         "concat(CASE WHEN doc_id % 7 = 0 THEN 'GET mirai scan ' WHEN doc_id % 7 = 1 THEN 'gafgyt mirai '"
         " WHEN doc_id % 7 = 2 THEN 'VALUE k 0 ' ELSE '' END, text) AS payload")
 
