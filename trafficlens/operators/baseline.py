@@ -6,9 +6,14 @@ whatever its traffic, so the per-key windows below grow with time and not with l
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trafficlens.operators.sweep import ordered_pass, within
+
 # Fixed values of the detection rules.
 RECALCULATE_EVERY = 10
 WINDOW = 300
@@ -30,95 +35,72 @@ def ranked_percentile(values: Column, percent: int) -> Column:
     return F.when(n > 0, F.element_at(F.array_sort(values), index))
 
 
-def _hour_percentiles(samples: DataFrame, key: str, hour_window: int, hour_min: int) -> DataFrame:
-    """Adds ``hour_p99`` and ``hour_ready`` on the rows where percentiles are recomputed.
+class _Ring:
+    """The last ``size`` values, also kept in order, so that a percentile is one look-up."""
 
-    The samples of one key and hour are folded into runs of ten; a frame of whole
-    runs replaces a frame of single rows, so an array of the last ``hour_window``
-    values is built once per ten rows instead of once per row.
-    """
-    step = RECALCULATE_EVERY
-    by_hour = Window.partitionBy(key, "hour").orderBy("tick")
-    numbered = samples.withColumn("hour_rn", F.row_number().over(by_hour))
-    run = F.floor((F.col("hour_rn") - 1) / step).cast("int").alias("run")
-    runs = numbered.groupBy(key, "hour", run).agg(
-        F.array_sort(F.collect_list(F.struct("hour_rn", "tick", "rn", "pps", "bps"))).alias("rows"))
-    frame = Window.partitionBy(key, "hour").orderBy("run").rowsBetween(-(-(-hour_window // step)), 0)
-    runs = runs.withColumn("history", F.flatten(F.collect_list(F.col("rows.pps")).over(frame)))
-    runs = runs.withColumn("end_rn", F.element_at("rows", -1)["hour_rn"])
-    member = runs.select(key, "hour", "history", "end_rn", F.explode("rows").alias("r"))
-    # Number of history values up to and including this row.
-    upto = F.size("history") - (F.col("end_rn") - F.col("r.hour_rn"))
-    kept = F.least(upto, F.lit(hour_window))
-    recent = F.slice("history", upto - kept + 1, kept)
-    due = (F.col("r.rn") > 1) & (F.col("r.rn") % step == 1)
-    ready = F.col("r.hour_rn") >= hour_min
-    return member.select(
-        key, "hour", F.col("r.tick").alias("tick"), F.col("r.rn").alias("rn"),
-        F.col("r.pps").alias("pps"), F.col("r.bps").alias("bps"),
-        F.when(due, ready).alias("hour_ready"),
-        F.when(due & ready, ranked_percentile(recent, 99)).alias("hour_p99"))
+    __slots__ = ("ranked", "size", "values")
+
+    def __init__(self, size: int):
+        self.size, self.values, self.ranked = size, deque(), []
+
+    def push(self, value: float | None) -> None:
+        if value is None:
+            return
+        self.values.append(value)
+        insort(self.ranked, value)
+        if len(self.values) > self.size:
+            del self.ranked[bisect_left(self.ranked, self.values.popleft())]
+
+    def percentile(self, percent: int) -> float | None:
+        n = len(self.ranked)
+        return self.ranked[min(n * percent // 100, n - 1)] if n else None
+
+    def mean(self) -> float | None:
+        return sum(self.values) / len(self.values) if self.values else None
 
 
 def rolling_baseline(samples: DataFrame, key: str, window: int = WINDOW, hour_seconds: int = 3600,
                      hour_window: int = HOUR_WINDOW, hour_min: int = HOUR_MIN_SAMPLES) -> DataFrame:
     """Mean, p95/p99, hour-of-day p99 and thresholds as of every sample.
 
-    ``samples``: key, tick, pps, bps. Percentiles are refreshed at samples 11, 21, ...
-    of a key and hold in between; the mean follows every sample. Everything after
-    the first shuffle by key reuses that partitioning.
+    ``samples``: key, tick, pps, bps. Percentiles are refreshed at samples 11, 21, ... of a key and hold in between; the
+    mean follows every sample. One ordered pass by key keeps the last values in rings that are always sorted: a sample is put
+    in and the oldest taken out by bisection. Rows without a tick are no samples; a null rate counts as a sample and is not learned.
     """
     step = RECALCULATE_EVERY
-    by_key = Window.partitionBy(key).orderBy("tick")
-    recent = by_key.rowsBetween(-(window - 1), 0)
-    hour = (F.floor(F.col("tick") / hour_seconds) % 24).cast("bigint")
-    numbered = samples.select(key, "tick", "pps", "bps", hour.alias("hour"),
-                              F.row_number().over(by_key).alias("rn"))
-    timed = _hour_percentiles(numbered, key, hour_window, hour_min)
-    # Run c holds samples 10c+2 .. 10c+11, so each run ends on a recalculation.
-    run = F.floor((F.col("rn") - 2) / step).cast("int").alias("run")
-    runs = timed.groupBy(key, run).agg(F.array_sort(F.collect_list(
-        F.struct("rn", "tick", "pps", "bps", "hour", "hour_ready", "hour_p99"))).alias("rows"))
-    by_run = Window.partitionBy(key).orderBy("run")
-    frame = by_run.rowsBetween(-(-(-window // step) - 1), 0)
-
-    def history(name: str) -> Column:
-        values = F.flatten(F.collect_list(F.col(f"rows.{name}")).over(frame))
-        return F.slice(values, F.greatest(F.size(values) - window + 1, F.lit(1)), window)
-
-    runs = runs.withColumn("pps_history", history("pps")).withColumn("bps_history", history("bps"))
-    last = F.element_at("rows", -1)
-    complete = (last["rn"] > 1) & (last["rn"] % step == 1)
-    sizes = F.size("bps_history")
-    summary = F.when(complete, F.struct(
-        ranked_percentile(F.col("pps_history"), 95).alias("p95_pps"),
-        ranked_percentile(F.col("pps_history"), 99).alias("p99_pps"),
-        ranked_percentile(F.col("bps_history"), 99).alias("p99_bps"),
-        (F.aggregate("bps_history", F.lit(0.0), lambda acc, x: acc + x) / sizes).alias("avg_bps"),
-        last["hour_ready"].alias("hour_ready"), last["hour_p99"].alias("hour_p99"),
-        (last["rn"] > window).alias("was_ready")))
-    runs = runs.select(key, "run", "rows", last["rn"].alias("end_rn"), summary.alias("now"))
-    runs = runs.withColumn("before", F.lag("now").over(by_run))
-    member = runs.select(key, "end_rn", "now", "before", F.explode("rows").alias("r"))
-    current = F.when(F.col("r.rn") == F.col("end_rn"), F.coalesce("now", "before")).otherwise(F.col("before"))
-    rows = member.select(key, "r.rn", "r.tick", "r.pps", "r.bps", current.alias("s"))
-    effective = F.when(F.col("s.hour_ready"), F.greatest(F.col("s.hour_p99"), F.col("s.p99_pps") * 0.5)) \
-        .otherwise(F.col("s.p99_pps"))
-    mean = F.avg("pps").over(recent)
-    return rows.select(
-        key, "tick", "pps", "bps", F.col("rn").cast("bigint").alias("sample_no"),
-        F.when(F.col("rn") >= 2, mean).otherwise(0.0).alias("avg_pps"),
-        F.coalesce("s.p95_pps", F.lit(0.0)).alias("p95_pps"),
-        F.coalesce("s.p99_pps", F.lit(0.0)).alias("p99_pps"),
-        F.coalesce("s.avg_bps", F.lit(0.0)).alias("avg_bps"),
-        F.coalesce("s.p99_bps", F.lit(0.0)).alias("p99_bps"),
-        F.coalesce("s.hour_ready", F.lit(False)).alias("hour_ready"),
-        F.coalesce("s.hour_p99", F.lit(0.0)).alias("hour_p99"),
-        (F.col("rn") >= window).alias("ready"),
-        F.when(F.col("s").isNull(), F.lit(MIN_THRESHOLD))
-        .otherwise(F.greatest(effective * THRESHOLD_FACTOR, F.lit(MIN_THRESHOLD))).alias("threshold"),
-        F.when(F.col("s.was_ready"), F.greatest(F.col("s.p99_bps") * BPS_FACTOR, F.lit(MIN_BPS_THRESHOLD)))
-        .otherwise(0.0).alias("bps_threshold"))
+
+    def fresh():
+        pps_ring, bps_ring, hours = _Ring(window), _Ring(window), {}
+        number, summary = 0, None
+
+        def learn(tick, pps, bps):
+            nonlocal number, summary
+            number += 1
+            pps_ring.push(pps)
+            bps_ring.push(bps)
+            # Samples of an hour, with those that carry no rate, and its last rates.
+            hour = hours.setdefault(tick // hour_seconds % 24, [0, _Ring(hour_window)])
+            hour[0] += 1
+            hour[1].push(pps)
+            if number > 1 and number % step == 1:
+                ready = hour[0] >= hour_min
+                summary = (pps_ring.percentile(95), pps_ring.percentile(99), bps_ring.mean(), bps_ring.percentile(99),
+                           ready, hour[1].percentile(99) if ready else None, number > window)
+            mean = pps_ring.mean() if number >= 2 else 0.0
+            if summary is None:
+                return number, mean, 0.0, 0.0, 0.0, 0.0, False, 0.0, number >= window, MIN_THRESHOLD, 0.0
+            p95, p99, avg_bps, p99_bps, ready, hour_p99, full = summary
+            level = max(hour_p99 or 0.0, (p99 or 0.0) * 0.5) if ready else p99 or 0.0
+            limit = max((p99_bps or 0.0) * BPS_FACTOR, MIN_BPS_THRESHOLD) if full else 0.0
+            return (number, mean, p95 or 0.0, p99 or 0.0, avg_bps or 0.0, p99_bps or 0.0, ready, hour_p99 or 0.0,
+                    number >= window, max(level * THRESHOLD_FACTOR, MIN_THRESHOLD), limit)
+
+        return learn
+
+    rows = samples.filter(F.col("tick").isNotNull()).select(
+        key, F.col("tick").cast("bigint").alias("tick"), F.col("pps").cast("double").alias("pps"), F.col("bps").cast("double").alias("bps"))
+    return ordered_pass(rows, key, fresh, "sample_no bigint, avg_pps double, p95_pps double, p99_pps double, avg_bps double, p99_bps double, "
+                        "hour_ready boolean, hour_p99 double, ready boolean, threshold double, bps_threshold double")
 
 
 def calibrated_threshold(samples: DataFrame, key: str, cut: int, window: int = WINDOW) -> DataFrame:
@@ -216,7 +198,7 @@ def velocity_points(rows: DataFrame, incidents: DataFrame, key: str, every: int
     ``incidents``: key, incident_id, started_tick, ended_tick. A sample is the first
     row in its interval counted from the start; all stay, or the last ``keep``.
     """
-    joined = rows.join(incidents, key).filter(F.col("tick").between(F.col("started_tick"), F.col("ended_tick")))
+    joined = within(rows, incidents, key)
     t = (F.col("tick") - F.col("started_tick")).alias("t")
     points = joined.select("incident_id", key, t, "pps").withColumn("slot", F.floor(F.col("t") / every))
     firsts = points.groupBy("incident_id", key, "slot").agg(

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from trafficlens.functions.classify import is_botnet_name
 from trafficlens.functions.network import (LARGEST_BUCKET, SIZE_BUCKETS, TCP, TCP_FLAGS, has_flag, percentage,
                                            proto_class, size_bucket)
+from trafficlens.operators.sweep import placed
 from trafficlens.operators.topk import top_counts, topk_per_group
-from trafficlens.session import materialize, scalar
+from trafficlens.session import scalar
 
 # First payload bytes of reflected responses; the first match counts.
 PAYLOAD_SIGNATURES = (
@@ -257,22 +258,10 @@ def deep_sample(packets: DataFrame, every: int = 10, key: str = "node_id",
                 order: Sequence[str] = ("tick",)) -> DataFrame:
     """Every n-th packet of a node in arrival order.
 
-    Packets are dealt into ranges of (node, tick, order); the packets of a node in all earlier
-    ranges, counted range by range, are the offset of its positions in a range. So a task orders one range at the
-    most, however many packets a node has in a second. Packets equal in all of these columns are interchangeable.
+    Positions are those of ``sweep.placed``: a node with many packets in a second is spread over tasks.
     """
-    from pyspark.sql import Window
-
-    ranged = packets.repartitionByRange(key, "tick", *order).withColumn("_range", F.spark_partition_id())
-    # Ranges are sampled: written once, so that counts and positions speak of the same ones.
-    ranged = materialize(ranged, "packet-ranges")
-    counts = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_count"))
-    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(key).alias("_node"), F.col("_range").alias("_part"), F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(key, "_range").orderBy("tick", *order)
-    placed = ranged.withColumn("_n", F.row_number().over(inside)).join(
-        offsets, F.col(key).eqNullSafe(F.col("_node")) & (F.col("_range") == F.col("_part")))
-    return placed.filter((F.col("_n") + F.col("_offset")) % every == 0).select(*packets.columns)
+    numbered = placed(packets, key, ["tick", *(name for name in order if name != "tick")])
+    return numbered.filter(F.col("_place") % every == 0).select(*packets.columns)
 
 
 def incident_confidence(duration: Column, peak_pps: Column, threshold: Column, sources: Column,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions.network import address_hex, prefix_key
-from trafficlens.operators.topk import topk_per_group
+from trafficlens.operators.sweep import open_spans, placed
 from trafficlens.session import scalar
 
 
@@ -234,42 +234,49 @@ def merge_node_sources(counter_rows: DataFrame, flow_rows: DataFrame) -> DataFra
 # --- intervals -------------------------------------------------------------
 
 def incident_evidence(packets: DataFrame, incidents: DataFrame, order: Sequence[str],
-                      during: int | None = None, before: int | None = None, look_back: int | None = None) -> DataFrame:
+                      during: int | None = None, before: int | None = None, look_back: int | None = None,
+                      block: int = 1000) -> DataFrame:
     """Packets of every incident and those before it: all, or the first ``during`` and the last ``before`` ones.
 
-    ``incidents``: dst_ip, incident_id, started_tick, ended_tick. The time test rides
-    on an equality join on (destination, minute). Earlier packets are joined on the
-    destination alone, whatever their age, or on minutes too where ``look_back`` limits
-    them to so many ticks before the start. Ranking is sliced, see ``topk_per_group``.
+    ``incidents``: dst_ip, incident_id, started_tick, ended_tick; ``order`` breaks ties inside a tick. ``look_back`` limits the
+    earlier packets to so many ticks before the start. The packets of attacked destinations are numbered once. An incident is then
+    one range of numbers, found from the counts by tick, and meets its packets in blocks of ``block`` numbers: nothing is joined on the
+    destination alone, and nothing is ranked by incident. An incident without an end has earlier packets only.
     """
-    width = 60
-    first = F.floor((F.col("started_tick") - (look_back or 0)) / width)
-    incidents = incidents.select("dst_ip", "incident_id", "started_tick", "ended_tick")
-    spans = incidents.withColumn("_slot", F.explode(F.sequence(first, F.floor(F.col("ended_tick") / width))))
-    near = (packets.withColumn("_slot", F.floor(F.col("tick") / width)).join(spans, ["dst_ip", "_slot"])
-            .filter(F.col("tick").between(F.col("started_tick") - (look_back or 0), F.col("ended_tick"))).drop("_slot"))
-    earlier = packets.join(incidents, "dst_ip") if look_back is None else near
-    ascending = [F.col(name).asc() for name in order]
-    descending = [F.col(name).desc() for name in order]
-    inside = topk_per_group(near.filter(F.col("tick") >= F.col("started_tick")), ["incident_id"],
-                            ascending, during, "position", spread=list(order))
-    prior = topk_per_group(earlier.filter(F.col("tick") < F.col("started_tick")), ["incident_id"],
-                           descending, before, "position", spread=list(order))
-    return inside.withColumn("phase", F.lit("during")).unionByName(prior.withColumn("phase", F.lit("before")))
+    spans = incidents.select("dst_ip", "incident_id", "started_tick", "ended_tick").distinct()
+    attacked = packets.filter(F.col("tick").isNotNull()).join(spans.select("dst_ip").distinct(), "dst_ip", "left_semi").select(*packets.columns)
+    numbered = placed(attacked, "dst_ip", ["tick", *(name for name in order if name != "tick")])
+    counts = numbered.groupBy("dst_ip", F.col("tick").alias("_at")).agg(F.max("_place").alias("_upto"))
+    marks = {"_start": ("started_tick", 0, 0), "_end": ("ended_tick", 0, 2), "_floor": ("started_tick", look_back or 0, 0)}
+    line = counts.select("dst_ip", "_at", F.lit(1).alias("_turn"), "_upto").unionByName(spans.select("*", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("_mark"), (F.col(tick) - earlier).alias("_at"), F.lit(turn).alias("_turn"))
+        for name, (tick, earlier, turn) in marks.items()])).alias("_m")).select("*", "_m.*").drop("_m"), allowMissingColumns=True)
+    so_far = Window.partitionBy("dst_ip").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = (line.withColumn("_seen", F.coalesce(F.max("_upto").over(so_far), F.lit(0))).filter(F.col("_mark").isNotNull())
+              .groupBy("dst_ip", "incident_id", "started_tick", "ended_tick").agg(
+                  *[F.max(F.when(F.col("_mark") == name, F.col("_seen"))).alias(name) for name in marks]))
+    earlier = F.col("_start") - (F.lit(0) if look_back is None else F.col("_floor"))
+    inside = F.greatest(F.col("_end") - F.col("_start"), F.lit(0))
+    first = F.col("_start") - (earlier if before is None else F.least(earlier, F.lit(before))) + 1
+    last = F.col("_start") + (inside if during is None else F.least(inside, F.lit(during)))
+    ranges = ranges.withColumn("_from", first).withColumn("_to", last).filter(F.col("_from") <= F.col("_to")).withColumn(
+        "_block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor(F.col("_to") / block))))
+    met = (numbered.withColumn("_block", F.floor(F.col("_place") / block)).join(ranges, ["dst_ip", "_block"])
+           .filter(F.col("_place").between(F.col("_from"), F.col("_to"))))
+    later = F.col("_place") > F.col("_start")
+    return met.select(
+        *packets.columns, "incident_id", "started_tick", "ended_tick",
+        F.when(later, F.col("_place") - F.col("_start")).otherwise(F.col("_start") - F.col("_place") + 1).alias("position"),
+        F.when(later, "during").otherwise("before").alias("phase"))
 
 
 def correlate_l3_l7(http_incidents: DataFrame, node_incidents: DataFrame) -> DataFrame:
     """Flags HTTP incidents that open while a packet flood is open on the same node.
 
-    Both sides are incident lists: node_id, incident_id, started_tick, ended_tick.
+    Both sides are incident lists: node_id, incident_id, started_tick, ended_tick; a flood without an end is open.
     """
-    spans = node_incidents.select("node_id", F.col("started_tick").alias("_from"), F.col("ended_tick").alias("_to"))
-    hits = (http_incidents.join(spans, "node_id")
-            .filter((F.col("started_tick") >= F.col("_from"))
-                    & (F.col("_to").isNull() | (F.col("started_tick") <= F.col("_to"))))
-            .select("incident_id").distinct().withColumn("correlated_l3l4", F.lit(True)))
-    return http_incidents.join(hits, "incident_id", "left").withColumn(
-        "correlated_l3l4", F.coalesce("correlated_l3l4", F.lit(False)))
+    counted = open_spans(http_incidents, node_incidents, "node_id", count="_open_floods")
+    return counted.withColumn("correlated_l3l4", F.col("_open_floods") > 0).drop("_open_floods")
 
 
 def nonservice_connections(connections: DataFrame, ports: DataFrame) -> DataFrame:

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.classify import classify_l7_subtype
 from trafficlens.functions.http import THREAT_PATTERNS, is_bot_agent, status_group, threat_flags
+from trafficlens.operators.sweep import ordered_pass, within
 from trafficlens.operators.topk import topk_per_group
 
 WINDOW = 10
 TOP_IPS, TOP_PATHS, TOP_AGENTS = 50, 20, 20
+# Fixed values of the learned request rate.
+MIN_REQUESTS, CLEAN_ERROR_RATE, MEAN_SAMPLES, SMOOTHING = 15, 60, 300, 0.01
 
 
 def request_flags(requests: DataFrame) -> DataFrame:
@@ -120,10 +123,41 @@ def l7_top_items(requests: DataFrame, item: str, k: int, window: int = WINDOW) -
     return topk_per_group(counted, ["site_id", "tick"], [F.col("count").desc(), F.col(item).asc()], k)
 
 
+def l7_baseline(stats: DataFrame, key: str = "site_id", min_requests: int = MIN_REQUESTS) -> DataFrame:
+    """The learned request rate of every site as of each of its windows.
+
+    ``stats``: site_id, tick, rps, total_requests, error_rate and, where known, under_attack. A window is ``clean`` if it has enough
+    requests, fewer than 60 % errors, a rate under ten times the learned one (from the third sample on), and no open attack. Clean
+    windows are learned: as a mean up to 300 samples, then smoothed by 0.01. Nulls in any of these are not clean. What is
+    clean depends on what was learned before, so this is one ordered pass by site and no window expression.
+    """
+    attacked = F.col("under_attack") if "under_attack" in stats.columns else F.lit(False)
+    rows = stats.filter(F.col("tick").isNotNull()).select(
+        key, F.col("tick").cast("bigint").alias("tick"), F.col("rps").cast("double").alias("rps"),
+        (F.col("total_requests") >= min_requests).alias("_enough"), (F.col("error_rate") < CLEAN_ERROR_RATE).alias("_calm"),
+        (~attacked).alias("_free"))
+
+    def fresh():
+        samples, usual = 0, 0.0
+
+        def learn(tick, rps, enough, calm, free):
+            nonlocal samples, usual
+            clean = bool(enough and calm and free and rps is not None and (samples < 3 or rps < usual * 10))
+            if clean:
+                weight = 1 / (samples + 1) if samples < MEAN_SAMPLES else SMOOTHING
+                usual = (1 - weight) * usual + weight * rps
+                samples += 1
+            return clean, samples, usual
+
+        return learn
+
+    return ordered_pass(rows, key, fresh, "clean boolean, samples bigint, baseline_rps double").drop("_enough", "_calm", "_free")
+
+
 def incident_windows(stats: DataFrame, incidents: DataFrame) -> DataFrame:
     """Window rows inside each HTTP incident. ``incidents``: site_id, incident_id, started_tick, ended_tick."""
     spans = incidents.select("site_id", "incident_id", "started_tick", "ended_tick")
-    return stats.join(spans, "site_id").filter(F.col("tick").between(F.col("started_tick"), F.col("ended_tick")))
+    return within(stats, spans, "site_id")
 
 
 def l7_attack_items(requests: DataFrame, incidents: DataFrame, item: str, k: int | None, window: int = WINDOW) -> DataFrame:
@@ -137,7 +171,7 @@ def l7_attack_items(requests: DataFrame, incidents: DataFrame, item: str, k: int
     per_tick = requests.groupBy("site_id", item, "tick").agg(F.count(F.lit(1)).alias("count"))
     spans = incidents.select("site_id", "incident_id", "started_tick", "ended_tick")
     first, last = F.greatest("tick", "started_tick"), F.least(F.col("tick") + window - 1, F.col("ended_tick"))
-    inside = per_tick.join(spans, "site_id").filter(first <= last)
+    inside = within(per_tick, spans, "site_id", F.col("started_tick") - (window - 1))
     summed = inside.groupBy("incident_id", item).agg(
         F.sum(F.col("count") * (last - first + 1)).alias("window_summed"),
         F.sum(F.when(F.col("tick") >= F.col("started_tick"), F.col("count")).otherwise(0)).alias("exact_count"))

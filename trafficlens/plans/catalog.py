@@ -666,6 +666,12 @@ def _http_spans(spark, sf_dir):
         "last_tick AS ended_tick")
 
 
+@query
+def l7_baseline(spark, sf_dir):
+    rows = l7.l7_baseline(l7.l7_window_stats(w.http(spark, sf_dir)))
+    return rows.withColumn("baseline_rps", F.round("baseline_rps", 6))
+
+
 @query
 def l7_attack_summary(spark, sf_dir):
     requests = w.http(spark, sf_dir)

@@ -816,6 +816,14 @@ w AS (SELECT site_id, 0::BIGINT AS rn, 0.0::DOUBLE AS base, 0 AS n, false AS op,
   -1::BIGINT AS tick, 0.0::DOUBLE AS rps, 0 AS signals, 0.0::DOUBLE AS shown FROM (SELECT DISTINCT site_id FROM v_http) UNION ALL {_HTTP_STEP})"""
 oracle("detect_http", """SELECT site_id AS key, ev AS event, tick, started AS started_tick, rps, peak AS peak_rps, round(shown, 1) AS baseline_rps,
   cast(signals AS bigint) AS signals FROM w WHERE ev IS NOT NULL""", "v_l7", recursive=True, extra=_HTTP_WALK)
+oracle("l7_baseline", """SELECT site_id, tick, rps, clean, samples, round(usual, 6) AS baseline_rps FROM learned WHERE rn > 0""", "v_l7", recursive=True,
+       extra="""r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY tick) AS rn FROM v_l7),
+learned AS (SELECT site_id, 0::BIGINT AS rn, -1::BIGINT AS tick, 0.0::DOUBLE AS rps, false AS clean, 0::BIGINT AS samples, 0.0::DOUBLE AS usual
+  FROM (SELECT DISTINCT site_id FROM v_http)
+  UNION ALL SELECT site_id, rn, tick, rps, clean, samples + clean::BIGINT, CASE WHEN clean THEN (1 - a) * usual + a * rps ELSE usual END FROM (
+    SELECT p.site_id, r.rn, r.tick, r.rps, p.samples, p.usual, CASE WHEN p.samples < 300 THEN 1 / (p.samples + 1) ELSE 0.01 END AS a,
+      r.total_requests >= 15 AND r.error_rate < 60 AND (p.samples < 3 OR r.rps < p.usual * 10) AS clean
+    FROM learned p JOIN r ON r.site_id = p.site_id AND r.rn = p.rn + 1))""")
 oracle("detect_nonservice", """SELECT node_id, min(tick) AS started_tick, arg_max(close_tick, tick) AS ended_tick,
   cast(max(nsp) AS bigint) AS peak_non_service_pps, CASE WHEN arg_min(pps > threshold, tick) THEN 'both' ELSE 'non_service' END AS zone
 FROM (SELECT *, sum(CASE WHEN gap >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY tick) AS incident FROM (
