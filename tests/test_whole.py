@@ -48,7 +48,7 @@ def test_a_path_below_the_top_of_every_window_counts(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["incident_evidence", "incident_evidence_any_age", "l7_attack_top_paths", "l7_attack_whole_paths"])
+@pytest.mark.parametrize("name", ["incident_evidence", "incident_evidence_limited", "incident_evidence_any_age", "l7_attack_top_paths", "l7_attack_whole_paths"])
 def test_query(spark, name):
     outcome = compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF)
     assert outcome.startswith("ok"), outcome

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.network import address_hex, prefix_key
 from trafficlens.operators.sweep import open_spans, placed
-from trafficlens.session import scalar
+from trafficlens.session import materialize, scalar
 
 
 # --- addresses in networks -------------------------------------------------
@@ -243,7 +243,8 @@ def incident_evidence(packets: DataFrame, incidents: DataFrame, order: Sequence[
     one range of numbers, found from the counts by tick, and meets its packets in blocks of ``block`` numbers: nothing is joined on the
     destination alone, and nothing is ranked by incident. An incident without an end has earlier packets only.
     """
-    spans = incidents.select("dst_ip", "incident_id", "started_tick", "ended_tick").distinct()
+    # read three times below, and costly where incidents come from a detector
+    spans = materialize(incidents.select("dst_ip", "incident_id", "started_tick", "ended_tick").distinct(), "incident-spans")
     attacked = packets.filter(F.col("tick").isNotNull()).join(spans.select("dst_ip").distinct(), "dst_ip", "left_semi").select(*packets.columns)
     numbered = placed(attacked, "dst_ip", ["tick", *(name for name in order if name != "tick")])
     counts = numbered.groupBy("dst_ip", F.col("tick").alias("_at")).agg(F.max("_place").alias("_upto"))

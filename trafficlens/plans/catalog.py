@@ -19,7 +19,7 @@ from trafficlens.operators import baseline, detect, evidence, joins, l7, measure
 from trafficlens.plans import encoded, flood
 from trafficlens.plans import workload as w
 from trafficlens.session import checkpoint_dir, materialize
-from trafficlens.sources import access_log, datagrams, frames, sinks, tables
+from trafficlens.sources import access_log, captures, datagrams, frames, sinks, tables
 from trafficlens.sources.versioned import VersionedTable
 from trafficlens.streaming import detect as live_detect
 from trafficlens.streaming import measures as live_measures
@@ -403,8 +403,8 @@ def merge_node_sources(spark, sf_dir):
 
 @query
 def incident_evidence(spark, sf_dir):
-    """Evidence packets of the sustained floods; limits low enough to be reached here, as its SQL has them."""
-    return _evidence(spark, sf_dir, 1500, 40, 60)
+    """All packets of the sustained floods, and all earlier ones of their destinations."""
+    return _evidence(spark, sf_dir, None, None, None)
 
 
 @query
@@ -413,6 +413,12 @@ def incident_evidence_any_age(spark, sf_dir):
     return _evidence(spark, sf_dir, 10_000, 1_000, None)
 
 
+@query
+def incident_evidence_limited(spark, sf_dir):
+    """The same with limits low enough to be reached at every scale: 1,500 packets, and 40 of the 60 ticks before."""
+    return _evidence(spark, sf_dir, 1500, 40, 60)
+
+
 def _evidence(spark, sf_dir, during, before, look_back):
     floods = flood.sustained_floods(w.flows(spark, sf_dir), CUT)
     incidents = floods.selectExpr("dst_ip", "concat(dst_ip, '@', first_tick) AS incident_id",
@@ -853,6 +859,17 @@ def scan_pcap(spark, sf_dir):
         F.count(F.lit(1)).alias("frames"), F.sum(F.length("frame")).alias("bytes"), F.max("ts_us").alias("last_us"))
 
 
+@query
+def scan_large_pcap(spark, sf_dir):
+    """The same captures as files, each read in ranges of 16 KB by several tasks."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
+    captures.write_captures(encoded.capture_files(spark, sf_dir), folder)
+    found = captures.read_large_pcap(spark, folder, part_bytes=1 << 14)
+    return found.groupBy(F.substring_index("path", "/", -1).alias("path"), "link_type").agg(
+        F.count(F.lit(1)).alias("frames"), F.sum(F.length("frame")).alias("bytes"), F.max("ts_us").alias("last_us"),
+        F.max("frame_no").alias("last_no"), F.countDistinct("frame_no").alias("numbers"))
+
+
 PACKET_FIELDS = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "pkt_len", "tcp_flags", "ttl", "is_fragment")
 
 

@@ -495,7 +495,7 @@ r2 AS (SELECT *, coalesce(last_value(fresh IGNORE NULLS) OVER (PARTITION BY node
   CASE WHEN t + u + i > 0 THEN round(t / (t + u + i) * 100, 1) ELSE 0.0 END AS tcp_pct,
   CASE WHEN t + u + i > 0 THEN round(u / (t + u + i) * 100, 1) ELSE 0.0 END AS udp_pct,
   CASE WHEN t + u + i > 0 THEN round(i / (t + u + i) * 100, 1) ELSE 0.0 END AS icmp_pct FROM r1)""")
-oracle("incident_evidence", """SELECT incident_id, phase, position, tick, flow_id, flow_line, src_ip, pkt_len FROM (
+oracle("incident_evidence_limited", """SELECT incident_id, phase, position, tick, flow_id, flow_line, src_ip, pkt_len FROM (
   SELECT *, 'during' AS phase, row_number() OVER (PARTITION BY incident_id ORDER BY tick, flow_id, flow_line, src_ip) AS position
   FROM near WHERE tick >= first_tick QUALIFY position <= 1500
   UNION ALL
@@ -503,6 +503,12 @@ oracle("incident_evidence", """SELECT incident_id, phase, position, tick, flow_i
   FROM near WHERE tick < first_tick QUALIFY position <= 40)""", "v_packets", "v_floods", extra="""near AS (
   SELECT p.*, f.dst_ip || '@' || first_tick AS incident_id, first_tick FROM v_packets p JOIN v_floods f ON p.dst_ip = f.dst_ip
   AND p.tick BETWEEN first_tick - 60 AND last_tick)""")
+oracle("incident_evidence", """SELECT incident_id, phase, row_number() OVER (PARTITION BY incident_id, phase
+  ORDER BY way * tick, way * flow_id, way * flow_line, CASE WHEN way = 1 THEN src_ip END, CASE WHEN way = -1 THEN src_ip END DESC) AS position,
+  tick, flow_id, flow_line, src_ip, pkt_len FROM (
+  SELECT p.*, f.dst_ip || '@' || first_tick AS incident_id, CASE WHEN p.tick < first_tick THEN 'before' ELSE 'during' END AS phase,
+    CASE WHEN p.tick < first_tick THEN -1 ELSE 1 END AS way
+  FROM v_packets p JOIN v_floods f ON p.dst_ip = f.dst_ip AND p.tick <= last_tick)""", "v_packets", "v_floods")
 oracle("incident_evidence_any_age", """SELECT incident_id, phase, position, tick, flow_id, flow_line, src_ip, pkt_len FROM (
   SELECT *, 'during' AS phase, row_number() OVER (PARTITION BY incident_id ORDER BY tick, flow_id, flow_line, src_ip) AS position
   FROM upto WHERE tick >= first_tick QUALIFY position <= 10000
@@ -887,6 +893,7 @@ oracle("scan_pcap", """SELECT 'capture-' || (flow_id // 50) || '.pcap' AS path,
   cast(sum(34 + CASE flow_line % 3 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE 8 END + CASE protocol WHEN 6 THEN 20 WHEN 47 THEN
     28 + CASE WHEN flow_id % 2 = 0 THEN 8 ELSE 4 END ELSE 8 END) AS bigint) AS bytes, max(tick * 1000000 + flow_line) AS last_us
 FROM v_packets GROUP BY ALL""", "v_packets")
+oracle("scan_large_pcap", f"SELECT *, frames - 1 AS last_no, frames AS numbers FROM ({ORACLES['scan_pcap']})")
 _PORT = "CASE WHEN protocol IN (6, 17) THEN {p} ELSE 0 END AS {p}"
 oracle("decode_frames", f"""SELECT flow_id, flow_line, src_ip, dst_ip, {_PORT.format(p='src_port')}, {_PORT.format(p='dst_port')}, protocol,
   CASE WHEN protocol = 47 THEN outer_len ELSE pkt_len END AS pkt_len, CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, ttl, is_fragment

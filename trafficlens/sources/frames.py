@@ -22,23 +22,23 @@ ETHERNET, LINUX_COOKED = 1, 113
 # First bytes of a capture file, byte order, and nanoseconds of its second time field.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1000), b"\xa1\xb2\xc3\xd4": (">", 1000), b"\x4d\x3c\xb2\xa1": ("<", 1), b"\xa1\xb2\x3c\x4d": (">", 1)}
 
-_PCAP_HEADER, _RECORD_HEADER = 24, 16
+FILE_HEADER, RECORD_HEADER = 24, 16
 _BATCH = 4096
 
 
 def _frames_of(path: str, content: bytes) -> Iterator[tuple]:
     """Frames of one capture file, either byte order, micro- or nanoseconds; a cut-off last record is left out."""
-    if len(content) < _PCAP_HEADER:
+    if len(content) < FILE_HEADER:
         return
     if content[:4] not in MAGIC:
         return
     order, nanoseconds = MAGIC[content[:4]]
     link_type = struct.unpack_from(order + "I", content, 20)[0]
     record = struct.Struct(order + "IIII")
-    position, number = _PCAP_HEADER, 0
-    while position + _RECORD_HEADER <= len(content):
+    position, number = FILE_HEADER, 0
+    while position + RECORD_HEADER <= len(content):
         seconds, micros, kept, original = record.unpack_from(content, position)
-        position += _RECORD_HEADER
+        position += RECORD_HEADER
         if position + kept > len(content):
             return
         yield path, number, seconds * 1_000_000 + micros * nanoseconds // 1000, link_type, original, content[position:position + kept]
@@ -60,8 +60,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_pcap(files: DataFrame) -> DataFrame:
     """Frames of capture files given as rows of path, content.
 
-    The format has no marks to start reading in the middle, so a file is one unit
-    of work; frames leave in batches and are never collected per file.
+    A row is one unit of work; frames leave in batches and are never collected per file. For files that are
+    too large for that, see ``captures.read_large_pcap``.
     """
     return files.select("path", "content").mapInPandas(_scan, schemas.FRAMES)
 
@@ -69,7 +69,7 @@ def scan_pcap(files: DataFrame) -> DataFrame:
 def unreadable_captures(files: DataFrame) -> DataFrame:
     """Paths of the files, given as path and content, that are no capture in a known form."""
     known = [F.lit(bytearray(magic)) for magic in MAGIC]
-    return files.filter(F.length("content").isNull() | (F.length("content") < _PCAP_HEADER) | ~F.substring("content", 1, 4).isin(*known)).select("path")
+    return files.filter(F.length("content").isNull() | (F.length("content") < FILE_HEADER) | ~F.substring("content", 1, 4).isin(*known)).select("path")
 
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
