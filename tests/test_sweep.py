@@ -106,3 +106,26 @@ def test_learned_request_rate(spark):
     steady = spark.range(400).selectExpr("'s' AS site_id", "id AS tick", "IF(id < 300, 100D, 200D) AS rps", "50L AS total_requests", "0D AS error_rate")
     last = l7.l7_baseline(steady).orderBy(F.col("tick").desc()).first()
     assert last.samples == 400 and last.baseline_rps == pytest.approx(200 - 100 * 0.99**100)
+
+
+def test_lists_of_whole_attacks(spark):
+    schema = "site_id string, tick long, path string, ip string, ua string"
+    rows = [("s", t, f"/p{t % 3}", "10.0.0.1", None) for t in range(80, 130)] + [("s", 100, "/.env?x=../", "10.0.0.2", ""), ("s", 95, "/wp-login.php", None, "curl/8"),
+            ("s", 300, "/.env", "10.0.0.9", "late"), ("t", 100, "/other", "10.0.0.3", "x"), ("s", None, "/never", "10.0.0.4", "x"), ("s", 101, None, "10.0.0.2", "b")]
+    requests = spark.createDataFrame(rows, schema)
+    incidents = spark.createDataFrame([("s", "i", 100, 104), ("s", "j", 100, 100), ("s", "open", 100, None)], SPANS.replace("node_id", "site_id"))
+
+    def counts(first, last, kind, item):
+        mine = [r for r in rows if r[0] == "s" and r[1] is not None and item(r)]
+        return (sum(first <= w <= last for r in mine for w in range(r[1], r[1] + 10)), sum(first <= r[1] <= last for r in mine))
+
+    found = {(r.incident_id, r.kind, r["item"]): (r.window_summed, r.exact_count) for r in l7.l7_attack_lists(requests, incidents).collect()}
+    for name, last in (("i", 104), ("j", 100)):
+        assert found[name, "ip", "10.0.0.1"] == counts(100, last, "ip", lambda r: r[3] == "10.0.0.1")
+        assert found[name, "path", "/p1"] == counts(100, last, "path", lambda r: r[2] == "/p1")
+        assert found[name, "ua", "curl/8"] == counts(100, last, "ua", lambda r: r[4] == "curl/8")
+        assert found[name, "threat", "path_traversal"] == found[name, "threat", "scanner_probe"] == counts(100, last, "", lambda r: r[2] == "/.env?x=../")
+        assert found[name, "threat", "wordpress"][1] == 0 and found[name, "threat", "wordpress"][0] > 0
+    assert {k[0] for k in found} == {"i", "j"} and not {k[2] for k in found} & {"/never", "/other", "late", "", None}
+    few = l7.l7_attack_lists(requests, incidents, {"path": 1, "threat": 2}).collect()
+    assert sorted((r.incident_id, r.kind, r["rank"]) for r in few) == sorted([(i, "path", 1) for i in "ij"] + [(i, "threat", n) for i in "ij" for n in (1, 2)])

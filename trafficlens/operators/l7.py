@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from trafficlens.operators.topk import topk_per_group
 
 WINDOW = 10
 TOP_IPS, TOP_PATHS, TOP_AGENTS = 50, 20, 20
+# Items of a whole attack that a list keeps; there are ten threats.
+ATTACK_LISTS = {"path": TOP_PATHS, "ip": TOP_IPS, "ua": TOP_AGENTS, "threat": 10}
 # Fixed values of the learned request rate.
 MIN_REQUESTS, CLEAN_ERROR_RATE, MEAN_SAMPLES, SMOOTHING = 15, 60, 300, 0.01
 
@@ -168,14 +171,36 @@ def l7_attack_items(requests: DataFrame, incidents: DataFrame, item: str, k: int
     """
     if item == "ua":
         requests = requests.filter(F.coalesce("ua", F.lit("")) != "")
-    per_tick = requests.groupBy("site_id", item, "tick").agg(F.count(F.lit(1)).alias("count"))
+    summed = _attack_counts(requests, incidents, [item], window)
+    return topk_per_group(summed, ["incident_id"], [F.col("window_summed").desc(), F.col(item).asc()], k)
+
+
+def _attack_counts(requests: DataFrame, incidents: DataFrame, items: Sequence[str], window: int) -> DataFrame:
+    per_tick = requests.groupBy("site_id", *items, "tick").agg(F.count(F.lit(1)).alias("count"))
     spans = incidents.select("site_id", "incident_id", "started_tick", "ended_tick")
     first, last = F.greatest("tick", "started_tick"), F.least(F.col("tick") + window - 1, F.col("ended_tick"))
     inside = within(per_tick, spans, "site_id", F.col("started_tick") - (window - 1))
-    summed = inside.groupBy("incident_id", item).agg(
+    return inside.groupBy("incident_id", *items).agg(
         F.sum(F.col("count") * (last - first + 1)).alias("window_summed"),
         F.sum(F.when(F.col("tick") >= F.col("started_tick"), F.col("count")).otherwise(0)).alias("exact_count"))
-    return topk_per_group(summed, ["incident_id"], [F.col("window_summed").desc(), F.col(item).asc()], k)
+
+
+def l7_attack_lists(requests: DataFrame, incidents: DataFrame, limits: Mapping[str, int] = MappingProxyType(ATTACK_LISTS),
+                    window: int = WINDOW) -> DataFrame:
+    """The busiest paths, addresses and agents of a whole attack and its threats: incident_id, kind, item, window_summed, exact_count, rank.
+
+    Counted from all requests as in :func:`l7_attack_items`, in one grouping for all kinds; ``limits`` names the kinds
+    and how many of each stay. A request counts for each threat in its path. Items that are null or empty are not listed.
+    """
+    plain = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("item")) for kind in ("path", "ip", "ua")])
+    threats = F.transform("threats", lambda name: F.struct(F.lit("threat").alias("kind"), name.alias("item")))
+    flagged = requests.withColumn("threats", threat_flags(F.coalesce("path", F.lit(""))))
+    items = flagged.select("site_id", "tick", F.inline(F.concat(plain, threats))).filter(
+        (F.coalesce("item", F.lit("")) != "") & F.col("kind").isin(*limits))
+    summed = _attack_counts(items, incidents, ["kind", "item"], window)
+    ranked = topk_per_group(summed, ["incident_id", "kind"], [F.col("window_summed").desc(), F.col("item").asc()], max(limits.values()))
+    allowed = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    return ranked.filter(F.col("rank") <= F.element_at(allowed, F.col("kind")))
 
 
 def l7_attack_listed_items(ranked: DataFrame, incidents: DataFrame, item: str, k: int) -> DataFrame:

@@ -696,6 +696,11 @@ def l7_attack_whole_paths(spark, sf_dir):
     return l7.l7_attack_items(w.http(spark, sf_dir), _http_spans(spark, sf_dir), "path", l7.TOP_PATHS)
 
 
+@query
+def l7_attack_lists(spark, sf_dir):
+    return l7.l7_attack_lists(w.http(spark, sf_dir), _http_spans(spark, sf_dir))
+
+
 # --- reports ---------------------------------------------------------------
 
 @query
@@ -902,13 +907,27 @@ def _report(spark, sf_dir) -> DataFrame:
 
 @query
 def incident_report(spark, sf_dir):
-    """Flat view of the full report; the lists are reduced to their lengths and heads."""
+    """The whole report, its lists as text; points of the curve are seconds and tenths of packets a second."""
+    def listed(name, *fields):
+        return F.array_join(F.transform(name, lambda entry: F.concat_ws(":", *[entry[f].cast("string") for f in fields])), ";")
+
+    curve = F.transform("velocity_curve", lambda p: F.concat_ws(":", p["t"].cast("bigint").cast("string"),
+                                                                F.round(p["pps"] * 10).cast("bigint").cast("string")))
+    return _report(spark, sf_dir).select(
+        "incident_id", "started_tick", "ended_tick", "duration", "peak_pps", "peak_bps", "threshold", "attack_family", "attack_subtype",
+        "attack_tool", "confidence", "packets", "tcp_pct", "udp_pct", "icmp_pct", "other_pct", "fragment_pct", "src_ip_count", "src_entropy",
+        "ttl_entropy", "avg_pkt_length", "pkt_length_std", "spoofing_detected", "botnet_detected",
+        F.coalesce("dns_unique", F.lit(0)).alias("dns_unique"), F.array_join("distinct_hits", ";").alias("distinct_hits"),
+        listed("top_src_ips", "src_ip", "count").alias("top_sources"), listed("top_dst_ports", "dst_port", "count").alias("top_ports"),
+        F.array_join(curve, ";").alias("velocity_curve"))
+
+
+@query
+def incident_confidence(spark, sf_dir):
+    """The score of every incident beside the evidence that it adds up."""
     return _report(spark, sf_dir).select(
-        "incident_id", "duration", "peak_pps", "attack_family", "attack_subtype", "attack_tool", "confidence", "packets",
-        "tcp_pct", "udp_pct", "src_ip_count", "avg_pkt_length", "pkt_length_std", "spoofing_detected", "botnet_detected",
-        F.size("velocity_curve").cast("bigint").alias("curve_points"),
-        F.get("top_src_ips", F.lit(0))["src_ip"].alias("top_source"),
-        F.get("top_dst_ports", F.lit(0))["dst_port"].alias("top_port"))
+        "incident_id", "duration", "peak_pps", "threshold", "src_ip_count", F.greatest("tcp_pct", "udp_pct", "icmp_pct").alias("dominant_pct"),
+        "avg_pkt_length", "pkt_length_std", "boost", "spoofing_detected", "botnet_detected", "confidence")
 
 
 def _folder(spark, name: str) -> str:

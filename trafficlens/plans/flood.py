@@ -149,7 +149,7 @@ def incident_report(packets: DataFrame, incidents: DataFrame, hits: DataFrame, s
     return joined.select(
         "incident_id", "dst_ip", "started_tick", "ended_tick", "duration", "peak_pps", "peak_bps", "threshold",
         F.col("resolved.family").alias("attack_family"), F.col("resolved.subtype").alias("attack_subtype"),
-        F.col("resolved.tool").alias("attack_tool"), confidence.alias("confidence"), "packets", "tcp_pct", "udp_pct",
+        F.col("resolved.tool").alias("attack_tool"), confidence.alias("confidence"), F.col("resolved.boost").alias("boost"), "packets", "tcp_pct", "udp_pct",
         "icmp_pct", "other_pct", "fragment_pct", "src_ip_count", "src_entropy", "ttl_entropy", "avg_pkt_length",
         "pkt_length_std", "spoofing_detected", "botnet_detected", "dns_unique", "distinct_hits", "top_src_ips",
         "top_dst_ports", "velocity_curve")

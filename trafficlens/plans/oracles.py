@@ -693,6 +693,14 @@ oracle("l7_attack_whole_paths", """SELECT incident_id, path, window_summed, exac
   ORDER BY window_summed DESC, path) AS rank FROM (SELECT incident_id, path, count(*) AS window_summed, count(*) FILTER (upto = born) AS exact_count
   FROM v_w t JOIN v_spans p ON t.site_id = p.site_id AND t.upto BETWEEN a AND b GROUP BY incident_id, path)) WHERE rank <= 20""", "v_w", "v_spans")
 
+_ATTACK_KINDS = {"path": ("path", "true", 20), "ip": ("ip", "true", 50), "ua": ("ua", "ua <> ''", 20)} | {
+    f"threat {name}": (f"'{name}'", f"{GATE} AND regexp_matches(path, {_quoted('(?i)' + p)})", 10) for name, p in THREAT_PATTERNS.items()}
+oracle("l7_attack_lists", f"""SELECT incident_id, kind, item, window_summed, exact_count, rank FROM (SELECT *, row_number() OVER (PARTITION BY incident_id, kind
+  ORDER BY window_summed DESC, item) AS rank FROM ({' UNION ALL '.join(f"""SELECT incident_id, '{kind.split()[0]}' AS kind, {item} AS item, {k} AS k,
+  count(*) AS window_summed, count(*) FILTER (upto = born) AS exact_count
+  FROM v_w t JOIN v_spans p ON t.site_id = p.site_id AND t.upto BETWEEN a AND b WHERE {rule} GROUP BY incident_id, {item}"""
+    for kind, (item, rule, k) in _ATTACK_KINDS.items())})) WHERE rank <= k""", "v_w", "v_spans")
+
 # --- reports ---------------------------------------------------------------
 
 oracle("topk_per_group", """SELECT dst_ip, octets, flow_id, flow_line, src_ip, rank FROM (SELECT *, row_number() OVER (PARTITION BY dst_ip
@@ -914,19 +922,15 @@ oracle("baseline_snapshot", f"SELECT * EXCLUDE (avg_pps), round(avg_pps, 6) AS a
        recursive=True, extra=_DST_WALK)
 _REPORT_TOP = """(SELECT incident_id, arg_min({c}, (-n, {c})) AS {a} FROM (SELECT incident_id, {c}, count(*) AS n FROM during GROUP BY ALL)
   GROUP BY incident_id)"""
-oracle("incident_report", f"""SELECT incident_id, duration, peak_pps, family AS attack_family, subtype AS attack_subtype, tool AS attack_tool,
-  cast(least(100, greatest(0, CASE WHEN duration < 10 THEN 15 WHEN duration < 30 THEN 25 WHEN duration < 120 THEN 35 ELSE 45 END
-    + least(25, floor(peak_pps / greatest(threshold, 1) * 5)) + CASE WHEN src_ip_count > 5000 THEN 10 WHEN src_ip_count > 1000 THEN 5 ELSE 0 END
-    + CASE WHEN greatest(tcp_pct, udp_pct, icmp_pct) > 80 THEN 10 ELSE 0 END + CASE WHEN avg_len > 0 AND std_len < 50 THEN 10 ELSE 0 END
-    + CASE WHEN duration > 300 THEN 10 WHEN duration > 60 THEN 5 ELSE 0 END + least(20, boost) + CASE WHEN spoofed THEN 10 ELSE 0 END
-    + CASE WHEN botnet THEN 10 ELSE 0 END)) AS bigint) AS confidence, packets, tcp_pct, udp_pct, src_ip_count, avg_len AS avg_pkt_length,
-  std_len AS pkt_length_std, spoofed AS spoofing_detected, botnet AS botnet_detected, curve_points, top_source, dst_port AS top_port
-FROM resolved""", "v_packets", "v_floods", "v_hits", extra=f"""met AS (SELECT f.dst_ip || '@' || first_tick AS incident_id, ioc_hit FROM v_hits h
+_REPORT_LIST = """(SELECT incident_id, string_agg({c} || ':' || n, ';' ORDER BY r) AS {a} FROM (SELECT *, row_number() OVER (PARTITION BY incident_id
+  ORDER BY n DESC, {c}) AS r FROM (SELECT incident_id, {c}, count(*) AS n FROM during WHERE {w} GROUP BY ALL)) WHERE r <= 20 GROUP BY incident_id)"""
+_REPORT = f"""met AS (SELECT f.dst_ip || '@' || first_tick AS incident_id, ioc_hit FROM v_hits h
   JOIN v_floods f ON h.dst_ip = f.dst_ip AND h.tick BETWEEN first_tick AND last_tick WHERE ioc_hit IS NOT NULL),
 during AS (SELECT p.*, f.dst_ip || '@' || first_tick AS incident_id FROM v_packets p
   JOIN v_floods f ON p.dst_ip = f.dst_ip AND p.tick BETWEEN first_tick AND last_tick),
 v_summary AS (SELECT *, {SYN_RATIO} AS sr, {FLAG_TOTAL}, coalesce(dns_unique, 0) >= 10 AS dns FROM (
-  SELECT f.dst_ip, f.dst_ip || '@' || first_tick AS incident_id, last_tick - first_tick AS duration, peak_pps, threshold FROM v_floods f)
+  SELECT f.dst_ip, f.dst_ip || '@' || first_tick AS incident_id, last_tick - first_tick AS duration, first_tick, last_tick, peak_pps, peak_bps,
+    threshold FROM v_floods f)
  JOIN (SELECT incident_id, count(*) AS packets, round(count(*) FILTER (protocol = 6) / count(*) * 100, 1) AS tcp_pct,
    round(count(*) FILTER (protocol = 17) / count(*) * 100, 1) AS udp_pct, round(count(*) FILTER (protocol IN (1, 58)) / count(*) * 100, 1) AS icmp_pct,
    round(count(*) FILTER (protocol NOT IN (1, 6, 17, 58)) / count(*) * 100, 1) AS other_pct,
@@ -941,16 +945,33 @@ v_summary AS (SELECT *, {SYN_RATIO} AS sr, {FLAG_TOTAL}, coalesce(dns_unique, 0)
    JOIN v_floods f ON p.dst_ip = f.dst_ip AND p.tick BETWEEN first_tick AND last_tick) WHERE signature IS NOT NULL GROUP BY ALL)
    GROUP BY incident_id) USING (incident_id)
  LEFT JOIN {_REPORT_TOP.format(c='dst_port', a='dst_port')} USING (incident_id) LEFT JOIN {_REPORT_TOP.format(c='src_port', a='src_port')} USING (incident_id)
- LEFT JOIN {_REPORT_TOP.format(c='src_ip', a='top_source')} USING (incident_id)
- LEFT JOIN (SELECT incident_id, n AS src_ip_count, n >= 500 AND ((te > 4.0 AND se > 8.0) OR (n > 5000 AND se > 10.0)) AS spoofed FROM
+ LEFT JOIN {_REPORT_LIST.format(c='src_ip', w='true', a='top_sources')} USING (incident_id)
+ LEFT JOIN {_REPORT_LIST.format(c='dst_port', w='dst_port <> 0', a='top_ports')} USING (incident_id)
+ LEFT JOIN (SELECT incident_id, string_agg(DISTINCT ioc_hit, ';' ORDER BY ioc_hit) AS distinct_hits FROM met GROUP BY incident_id) USING (incident_id)
+ LEFT JOIN (SELECT incident_id, n AS src_ip_count, se, te, n >= 500 AND ((te > 4.0 AND se > 8.0) OR (n > 5000 AND se > 10.0)) AS spoofed FROM
    (SELECT incident_id, count(*) AS n, {ENTROPY} AS se FROM (SELECT incident_id, src_ip, count(*) AS c FROM during GROUP BY ALL) GROUP BY incident_id)
    JOIN (SELECT incident_id, {ENTROPY} AS te FROM (SELECT incident_id, ttl, count(*) AS c FROM during GROUP BY ALL) GROUP BY incident_id)
    USING (incident_id)) USING (incident_id)
- LEFT JOIN (SELECT f.dst_ip || '@' || first_tick AS incident_id, count(DISTINCT (d.tick - first_tick) // 5) AS curve_points FROM v_floods f
-   JOIN v_dst d ON d.dst_ip = f.dst_ip AND d.tick BETWEEN first_tick AND last_tick GROUP BY 1) USING (incident_id)
+ LEFT JOIN (SELECT incident_id, string_agg(t || ':' || cast(round(round(pps, 1) * 10) AS bigint), ';' ORDER BY t) AS velocity_curve FROM (
+   SELECT f.dst_ip || '@' || first_tick AS incident_id, d.tick - first_tick AS t, d.pps, row_number() OVER (PARTITION BY f.dst_ip, first_tick,
+     (d.tick - first_tick) // 5 ORDER BY d.tick) AS n FROM v_floods f JOIN v_dst d ON d.dst_ip = f.dst_ip AND d.tick BETWEEN first_tick AND last_tick)
+   WHERE n = 1 GROUP BY incident_id) USING (incident_id)
  LEFT JOIN (SELECT incident_id, bool_or({' OR '.join(f"contains(lower(ioc_hit), '{word}')" for word in BOTNET_WORDS)}) AS botnet_named
    FROM met GROUP BY incident_id) USING (incident_id)),
-{RESOLVED.replace('resolved AS (SELECT *,', 'resolved AS (SELECT *, src_ip_count > 5000 OR coalesce(botnet_named, false) AS botnet,')}""")
+{RESOLVED.replace('resolved AS (SELECT *,', 'resolved AS (SELECT *, src_ip_count > 5000 OR coalesce(botnet_named, false) AS botnet,')}"""
+_SCORE = """cast(least(100, greatest(0, CASE WHEN duration < 10 THEN 15 WHEN duration < 30 THEN 25 WHEN duration < 120 THEN 35 ELSE 45 END
+    + least(25, floor(peak_pps / greatest(threshold, 1) * 5)) + CASE WHEN src_ip_count > 5000 THEN 10 WHEN src_ip_count > 1000 THEN 5 ELSE 0 END
+    + CASE WHEN greatest(tcp_pct, udp_pct, icmp_pct) > 80 THEN 10 ELSE 0 END + CASE WHEN avg_len > 0 AND std_len < 50 THEN 10 ELSE 0 END
+    + CASE WHEN duration > 300 THEN 10 WHEN duration > 60 THEN 5 ELSE 0 END + least(20, boost) + CASE WHEN spoofed THEN 10 ELSE 0 END
+    + CASE WHEN botnet THEN 10 ELSE 0 END)) AS bigint) AS confidence"""
+oracle("incident_report", f"""SELECT incident_id, first_tick AS started_tick, last_tick AS ended_tick, duration, peak_pps, peak_bps, threshold,
+  family AS attack_family, subtype AS attack_subtype, tool AS attack_tool, {_SCORE}, packets, tcp_pct, udp_pct, icmp_pct, other_pct, fragment_pct,
+  src_ip_count, se AS src_entropy, te AS ttl_entropy, avg_len AS avg_pkt_length, std_len AS pkt_length_std, spoofed AS spoofing_detected,
+  botnet AS botnet_detected, dns_unique, distinct_hits, top_sources, top_ports, velocity_curve
+FROM resolved""", "v_packets", "v_floods", "v_hits", extra=_REPORT)
+oracle("incident_confidence", f"""SELECT incident_id, duration, peak_pps, threshold, src_ip_count, greatest(tcp_pct, udp_pct, icmp_pct) AS dominant_pct,
+  avg_len AS avg_pkt_length, std_len AS pkt_length_std, boost, spoofed AS spoofing_detected, botnet AS botnet_detected, {_SCORE}
+FROM resolved""", "v_packets", "v_floods", "v_hits", extra=_REPORT)
 
 oracle("stream_measures", """SELECT dst_ip, tick, packets, octets, flow_count, tcp_packets, udp_packets, icmp_packets, other_packets,
   syn, ack, rst, fin, psh, urg, pps, bps, tcp_pct, udp_pct, icmp_pct, fragment_pct, avg_pkt_size
