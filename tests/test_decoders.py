@@ -84,6 +84,16 @@ def test_sflow_shapes(spark):
         (0, "2001:db8::1", "2001:db8:0:1::", 6, 7, 560, 0), (2, "1.1.1.1", "2.2.2.2", 80, 5, 45, 2)]
 
 
+def test_sflow_tags_and_extension_headers(spark):
+    double = ether(ipv4("1.1.1.1", "2.2.2.2", 6, tcp(1, 80, 2)), tags=(0x88A8, 0x8100))
+    deep = ether(ipv6("2001:db8::1", "2001:db8::2", 0, b"\x2b\0" + b"\0" * 6 + b"\x11\1" + b"\0" * 14 + udp(5, 53)), 0x86DD, tags=(0x8100,))
+    cut = ether(b"", tags=(0x8100, 0x8100))[:-4]  # ends inside its second tag
+    options = ether(b"\x47" + ipv4("3.3.3.3", "4.4.4.4", 17, b"\1" * 8 + udp(7, 9))[1:])
+    got = d.decode_sflow_v5(frame_of(spark, [sflow([sample(f, 10, 100) for f in (double, deep, cut, options)]), sflow([sample(cut, 1, 1)])])).orderBy("record_no").collect()
+    assert [(r.record_no, r.src_ip, r.protocol, r.src_port, r.dst_port, r.tcp_flags, r.packets) for r in got] == [
+        (0, "1.1.1.1", 6, 1, 80, 2, 10), (1, "2001:db8::1", 17, 5, 53, 0, 10), (2, "3.3.3.3", 17, 7, 9, 0, 10)]
+
+
 FIELDS = ((8, 4), (12, 4), (7, 2), (11, 2), (4, 1), (6, 1), (2, 4), (1, 4))
 
 
