@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 FAST = ("dst_measures", "node_measures", "top_src_ips", "rolling_baseline", "hourly_baseline", "asof_join", "l7_window_stats",
         "source_confidence", "detect_dst", "detect_node", "detect_http", "sustained_floods", "incident_evidence", "deep_sample",
         "nonservice_sources", "gre_overhead", "enrich_from_ioc", "resolve_family_subtype", "dst_report", "incident_report", "write_incidents",
-        "baseline_snapshot", "absent_ticks", "stream_incidents", "stream_asof_templates")
+        "baseline_snapshot", "l7_baseline", "l7_attack_lists", "scan_large_pcap", "incident_confidence", "correlate_l3_l7", "velocity_curve", "absent_ticks", "stream_incidents", "stream_asof_templates")
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else FAST
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
