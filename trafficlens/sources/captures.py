@@ -23,6 +23,9 @@ from trafficlens.sources.frames import FILE_HEADER, MAGIC, RECORD_HEADER
 #: Bytes of a range, and bytes that a reader holds at a time.
 PART_BYTES = 64 << 20
 WINDOW_BYTES = 4 << 20
+#: Bytes that are worth a task, and the most tasks of a step.
+LEAST_TASK_BYTES = 1 << 20
+MOST_TASKS = 20_000
 #: Headers in a row that must look like headers, the largest packet of one, and seconds that it may lie off the first one.
 CHAIN = 6
 LARGEST_FRAME = 1 << 18
@@ -141,7 +144,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, length, first, end, number in batch.itertuples(index=False, name=None):
             capture = Capture(path, length)
-            for place, head in capture.frames(first, end):
+            for place, head in capture.frames(first, end) if capture.order else ():
                 if head is None:
                     break
                 seconds, fraction, kept, original = head
@@ -168,17 +171,29 @@ def write_captures(files: DataFrame, folder: str) -> int:
     return files.select("path", "content").mapInPandas(write, "path string").count()
 
 
+def _tasks(files: DataFrame, part_bytes: int) -> int:
+    """Tasks for the bytes of the files: their rows are too small for adaptive execution to see the work behind them."""
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return max(1, min(-(-total // max(part_bytes, LEAST_TASK_BYTES)), MOST_TASKS))
+
+
 def settled_ranges(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """path, length, part, first, end, number, count: byte ranges of captures with their first record. ``files``: path, length.
 
-    One task walks the headers of one range. The check by file reads one row for each range.
+    The headers of a range are walked by one task. The check by file reads one row for each range; a file of one range needs
+    neither, and has no count.
     """
+    files = files.select("path", "length")
+    alone = files.filter((F.col("length") > FILE_HEADER) & (F.col("length") <= part_bytes)).selectExpr(
+        "path", "length", "0L AS part", f"{FILE_HEADER}L AS first", "length AS end", "0L AS number", "CAST(NULL AS bigint) AS count")
+    files = files.filter(F.col("length") > part_bytes)
     parts = files.filter(F.col("length") >= FILE_HEADER).select(
         "path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / part_bytes))).alias("part"))
     ranges = parts.select("path", "length", "part", (F.col("part") * part_bytes).alias("begin"),
                           F.least((F.col("part") + 1) * part_bytes, "length").alias("end"))
-    walked = ranges.repartition("path", "part").mapInPandas(_walk_guesses, WALKED)
-    return walked.groupBy("path").applyInPandas(_settle, "path string, length long, part long, first long, end long, number long, count long")
+    walked = ranges.repartition(_tasks(files, part_bytes), "path", "part").mapInPandas(_walk_guesses, WALKED)
+    settled = walked.groupBy("path").applyInPandas(_settle, "path string, length long, part long, first long, end long, number long, count long")
+    return settled.unionByName(alone)
 
 
 def read_large_pcap(spark: SparkSession, path: str, part_bytes: int = PART_BYTES, glob: str = "*.pcap") -> DataFrame:
@@ -188,5 +203,5 @@ def read_large_pcap(spark: SparkSession, path: str, part_bytes: int = PART_BYTES
     They are read twice: once for the places of their records. A file may exceed the 2 GB that a row can hold.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length")
-    found = settled_ranges(files, part_bytes).filter("count > 0").select("path", "length", "first", "end", "number")
-    return found.repartition("path", "first").mapInPandas(_read, schemas.FRAMES)
+    found = settled_ranges(files, part_bytes).filter("count IS NULL OR count > 0").select("path", "length", "first", "end", "number")
+    return found.repartition(_tasks(files, part_bytes), "path", "first").mapInPandas(_read, schemas.FRAMES)
