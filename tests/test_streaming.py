@@ -49,6 +49,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.key, r.event) for r in state} == {("d1", "resolve"), ("d2", "resolve")}
 
 
+def test_live_keys_that_learn_nothing(spark, tmp_path):
+    """Keys that are flooded from their first second on have no samples when a run ends; one of them calms down later."""
+    root = str(tmp_path)
+    rows = [(k, t, 60000.0 if k == "a" or t < 40 else 10.0, 5e6, 0.0) for k in ("a", "b") for t in range(70)] + [("", 75, 0.0, 0.0, 0.0)]
+    rows = spark.createDataFrame(rows, "key string, tick bigint, pps double, bps double, blocklist_ratio double")
+    rows = rows.withColumn("ts", F.timestamp_seconds("tick"))
+    for detector, batch in ((live.stream_detect_node, detect.detect_node), (live.stream_detect_dst, detect.detect_dst)):
+        name = detector.__name__
+        for n, low in enumerate((0, 20, 50)):
+            rows.filter((F.col("tick") >= low) & (F.col("tick") < (20, 50, 100)[n])).coalesce(1).write.parquet(f"{root}/{name}/in/part={n}")
+            stream = detector(spark.readStream.schema(rows.schema).parquet(f"{root}/{name}/in/part=*"), key="key")
+            _finish(stream.writeStream.outputMode("append").foreachBatch(sinks.incident_sink(f"{root}/{name}/out")), root, name)
+        got = spark.read.schema(schemas.DETECTION_EVENTS).parquet(f"{root}/{name}/out/batch=*").filter("key <> ''")
+        want = detect.events_only(batch(rows.filter("key <> ''"), key="key"))
+        names = schemas.DETECTION_EVENTS.names
+        assert {r.key for r in got.collect()} == {"a", "b"}
+        assert sorted(map(repr, got.select(*names).collect())) == sorted(map(repr, want.select(*names).collect()))
+
+
 def test_live_web_windows_and_detector(spark, tmp_path):
     rows = [(t, f"10.0.0.{i % 7}", "/login", 401) for t in range(60) for i in range(3 if t < 40 else 90)]
     df = spark.createDataFrame(rows, "tick bigint, ip string, path string, status bigint").select(
