@@ -1,4 +1,5 @@
 import ipaddress
+import random
 
 from pyspark.sql import functions as F
 
@@ -94,3 +95,27 @@ def test_pattern_order_and_long_list(spark):
     inline = {r.id: r.ioc_hit for r in joins.ioc_join(payloads, patterns, inline=True).collect()}
     joined = {r.id: r.ioc_hit for r in joins.ioc_join(payloads, patterns).collect()}
     assert inline == joined == {1: "Short:f", 2: "Z:g", 3: None, 4: None, 5: "Z:g", 6: "Z:g"}
+
+
+def test_long_list_over_many_texts(spark):
+    """Grams of all widths at all places: text ends, other bytes than ASCII, bytes above 127 in front, empty and null texts, copies."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abé\x00 ") for _ in range(rng.randrange(30))) for _ in range(300)] + ["", None, "ab" * 40, "ab" * 40]
+    listed = sorted({t[i:i + n] for t in texts[:60] for n, i in [(rng.randrange(1, 14), rng.randrange(20))] if t[i:i + n]} - set("abé\x00 "))
+    listed += ["é" * 4, "never there", "abababababababab"]
+    patterns = spark.createDataFrame([(k % 7, p, f"p{k}", "f") for k, p in enumerate(listed)],
+                                     "ord bigint, pattern string, attack_name string, attack_family string")
+    payloads = spark.createDataFrame(list(enumerate(texts)), "id bigint, payload string")
+    got = {r.id: r.ioc_hit for r in joins.ioc_join(payloads, patterns).collect()}
+    order = sorted((k % 7, f"p{k}:f", p) for k, p in enumerate(listed))
+    assert got == {n: next((hit for _, hit, p in order if t and p in t), None) for n, t in enumerate(texts)}
+    assert len(set(got.values())) > 10
+
+
+def test_long_list_has_no_expression_for_each_byte(spark):
+    """Payloads are searched by array operations, whatever their length: 45 MB here."""
+    patterns = spark.createDataFrame([(1, "needle in it", "N", "f")], "ord bigint, pattern string, attack_name string, attack_family string")
+    payloads = spark.range(40).selectExpr("id", "concat(repeat(concat('some hay ', id), 100000), if(id % 10 = 3, 'needle in it', '')) AS payload")
+    found = joins.ioc_join(payloads, patterns)
+    assert "sequence(" not in found._jdf.queryExecution().toString()
+    assert sorted(r.id for r in found.filter("ioc_hit IS NOT NULL").collect()) == [3, 13, 23, 33]
