@@ -119,3 +119,25 @@ def test_long_list_has_no_expression_for_each_byte(spark):
     found = joins.ioc_join(payloads, patterns)
     assert "sequence(" not in found._jdf.queryExecution().toString()
     assert sorted(r.id for r in found.filter("ioc_hit IS NOT NULL").collect()) == [3, 13, 23, 33]
+
+
+def test_signature_searches_find_what_the_signatures_find(spark):
+    """Random strings of the signatures' own pieces, spaces of all kinds, both cases and letters that fold to ASCII ones elsewhere."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    source = " ".join(http.THREAT_PATTERNS.values())
+    pieces = sorted(set(re.findall(r"[a-zA-Z0-9]+", source)) | set("'.$<(/;:={}%_-\\ \t\n\r\x0b\u2028\u00a0KſİıÉ5a")) + ["..", "../", "()", "${", "://", "or ", "select ", " from "] * 3
+    whole = ["union  select", "x or 5", "'OR\n'", "select\ta from b", "select a\nfrom b", "insert into", "drop\x0btable", "update  a set", "; alter x",
+             "<SCRIPT", "javascript:", "onload =", "EVAL (", "document.Cookie", "alert(", "../", "..\\", "%2E%2e/", "phar://", "/etc/shadow", "/proc/self/",
+             "/wp-json/wp/", "/XMLRPC.php", "/.git/", "/.well-known/security.txt", "() {", "${jndi:", "/api/v12/keys", "/vendor/phpunit", "update \u2028x set", "unIon ſelect"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(6000)] + whole + [a + rng.choice(pieces) + b for a in whole for b in whole] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, path string")
+    plain = F.filter(F.array(*[F.when(F.rlike("path", F.lit("(?i)" + p)), F.lit(n)) for n, p in http.THREAT_PATTERNS.items()]), lambda n: n.isNotNull())
+    found = rows.select("path", http.threat_flags(F.col("path")).alias("got"),
+                        F.when(http.worth_matching(F.col("path")), plain).otherwise(F.array().cast("array<string>")).alias("want")).collect()
+    assert [(r.path, r.got, r.want) for r in found if r.got != r.want] == []
+    assert {name for r in found for name in r.got} == set(http.THREAT_PATTERNS)
+    assert sum(len(r.got) for r in found) > 1500

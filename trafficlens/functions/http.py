@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,10 +60,38 @@ def worth_matching(path: Column) -> Column:
     return (F.length(path) > 6) | path.rlike(r"['.$<(]") | F.substring(path, F.lit(2), F.length(path)).contains("/")
 
 
+# The same signatures as searches: characters of which a match holds one at least, and an expression that begins with what
+# is rare, so that most places are left at once. Together they find exactly the texts in which THREAT_PATTERNS are found.
+THREAT_SEARCHES = {
+    "sqli": (((), r"\s(?<=[nrtpe]\s)(?:(?<=or\s)\s*['\d]|(?<=union\s)\s*select|(?<=select\s)\s*.*from\s|(?<=insert\s)\s*into|"
+                  r"(?<=drop\s)\s*table|(?<=update\s)\s*\w+\s+set)"),
+             ((";",), r";\s*(?:drop|delete|alter)\s")),
+    "xss": ((("<",), r"<script"), ((":",), r":(?<=javascript:)"), (("=",), r"on(?:error|load|click|mouseover)\s*="),
+            (("(",), r"(?:eval|alert)\s*\("), ((".c", ".C", ".w", ".W"), r"\.(?<=document\.)(?:cookie|write)")),
+    "path_traversal": ((("../", "..\\", "%2"), THREAT_PATTERNS["path_traversal"]),),
+    "rfi_lfi": ((("://",), r":(?:(?<=file:)|(?<=php:)|(?<=zip:)|(?<=data:)|(?<=expect:)|(?<=glob:)|(?<=phar:))//"),
+                (("/",), r"/(?:etc/(?:passwd|shadow)|proc/self/)")),
+    "wordpress": ((("/",), r"/(?:wp-(?:admin|login|content|includes|config|cron)|xmlrpc\.php|wp-json/wp/)"),),
+    "scanner_probe": ((("/",), r"/(?:\.env|\.git/|config\.php|phpinfo|server-status|actuator|containers/json|debug/vars|solr/admin|"
+                               r"_cat/indices|elmah\.axd|telescope/requests|\.well-known/security\.txt)"),),
+    "shell_shock": ((("()",), THREAT_PATTERNS["shell_shock"]),),
+    "log4j": ((("${",), THREAT_PATTERNS["log4j"]),),
+    "api_abuse": ((("/",), r"/(?:graphql|api/v\d+/(?:admin|users|tokens|keys)|oauth/token|\.well-known/openid)"),),
+    "cve_exploit": ((("/",), r"/(?:cgi-bin/|shell|cmd\.php|c99\.php|r57\.php|eval-stdin\.php|vendor/phpunit)"),),
+}
+
+
+def _found(path: Column, name: str) -> Column:
+    def search(needed: tuple[str, ...], pattern: str) -> Column:
+        match = F.rlike(path, F.lit("(?i)" + pattern))
+        return reduce(or_, [path.contains(text) for text in needed]) & match if needed else match
+
+    return reduce(or_, [search(*s) for s in THREAT_SEARCHES[name]])
+
+
 def threat_flags(path: Column) -> Column:
     """Names of the signatures found in the path."""
-    hits = [F.when(F.rlike(path, F.lit("(?i)" + pattern)), F.lit(name))
-            for name, pattern in THREAT_PATTERNS.items()]
+    hits = [F.when(_found(path, name), F.lit(name)) for name in THREAT_PATTERNS]
     return (F.when(worth_matching(path), F.filter(F.array(*hits), lambda name: name.isNotNull()))
             .otherwise(F.array().cast("array<string>")))
 
