@@ -227,3 +227,35 @@ def test_pcap_both_byte_orders(spark, tmp_path):
     assert fr.decode_frames(rows).filter(F.col("tcp_flags") == 2).count() == 5
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert [r.path.endswith("bad.pcap") for r in fr.unreadable_captures(files).collect()] == [True]
+
+
+def test_equal_definitions_are_read_once(spark, monkeypatch):
+    """Definitions of a batch are parsed by content, and come out as often as they were sent, whatever stands between them."""
+    import pyarrow as pa
+
+    read = []
+    plain = d._definitions
+    monkeypatch.setattr(d, "_definitions", lambda body, set_id: (read.append(set_id), plain(body, set_id))[1])
+    two = template(256, FIELDS) + template(257, FIELDS[:2])
+    bodies, kinds = [two, template(256, FIELDS), two, b"", two, two], [0, 0, 0, 0, 1, 2]
+    batch = pa.RecordBatch.from_pydict({"set_id": pa.array(kinds, pa.int64()), "body": pa.array(bodies, pa.binary())})
+    rows, columns = d._read_templates(batch)
+    want = [(n, *found) for n, (body, kind) in enumerate(zip(bodies, kinds)) for found in plain(body, kind)]
+    got = list(zip(rows.tolist(), columns["template_id"].to_pylist(), columns["is_options"].to_pylist(), columns["fields"].to_pylist()))
+    assert got == want and len(read) == 5
+    rows, columns = d._read_templates(batch.slice(3, 1))
+    assert len(rows) == 0 and all(len(c) == 0 for c in columns.values())
+
+
+def test_sampling_writes_its_sets_once(spark, tmp_path):
+    """Data of other templates never meets the layouts of options."""
+    rates = d.extract_sampling(*_sets_and_templates(spark))
+    assert [(r.seq, r.rate) for r in rates.collect()] == [(1, 9)]
+    assert "options-data" in rates._jdf.queryExecution().toString()
+
+
+def _sets_and_templates(spark):
+    options = (1, struct.pack("!HHHHHHH", 300, 4, 4, 1, 4, 34, 4))
+    rows = frame_of(spark, [v9(options, (0, template(256, FIELDS))), v9((256, data_record()), (300, struct.pack("!II", 1, 9)))])
+    sets = d.template_sets(d.route_datagrams(rows))
+    return sets, d.extract_templates(sets)
