@@ -112,6 +112,45 @@ def test_templates_in_use_do_not_expire(spark, tmp_path):
     assert sorted((r.seq, r.tick) for r in found.collect()) == [(1, 3000), (2, 6000)]
 
 
+def test_layouts_in_force_follow_the_rows():
+    """The array form against the rule, row by row: definitions, use, and templates that were idle for too long."""
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    idle = live_templates.d.TEMPLATE_IDLE_SECONDS
+    rng = random.Random(11)
+    for _ in range(60):
+        tick, rows = 0, []
+        for seq in range(rng.randrange(1, 60)):
+            tick += rng.choice((0, 1, idle // 2, idle, idle + 1))
+            kind = rng.choice(("ipfix", "netflow_v9", "sflow"))
+            step = rng.choice((0, 1, 1, 1))
+            rows.append(("e", tick, seq, kind, rng.randrange(2), 256 + rng.randrange(2), 0, step, b"x",
+                         np.array([rng.randrange(4), 0]) if step == 0 else None))
+        known = {(0, 256): ([9, 0], 0)} if rng.random() < 0.5 else {}
+        now, want = dict(known), []
+        for _, tick, _, kind, domain, template_id, _, step, _, places in rows:
+            name = (domain, template_id)
+            if kind == "sflow":
+                want.append(None)
+                continue
+            if name in now and tick - now[name][1] > idle:
+                del now[name]
+            if step == 0:
+                now[name] = (places.tolist(), tick)
+            elif name in now:
+                now[name] = (now[name][0], tick)
+            want.append(now[name][0] if name in now else None)
+        frame = pd.DataFrame(rows, columns=["exporter_ip", "tick", "seq", "kind", "domain", "template_id", "set_no", "step", "body", "places"])
+        pieces = [frame.iloc[::2], frame.iloc[1::2]]  # batches need not be in order
+        arrived, bodies = live_templates._in_order(iter([p for p in pieces if len(p)]))
+        layout, layouts, after = live_templates._in_force(arrived, known)
+        assert [None if n < 0 else layouts[n] for n in layout.tolist()] == want
+        assert after == now and len(bodies) == len(rows)
+
+
 def test_announced_rates():
     places = [8, 1] + [-1, 0] * len(live_templates._NAMES)
     places[live_templates._RATE_AT:live_templates._RATE_AT + 2] = [4, 4]
