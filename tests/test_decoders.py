@@ -1,8 +1,11 @@
 import socket
 import struct
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from trafficlens import schemas
+from trafficlens.plans import encoded
 from trafficlens.sources import datagrams as d
 from trafficlens.sources import frames as fr
 
@@ -259,3 +262,44 @@ def _sets_and_templates(spark):
     rows = frame_of(spark, [v9(options, (0, template(256, FIELDS))), v9((256, data_record()), (300, struct.pack("!II", 1, 9)))])
     sets = d.template_sets(d.route_datagrams(rows))
     return sets, d.extract_templates(sets)
+
+
+def test_layouts_of_definitions(spark):
+    """Equal definitions are laid out alike; the last field of an element counts, others only take room; no arrays go to Python."""
+    fields = [[(8, 4), (-1, 3), (1, 2), (8, 4), (7, 3)], [(34, 4)], [(8, 4), (-1, 3), (1, 2), (8, 4), (7, 3)], [(305, 5)]]
+    rows = [("e", 0, 256, k, 0, k, k == 1, f) for k, f in enumerate(fields)]
+    found = d.template_layouts(spark.createDataFrame(rows, schemas.TEMPLATES))
+    got = {r.seq: np.frombuffer(r.layout, np.int64).tolist() for r in found.collect()}
+    names = list(d.ELEMENTS)
+
+    def layout(size, options, **at):
+        return [size, options, *(n for name in names for n in at.get(name, (-1, 0)))]
+
+    assert got == {0: layout(16, 0, src4=(9, 4), octets=(7, 2)), 1: layout(4, 1, rate=(0, 4)), 2: got[0], 3: layout(5, 0)}
+    assert not any(f.dataType.typeName() == "array" for f in found.schema)
+
+
+def lines_of(spark, path, rows):
+    columns = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string"
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def test_datagrams_are_dealt_once(spark, tmp_path):
+    """All formats come from one shuffle of the lines; unknown fields leave a record out, numbers that are too long keep their leading digits."""
+    path = lines_of(spark, str(tmp_path), [
+        (5, 251, 1, 2, 7.0, "A"), (5, 251, 1, 1, 3.0, "N"), (5, None, 1, 3, 1.0, "N"), (5, 70_000, 1, 4, 1.0, "N"), (6, 1, 2, 1, 2.0**40, "R"),
+        (7, 1, None, 1, 1.0, "R")])
+    sent = encoded.mixed_datagrams(spark, path)
+    assert sent._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.exporter_ip, r.seq): r.payload for r in sent.collect()}
+    head = struct.pack("!HH18xH", 5, 4, 0x4001)
+    record = "!4s4s8xII8xHHxBB9x"
+    first, second = (struct.pack(record, bytes([10, 1, 1, 1]), bytes([192, 0, 2, 1]), n, n * 311, 1275, 443, flags, 6) for n, flags in ((3, 16), (7, 2)))
+    assert got["v5-198.51.100.1", 5 * 10**9 + 5] == head + first + second
+    packets = got["v5-198.51.100.2", 6 * 10**9 + 6][24 + 16:24 + 20]
+    assert packets == bytes.fromhex(f"{2**40:X}"[:8])
+    unknown = [r.payload and len(r.payload) for r in sent.filter("exporter_ip IS NULL").collect()]
+    assert sorted(unknown, key=str) == [16 + 4 + 36, None, None]
+    flows = d.decode_datagrams(sent.filter("exporter_ip LIKE '%100.1'"))
+    assert sorted((r.exporter_ip[:2], r.packets) for r in flows.collect()) == [("sf", 3), ("sf", 7), ("te", 7), ("v5", 3), ("v5", 7)]
