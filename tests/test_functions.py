@@ -141,3 +141,21 @@ def test_signature_searches_find_what_the_signatures_find(spark):
     assert [(r.path, r.got, r.want) for r in found if r.got != r.want] == []
     assert {name for r in found for name in r.got} == set(http.THREAT_PATTERNS)
     assert sum(len(r.got) for r in found) > 1500
+
+
+def test_asof_in_order_pairs_nothing(spark):
+    """Many values in one slot: the latest earlier one by keys, also over slots without any, and no join of the two sides."""
+    rng = random.Random(5)
+    left = [(rng.choice(("a", "b", "c", None)), rng.randrange(0, 3000), i) for i in range(3000)]
+    right = [(k, t, rng.choice((None, 1, 2, 3))) for k in "ab" for t in sorted(rng.sample(range(120), 60)) + sorted(rng.sample(range(2000, 2300), 150))]
+    ldf = spark.createDataFrame(left, "k string, seq bigint, i bigint").withColumn("tick", F.expr("seq div 10"))
+    rdf = spark.createDataFrame([*right, (None, 0, 9)], "k string, seq bigint, v bigint").withColumn("tick", F.expr("seq div 10"))
+    want = {}
+    for k, seq, i in left:
+        before = [v for rk, rseq, v in right if rk == k and rseq <= seq]
+        want[i] = (k, seq, before[-1] if before else None)
+    for heard in (None, ldf.select("k", "tick").union(spark.sql("SELECT 'd', 7L")).distinct()):
+        got = joins.asof_in_order(ldf, rdf, ["k"], ["seq"], "v", slot=10, heard=heard)
+        assert got.columns == ["k", "seq", "i", "tick", "v"]
+        assert {r.i: (r.k, r.seq, r.v) for r in got.collect()} == want
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
